@@ -15,7 +15,7 @@ from sitesift.dictionaries import NON_HTML_SUFFIXES
 
 __all__ = [
     "url_scheme", "url_netloc", "url_path", "url_query", "url_fragment",
-    "url_path_noparams", "normalize_url", "join_url", "is_html_url",
+    "url_path_noparams", "normalize_url", "with_joined_url", "is_html_url",
 ]
 
 URI_RE = r"^(([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?$"
@@ -89,51 +89,60 @@ def _remove_dot_segments(segs: Column) -> Column:
 
 
 def _unparse(scheme, netloc, path, query, fragment) -> Column:
+    """urlunparse: each part is referenced a bounded number of times (no nesting)."""
     has_net = (netloc != "") | (scheme.isin(*USES_NETLOC) & (scheme != ""))
-    p = F.when(has_net & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    p = F.when(has_net, F.concat(F.lit("//"), netloc, p)).otherwise(p)
-    p = F.when(scheme != "", F.concat(scheme, F.lit(":"), p)).otherwise(p)
-    p = F.when(query != "", F.concat(p, F.lit("?"), query)).otherwise(p)
-    return F.when(fragment != "", F.concat(p, F.lit("#"), fragment)).otherwise(p)
-
-
-def join_url(base, href) -> Column:
-    """Resolve ``href`` against ``base`` like ``urllib.parse.urljoin``."""
-    base, href = _c(base), _c(href)
-    bs, bn, bp, bq = url_scheme(base), url_netloc(base), url_path(base), url_query(base)
-    hs_raw = url_scheme(href)
-    hs = F.when(hs_raw == "", bs).otherwise(hs_raw)
-    has_net_part = F.regexp_extract(href, URI_RE, 3) != ""
-    hn, hp, hq, hf = url_netloc(href), url_path(href), url_query(href), url_fragment(href)
-    has_q = F.regexp_extract(href, URI_RE, 6) != ""
-
+    lead = F.when(has_net & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
+                    F.when(has_net, F.concat(F.lit("//"), netloc)).otherwise(F.lit("")),
+                    lead, path,
+                    F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+                    F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+
+
+def with_joined_url(df, base: str, href: str, out: str = "abs_url"):
+    """Add ``out`` = ``href`` resolved against ``base`` like ``urllib.parse.urljoin``.
+
+    A DataFrame transform rather than one Column: the URL parts are computed
+    once into staged columns, so the plan does not repeat the regex work.
+    """
+    u = "_uj_"
+    b, h = F.col(base), F.col(href)
+    df = df.withColumn(u + "b", F.struct(url_scheme(b).alias("s"), url_netloc(b).alias("n"),
+                                         url_path(b).alias("p"), url_query(b).alias("q")))
+    df = df.withColumn(u + "h", F.struct(url_scheme(h).alias("s"),
+                                         (F.regexp_extract(h, URI_RE, 3) != "").alias("hn"),
+                                         url_netloc(h).alias("n"), url_path(h).alias("p"),
+                                         url_query(h).alias("q"), url_fragment(h).alias("f")))
+    B, H = F.col(u + "b"), F.col(u + "h")
+    df = df.withColumn(u + "s", F.when(H["s"] == "", B["s"]).otherwise(H["s"]))
+    S = F.col(u + "s")
     # relative path: base directory + href path, empty middle segments dropped
-    bparts = F.split(bp, "/")
+    bparts = F.split(B["p"], "/")
     bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
-    rel = F.concat(bdir, F.split(hp, "/"))
-    n = F.size(rel)
-    rel = F.when(n >= 2, F.concat(F.slice(rel, 1, 1),
-                                  F.filter(F.slice(rel, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != ""),
-                                  F.slice(rel, -1, 1))).otherwise(rel)
-    segs = F.when(hp.startswith("/"), F.split(hp, "/")).otherwise(rel)
-    merged_path = _remove_dot_segments(segs)
-    netloc = F.when(hs.isin(*USES_NETLOC) & has_net_part, hn).otherwise(bn)
-
-    return (
-        F.when(base.isNull() | (base == ""), href)
-        .when(href.isNull() | (href == ""), base)
-        .when((hs != bs) | ~hs.isin(*USES_RELATIVE), href)
-        .when(hs.isin(*USES_NETLOC) & has_net_part, _unparse(hs, hn, hp, hq, hf))
-        .when(hp == "", _unparse(hs, netloc, bp, F.when(has_q & (hq != ""), hq).otherwise(bq), hf))
-        .otherwise(_unparse(hs, netloc, merged_path, hq, hf))
-    )
+    df = df.withColumn(u + "r", F.concat(bdir, F.split(H["p"], "/")))
+    R = F.col(u + "r")
+    n = F.size(R)
+    rel = F.when(n >= 2, F.concat(F.slice(R, 1, 1),
+                                  F.filter(F.slice(R, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != ""),
+                                  F.slice(R, -1, 1))).otherwise(R)
+    df = df.withColumn(u + "m", _remove_dot_segments(F.when(H["p"].startswith("/"), F.split(H["p"], "/"))
+                                                     .otherwise(rel)))
+    M = F.col(u + "m")
+    net_abs = S.isin(*USES_NETLOC) & H["hn"]
+    netloc = F.when(net_abs, H["n"]).otherwise(B["n"])
+    res = (F.when(b.isNull() | (b == ""), h)
+           .when(h.isNull() | (h == ""), b)
+           .when((S != B["s"]) | ~S.isin(*USES_RELATIVE), h)
+           .when(net_abs, _unparse(S, H["n"], H["p"], H["q"], H["f"]))
+           .when(H["p"] == "", _unparse(S, netloc, B["p"], F.when(H["q"] != "", H["q"]).otherwise(B["q"]), H["f"]))
+           .otherwise(_unparse(S, netloc, M, H["q"], H["f"])))
+    return df.withColumn(out, res).drop(u + "b", u + "h", u + "s", u + "r", u + "m")
+
+
+NON_HTML_RE = "(" + "|".join(x.replace(".", "\\.") for x in NON_HTML_SUFFIXES) + ")$"
 
 
 def is_html_url(c) -> Column:
     """False for URLs ending in a non-HTML suffix (case-sensitive, whole URL) or starting with 'mailto'."""
     c = _c(c)
-    ends = None
-    for s in NON_HTML_SUFFIXES:
-        e = c.endswith(s)
-        ends = e if ends is None else (ends | e)
-    return ~ends & ~c.startswith("mailto")
+    return ~c.rlike(NON_HTML_RE) & ~c.startswith("mailto")
