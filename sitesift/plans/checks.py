@@ -283,3 +283,255 @@ FROM n LEFT JOIN o ON n.node = o.node LEFT JOIN i ON n.node = i.node LEFT JOIN p
 def q_url_link_graph(spark, d):
     from sitesift.operators.links import link_graph
     return link_graph(T(spark, d, "pages"))
+
+
+# ================================================================ HTML on generated contact pages
+from sitesift.plans.generated import CONTACT_HTML_SQL, contact_pages  # noqa: E402
+
+GEN = "(" + CONTACT_HTML_SQL + ") g"
+
+
+def _cparsed(spark, d):
+    return parse_pages(contact_pages(spark, d))
+
+
+@query("html_meta", f"SELECT page_id, 'Ask ' || person || ', ' || title AS content FROM {GEN}")
+def q_html_meta(spark, d):
+    return S.meta_contents(_cparsed(spark, d)).select("page_id", "content")
+
+
+@query("html_mailto", f"SELECT page_id, email || '?subject=hi' AS value FROM {GEN}")
+def q_html_mailto(spark, d):
+    return S.mailto(_cparsed(spark, d)).select("page_id", "value")
+
+
+@query("html_contact_elements", f"SELECT page_id, 'Call ' || phone AS text FROM {GEN}")
+def q_html_contact_elements(spark, d):
+    return S.contact_elements(_cparsed(spark, d)).select("page_id", "text")
+
+
+TEAM_TEXT = "person || ' - ' || title || ' . Mail ' || email || ' . Tel ' || phone"
+
+
+@query("html_context_blocks", f"SELECT page_id, 'team' AS keyword, 'high' AS weight, 'id' AS via, {TEAM_TEXT} AS text FROM {GEN}")
+def q_html_context_blocks(spark, d):
+    return S.context_blocks(_cparsed(spark, d)).select("page_id", "keyword", "weight", "via", "text")
+
+
+@query("html_header_siblings", f"SELECT page_id, 'high' AS weight, cname || ' ' || title AS text FROM {GEN}")
+def q_html_header_siblings(spark, d):
+    return S.header_siblings(_cparsed(spark, d)).select("page_id", "weight", "text")
+
+
+VCARD_SQL = f"""
+SELECT page_id, url, 'name' AS type, person AS value FROM {GEN} UNION ALL
+SELECT page_id, url, 'organization', 'Org ' || nname FROM {GEN} UNION ALL
+SELECT page_id, url, 'email', email FROM {GEN} UNION ALL
+SELECT page_id, url, 'phone', phone FROM {GEN}
+"""
+
+
+@query("html_vcard", VCARD_SQL)
+def q_html_vcard(spark, d):
+    return S.vcards(_cparsed(spark, d)).select("page_id", "url", "type", "value")
+
+
+JSONLD_SQL = f"""
+SELECT page_id, url, 'name' AS type, 'Org ' || nname AS value FROM {GEN} WHERE seg = 'BUILDING' UNION ALL
+SELECT page_id, url, 'phone', phone FROM {GEN} WHERE seg = 'BUILDING' UNION ALL
+SELECT page_id, url, 'name', person FROM {GEN} WHERE seg = 'AUTOMOBILE' UNION ALL
+SELECT page_id, url, 'title', title FROM {GEN} WHERE seg = 'AUTOMOBILE' UNION ALL
+SELECT page_id, url, 'email', email FROM {GEN} WHERE seg IN ('AUTOMOBILE', 'HOUSEHOLD')
+"""
+
+
+@query("html_jsonld", JSONLD_SQL)
+def q_html_jsonld(spark, d):
+    return S.jsonld(_cparsed(spark, d)).select("page_id", "url", "type", "value")
+
+
+GEN_NODES = ("[cname, person, '.', 'Org ' || nname, '.', email, '.', phone, '.', person || ' - ' || title, '.', "
+             "'Mail ' || email, '.', 'Tel ' || phone, '.', 'Our People', cname || ' ' || title, '.', 'Call ' || phone, "
+             "'.', 'Write to ' || person, '.', 'Profile']")
+GEN_NODES_SQL = sql_explode("page_id, url", GEN_NODES, GEN, "text")
+
+
+@query("html_text_nodes", GEN_NODES_SQL)
+def q_html_text_nodes(spark, d):
+    return S.text_nodes(_cparsed(spark, d)).select("page_id", "url", "pos", "text")
+
+
+@query("x_linkedin", f"SELECT page_id, 'https://www.linkedin.com/in/c' || cast(page_id AS string) AS value FROM {GEN}")
+def q_x_linkedin(spark, d):
+    from sitesift.operators.validate import validate_linkedin
+    ln = S.links(_cparsed(spark, d))
+    return ln.filter(validate_linkedin(F.col("href")).isNotNull()).select("page_id", F.col("href").alias("value"))
+
+
+RE2_W_NAME = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"
+RE2_W_PHONE = r"\b(?:\+\d{1,2}\s?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}\b"
+
+
+def sql_wrapper_mentions(src, text="text", ids="page_id, url"):
+    kws = sql_list([k.lower() for k in WRAPPER_TITLES])
+    return f"""
+SELECT {ids}, 'email' AS type, unnest(regexp_extract_all({text}, '{RE2_EMAIL}')) AS value FROM {src} UNION ALL
+SELECT {ids}, 'name', unnest(regexp_extract_all({text}, '{RE2_W_NAME}')) FROM {src} UNION ALL
+SELECT {ids}, 'phone', unnest(regexp_extract_all({text}, '{RE2_W_PHONE}')) FROM {src} UNION ALL
+SELECT {ids}, 'title', {text} FROM {src} WHERE len(list_filter({kws}, lambda k: contains(lower({text}), k))) > 0
+"""
+
+
+@query("x_wrapper_text", sql_wrapper_mentions("(" + GEN_NODES_SQL + ") n", ids="page_id, url, pos"))
+def q_x_wrapper_text(spark, d):
+    from sitesift.operators.extract import wrapper_text_mentions
+    return wrapper_text_mentions(S.text_nodes(_cparsed(spark, d)), ids=("page_id", "url", "pos")) \
+        .select("page_id", "url", "pos", "type", "value")
+
+
+WRAPPER_ALL_SQL = f"""
+SELECT DISTINCT page_id, url, type, value FROM (
+{sql_wrapper_mentions("(" + GEN_NODES_SQL + ") n")} UNION ALL
+{sql_wrapper_mentions("(SELECT page_id, url, 'Ask ' || person || ', ' || title AS text FROM " + GEN + ") m")} UNION ALL
+{sql_wrapper_mentions("(SELECT page_id, url, 'Call ' || phone AS text FROM " + GEN + ") c")} UNION ALL
+SELECT page_id, url, 'email', email || '?subject=hi' FROM {GEN}) a
+"""
+
+
+@query("pipe_wrapper", f"""
+SELECT page_id, url, type, value, relevance,
+       CAST(row_number() OVER (PARTITION BY page_id, url ORDER BY relevance DESC, value, type) AS INTEGER) AS rn
+FROM (SELECT *, CASE type WHEN 'email' THEN 5 WHEN 'name' THEN 4 WHEN 'phone' THEN 3 WHEN 'title' THEN 2 ELSE 1 END
+             AS relevance FROM ({WRAPPER_ALL_SQL}) w) r
+""")
+def q_pipe_wrapper(spark, d):
+    from sitesift.plans.contact import wrapper_info
+    return wrapper_info(contact_pages(spark, d)).select("page_id", "url", "type", "value", "relevance", "rn")
+
+
+# ================================================================ aggregation over document mentions
+def _doc_mentions(spark, d):
+    """Mentions (email, name, phone, title) of every document, with url = 'doc://<id>'."""
+    docs = T(spark, d, "documents").select(F.col("doc_id").alias("page_id"),
+                                           F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
+    return text_mentions(docs, "text", origin="text", types=("email", "name", "phone", "title"),
+                         titles=DEFAULT_TITLES, min_len=3)
+
+
+DOC_MENTIONS_SQL = f"""
+SELECT doc_id AS page_id, 'doc://' || cast(doc_id AS string) AS url, 'email' AS type,
+       unnest(regexp_extract_all({sql_clean('text')}, '{RE2_EMAIL}')) AS value FROM documents WHERE length(text) >= 3
+UNION ALL
+SELECT doc_id, 'doc://' || cast(doc_id AS string), 'name',
+       trim(unnest(regexp_extract_all({ASCII_US.format(c='text')}, '{RE2_NAME}', 1))) FROM documents WHERE length(text) >= 3
+UNION ALL
+SELECT doc_id, 'doc://' || cast(doc_id AS string), 'phone',
+       trim(unnest(regexp_extract_all({sql_clean('text')}, '{RE2_PHONE}')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))
+       FROM documents WHERE length(text) >= 3
+UNION ALL
+SELECT doc_id, 'doc://' || cast(doc_id AS string), 'title',
+       unnest(regexp_extract_all({ASCII_US.format(c=sql_clean('text'))}, '{re2_titles(DEFAULT_TITLES)}', 1))
+       FROM documents WHERE length(text) >= 3
+"""
+
+
+@query("agg_distinct_mentions", f"SELECT DISTINCT page_id, url, type, value FROM ({DOC_MENTIONS_SQL}) m "
+                                "WHERE value IS NOT NULL AND value <> 'not_found'")
+def q_agg_distinct_mentions(spark, d):
+    from sitesift.operators.aggregate import distinct_mentions
+    return distinct_mentions(_doc_mentions(spark, d))
+
+
+@query("agg_global_dedup", f"""
+SELECT type, norm_value, min(url) AS first_url, count(DISTINCT url) AS n_pages FROM (
+  SELECT type, url, CASE WHEN type = 'email' THEN lower(trim(value)) ELSE trim(value) END AS norm_value
+  FROM ({DOC_MENTIONS_SQL}) m) t GROUP BY type, norm_value
+""")
+def q_agg_global_dedup(spark, d):
+    from sitesift.operators.aggregate import global_dedup
+    return global_dedup(_doc_mentions(spark, d))
+
+
+@query("agg_type_counts", f"""
+SELECT netloc, url, count(*) AS n_mentions,
+       count(*) FILTER (WHERE type = 'email') AS n_email, count(*) FILTER (WHERE type = 'name') AS n_name,
+       count(*) FILTER (WHERE type = 'linkedin') AS n_linkedin, count(*) FILTER (WHERE type = 'title') AS n_title,
+       count(*) FILTER (WHERE type = 'phone') AS n_phone, count(*) FILTER (WHERE type = 'organization') AS n_organization
+FROM (SELECT *, {sql_url_part('url', 4)} AS netloc FROM ({DOC_MENTIONS_SQL}) m) t
+GROUP BY ROLLUP (netloc, url)
+""")
+def q_agg_type_counts(spark, d):
+    from sitesift.operators.aggregate import type_counts
+    return type_counts(_doc_mentions(spark, d))
+
+
+@query("agg_contact_record", f"""
+SELECT CASE WHEN type = 'email' THEN value END AS email, CASE WHEN type = 'name' THEN value END AS name,
+       CASE WHEN type = 'linkedin' THEN value END AS linkedin, CASE WHEN type = 'title' THEN value END AS title,
+       CASE WHEN type = 'phone' THEN value END AS phone, CASE WHEN type = 'organization' THEN value END AS organization,
+       url AS src_url
+FROM ({DOC_MENTIONS_SQL}) m
+""")
+def q_agg_contact_record(spark, d):
+    from sitesift.operators.aggregate import sparse_records
+    return sparse_records(_doc_mentions(spark, d))
+
+
+@query("sort_relevance", f"""
+SELECT url, type, value, relevance,
+       CAST(row_number() OVER (PARTITION BY url ORDER BY relevance DESC, value, type) AS INTEGER) AS rn
+FROM (SELECT DISTINCT url, type, value,
+             CASE type WHEN 'email' THEN 5 WHEN 'name' THEN 4 WHEN 'phone' THEN 3 WHEN 'title' THEN 2 ELSE 1 END AS relevance
+      FROM ({DOC_MENTIONS_SQL}) m) t
+""")
+def q_sort_relevance(spark, d):
+    from sitesift.operators.aggregate import sort_by_relevance
+    return sort_by_relevance(_doc_mentions(spark, d))
+
+
+# ================================================================ validation
+V_EMAIL_RE2 = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+V_PHONE_RE2 = r"^\+?[\d\s.-]+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}$"
+
+
+@query("v_email", f"""
+SELECT page_id, value, CASE WHEN regexp_matches(value, '{V_EMAIL_RE2}') THEN value END AS valid
+FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'email'
+""")
+def q_v_email(spark, d):
+    from sitesift.operators.validate import validate_email
+    m = _doc_mentions(spark, d).filter(F.col("type") == "email")
+    return m.select("page_id", "value", validate_email(F.col("value")).alias("valid"))
+
+
+@query("v_phone", f"""
+SELECT page_id, value, CASE WHEN regexp_matches(value, '{V_PHONE_RE2}') THEN value END AS valid
+FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'phone'
+""")
+def q_v_phone(spark, d):
+    from sitesift.operators.validate import validate_phone
+    m = _doc_mentions(spark, d).filter(F.col("type") == "phone")
+    return m.select("page_id", "value", validate_phone(F.col("value")).alias("valid"))
+
+
+@query("v_linkedin", f"""
+SELECT page_id, href, CASE WHEN regexp_matches(href, '^https?://(?:www\\.)?linkedin\\.com/in/[\\w\\-]+/?$') THEN href END AS valid
+FROM (SELECT page_id, 'https://www.linkedin.com/in/c' || cast(page_id AS string) AS href FROM {GEN}
+      UNION ALL SELECT page_id, 'mailto:' || email || '?subject=hi' FROM {GEN}) l
+""")
+def q_v_linkedin(spark, d):
+    from sitesift.operators.validate import validate_linkedin
+    ln = S.links(_cparsed(spark, d))
+    return ln.select("page_id", "href", validate_linkedin(F.col("href")).alias("valid"))
+
+
+@query("v_name", f"""
+SELECT page_id, value, CASE WHEN regexp_matches(value, '^[A-Z][a-z]+(?: [A-Z][a-z]+){{1,3}}$')
+       AND len(list_filter(string_split(lower(value), ' '), lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
+       THEN value END AS valid
+FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'name'
+""")
+def q_v_name(spark, d):
+    from sitesift.operators.validate import validate_name_rule
+    m = _doc_mentions(spark, d).filter(F.col("type") == "name")
+    return m.select("page_id", "value", validate_name_rule(F.col("value"), DEFAULT_TITLES).alias("valid"))
