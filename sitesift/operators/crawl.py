@@ -67,7 +67,8 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFra
     visited = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"),
                            F.lit(0).alias("priority")).distinct().checkpoint(eager=True)
     frontier, n = visited, visited.count()
-    e = edges.select("src_url", "dst_url", "priority")
+    # the edge table is read once per level: materialize it once
+    e = edges.select("src_url", "dst_url", "priority").checkpoint(eager=True)
     for d in range(1, max_depth + 1):
         if n == 0:
             break
@@ -79,7 +80,7 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFra
         new = (cand.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
                .select("seed", "url", F.lit(d).alias("depth"), "priority")).checkpoint(eager=True)
         n = new.count()
-        visited = visited.unionByName(new).checkpoint(eager=True)
+        visited = visited.unionByName(new)
         frontier = new
     return visited
 
@@ -128,5 +129,5 @@ def rate_audit(log: DataFrame, ts_col: str = "ts", domain_col: str = "domain", p
     return (log.groupBy(F.window(F.col(ts_col), period).alias("w"), F.col(domain_col).alias("domain"))
             .agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > limit)
-            .select("domain", F.unix_seconds(F.col("w.start")).alias("window_start"),
-                    F.unix_seconds(F.col("w.end")).alias("window_end"), "n"))
+            .select("domain", F.unix_seconds(F.col("w.start").cast("timestamp")).alias("window_start"),
+                    F.unix_seconds(F.col("w.end").cast("timestamp")).alias("window_end"), "n"))

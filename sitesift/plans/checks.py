@@ -535,3 +535,151 @@ def q_v_name(spark, d):
     from sitesift.operators.validate import validate_name_rule
     m = _doc_mentions(spark, d).filter(F.col("type") == "name")
     return m.select("page_id", "value", validate_name_rule(F.col("value"), DEFAULT_TITLES).alias("valid"))
+
+
+# ================================================================ crawl (generated link trees, test pages, events)
+from sitesift.plans.generated import LINK_HTML_SQL, link_pages, link_seeds  # noqa: E402
+
+LGEN = "(" + LINK_HTML_SQL + ") lg"
+
+
+def sql_netloc(c):
+    return sql_url_part(c, 4)
+
+
+def sql_anchor_links(src):
+    """(page_id, src_url, pos, href, text, dst_url) from '<a href="..">text</a>' anchors; hrefs that
+    are root-relative are resolved against the page URL, others kept (test generators only use those)."""
+    return f"""
+SELECT page_id, src_url, pos, href, text,
+       CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//')
+            THEN lower({sql_url_part('src_url', 2)}) || '://' || {sql_netloc('src_url')} || href ELSE href END AS dst_url
+FROM (SELECT page_id, src_url, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS text
+      FROM (SELECT page_id, url AS src_url, CAST(generate_subscripts(_a, 1) - 1 AS INTEGER) AS pos, unnest(_a) AS a
+            FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS _a FROM {src}) x) y) z
+"""
+
+
+def sql_score(url, text):
+    kws = sql_list(URL_KEYWORDS)
+    path = f"lower({sql_url_part(url, 5)})"
+    return (f"((CASE WHEN len(list_filter({kws}, lambda k: contains({path}, k))) > 0 THEN 5 ELSE 0 END)"
+            f" + (CASE WHEN len(list_filter({kws}, lambda k: contains(lower({text}), k))) > 0 THEN 3 ELSE 0 END)"
+            f" + greatest(0, 3 - (length({path}) - length(replace({path}, '/', '')))))")
+
+
+LINKS_SCORED_SQL = f"SELECT *, CAST({sql_score('dst_url', 'text')} AS INTEGER) AS score FROM ({sql_anchor_links(LGEN)}) a"
+
+
+def _link_edges_all(spark, d):
+    from pyspark.sql import Window
+    from sitesift.operators.crawl import relevance_score
+    from sitesift.functions.urls import with_joined_url
+    ln = S.links(parse_pages(link_pages(spark, d)))
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    ln = ln.withColumn("pos", F.row_number().over(w) - 1)
+    ln = with_joined_url(ln, "url", "href", "dst_url")
+    return ln.select("page_id", F.col("url").alias("src_url"), "pos", "href", "text", "dst_url",
+                     relevance_score(F.col("dst_url"), F.col("text")).alias("score"))
+
+
+@query("crawl_relevance", f"SELECT page_id, pos, dst_url, text, score FROM ({LINKS_SCORED_SQL}) s")
+def q_crawl_relevance(spark, d):
+    return _link_edges_all(spark, d).select("page_id", "pos", "dst_url", "text", "score")
+
+
+@query("crawl_enqueue", f"""
+SELECT src_url, dst_url, 100 - score AS priority, 1 AS depth FROM ({LINKS_SCORED_SQL}) s
+WHERE score > 0 AND {sql_netloc('dst_url')} = {sql_netloc('src_url')}
+""")
+def q_crawl_enqueue(spark, d):
+    from sitesift.operators.crawl import crawl_edges
+    e = crawl_edges(link_pages(spark, d))
+    return e.select("src_url", "dst_url", "priority", F.lit(1).alias("depth"))
+
+
+@query("crawl_same_site", f"""
+SELECT src_url, dst_url FROM ({LINKS_SCORED_SQL}) s
+WHERE {sql_netloc('dst_url')} = {sql_netloc('src_url')}
+  AND dst_url NOT IN (SELECT url FROM {LGEN} WHERE n = 0)
+""")
+def q_crawl_same_site(spark, d):
+    from sitesift.functions.urls import url_netloc
+    from sitesift.operators.crawl import same_site_unseen
+    e = _link_edges_all(spark, d).filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url")))
+    visited = link_seeds(spark, d).select(F.col("seed").alias("url"))
+    return same_site_unseen(e, visited).select("src_url", "dst_url")
+
+
+BFS_SQL = f"""
+WITH RECURSIVE
+e AS (SELECT src_url AS src, dst_url AS dst, 100 - score AS prio FROM ({LINKS_SCORED_SQL}) s
+      WHERE score > 0 AND {sql_netloc('dst_url')} = {sql_netloc('src_url')}),
+seeds AS (SELECT url AS seed FROM {LGEN} WHERE n = 0),
+walk(seed, url, depth) AS (
+  SELECT seed, seed, 0 FROM seeds
+  UNION
+  SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url
+  WHERE w.depth < 3 AND {sql_netloc('e.dst')} = {sql_netloc('w.seed')}),
+dist AS (SELECT seed, url, min(depth) AS depth FROM walk GROUP BY seed, url)
+SELECT v.seed, v.url, v.depth,
+       CASE WHEN v.depth = 0 THEN 0 ELSE
+         (SELECT min(e.prio) FROM e JOIN dist p ON p.url = e.src AND p.seed = v.seed AND p.depth = v.depth - 1
+          WHERE e.dst = v.url) END AS priority
+FROM dist v
+"""
+
+
+def _bfs(spark, d):
+    from sitesift.operators.crawl import crawl_bfs, crawl_edges
+    return crawl_bfs(link_seeds(spark, d), crawl_edges(link_pages(spark, d)), max_depth=3)
+
+
+@query("crawl_bfs", BFS_SQL)
+def q_crawl_bfs(spark, d):
+    return _bfs(spark, d).select("seed", "url", "depth", "priority")
+
+
+BUDGET = 8
+
+
+@query("crawl_budget", f"""
+SELECT seed, url, depth, priority, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY depth, priority, url) AS INTEGER) AS rank FROM ({BFS_SQL}) b) r
+WHERE rank <= {BUDGET}
+""")
+def q_crawl_budget(spark, d):
+    from sitesift.operators.crawl import crawl_budget
+    return crawl_budget(_bfs(spark, d), BUDGET).select("seed", "url", "depth", "priority", "rank")
+
+
+@query("crawl_visited_dedup", f"SELECT DISTINCT {sql_norm('url')} AS norm_url FROM pages WHERE {sql_norm('url')} IS NOT NULL")
+def q_crawl_visited_dedup(spark, d):
+    from sitesift.operators.crawl import visited_dedup
+    return visited_dedup(T(spark, d, "pages")).select("norm_url")
+
+
+@query("crawl_slots", f"""
+WITH r AS (SELECT url, {sql_netloc('url')} AS netloc,
+                  row_number() OVER (PARTITION BY {sql_netloc('url')} ORDER BY url) AS dom_rank FROM pages),
+l AS (SELECT *, CAST(floor((dom_rank - 1) / 5) AS BIGINT) AS level FROM r),
+c AS (SELECT level, CAST(ceil(count(*) / 10) AS BIGINT) AS secs FROM l GROUP BY level),
+s AS (SELECT level, CAST(coalesce(sum(secs) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY netloc, url) AS level_rank FROM l)
+SELECT k.url, k.netloc, CAST(k.dom_rank AS BIGINT) AS dom_rank, k.level,
+       CAST(s.start + floor((k.level_rank - 1) / 10) AS BIGINT) AS slot
+FROM k JOIN s ON k.level = s.level
+""")
+def q_crawl_slots(spark, d):
+    from sitesift.operators.crawl import fetch_slots
+    return fetch_slots(T(spark, d, "pages").select("url"))
+
+
+@query("crawl_rate_audit", """
+SELECT user_id AS domain, CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start,
+       CAST(epoch(time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day') AS BIGINT) AS window_end, count(*) AS n
+FROM events GROUP BY 1, 2, 3 HAVING count(*) > 3
+""")
+def q_crawl_rate_audit(spark, d):
+    from sitesift.operators.crawl import rate_audit
+    return rate_audit(T(spark, d, "events"), "ts", "user_id", "1 day", 3)
