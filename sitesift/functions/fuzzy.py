@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["fuzzy_query", "process_fuzzy", "tiered_score", "fuzzy_titles_of",
+__all__ = ["fuzzy_query", "process_fuzzy", "tiered_score", "fuzzy_titles_of", "with_fuzzy_query", "window_words",
            "levenshtein_ratio", "fuzzy_match", "ratio_udf"]
 
 
@@ -23,43 +23,68 @@ def process_fuzzy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "))
 
 
+def window_words(words: Column, all_windows: bool = False) -> Column:
+    """3-word windows over a word array, joined by spaces (see ``fuzzy_query``)."""
+    k = F.greatest(F.size(words) - (2 if all_windows else 3), F.lit(0))
+    w0, w1, w2 = F.slice(words, 1, k), F.slice(words, 2, k), F.slice(words, 3, k)
+    pairs = F.zip_with(w0, w1, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_join(F.zip_with(pairs, w2, lambda ab, c: F.concat(ab, F.lit(" "), c)), " ")
+
+
 def fuzzy_query(cleaned: Column, all_windows: bool = False) -> Column:
     """3-word windows over the words of the (cleaned) text, joined by spaces.
 
     Faithful default: windows start at 0 .. n-4, so texts of fewer than 4 words
     give none and the last window is never formed; ``all_windows`` starts them
-    at 0 .. n-3.
+    at 0 .. n-3. Built from three shifted slices zipped together, so the cost
+    is linear in the text (a lambda over positions would re-read the text per
+    window).
     """
-    words = F.filter(F.split(cleaned, " "), lambda w: w != "")
-    last = F.size(words) - (3 if all_windows else 4)
-    wins = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last),
-                                         lambda i: F.array_join(F.slice(words, i + 1, 3), " "))) \
-        .otherwise(F.array().cast("array<string>"))
-    return F.array_join(wins, " ")
+    return window_words(F.filter(F.split(cleaned, " "), lambda w: w != ""), all_windows)
+
+
+FQ, FQL, FQP = "_fuzzy_q", "_fuzzy_ql", "_fuzzy_qpad"
 
 
-def tiered_score(kp: Column, qp: Column, qwords: Column) -> Column:
-    lk, lq = F.length(kp), F.length(qp)
-    mx, mn = F.greatest(lk, lq), F.least(lk, lq)
+def tiered_score(kp: Column, kpl: Column, kwords_padded: Column) -> Column:
+    """Score of one keyword (processed text ``kp``, its length, its words as
+    ' w ') against the staged query columns."""
+    qp, lq, pad = F.col(FQ), F.col(FQL), F.col(FQP)
+    mx, mn = F.greatest(kpl, lq), F.least(kpl, lq)
     lev_ratio = F.least(F.lit(56), F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(kp, qp) / mx)).cast("int"))
-    return (F.when((lk == 0) | (lq == 0), F.lit(0))
+    return (F.when((kpl == 0) | (lq == 0), F.lit(0))
             .when(F.instr(qp, kp) > 0, F.lit(60))
-            .when(F.arrays_overlap(F.split(kp, " +"), qwords), F.lit(57))
+            .when(F.exists(kwords_padded, lambda w: F.instr(pad, w) > 0), F.lit(57))
             .when(F.lit(100) * mn < F.lit(30) * mx, F.lit(0))
             .otherwise(lev_ratio))
 
 
-def fuzzy_titles_of(cleaned: Column, keywords: list[str], k: int = 5, min_score: int = 30,
-                    all_windows: bool = False) -> Column:
-    """Top-k dictionary keywords by tiered score (> min_score), ties in dictionary order."""
+def with_fuzzy_query(df, text: Column, all_windows: bool = False):
+    """Stage the processed window string, its length and a space-padded copy as
+    columns, so the per-keyword scoring reads attributes instead of
+    recomputing them (each keyword test is then one substring search)."""
+    from sitesift.functions.text import clean_text
+
+    df = df.withColumn("_fuzzy_clean", clean_text(text))
+    df = df.withColumn("_fuzzy_words", F.filter(F.split(F.col("_fuzzy_clean"), " "), lambda w: w != ""))
+    df = df.withColumn(FQ, process_fuzzy(window_words(F.col("_fuzzy_words"), all_windows)))
+    df = df.withColumn(FQL, F.length(F.col(FQ))).withColumn(FQP, F.concat(F.lit(" "), F.col(FQ), F.lit(" ")))
+    return df.drop("_fuzzy_clean", "_fuzzy_words")
+
+
+def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Column:
+    """Top-k dictionary keywords by tiered score (> min_score), ties in dictionary
+    order, over the staged query columns (see ``with_fuzzy_query``)."""
     if not keywords:
         return F.array().cast("array<string>")
-    qp = process_fuzzy(fuzzy_query(cleaned, all_windows))
-    qwords = F.split(qp, " +")
-    dict_arr = F.array(*[F.struct(F.lit(kw).alias("kw"), F.lit(i).alias("ord"),
-                                  F.lit(_process_py(kw)).alias("kp")) for i, kw in enumerate(keywords)])
-    scored = F.transform(dict_arr, lambda d: F.struct((-tiered_score(d["kp"], qp, qwords)).alias("neg"),
-                                                      d["ord"].alias("ord"), d["kw"].alias("kw")))
+    entries = []
+    for i, kw in enumerate(keywords):
+        kp = _process_py(kw)
+        words = [f" {w} " for w in kp.split()] or [" "]
+        entries.append(F.struct(F.lit(kw).alias("kw"), F.lit(i).alias("ord"), F.lit(kp).alias("kp"),
+                                F.lit(len(kp)).alias("kpl"), F.array(*[F.lit(w) for w in words]).alias("kws")))
+    scored = F.transform(F.array(*entries), lambda d: F.struct(
+        (-tiered_score(d["kp"], d["kpl"], d["kws"])).alias("neg"), d["ord"].alias("ord"), d["kw"].alias("kw")))
     kept = F.filter(scored, lambda s: -s["neg"] > min_score)
     return F.transform(F.slice(F.array_sort(kept), 1, k), lambda s: s["kw"])
 

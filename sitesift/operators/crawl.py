@@ -21,7 +21,8 @@ from sitesift.session import ensure_checkpoint_dir
 
 def relevance_score(url: Column, text: Column, keywords=None) -> Column:
     """+5 if the lower-cased path contains a keyword, +3 if the lower-cased link
-    text does, plus max(0, 3 - number of '/' in the path)."""
+    text does, plus max(0, 3 - number of '/' in the path). Use ``with_relevance``
+    on large inputs: it stages the path so the keyword loop reads a column."""
     kws = lit_array(list(keywords or URL_KEYWORDS))
     path = F.lower(url_path(url))
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -31,6 +32,21 @@ def relevance_score(url: Column, text: Column, keywords=None) -> Column:
             + F.greatest(F.lit(0), 3 - slashes))
 
 
+def with_relevance(df: DataFrame, url_col: str, text_col: str, out: str = "score", keywords=None) -> DataFrame:
+    df = df.withColumn("_rel_path", F.lower(url_path(F.col(url_col)))) \
+        .withColumn("_rel_text", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(out, relevance_score_staged(F.col("_rel_path"), F.col("_rel_text"), keywords)) \
+        .drop("_rel_path", "_rel_text")
+
+
+def relevance_score_staged(path: Column, low: Column, keywords=None) -> Column:
+    kws = lit_array(list(keywords or URL_KEYWORDS))
+    slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
+    return (F.when(F.exists(kws, lambda k: F.instr(path, k) > 0), 5).otherwise(0)
+            + F.when(F.exists(kws, lambda k: F.instr(low, k) > 0), 3).otherwise(0)
+            + F.greatest(F.lit(0), 3 - slashes))
+
+
 def crawl_edges(pages: DataFrame, parsed: DataFrame | None = None, keywords=None) -> DataFrame:
     """C1+C2+C3 edge table: every <a href> of every stored page, resolved against the
     page URL, kept when it stays on the page's netloc (raw, case-kept) and scores > 0.
@@ -39,7 +55,7 @@ def crawl_edges(pages: DataFrame, parsed: DataFrame | None = None, keywords=None
     ln = page_links(parsed)
     e = with_joined_url(ln, "url", "href", "dst_url").select(F.col("url").alias("src_url"), "dst_url", "text")
     e = e.filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url")))
-    e = e.withColumn("score", relevance_score(F.col("dst_url"), F.col("text"), keywords))
+    e = with_relevance(e, "dst_url", "text", "score", keywords)
     return e.filter(F.col("score") > 0).withColumn("priority", 100 - F.col("score"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.dictionaries import WRAPPER_TITLES, keyword_list
-from sitesift.functions.fuzzy import fuzzy_titles_of
+from sitesift.functions.fuzzy import FQ, FQL, FQP, fuzzy_titles_of, with_fuzzy_query
 from sitesift.functions.text import (clean_text, emails_in, long_enough, names_in, phones_in,
                                      titles_in, wrapper_emails_in, wrapper_names_in,
                                      wrapper_phones_in, wrapper_title_of)
@@ -40,7 +40,8 @@ def mention_array(text: Column, types=CONTEXT_TYPES, titles=None, fuzzy: bool =
         elif t == "title":
             parts.append(_typed(titles_in(text, kws), "title"))
             if fuzzy:
-                parts.append(_typed(fuzzy_titles_of(clean_text(text), kws, fuzzy_k, fuzzy_min, all_windows), "title"))
+                # needs the staged query columns (text_mentions adds them)
+                parts.append(_typed(fuzzy_titles_of(kws, fuzzy_k, fuzzy_min), "title"))
         else:
             raise ValueError(f"unknown mention type {t}")
     return F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -55,11 +56,14 @@ def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
     context blocks pass ``None`` because they are searched whatever their length.
     """
     src = df if min_len is None else df.filter(long_enough(F.col(text_col)))
+    if fuzzy and "title" in types:
+        src = with_fuzzy_query(src, F.col(text_col), kw.get("all_windows", False))
     w = weight if weight is not None else F.lit(None).cast("string")
     c = confidence if confidence is not None else F.lit(None).cast("double")
-    return (src.select(*ids, w.alias("weight"), c.alias("confidence"),
+    out = (src.select(*ids, w.alias("weight"), c.alias("confidence"),
                        F.explode(mention_array(F.col(text_col), types, titles, fuzzy, **kw)).alias("_m"))
-            .select(*ids, F.lit(origin).alias("origin"), "_m.type", "_m.value", "weight", "confidence"))
+           .select(*ids, F.lit(origin).alias("origin"), "_m.type", "_m.value", "weight", "confidence"))
+    return out
 
 
 def wrapper_mention_array(text: Column, titles=None) -> Column:

@@ -573,14 +573,13 @@ LINKS_SCORED_SQL = f"SELECT *, CAST({sql_score('dst_url', 'text')} AS INTEGER) A
 
 def _link_edges_all(spark, d):
     from pyspark.sql import Window
-    from sitesift.operators.crawl import relevance_score
+    from sitesift.operators.crawl import with_relevance
     from sitesift.functions.urls import with_joined_url
     ln = S.links(parse_pages(link_pages(spark, d)))
     w = Window.partitionBy("page_id").orderBy("node_id")
     ln = ln.withColumn("pos", F.row_number().over(w) - 1)
-    ln = with_joined_url(ln, "url", "href", "dst_url")
-    return ln.select("page_id", F.col("url").alias("src_url"), "pos", "href", "text", "dst_url",
-                     relevance_score(F.col("dst_url"), F.col("text")).alias("score"))
+    ln = with_relevance(with_joined_url(ln, "url", "href", "dst_url"), "dst_url", "text", "score")
+    return ln.select("page_id", F.col("url").alias("src_url"), "pos", "href", "text", "dst_url", "score")
 
 
 @query("crawl_relevance", f"SELECT page_id, pos, dst_url, text, score FROM ({LINKS_SCORED_SQL}) s")
@@ -683,3 +682,110 @@ FROM events GROUP BY 1, 2, 3 HAVING count(*) > 3
 def q_crawl_rate_audit(spark, d):
     from sitesift.operators.crawl import rate_audit
     return rate_audit(T(spark, d, "events"), "ts", "user_id", "1 day", 3)
+
+
+# ================================================================ fuzzy titles
+def sql_dict(keywords):
+    from sitesift.functions.fuzzy import _process_py
+    rows = ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', {i}, '{_process_py(k)}')" for i, k in enumerate(keywords))
+    return f"(VALUES {rows}) AS kd(kw, ord, kp)"
+
+
+def sql_fuzzy(texts, ids, keywords, k=5, min_score=30):
+    """Top-k keywords per text by the tiered score; texts: subquery with columns ids + text.
+    Windows are built with lead() over the word positions (linear in the text)."""
+    cleaned = sql_clean("text")
+    return f"""
+WITH tx AS (SELECT {ids}, {cleaned} AS ct FROM {texts}),
+wd AS (SELECT {ids}, w, i FROM (SELECT {ids}, unnest(list_filter(string_split(ct, ' '), lambda x: x <> '')) AS w,
+                                    unnest(range(0, len(list_filter(string_split(ct, ' '), lambda x: x <> '')))) AS i FROM tx) u),
+win AS (SELECT {ids}, i, w || ' ' || lead(w, 1) OVER (PARTITION BY {ids} ORDER BY i) || ' ' ||
+               lead(w, 2) OVER (PARTITION BY {ids} ORDER BY i) AS win,
+               lead(w, 3) OVER (PARTITION BY {ids} ORDER BY i) AS w3 FROM wd),
+qs AS (SELECT {ids}, trim(regexp_replace(lower(string_agg(win, ' ' ORDER BY i)), '[^a-z0-9]', ' ', 'g')) AS qp
+       FROM win WHERE w3 IS NOT NULL GROUP BY {ids}),
+q AS (SELECT {ids}, qp, string_split_regex(qp, ' +') AS qw FROM qs),
+sc AS (SELECT {ids}, kw, ord,
+      CASE WHEN length(kp) = 0 OR length(qp) = 0 THEN 0
+           WHEN contains(qp, kp) THEN 60
+           WHEN len(list_intersect(string_split_regex(kp, ' +'), qw)) > 0 THEN 57
+           WHEN 100 * least(length(kp), length(qp)) < 30 * greatest(length(kp), length(qp)) THEN 0
+           ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(kp, qp) / greatest(length(kp), length(qp)))) AS INTEGER))
+      END AS score
+    FROM q CROSS JOIN {sql_dict(keywords)})
+SELECT {ids}, kw AS value, score, CAST(rk AS INTEGER) AS rk FROM (
+  SELECT {ids}, kw, score, row_number() OVER (PARTITION BY {ids} ORDER BY score DESC, ord) AS rk
+  FROM sc WHERE score > {min_score}) r
+WHERE rk <= {k}
+"""
+
+
+@query("x_title_fuzzy", "SELECT doc_id, value, rk FROM (" + sql_fuzzy("documents", "doc_id", DEFAULT_TITLES) + ") f")
+def q_x_title_fuzzy(spark, d):
+    from sitesift.functions.fuzzy import fuzzy_titles_of, with_fuzzy_query
+    docs = with_fuzzy_query(_docs(spark, d), F.col("text"))
+    return docs.select("doc_id", F.posexplode(fuzzy_titles_of(DEFAULT_TITLES)).alias("rk", "value")) \
+        .select("doc_id", "value", (F.col("rk") + 1).alias("rk"))
+
+
+@query("x_fuzzy_match", """
+SELECT c_custkey, s_name, c_name, r AS ratio, r >= 50 AS is_match FROM (
+  SELECT c_custkey, s_name, c_name,
+         CASE WHEN greatest(length(c_name), length(s_name)) = 0 THEN 0 ELSE
+         CAST(round(100.0 * (1.0 - levenshtein(lower(c_name), lower(s_name)) / greatest(length(c_name), length(s_name)))) AS INTEGER) END AS r
+  FROM customer JOIN supplier ON c_custkey = s_suppkey) t
+""")
+def q_x_fuzzy_match(spark, d):
+    from sitesift.functions.fuzzy import levenshtein_ratio
+    c, s = T(spark, d, "customer"), T(spark, d, "supplier")
+    j = c.join(s, c.c_custkey == s.s_suppkey).select("c_custkey", "s_name", "c_name",
+                                                      levenshtein_ratio(F.col("c_name"), F.col("s_name")).alias("ratio"))
+    return j.withColumn("is_match", F.col("ratio") >= 50)
+
+
+# ================================================================ profile "contextual" on generated pages (Q1)
+PAGE_TEXT = ("cname || person || ' . Org ' || nname || ' . ' || email || ' . ' || phone || ' . ' || "
+             + TEAM_TEXT + " || ' . Our People' || cname || ' ' || title || ' . Call ' || phone || ' . Write to ' || "
+             "person || ' . Profile'")
+
+
+def sql_text_mentions(src, types, fuzzy=True, min_len=3, titles=DEFAULT_TITLES):
+    """Mentions of a text subquery (page_id, url, text[, tid]) in SQL."""
+    where = f" WHERE length(text) >= {min_len}" if min_len else ""
+    s = f"(SELECT * FROM {src}{where})"
+    parts = []
+    if "email" in types:
+        parts.append(f"SELECT page_id, url, 'email' AS type, unnest(regexp_extract_all({sql_clean('text')}, '{RE2_EMAIL}')) AS value FROM {s} e")
+    if "name" in types:
+        parts.append(f"SELECT page_id, url, 'name', trim(unnest(regexp_extract_all({ASCII_US.format(c='text')}, '{RE2_NAME}', 1))) FROM {s} n")
+    if "phone" in types:
+        parts.append(f"SELECT page_id, url, 'phone', trim(unnest(regexp_extract_all({sql_clean('text')}, '{RE2_PHONE}'))) FROM {s} p")
+    if "title" in types:
+        parts.append(f"SELECT page_id, url, 'title', unnest(regexp_extract_all({ASCII_US.format(c=sql_clean('text'))}, "
+                     f"'{re2_titles(titles)}', 1)) FROM {s} t")
+        if fuzzy:
+            parts.append(f"SELECT page_id, url, 'title', value FROM ({sql_fuzzy(s, 'page_id, url, tid', titles)}) f")
+    return " UNION ALL ".join(parts)
+
+
+def _texts(expr, tid="0"):
+    return f"(SELECT page_id, url, {expr} AS text, {tid} AS tid FROM {GEN})"
+
+
+CONTACT_INFO_SQL = "SELECT DISTINCT page_id, url, type, value FROM (" + " UNION ALL ".join([
+    sql_text_mentions(_texts(TEAM_TEXT), ("email", "name", "phone", "title"), min_len=None),
+    sql_text_mentions(_texts("cname || ' ' || title"), ("email", "name", "phone", "title"), min_len=None),
+    sql_text_mentions(_texts(PAGE_TEXT), ("email", "name", "title")),
+    sql_text_mentions(_texts("'Ask ' || person || ', ' || title"), ("email", "name", "title")),
+    sql_text_mentions(f"(SELECT page_id, url, 'Write to ' || person AS text, 1 AS tid FROM {GEN} UNION ALL "
+                      f"SELECT page_id, url, 'Profile', 2 FROM {GEN})", ("email", "name", "title")),
+    f"SELECT page_id, url, type, value FROM ({VCARD_SQL}) v",
+    f"SELECT page_id, url, type, value FROM ({JSONLD_SQL}) j",
+    f"SELECT page_id, url, 'email', email || '?subject=hi' FROM {GEN}",
+]) + ") m WHERE value IS NOT NULL AND value <> 'not_found'"
+
+
+@query("pipe_contact_info", CONTACT_INFO_SQL)
+def q_pipe_contact_info(spark, d):
+    from sitesift.plans.contact import contact_info
+    return contact_info(contact_pages(spark, d), titles=DEFAULT_TITLES, fuzzy=True).select("page_id", "url", "type", "value")

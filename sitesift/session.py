@@ -50,6 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def spread(df):
+    """Round-robin a DataFrame over the cluster's cores when its scan produced
+    fewer partitions than that (a small file read as one split). Large inputs
+    already arrive in many splits and are left as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

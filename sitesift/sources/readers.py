@@ -12,8 +12,15 @@ __all__ = ["seeds_from_lines", "read_seeds", "read_pages", "read_contacts_csv",
 CONTACT_CSV_FIELDS = ["name", "title", "email", "linkedin", "src_url"]
 
 
+# text-heavy tables: CPU-bound per row, worth spreading when read as one split
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from sitesift.session import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def seeds_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:
