@@ -8,6 +8,7 @@ a statistical tagger.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,19 +75,35 @@ def entity_names(tokens: DataFrame) -> DataFrame:
 
 def title_spans(tokens: DataFrame) -> DataFrame:
     """V5: first span matching PROPN 'of' PROPN | ADJ NOUN | NOUN NOUN (earliest
-    start, then shortest) -> (value, valid_title, first_propn_i)."""
+    start, then shortest) -> (value, valid_title, span_i, span_last): the span
+    text and the positions of its first and last token."""
     w = Window.partitionBy("value").orderBy("i")
     t = tokens.select("value", "i", "text", "pos",
                       F.lead("pos", 1).over(w).alias("p1"), F.lead("pos", 2).over(w).alias("p2"),
-                      F.lead("text", 1).over(w).alias("t1"), F.lead("text", 2).over(w).alias("t2"))
+                      F.lead("text", 1).over(w).alias("t1"), F.lead("text", 2).over(w).alias("t2"),
+                      F.lead("i", 1).over(w).alias("i1"), F.lead("i", 2).over(w).alias("i2"))
     two = ((F.col("pos") == "ADJ") & (F.col("p1") == "NOUN")) | ((F.col("pos") == "NOUN") & (F.col("p1") == "NOUN"))
     three = (F.col("pos") == "PROPN") & (F.lower("t1") == "of") & (F.col("p2") == "PROPN")
     cand = t.select("value", "i",
                     F.when(two, F.lit(2)).when(three, F.lit(3)).alias("n"),
                     F.when(two, F.concat_ws(" ", "text", "t1"))
-                    .when(three, F.concat_ws(" ", "text", "t1", "t2")).alias("span"))
-    return (cand.filter(F.col("n").isNotNull()).groupBy("value")
-            .agg(F.min_by("span", F.struct("i", "n")).alias("valid_title")))
+                    .when(three, F.concat_ws(" ", "text", "t1", "t2")).alias("span"),
+                    F.when(two, F.col("i1")).when(three, F.col("i2")).alias("last"))
+    best = F.min_by(F.struct("span", "i", "last"), F.struct("i", "n"))
+    return (cand.filter(F.col("n").isNotNull()).groupBy("value").agg(best.alias("b"))
+            .select("value", F.col("b.span").alias("valid_title"), F.col("b.i").alias("span_i"),
+                    F.col("b.last").alias("span_last")))
+
+
+def org_from_titles(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """V6 (title part): for (title, name, span_i, span_last) the first PROPN token
+    inside the validated span whose text is not part of the validated name."""
+    p = tokens.filter(F.col("pos") == "PROPN").select(F.col("value").alias("_pv"), F.col("i").alias("_pi"),
+                                                     F.col("text").alias("_pt"))
+    j = pairs.join(p, (F.col("title") == F.col("_pv")) & (F.col("_pi") >= F.col("span_i"))
+                   & (F.col("_pi") <= F.col("span_last")))
+    j = j.filter(~(F.instr(F.coalesce(F.col("name"), F.lit("")), F.col("_pt")) > 0))
+    return j.groupBy("title", "name").agg(F.min_by("_pt", "_pi").alias("title_org"))
 
 
 def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles=None) -> DataFrame:
@@ -94,11 +111,12 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
 
     Null-safe and single pass. Organization enrichment (V6): an ORG entity of
     the validated name, overridden by the first PROPN token of the validated
-    title that is not part of the name. A record is kept when any validated
-    field is non-null.
+    title span that is not part of the name. A record is kept when any
+    validated field is non-null.
     """
-    r = records
-    for f in RECORD_FIELDS:
+    # the records feed the token table and the main flow: compute them once
+    r = records.persist(StorageLevel.MEMORY_AND_DISK)
+    for f in RECORD_FIELDS + ["organization"]:
         if f not in r.columns:
             r = r.withColumn(f, F.lit(None).cast("string"))
     if tokens is None:
@@ -115,18 +133,13 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
            .withColumn("linkedin", validate_linkedin(F.col("linkedin")))
            .join(names, F.col("name") == F.col("_nv"), "left")
            .join(spans, F.col("title") == F.col("_tv"), "left")
-           .withColumn("name", F.col("valid_name")).withColumn("title", F.col("valid_title"))
+           .withColumn("name", F.col("valid_name"))
            .join(orgs, F.col("name") == F.col("_ov"), "left"))
-    ttok = tokens.select(F.col("value").alias("_pv"), F.col("i").alias("_pi"), F.col("text").alias("_pt"),
-                         F.col("pos").alias("_pp")).filter(F.col("_pp") == "PROPN")
-    # the PROPN override depends only on the (title, name) pair: compute it per distinct pair
-    pairs = out.select("title", "name").filter(F.col("title").isNotNull()).distinct()
-    propn = (pairs.join(ttok, F.col("title") == F.col("_pv"))
-             .filter(~(F.instr(F.coalesce(F.col("name"), F.lit("")), F.col("_pt")) > 0))
-             .groupBy("title", "name").agg(F.min_by("_pt", "_pi").alias("title_org"))
-             .withColumnRenamed("title", "_pt_title").withColumnRenamed("name", "_pt_name"))
-    prior = F.col("organization") if "organization" in records.columns else F.lit(None).cast("string")
-    res = (out.join(propn, (F.col("title") == F.col("_pt_title")) & F.col("name").eqNullSafe(F.col("_pt_name")), "left")
-           .withColumn("organization", F.coalesce(F.col("title_org"), F.col("name_org"), prior)))
+    # the title override depends only on (original title, validated name): per distinct pair
+    pairs = out.filter(F.col("valid_title").isNotNull()).select("title", "name", "span_i", "span_last").distinct()
+    tor = org_from_titles(pairs, tokens).withColumnRenamed("title", "_ot").withColumnRenamed("name", "_on")
+    res = (out.join(tor, (F.col("title") == F.col("_ot")) & F.col("name").eqNullSafe(F.col("_on")), "left")
+           .withColumn("organization", F.coalesce(F.col("title_org"), F.col("name_org"), F.col("organization")))
+           .withColumn("title", F.col("valid_title")))
     keep = F.coalesce(*[F.col(f) for f in RECORD_FIELDS]).isNotNull()
     return res.filter(keep).select(*RECORD_FIELDS, "organization", "src_url")

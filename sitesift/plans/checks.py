@@ -789,3 +789,131 @@ CONTACT_INFO_SQL = "SELECT DISTINCT page_id, url, type, value FROM (" + " UNION
 def q_pipe_contact_info(spark, d):
     from sitesift.plans.contact import contact_info
     return contact_info(contact_pages(spark, d), titles=DEFAULT_TITLES, fuzzy=True).select("page_id", "url", "type", "value")
+
+
+# ================================================================ token-table validation (V3, V5, V6, V7)
+from sitesift.operators.validate import ADJECTIVES, DETERMINERS, NAME_RULE  # noqa: E402
+
+
+def sql_tokens(vals):
+    return f"""
+SELECT value, i, t AS text,
+       CASE WHEN lower(t) = 'of' THEN 'ADP' WHEN list_contains({sql_list(DETERMINERS)}, lower(t)) THEN 'DET'
+            WHEN suffix(lower(t), 'ly') THEN 'ADV' WHEN list_contains({sql_list(ADJECTIVES)}, lower(t)) THEN 'ADJ'
+            WHEN regexp_matches(t, '^[A-Z]') THEN 'PROPN' ELSE 'NOUN' END AS pos
+FROM (SELECT value, unnest(string_split(value, ' ')) AS t, CAST(unnest(range(0, len(string_split(value, ' ')))) AS INTEGER) AS i
+      FROM (SELECT DISTINCT value FROM {vals} WHERE value IS NOT NULL) d) x
+WHERE t <> ''
+"""
+
+
+def sql_spans(tok):
+    return f"""
+SELECT value, span AS valid_title, i AS span_i, last AS span_last FROM (
+  SELECT *, row_number() OVER (PARTITION BY value ORDER BY i, n) AS rk FROM (
+    SELECT value, i,
+      CASE WHEN (pos = 'ADJ' AND p1 = 'NOUN') OR (pos = 'NOUN' AND p1 = 'NOUN') THEN 2
+           WHEN pos = 'PROPN' AND lower(t1) = 'of' AND p2 = 'PROPN' THEN 3 END AS n,
+      CASE WHEN (pos = 'ADJ' AND p1 = 'NOUN') OR (pos = 'NOUN' AND p1 = 'NOUN') THEN text || ' ' || t1
+           WHEN pos = 'PROPN' AND lower(t1) = 'of' AND p2 = 'PROPN' THEN text || ' ' || t1 || ' ' || t2 END AS span,
+      CASE WHEN (pos = 'ADJ' AND p1 = 'NOUN') OR (pos = 'NOUN' AND p1 = 'NOUN') THEN i1
+           WHEN pos = 'PROPN' AND lower(t1) = 'of' AND p2 = 'PROPN' THEN i2 END AS last
+    FROM (SELECT value, i, text, pos,
+                 lead(pos, 1) OVER w AS p1, lead(pos, 2) OVER w AS p2, lead(text, 1) OVER w AS t1,
+                 lead(text, 2) OVER w AS t2, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2
+          FROM ({tok}) tk WINDOW w AS (PARTITION BY value ORDER BY i)) a) b
+  WHERE n IS NOT NULL) c WHERE rk = 1
+"""
+
+
+CONV_VALS = "(SELECT text AS value FROM conversations)"
+
+
+def _conv_tokens(spark, d):
+    from sitesift.operators.validate import rule_tokens
+    return rule_tokens(T(spark, d, "conversations").select(F.col("text").alias("value")), titles=DEFAULT_TITLES)
+
+
+@query("v_title", f"""
+SELECT d.value, s.valid_title FROM (SELECT DISTINCT value FROM {CONV_VALS} v WHERE value IS NOT NULL) d
+LEFT JOIN ({sql_spans(sql_tokens(CONV_VALS))}) s ON d.value = s.value
+""")
+def q_v_title(spark, d):
+    from sitesift.operators.validate import title_spans
+    vals = T(spark, d, "conversations").select(F.col("text").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    return vals.join(title_spans(_conv_tokens(spark, d)), "value", "left").select("value", "valid_title")
+
+
+ORG_PAIRS_SQL = """
+SELECT upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' of '
+       || (CASE c_custkey % 3 WHEN 0 THEN 'Sales' WHEN 1 THEN 'Ana Lee' ELSE 'the Board' END) AS title,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Ana ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2))
+            ELSE NULL END AS name
+FROM customer
+"""
+ORG_VALS = "(SELECT title AS value FROM (" + ORG_PAIRS_SQL + ") p)"
+
+
+@query("v_org_enrich", f"""
+SELECT title, name, organization FROM (
+  SELECT p.title, p.name, t.text AS organization, row_number() OVER (PARTITION BY p.title, p.name ORDER BY t.i) AS rk
+  FROM (SELECT DISTINCT title, name FROM ({ORG_PAIRS_SQL}) q) p
+  JOIN ({sql_spans(sql_tokens(ORG_VALS))}) s ON s.value = p.title
+  JOIN ({sql_tokens(ORG_VALS)}) t ON t.value = s.value AND t.pos = 'PROPN' AND t.i BETWEEN s.span_i AND s.span_last
+  WHERE NOT contains(coalesce(p.name, ''), t.text)) x WHERE rk = 1
+""")
+def q_v_org_enrich(spark, d):
+    from sitesift.operators.validate import org_from_titles, rule_tokens, title_spans
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    pairs = spark.sql(ORG_PAIRS_SQL).distinct()
+    tok = rule_tokens(pairs.select(F.col("title").alias("value")), titles=DEFAULT_TITLES)
+    sp = title_spans(tok).withColumnRenamed("value", "title")
+    return org_from_titles(pairs.join(sp, "title"), tok).select("title", "name", F.col("title_org").alias("organization"))
+
+
+RECORDS_SQL = f"""
+SELECT CASE WHEN type = 'email' THEN value END AS email, CASE WHEN type = 'name' THEN value END AS name,
+       CASE WHEN type = 'linkedin' THEN value END AS linkedin, CASE WHEN type = 'title' THEN value END AS title,
+       CASE WHEN type = 'phone' THEN value END AS phone, CASE WHEN type = 'organization' THEN value END AS organization,
+       url AS src_url
+FROM ({CONTACT_INFO_SQL}) m
+"""
+REC_TITLES = "(SELECT title AS value FROM (" + RECORDS_SQL + ") r)"
+
+V_RECORD_SQL = f"""
+WITH r AS ({RECORDS_SQL}),
+sp AS ({sql_spans(sql_tokens(REC_TITLES))}),
+tk AS ({sql_tokens(REC_TITLES)}),
+v AS (SELECT CASE WHEN regexp_matches(r.email, '{V_EMAIL_RE2}') THEN r.email END AS email,
+             CASE WHEN regexp_matches(r.name, '{NAME_RULE}')
+                       AND len(list_filter(string_split(lower(r.name), ' '),
+                                           lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
+                  THEN r.name END AS name,
+             NULL::VARCHAR AS linkedin, sp.valid_title AS title,
+             CASE WHEN regexp_matches(r.phone, '{V_PHONE_RE2}') THEN r.phone END AS phone,
+             coalesce((SELECT t.text FROM tk t WHERE t.value = r.title AND t.pos = 'PROPN'
+                         AND t.i BETWEEN sp.span_i AND sp.span_last ORDER BY t.i LIMIT 1), r.organization) AS organization,
+             r.src_url
+      FROM r LEFT JOIN sp ON sp.value = r.title)
+SELECT * FROM v WHERE coalesce(email, name, linkedin, title, phone) IS NOT NULL
+"""
+
+
+@query("v_record", V_RECORD_SQL)
+def q_v_record(spark, d):
+    from sitesift.operators.aggregate import sparse_records
+    from sitesift.operators.validate import validate_records
+    return validate_records(sparse_records(q_pipe_contact_info(spark, d)), titles=DEFAULT_TITLES)
+
+
+@query("v_name_entities", f"""
+SELECT d.value, CASE WHEN regexp_matches(d.value, '{NAME_RULE}')
+                      AND len(list_filter(string_split(lower(d.value), ' '),
+                              lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
+                     THEN d.value END AS valid_name
+FROM (SELECT DISTINCT value FROM ({CONTACT_INFO_SQL}) m WHERE type = 'name') d
+""")
+def q_v_name_entities(spark, d):
+    from sitesift.operators.validate import entity_names, rule_tokens
+    vals = q_pipe_contact_info(spark, d).filter(F.col("type") == "name").select("value").distinct()
+    return vals.join(entity_names(rule_tokens(vals, titles=DEFAULT_TITLES)), "value", "left").select("value", "valid_name")
