@@ -772,17 +772,21 @@ def _texts(expr, tid="0"):
     return f"(SELECT page_id, url, {expr} AS text, {tid} AS tid FROM {GEN})"
 
 
-CONTACT_INFO_SQL = "SELECT DISTINCT page_id, url, type, value FROM (" + " UNION ALL ".join([
-    sql_text_mentions(_texts(TEAM_TEXT), ("email", "name", "phone", "title"), min_len=None),
-    sql_text_mentions(_texts("cname || ' ' || title"), ("email", "name", "phone", "title"), min_len=None),
-    sql_text_mentions(_texts(PAGE_TEXT), ("email", "name", "title")),
-    sql_text_mentions(_texts("'Ask ' || person || ', ' || title"), ("email", "name", "title")),
-    sql_text_mentions(f"(SELECT page_id, url, 'Write to ' || person AS text, 1 AS tid FROM {GEN} UNION ALL "
-                      f"SELECT page_id, url, 'Profile', 2 FROM {GEN})", ("email", "name", "title")),
-    f"SELECT page_id, url, type, value FROM ({VCARD_SQL}) v",
-    f"SELECT page_id, url, type, value FROM ({JSONLD_SQL}) j",
-    f"SELECT page_id, url, 'email', email || '?subject=hi' FROM {GEN}",
-]) + ") m WHERE value IS NOT NULL AND value <> 'not_found'"
+# (confidence, SQL) per source of mentions: context blocks 0.5 x 1.2 (weight high), mailto 1.0, others 0.5
+CONTACT_PARTS = [
+    (0.6, sql_text_mentions(_texts(TEAM_TEXT), ("email", "name", "phone", "title"), min_len=None)),
+    (0.6, sql_text_mentions(_texts("cname || ' ' || title"), ("email", "name", "phone", "title"), min_len=None)),
+    (0.5, sql_text_mentions(_texts(PAGE_TEXT), ("email", "name", "title"))),
+    (0.5, sql_text_mentions(_texts("'Ask ' || person || ', ' || title"), ("email", "name", "title"))),
+    (0.5, sql_text_mentions(f"(SELECT page_id, url, 'Write to ' || person AS text, 1 AS tid FROM {GEN} UNION ALL "
+                            f"SELECT page_id, url, 'Profile', 2 FROM {GEN})", ("email", "name", "title"))),
+    (0.5, f"SELECT page_id, url, type, value FROM ({VCARD_SQL}) v"),
+    (0.5, f"SELECT page_id, url, type, value FROM ({JSONLD_SQL}) j"),
+    (1.0, f"SELECT page_id, url, 'email' AS type, email || '?subject=hi' AS value FROM {GEN}"),
+]
+CONTACT_INFO_SQL = ("SELECT DISTINCT page_id, url, type, value FROM ("
+                    + " UNION ALL ".join(sql for _, sql in CONTACT_PARTS)
+                    + ") m WHERE value IS NOT NULL AND value <> 'not_found'")
 
 
 @query("pipe_contact_info", CONTACT_INFO_SQL)
@@ -917,3 +921,86 @@ def q_v_name_entities(spark, d):
     from sitesift.operators.validate import entity_names, rule_tokens
     vals = q_pipe_contact_info(spark, d).filter(F.col("type") == "name").select("value").distinct()
     return vals.join(entity_names(rule_tokens(vals, titles=DEFAULT_TITLES)), "value", "left").select("value", "valid_name")
+
+
+# ================================================================ confidence, union of profiles, plug-ins
+@query("agg_confidence", "SELECT url, type, value, max(conf) AS confidence FROM (" + " UNION ALL ".join(
+    f"SELECT url, type, value, {c} AS conf FROM ({sql}) p{i}" for i, (c, sql) in enumerate(CONTACT_PARTS))
+    + ") m WHERE value IS NOT NULL GROUP BY url, type, value")
+def q_agg_confidence(spark, d):
+    from sitesift.operators.aggregate import mention_confidence
+    from sitesift.plans.contact import contextual_mentions, parsed_pages
+    m = contextual_mentions(parsed_pages(contact_pages(spark, d)), titles=DEFAULT_TITLES, fuzzy=True)
+    return mention_confidence(m.filter(F.col("value").isNotNull()))
+
+
+@query("agg_union_profiles", f"SELECT DISTINCT page_id, url, type, value FROM ({CONTACT_INFO_SQL} UNION ALL {WRAPPER_ALL_SQL}) u")
+def q_agg_union_profiles(spark, d):
+    from sitesift.operators.aggregate import distinct_mentions, union_all
+    from sitesift.plans.contact import contextual_mentions, parsed_pages, wrapper_mentions
+    p = parsed_pages(contact_pages(spark, d))
+    u = union_all(contextual_mentions(p, titles=DEFAULT_TITLES, fuzzy=True), wrapper_mentions(p))
+    return distinct_mentions(u)
+
+
+@query("ext_custom", f"""
+SELECT doc_id, 'email' AS type, unnest(regexp_extract_all({sql_clean('lower(text)')}, '{RE2_EMAIL}')) AS value FROM documents
+UNION ALL
+SELECT doc_id, 'number', unnest(regexp_extract_all(text, '{FIND_ALL_PATTERN}')) FROM documents
+""")
+def q_ext_custom(spark, d):
+    from sitesift.functions.text import emails_in
+    from sitesift.operators.extract import default_registry
+    reg = (default_registry(DEFAULT_TITLES)
+           .register("number", lambda c: find_all(c, FIND_ALL_PATTERN))
+           .register("email", lambda c: emails_in(F.lower(c))))   # a later registration replaces the default
+    return reg.extract(_docs(spark, d), "text", ids=("doc_id",), names=["email", "number", "no_such_extractor"])
+
+
+# ================================================================ sinks
+@query("sink_csv", f"""
+SELECT coalesce(name, '') AS name, coalesce(title, '') AS title, coalesce(email, '') AS email,
+       coalesce(linkedin, '') AS linkedin, coalesce(src_url, '') AS src_url FROM ({V_RECORD_SQL}) v
+""")
+def q_sink_csv(spark, d):
+    from sitesift.sources.sinks import csv_projection
+    return csv_projection(q_v_record(spark, d))
+
+
+@query("src_csv", f"""
+SELECT coalesce(name, '') AS name, coalesce(title, '') AS title, coalesce(email, '') AS email,
+       coalesce(linkedin, '') AS linkedin, coalesce(src_url, '') AS src_url FROM ({RECORDS_SQL}) v
+""")
+def q_src_csv(spark, d):
+    """Round trip: contact records written as CSV to the shared scratch folder, read back."""
+    from sitesift.operators.aggregate import sparse_records
+    from sitesift.session import scratch_path
+    from sitesift.sources.readers import read_contacts_csv
+    from sitesift.sources.sinks import write_contacts_csv
+    path = scratch_path(spark, "contacts_csv")
+    write_contacts_csv(sparse_records(q_pipe_contact_info(spark, d)), path)
+    return read_contacts_csv(spark, path)
+
+
+@query("sink_json", f"""
+SELECT url, to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}}))) AS extracted_info
+FROM ({CONTACT_INFO_SQL}) m GROUP BY url
+""")
+def q_sink_json(spark, d):
+    from sitesift.sources.sinks import nested_results
+    n = nested_results(q_pipe_contact_info(spark, d))
+    return n.select("url", F.to_json("extracted_info").alias("extracted_info"))
+
+
+@query("sink_page_status", f"""
+SELECT g.page_id, g.url, 'success' AS status, 0 AS n_errors, '' AS warnings,
+       to_json(coalesce(i.info, [])) AS extracted_info
+FROM {GEN} LEFT JOIN (SELECT page_id, list_sort(list(DISTINCT {{'type': type, 'value': value}})) AS info
+                      FROM ({CONTACT_INFO_SQL}) m GROUP BY page_id) i ON g.page_id = i.page_id
+""")
+def q_sink_page_status(spark, d):
+    from sitesift.sources.sinks import page_status
+    pages = contact_pages(spark, d)
+    st = page_status(pages, q_pipe_contact_info(spark, d))
+    return st.select("page_id", "url", "status", F.size("errors").alias("n_errors"),
+                     F.array_join("warnings", ";").alias("warnings"), F.to_json("extracted_info").alias("extracted_info"))

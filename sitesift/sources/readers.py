@@ -57,9 +57,11 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", url_col: st
 
 
 def read_contacts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: header CSV, every value a string (no type inference)."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("inferSchema", False).csv(path))
+    """S3: header CSV, every value a string (no type inference); an empty field
+    reads as '' (as a CSV dict reader gives it), not null."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("inferSchema", False).csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def fetched_ok(log: DataFrame) -> DataFrame:
