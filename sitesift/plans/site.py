@@ -43,7 +43,9 @@ def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int = 64) -> Dat
     ensure_checkpoint_dir(spark)
     pg = pages.select("page_id", "url", normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull())
-    ln = unique_links(pages).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst"))
+    # read once per step: materialize the edge list once
+    ln = unique_links(pages).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")) \
+        .distinct().checkpoint(eager=True)
     start = seeds.select(normalize_url(F.col("seed")).alias("norm_url")).filter(F.col("norm_url").isNotNull())
     seen = start.distinct().withColumn("step", F.lit(0)).checkpoint(eager=True)
     frontier, n = seen, seen.count()
@@ -55,6 +57,6 @@ def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int = 64) -> Dat
                .join(seen.select("norm_url"), "norm_url", "left_anti")
                .withColumn("step", F.lit(step))).checkpoint(eager=True)
         n = nxt.count()
-        seen = seen.unionByName(nxt).checkpoint(eager=True)
+        seen = seen.unionByName(nxt)
         frontier = nxt
     return seen.join(pg, "norm_url")
