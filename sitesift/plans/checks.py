@@ -1055,3 +1055,22 @@ def q_crawl_best_first(spark, d):
     plain simulation in tests/."""
     from sitesift.operators.crawl import crawl_best_first, crawl_edges
     return crawl_best_first(link_seeds(spark, d), crawl_edges(link_pages(spark, d)), 3, 50)
+
+
+# ================================================================ streaming (equals the batch result)
+@query("stream_contacts", f"SELECT DISTINCT page_id, url, type, value FROM ({DOC_MENTIONS_SQL}) m")
+def q_stream_contacts(spark, d):
+    from sitesift.streaming.jobs import stream_contacts
+    return stream_contacts(spark, d, titles=DEFAULT_TITLES)
+
+
+@query("stream_visited", ORACLE["url_normalize"])
+def q_stream_visited(spark, d):
+    from sitesift.streaming.jobs import stream_visited
+    return stream_visited(spark, d)
+
+
+@query("stream_rate", ORACLE["crawl_rate_audit"])
+def q_stream_rate(spark, d):
+    from sitesift.streaming.jobs import stream_rate
+    return stream_rate(spark, d, period="1 day", limit=3, delay="1 day")
