@@ -102,41 +102,44 @@ def _unparse(scheme, netloc, path, query, fragment) -> Column:
 def with_joined_url(df, base: str, href: str, out: str = "abs_url"):
     """Add ``out`` = ``href`` resolved against ``base`` like ``urllib.parse.urljoin``.
 
-    A DataFrame transform rather than one Column: the URL parts are computed
-    once into staged columns, so the plan does not repeat the regex work.
+    Each URL part is computed once into its own staged column (plain columns:
+    struct fields would be inlined back into every use). Note for callers: a
+    filter placed above this projection is pushed down by substituting the
+    staged definitions level by level, which multiplies the expression; drop
+    rows through an aggregate's output instead (see links.unique_links).
     """
     u = "_uj_"
     b, h = F.col(base), F.col(href)
-    df = df.withColumn(u + "b", F.struct(url_scheme(b).alias("s"), url_netloc(b).alias("n"),
-                                         url_path(b).alias("p"), url_query(b).alias("q")))
-    df = df.withColumn(u + "h", F.struct(url_scheme(h).alias("s"),
-                                         (F.regexp_extract(h, URI_RE, 3) != "").alias("hn"),
-                                         url_netloc(h).alias("n"), url_path(h).alias("p"),
-                                         url_query(h).alias("q"), url_fragment(h).alias("f")))
-    B, H = F.col(u + "b"), F.col(u + "h")
-    df = df.withColumn(u + "s", F.when(H["s"] == "", B["s"]).otherwise(H["s"]))
+    parts = {
+        "bs": url_scheme(b), "bn": url_netloc(b), "bp": url_path(b), "bq": url_query(b),
+        "hs": url_scheme(h), "hh": F.regexp_extract(h, URI_RE, 3) != "", "hn": url_netloc(h),
+        "hp": url_path(h), "hq": url_query(h), "hf": url_fragment(h),
+    }
+    df = df.withColumns({u + k: v for k, v in parts.items()})
+    c = {k: F.col(u + k) for k in parts}
+    df = df.withColumn(u + "s", F.when(c["hs"] == "", c["bs"]).otherwise(c["hs"]))
     S = F.col(u + "s")
     # relative path: base directory + href path, empty middle segments dropped
-    bparts = F.split(B["p"], "/")
+    bparts = F.split(c["bp"], "/")
     bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
-    df = df.withColumn(u + "r", F.concat(bdir, F.split(H["p"], "/")))
+    df = df.withColumn(u + "r", F.concat(bdir, F.split(c["hp"], "/")))
     R = F.col(u + "r")
     n = F.size(R)
     rel = F.when(n >= 2, F.concat(F.slice(R, 1, 1),
                                   F.filter(F.slice(R, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != ""),
                                   F.slice(R, -1, 1))).otherwise(R)
-    df = df.withColumn(u + "m", _remove_dot_segments(F.when(H["p"].startswith("/"), F.split(H["p"], "/"))
+    df = df.withColumn(u + "m", _remove_dot_segments(F.when(c["hp"].startswith("/"), F.split(c["hp"], "/"))
                                                      .otherwise(rel)))
     M = F.col(u + "m")
-    net_abs = S.isin(*USES_NETLOC) & H["hn"]
-    netloc = F.when(net_abs, H["n"]).otherwise(B["n"])
+    net_abs = S.isin(*USES_NETLOC) & c["hh"]
+    netloc = F.when(net_abs, c["hn"]).otherwise(c["bn"])
     res = (F.when(b.isNull() | (b == ""), h)
            .when(h.isNull() | (h == ""), b)
-           .when((S != B["s"]) | ~S.isin(*USES_RELATIVE), h)
-           .when(net_abs, _unparse(S, H["n"], H["p"], H["q"], H["f"]))
-           .when(H["p"] == "", _unparse(S, netloc, B["p"], F.when(H["q"] != "", H["q"]).otherwise(B["q"]), H["f"]))
-           .otherwise(_unparse(S, netloc, M, H["q"], H["f"])))
-    return df.withColumn(out, res).drop(u + "b", u + "h", u + "s", u + "r", u + "m")
+           .when((S != c["bs"]) | ~S.isin(*USES_RELATIVE), h)
+           .when(net_abs, _unparse(S, c["hn"], c["hp"], c["hq"], c["hf"]))
+           .when(c["hp"] == "", _unparse(S, netloc, c["bp"], F.when(c["hq"] != "", c["hq"]).otherwise(c["bq"]), c["hf"]))
+           .otherwise(_unparse(S, netloc, M, c["hq"], c["hf"])))
+    return df.withColumn(out, res).drop(*[u + k for k in parts], u + "s", u + "r", u + "m")
 
 
 NON_HTML_RE = "(" + "|".join(x.replace(".", "\\.") for x in NON_HTML_SUFFIXES) + ")$"

@@ -49,19 +49,26 @@ def relevance_score_staged(path: Column, low: Column, keywords=None) -> Column:
 
 def crawl_edges(pages: DataFrame, parsed: DataFrame | None = None, keywords=None) -> DataFrame:
     """C1+C2+C3 edge table: every <a href> of every stored page, resolved against the
-    page URL, kept when it stays on the page's netloc (raw, case-kept) and scores > 0.
-    (src_url, dst_url, text, score, priority)."""
+    page URL, kept when it stays on the page's netloc (raw, case-kept) and scores
+    > 0; one row per (src_url, dst_url) with the best (lowest) priority.
+
+    Rows are dropped through the aggregate's output (see links.unique_links)."""
     parsed = parse_pages(pages) if parsed is None else parsed
     ln = page_links(parsed)
     e = with_joined_url(ln, "url", "href", "dst_url").select(F.col("url").alias("src_url"), "dst_url", "text")
-    e = e.filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url")))
     e = with_relevance(e, "dst_url", "text", "score", keywords)
-    return e.filter(F.col("score") > 0).withColumn("priority", 100 - F.col("score"))
-
-
-def same_site_unseen(edges: DataFrame, visited: DataFrame) -> DataFrame:
-    """Links on the start page's netloc whose absolute URL is not yet visited."""
-    return edges.join(visited.select(F.col("url").alias("dst_url")).distinct(), "dst_url", "left_anti")
+    ok = (url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url"))) & (F.col("score") > 0)
+    g = e.groupBy("src_url", "dst_url").agg(F.min(F.when(ok, 100 - F.col("score"))).alias("priority"))
+    return g.filter(F.col("priority").isNotNull())
+
+
+def same_site_unseen(links: DataFrame, visited: DataFrame) -> DataFrame:
+    """Distinct (src_url, dst_url) links on the source page's netloc whose
+    absolute URL is not yet visited (identity: the raw absolute URL)."""
+    same = url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url"))
+    g = links.groupBy("src_url", "dst_url").agg(F.max(same).alias("keep")).filter(F.col("keep"))
+    return g.join(visited.select(F.col("url").alias("dst_url")).distinct(), "dst_url", "left_anti") \
+        .select("src_url", "dst_url")
 
 
 def _small_enough(n: int, spark) -> bool:

@@ -21,15 +21,20 @@ def parse_urls(df: DataFrame, col: str = "url") -> DataFrame:
 def unique_links(pages: DataFrame) -> DataFrame:
     """Raw hrefs -> absolute (joined only when the href has no netloc) -> non-HTML
     and mailto dropped -> URLs without a netloc dropped -> one row per (page,
-    normalized URL), the first in document order."""
+    normalized URL), the first in document order.
+
+    Rows are dropped through the aggregate (``keep`` = the group's URL is
+    valid), not by a filter under it, so the URL resolution is planned once
+    and the aggregation is still combined map-side before the shuffle.
+    """
     h = with_joined_url(hrefs_raw(pages), "url", "href", "_joined")
     h = h.withColumn("abs_url", F.when(url_netloc(F.col("href")) == "", F.col("_joined"))
                      .otherwise(F.col("href"))).drop("_joined")
-    h = h.filter(is_html_url(F.col("abs_url")))
-    h = h.withColumn("norm_url", normalize_url(F.col("abs_url"))).filter(F.col("norm_url").isNotNull())
+    h = h.withColumn("norm_url", normalize_url(F.col("abs_url")))
+    h = h.withColumn("_ok", is_html_url(F.col("abs_url")) & F.col("norm_url").isNotNull())
     first = F.min_by(F.struct("pos", "href", "abs_url"), F.col("pos"))
-    return (h.groupBy("page_id", "url", "norm_url").agg(first.alias("f"))
-            .select("page_id", "url", "norm_url", "f.pos", "f.href", "f.abs_url"))
+    g = h.groupBy("page_id", "url", "norm_url").agg(first.alias("f"), F.max("_ok").alias("keep"))
+    return g.filter(F.col("keep")).select("page_id", "url", "norm_url", "f.pos", "f.href", "f.abs_url")
 
 
 def link_graph(pages: DataFrame, links: DataFrame | None = None) -> DataFrame:

@@ -588,8 +588,8 @@ def q_crawl_relevance(spark, d):
 
 
 @query("crawl_enqueue", f"""
-SELECT src_url, dst_url, 100 - score AS priority, 1 AS depth FROM ({LINKS_SCORED_SQL}) s
-WHERE score > 0 AND {sql_netloc('dst_url')} = {sql_netloc('src_url')}
+SELECT src_url, dst_url, min(100 - score) AS priority, 1 AS depth FROM ({LINKS_SCORED_SQL}) s
+WHERE score > 0 AND {sql_netloc('dst_url')} = {sql_netloc('src_url')} GROUP BY src_url, dst_url
 """)
 def q_crawl_enqueue(spark, d):
     from sitesift.operators.crawl import crawl_edges
@@ -598,14 +598,13 @@ def q_crawl_enqueue(spark, d):
 
 
 @query("crawl_same_site", f"""
-SELECT src_url, dst_url FROM ({LINKS_SCORED_SQL}) s
+SELECT DISTINCT src_url, dst_url FROM ({LINKS_SCORED_SQL}) s
 WHERE {sql_netloc('dst_url')} = {sql_netloc('src_url')}
   AND dst_url NOT IN (SELECT url FROM {LGEN} WHERE n = 0)
 """)
 def q_crawl_same_site(spark, d):
-    from sitesift.functions.urls import url_netloc
     from sitesift.operators.crawl import same_site_unseen
-    e = _link_edges_all(spark, d).filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url")))
+    e = _link_edges_all(spark, d)
     visited = link_seeds(spark, d).select(F.col("seed").alias("url"))
     return same_site_unseen(e, visited).select("src_url", "dst_url")
 
@@ -783,6 +782,7 @@ CONTACT_PARTS = [
     (0.5, f"SELECT page_id, url, type, value FROM ({VCARD_SQL}) v"),
     (0.5, f"SELECT page_id, url, type, value FROM ({JSONLD_SQL}) j"),
     (1.0, f"SELECT page_id, url, 'email' AS type, email || '?subject=hi' AS value FROM {GEN}"),
+    (0.5, f"SELECT page_id, url, 'linkedin' AS type, 'https://www.linkedin.com/in/c' || cast(page_id AS string) AS value FROM {GEN}"),
 ]
 CONTACT_INFO_SQL = ("SELECT DISTINCT page_id, url, type, value FROM ("
                     + " UNION ALL ".join(sql for _, sql in CONTACT_PARTS)
@@ -893,7 +893,8 @@ v AS (SELECT CASE WHEN regexp_matches(r.email, '{V_EMAIL_RE2}') THEN r.email END
                        AND len(list_filter(string_split(lower(r.name), ' '),
                                            lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
                   THEN r.name END AS name,
-             NULL::VARCHAR AS linkedin, sp.valid_title AS title,
+             CASE WHEN regexp_matches(r.linkedin, '^https?://(?:www\\.)?linkedin\\.com/in/[\\w\\-]+/?$') THEN r.linkedin END AS linkedin,
+             sp.valid_title AS title,
              CASE WHEN regexp_matches(r.phone, '{V_PHONE_RE2}') THEN r.phone END AS phone,
              coalesce((SELECT t.text FROM tk t WHERE t.value = r.title AND t.pos = 'PROPN'
                          AND t.i BETWEEN sp.span_i AND sp.span_last ORDER BY t.i LIMIT 1), r.organization) AS organization,

@@ -20,7 +20,7 @@ def parsed_pages(pages: DataFrame, persist: bool = True) -> DataFrame:
 
 
 def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
-                        phones_everywhere: bool = False) -> DataFrame:
+                        phones_everywhere: bool = False, linkedin: bool = True) -> DataFrame:
     """All mention rows of profile "contextual", before de-duplication.
 
     1. context blocks (class/id keyword, or the element after a keyword header):
@@ -28,7 +28,9 @@ def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx:
     2. vCard and JSON-LD;
     3. e-mail, name, title (phone too with ``phones_everywhere``) over the page
        text, the joined description/keywords meta and each link text (texts
-       shorter than 3 characters skipped), plus mailto addresses (confidence 1).
+       shorter than 3 characters skipped), plus mailto addresses (confidence 1);
+    4. with ``linkedin``, link hrefs that pass the LinkedIn profile pattern
+       (the record has a linkedin field that nothing else fills).
     """
     blocks = union_all(
         S.context_blocks(parsed, ctx).select("page_id", "url", "node_id", "weight", "text"),
@@ -46,7 +48,13 @@ def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx:
     m_mail = S.mailto(parsed).select("page_id", "url", F.lit("mailto").alias("origin"),
                                      F.lit("email").alias("type"), "value",
                                      F.lit(1.0).alias("confidence"))
-    return union_all(m_ctx, m_vc, m_js, m_text, m_meta, m_link, m_mail)
+    parts = [m_ctx, m_vc, m_js, m_text, m_meta, m_link, m_mail]
+    if linkedin:
+        from sitesift.operators.validate import validate_linkedin
+        parts.append(S.links(parsed).filter(validate_linkedin(F.col("href")).isNotNull()).select(
+            "page_id", "url", F.lit("linkedin").alias("origin"), F.lit("linkedin").alias("type"),
+            F.col("href").alias("value")))
+    return union_all(*parts)
 
 
 def contact_info(pages: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
