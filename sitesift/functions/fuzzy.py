@@ -77,13 +77,14 @@ def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Col
     order, over the staged query columns (see ``with_fuzzy_query``)."""
     if not keywords:
         return F.array().cast("array<string>")
+    from sitesift.functions.text import lit_struct_array
+
     entries = []
     for i, kw in enumerate(keywords):
         kp = _process_py(kw)
-        words = [f" {w} " for w in kp.split()] or [" "]
-        entries.append(F.struct(F.lit(kw).alias("kw"), F.lit(i).alias("ord"), F.lit(kp).alias("kp"),
-                                F.lit(len(kp)).alias("kpl"), F.array(*[F.lit(w) for w in words]).alias("kws")))
-    scored = F.transform(F.array(*entries), lambda d: F.struct(
+        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp),
+                        "kws": [f" {w} " for w in kp.split()] or [" "]})
+    scored = F.transform(lit_struct_array(entries), lambda d: F.struct(
         (-tiered_score(d["kp"], d["kpl"], d["kws"])).alias("neg"), d["ord"].alias("ord"), d["kw"].alias("kw")))
     kept = F.filter(scored, lambda s: -s["neg"] > min_score)
     return F.transform(F.slice(F.array_sort(kept), 1, k), lambda s: s["kw"])

@@ -10,7 +10,7 @@ from sitesift.functions import patterns as P
 __all__ = [
     "clean_text", "find_all", "emails_in", "names_in", "phones_in", "titles_in",
     "wrapper_emails_in", "wrapper_names_in", "wrapper_phones_in", "wrapper_title_of",
-    "strip_ws", "long_enough", "lit_array",
+    "strip_ws", "long_enough", "lit_array", "lit_struct_array", "sql_quote",
 ]
 
 
@@ -73,8 +73,30 @@ def wrapper_phones_in(c) -> Column:
     return find_all(c, P.WRAPPER_PHONE)
 
 
+def sql_quote(v) -> str:
+    """A SQL literal for a Python str/int/float (strings single-quoted, escaped)."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v)
+
+
 def lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant string array, built as one SQL expression (one call to the JVM,
+    instead of one per element)."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.expr("array(" + ", ".join(sql_quote(v) for v in values) + ")")
+
+
+def lit_struct_array(rows: list[dict]) -> Column:
+    """A constant array of structs (same keys in every row), as one SQL expression."""
+    def one(r):
+        fields = []
+        for k, v in r.items():
+            val = ("array(" + ", ".join(sql_quote(x) for x in v) + ")") if isinstance(v, list) else sql_quote(v)
+            fields.append(f"'{k}', {val}")
+        return "named_struct(" + ", ".join(fields) + ")"
+    return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
 
 
 def wrapper_title_of(c, keywords: list[str]) -> Column:

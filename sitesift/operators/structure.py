@@ -150,9 +150,10 @@ def context_blocks(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
     weight, via, text). The keyword dictionary is a literal array evaluated per
     element, which replaces a nested-loop join with the dictionary.
     """
+    from sitesift.functions.text import lit_struct_array
+
     kws, weights = _ctx_lists(ctx)
-    hits = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(w).alias("weight"), F.lit(i).alias("ord"))
-                     for i, (k, w) in enumerate(zip(kws, weights))])
+    hits = lit_struct_array([{"keyword": k, "weight": w, "ord": i} for i, (k, w) in enumerate(zip(kws, weights))])
 
     def matches(e, a):
         low = F.lower(attr(e, a))
