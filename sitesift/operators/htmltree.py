@@ -230,9 +230,11 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """
     keep = [k for k in keep if k != id_col]
     src = pages.select(id_col, *keep, html_col)
-    spark = pages.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < want:
+    from sitesift.session import partition_counts
+
+    cores, have = partition_counts(src)
+    want = min_partitions or cores
+    if have is not None and want and have < want:
         src = src.repartition(want)
     out_schema = T.StructType([src.schema[id_col]] + [src.schema[k] for k in keep] + PARSED_FIELDS)
 

@@ -41,12 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment (a shared file system); it is
     only filled in here when unset, which happens in local tests.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext handle (Spark Connect)
+        sc = None
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
         d = tempfile.mkdtemp(prefix="sitesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
@@ -54,8 +58,16 @@ def spread(df):
     """Round-robin a DataFrame over the cluster's cores when its scan produced
     fewer partitions than that (a small file read as one split). Large inputs
     already arrive in many splits and are left as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    want, have = partition_counts(df)
+    return df.repartition(want) if have is not None and have < want else df
+
+
+def partition_counts(df):
+    """(cores of the cluster, partitions of df); (None, None) when not available."""
+    try:
+        return df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions
+        return None, None
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
