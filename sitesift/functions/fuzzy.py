@@ -53,8 +53,8 @@ def tiered_score(kp: Column, kpl: Column, kwords_padded: Column) -> Column:
     mx, mn = F.greatest(kpl, lq), F.least(kpl, lq)
     lev_ratio = F.least(F.lit(56), F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(kp, qp) / mx)).cast("int"))
     return (F.when((kpl == 0) | (lq == 0), F.lit(0))
-            .when(F.instr(qp, kp) > 0, F.lit(60))
-            .when(F.exists(kwords_padded, lambda w: F.instr(pad, w) > 0), F.lit(57))
+            .when(qp.contains(kp), F.lit(60))
+            .when(F.exists(kwords_padded, lambda w: pad.contains(w)), F.lit(57))
             .when(F.lit(100) * mn < F.lit(30) * mx, F.lit(0))
             .otherwise(lev_ratio))
 
@@ -82,8 +82,9 @@ def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Col
     entries = []
     for i, kw in enumerate(keywords):
         kp = _process_py(kw)
-        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp),
-                        "kws": [f" {w} " for w in kp.split()] or [" "]})
+        # a one-word keyword that is not a substring cannot be a shared word either
+        words = [f" {w} " for w in kp.split()] if len(kp.split()) > 1 else []
+        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "kws": words or ["\u0000"]})
     scored = F.transform(lit_struct_array(entries), lambda d: F.struct(
         (-tiered_score(d["kp"], d["kpl"], d["kws"])).alias("neg"), d["ord"].alias("ord"), d["kw"].alias("kw")))
     kept = F.filter(scored, lambda s: -s["neg"] > min_score)

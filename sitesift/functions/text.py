@@ -104,4 +104,4 @@ def wrapper_title_of(c, keywords: list[str]) -> Column:
     c = _c(c)
     low = F.lower(c)
     kws = lit_array([k.lower() for k in keywords])
-    return F.when(F.exists(kws, lambda k: F.instr(low, k) > 0), c)
+    return F.when(F.exists(kws, lambda k: low.contains(k)), c)

@@ -27,8 +27,8 @@ def relevance_score(url: Column, text: Column, keywords=None) -> Column:
     path = F.lower(url_path(url))
     low = F.lower(F.coalesce(text, F.lit("")))
     slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
-    return (F.when(F.exists(kws, lambda k: F.instr(path, k) > 0), 5).otherwise(0)
-            + F.when(F.exists(kws, lambda k: F.instr(low, k) > 0), 3).otherwise(0)
+    return (F.when(F.exists(kws, lambda k: path.contains(k)), 5).otherwise(0)
+            + F.when(F.exists(kws, lambda k: low.contains(k)), 3).otherwise(0)
             + F.greatest(F.lit(0), 3 - slashes))
 
 
@@ -42,8 +42,8 @@ def with_relevance(df: DataFrame, url_col: str, text_col: str, out: str = "score
 def relevance_score_staged(path: Column, low: Column, keywords=None) -> Column:
     kws = lit_array(list(keywords or URL_KEYWORDS))
     slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
-    return (F.when(F.exists(kws, lambda k: F.instr(path, k) > 0), 5).otherwise(0)
-            + F.when(F.exists(kws, lambda k: F.instr(low, k) > 0), 3).otherwise(0)
+    return (F.when(F.exists(kws, lambda k: path.contains(k)), 5).otherwise(0)
+            + F.when(F.exists(kws, lambda k: low.contains(k)), 3).otherwise(0)
             + F.greatest(F.lit(0), 3 - slashes))
 
 

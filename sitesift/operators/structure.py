@@ -157,7 +157,7 @@ def context_blocks(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
 
     def matches(e, a):
         low = F.lower(attr(e, a))
-        return F.transform(F.filter(hits, lambda h: F.instr(low, h["keyword"]) > 0),
+        return F.transform(F.filter(hits, lambda h: low.contains(h["keyword"])),
                            lambda h: F.struct(e["node_id"].alias("node_id"), h["keyword"].alias("keyword"),
                                               h["weight"].alias("weight"), h["ord"].alias("ord"),
                                               F.lit(a).alias("via"), etext(e).alias("text")))
@@ -176,7 +176,7 @@ def header_siblings(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
     def pred(e):
         low = F.lower(etext(e))
         return (e["tag"].isin(*HEADER_TAGS) & (e["next_sib"] >= 0)
-                & F.exists(kws, lambda k: F.instr(low, k) > 0))
+                & F.exists(kws, lambda k: low.contains(k)))
 
     def sib(e):
         s = F.element_at(F.col("elements"), e["next_sib"] + 1)

@@ -926,7 +926,7 @@ def q_v_name_entities(spark, d):
 
 # ================================================================ confidence, union of profiles, plug-ins
 @query("agg_confidence", "SELECT url, type, value, max(conf) AS confidence FROM (" + " UNION ALL ".join(
-    f"SELECT url, type, value, {c} AS conf FROM ({sql}) p{i}" for i, (c, sql) in enumerate(CONTACT_PARTS))
+    f"SELECT url, type, value, CAST({c} AS DOUBLE) AS conf FROM ({sql}) p{i}" for i, (c, sql) in enumerate(CONTACT_PARTS))
     + ") m WHERE value IS NOT NULL GROUP BY url, type, value")
 def q_agg_confidence(spark, d):
     from sitesift.operators.aggregate import mention_confidence
