@@ -41,7 +41,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", url_col: st
     file per page (fmt='html': whole file as html, file path as url).
     An html column holding an array is joined with single spaces."""
     if fmt == "html":
-        df = (spark.read.option("wholetext", True).text(path)
+        df = (spark.read.text(path, wholetext=True)
               .select(F.input_file_name().alias(url_col), F.col("value").alias(html_col)))
         df = df.withColumn(id_col, F.xxhash64(url_col))
     elif fmt == "csv":
