@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesift.functions.urls import normalize_url
-from sitesift.operators.extract import text_mentions
+from sitesift.functions.text import long_enough
+from sitesift.operators.extract import mention_array
 from sitesift.session import scratch_path
 
 __all__ = ["table_stream", "stream_contacts", "stream_visited", "stream_rate"]
@@ -38,12 +39,17 @@ def _run(writer, available_now: bool):
 def stream_contacts(spark: SparkSession, folder: str, out: str | None = None, titles=None,
                     table: str = "documents", available_now: bool = True):
     """Documents arriving as files -> e-mail, name, phone and title mentions ->
-    distinct (doc, type, value) (streaming dedup state) -> parquet, append."""
+    distinct (doc, type, value) -> parquet, append.
+
+    A document arrives as one row, so its mentions are made distinct inside the
+    row (``array_distinct``) before exploding: no streaming state at all, where
+    a ``dropDuplicates`` would keep every (doc, type, value) ever seen."""
     out = out or scratch_path(spark, "stream_contacts")
     docs = table_stream(spark, folder, table).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
-    m = text_mentions(docs, "text", origin="text", types=("email", "name", "phone", "title"), titles=titles)
-    m = m.select("page_id", "url", "type", "value").dropDuplicates(["page_id", "type", "value"])
+    docs = docs.filter(long_enough(F.col("text")))
+    arr = F.array_distinct(mention_array(F.col("text"), ("email", "name", "phone", "title"), titles))
+    m = docs.select("page_id", "url", F.explode(arr).alias("_m")).select("page_id", "url", "_m.type", "_m.value")
     w = (m.writeStream.format("parquet").option("path", f"{out}/data")
          .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
     _run(w, available_now)
@@ -52,7 +58,10 @@ def stream_contacts(spark: SparkSession, folder: str, out: str | None = None, ti
 
 def stream_visited(spark: SparkSession, folder: str, out: str | None = None, table: str = "pages",
                    available_now: bool = True):
-    """The visited set as streaming state: each normalized URL is emitted once."""
+    """The visited set as streaming state: each normalized URL is emitted once.
+
+    The state is the visited set itself (one key per distinct URL), which is
+    what the operator is; it has no event time to expire entries by."""
     out = out or scratch_path(spark, "stream_visited")
     u = table_stream(spark, folder, table).select(normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull()).dropDuplicates(["norm_url"])
