@@ -108,17 +108,25 @@ CTX_SCHEMA = T.StructType([
 ])
 
 
+MAX_DICTIONARY = 20_000
+
+
 def keyword_list(d) -> list[str]:
     """Accept a list or a (small) DataFrame(keyword, ord) and return keywords in order.
 
-    Dictionaries are small, fixed-size inputs (hundreds of rows); turning one
-    into a regex alternation needs it on the driver once.
+    Dictionaries are small, fixed-size inputs (hundreds of rows) compiled into
+    constant expressions, so a DataFrame dictionary is read once on the driver.
+    Its size is checked first: a dictionary larger than MAX_DICTIONARY is
+    refused, never truncated.
     """
     if d is None:
         return list(DEFAULT_TITLES)
     if isinstance(d, DataFrame):
-        rows = d.select("keyword", "ord").orderBy("ord").limit(100_000).collect()
-        return [r.keyword for r in rows]
+        n = d.count()
+        if n > MAX_DICTIONARY:
+            raise ValueError(f"dictionary of {n} keywords exceeds {MAX_DICTIONARY}; it is compiled into "
+                             "constant expressions and must stay small")
+        return [r.keyword for r in d.select("keyword", "ord").orderBy("ord").collect()]
     return list(d)
 
 
