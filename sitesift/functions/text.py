@@ -42,8 +42,8 @@ def long_enough(c) -> Column:
     return F.length(_c(c)) >= P.MIN_TEXT_LEN
 
 
-def emails_in(c) -> Column:
-    return find_all(clean_text(c), P.EMAIL)
+def emails_in(c, cleaned: Column | None = None) -> Column:
+    return find_all(clean_text(c) if cleaned is None else cleaned, P.EMAIL)
 
 
 def names_in(c) -> Column:
@@ -51,14 +51,14 @@ def names_in(c) -> Column:
     return F.transform(find_all(c, P.NAME, 1), lambda s: strip_ws(s))
 
 
-def phones_in(c) -> Column:
-    return F.transform(find_all(clean_text(c), P.PHONE), lambda s: strip_ws(s))
+def phones_in(c, cleaned: Column | None = None) -> Column:
+    return F.transform(find_all(clean_text(c) if cleaned is None else cleaned, P.PHONE), lambda s: strip_ws(s))
 
 
-def titles_in(c, keywords: list[str]) -> Column:
+def titles_in(c, keywords: list[str], cleaned: Column | None = None) -> Column:
     if not keywords:
         return F.array().cast("array<string>")
-    return find_all(clean_text(c), P.title_alternation(keywords), 1)
+    return find_all(clean_text(c) if cleaned is None else cleaned, P.title_alternation(keywords), 1)
 
 
 def wrapper_emails_in(c) -> Column:

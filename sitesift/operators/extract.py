@@ -26,19 +26,21 @@ def _typed(arr: Column, typ: str) -> Column:
 
 
 def mention_array(text: Column, types=CONTEXT_TYPES, titles=None, fuzzy: bool = False,
-                  fuzzy_k: int = 5, fuzzy_min: int = 30, all_windows: bool = False) -> Column:
-    """array<struct<type,value>> of the mentions of ``types`` found in ``text``."""
+                  fuzzy_k: int = 5, fuzzy_min: int = 30, all_windows: bool = False,
+                  cleaned: Column | None = None) -> Column:
+    """array<struct<type,value>> of the mentions of ``types`` found in ``text``
+    (``cleaned``: the whitespace-cleaned text, when already staged as a column)."""
     kws = keyword_list(titles)
     parts = []
     for t in types:
         if t == "email":
-            parts.append(_typed(emails_in(text), "email"))
+            parts.append(_typed(emails_in(text, cleaned), "email"))
         elif t == "name":
             parts.append(_typed(names_in(text), "name"))
         elif t == "phone":
-            parts.append(_typed(phones_in(text), "phone"))
+            parts.append(_typed(phones_in(text, cleaned), "phone"))
         elif t == "title":
-            parts.append(_typed(titles_in(text, kws), "title"))
+            parts.append(_typed(titles_in(text, kws, cleaned), "title"))
             if fuzzy:
                 # needs the staged query columns (text_mentions adds them)
                 parts.append(_typed(fuzzy_titles_of(kws, fuzzy_k, fuzzy_min), "title"))
@@ -58,10 +60,13 @@ def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
     src = df if min_len is None else df.filter(long_enough(F.col(text_col)))
     if fuzzy and "title" in types:
         src = with_fuzzy_query(src, F.col(text_col), kw.get("all_windows", False))
+    # the cleaned text feeds several patterns: compute it once per row
+    src = src.withColumn("_clean", clean_text(F.col(text_col)))
     w = weight if weight is not None else F.lit(None).cast("string")
     c = confidence if confidence is not None else F.lit(None).cast("double")
     out = (src.select(*ids, w.alias("weight"), c.alias("confidence"),
-                       F.explode(mention_array(F.col(text_col), types, titles, fuzzy, **kw)).alias("_m"))
+                       F.explode(mention_array(F.col(text_col), types, titles, fuzzy, cleaned=F.col("_clean"),
+                                               **kw)).alias("_m"))
            .select(*ids, F.lit(origin).alias("origin"), "_m.type", "_m.value", "weight", "confidence"))
     return out
 
