@@ -121,19 +121,21 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
             r = r.withColumn(f, F.lit(None).cast("string"))
     if tokens is None:
         vals = r.select(F.col("title").alias("value")).unionByName(r.select(F.col("name").alias("value")))
-        tokens = rule_tokens(vals, titles=titles)
-    names = entity_names(tokens).withColumnRenamed("value", "_nv")
-    spans = title_spans(tokens).withColumnRenamed("value", "_tv")
+        # read by four lookups below: build once
+        tokens = rule_tokens(vals, titles=titles).persist(StorageLevel.MEMORY_AND_DISK)
     orgs = (tokens.filter(F.col("ent_label") == "ORG").groupBy("value", "ent_id")
             .agg(F.min("i").alias("i0"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))),
                                                                    lambda s: s["text"]), " ").alias("t"))
             .groupBy("value").agg(F.max_by("t", "i0").alias("name_org")).withColumnRenamed("value", "_ov"))
+    names = entity_names(tokens).withColumnRenamed("value", "_nv")
+    spans = title_spans(tokens).withColumnRenamed("value", "_tv")
     out = (r.withColumn("email", validate_email(F.col("email")))
            .withColumn("phone", validate_phone(F.col("phone")))
            .withColumn("linkedin", validate_linkedin(F.col("linkedin")))
            .join(names, F.col("name") == F.col("_nv"), "left")
            .join(spans, F.col("title") == F.col("_tv"), "left")
            .withColumn("name", F.col("valid_name"))
+           # ORG entities are looked up on the validated name text (what gets re-tagged)
            .join(orgs, F.col("name") == F.col("_ov"), "left"))
     # the title override depends only on (original title, validated name): per distinct pair
     pairs = out.filter(F.col("valid_title").isNotNull()).select("title", "name", "span_i", "span_last").distinct()
