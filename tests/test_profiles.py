@@ -70,3 +70,19 @@ def test_d17_linkedin_mentions(spark, pages_of):
     got = {(r.type, r.value) for r in contact_info(pages_of(html), titles=FB_TITLES, fuzzy=False).collect()}
     assert ("linkedin", "https://www.linkedin.com/in/ann-lee") in got
     assert not any(v == "https://linkedin.com/company/x" for _, v in got)
+
+
+def test_d15_no_sentinel_rows(spark):
+    from sitesift.operators.aggregate import distinct_mentions
+    m = spark.createDataFrame([(1, "u", "email", "not_found"), (1, "u", "name", None), (1, "u", None, "x"),
+                               (1, "u", "name", "Ann Lee"), (1, "u", "name", "Ann Lee")],
+                              "page_id long, url string, type string, value string")
+    assert [(r.type, r.value) for r in distinct_mentions(m).collect()] == [("name", "Ann Lee")]
+
+
+def test_d10_page_cap_is_per_seed(spark):
+    from sitesift.operators.crawl import crawl_budget
+    rows = [(f"http://s{s}.x/", f"http://s{s}.x/{i}", 1, 95) for s in range(3) for i in range(10)]
+    v = spark.createDataFrame(rows, "seed string, url string, depth int, priority int")
+    got = crawl_budget(v, 4).groupBy("seed").count().collect()
+    assert sorted(r["count"] for r in got) == [4, 4, 4]

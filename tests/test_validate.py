@@ -45,3 +45,26 @@ def test_org_not_taken_from_the_name(spark):
     pairs = spark.createDataFrame([("Director of Sales", "Sales Director", 0, 2)],
                                   "title string, name string, span_i int, span_last int")
     assert org_from_titles(pairs, t).collect() == []
+
+
+def test_pattern_validators_are_idempotent(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from pyspark.sql import functions as F
+
+    from sitesift.operators.validate import validate_email, validate_linkedin, validate_phone
+
+    @settings(max_examples=25, deadline=None)
+    @given(st.lists(st.one_of(st.from_regex(r"[a-z.]{1,6}@[a-z]{1,5}\.[a-z|]{1,4}", fullmatch=True),
+                              st.from_regex(r"\+?[0-9 .()-]{7,16}", fullmatch=True),
+                              st.from_regex(r"https?://(www\.)?linkedin\.com/in/[a-z-]{0,6}/?", fullmatch=True)),
+                    min_size=1, max_size=6))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        for f in (validate_email, validate_phone, validate_linkedin):
+            once = df.select(f(F.col("v")).alias("v"))
+            a = [r.v for r in once.collect()]
+            b = [r.v for r in once.select(f(F.col("v")).alias("v")).collect()]
+            assert a == b
+
+    check()
