@@ -13,9 +13,21 @@ from sitesift.operators.extract import (CONTEXT_TYPES, DIRECT_TYPES, text_mentio
 from sitesift.operators.htmltree import parse_pages
 
 
-def parsed_pages(pages: DataFrame, persist: bool = True) -> DataFrame:
-    """Parse once; every selector below reads the same parsed rows."""
+def parsed_pages(pages: DataFrame, persist: bool = True, materialize: str | None = None) -> DataFrame:
+    """Parse once; every selector below reads the same parsed rows.
+
+    ``materialize``: None/"persist" keeps the parsed rows in the block manager
+    (recomputed from the pages if an executor is lost); "write" stores them
+    once as parquet in the shared checkpoint folder and reads them back, the
+    choice for very large inputs (the element table is about as large as the
+    HTML, and a lost executor then costs a re-read, not a re-parse).
+    """
     p = parse_pages(pages)
+    if materialize == "write":
+        from sitesift.session import scratch_path
+        path = scratch_path(pages.sparkSession, "parsed_pages")
+        p.write.mode("overwrite").parquet(path)
+        return pages.sparkSession.read.parquet(path)
     return p.persist(StorageLevel.MEMORY_AND_DISK) if persist else p
 
 

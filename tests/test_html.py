@@ -63,3 +63,12 @@ def test_meta_and_contact_elements(spark, pages_of):
     p = parse_pages(pages_of(html))
     assert [r.content for r in S.meta_contents(p).orderBy("node_id").collect()] == ["k1", "d1"]
     assert [r.text for r in S.contact_elements(p).orderBy("node_id").collect()] == ["c1", "c2"]
+
+
+def test_parsed_pages_written_once_equals_persisted(spark, pages_of):
+    from conftest import FB
+    from sitesift.plans.contact import contact_info, parsed_pages
+    pages = pages_of(FB)
+    a = {tuple(r) for r in contact_info(pages, fuzzy=False, parsed=parsed_pages(pages)).collect()}
+    b = {tuple(r) for r in contact_info(pages, fuzzy=False, parsed=parsed_pages(pages, materialize="write")).collect()}
+    assert a == b and a
