@@ -62,33 +62,47 @@ def tiered_score(kp: Column, kpl: Column, kwords_padded: Column) -> Column:
 def with_fuzzy_query(df, text: Column, all_windows: bool = False):
     """Stage the processed window string, its length and a space-padded copy as
     columns, so the per-keyword scoring reads attributes instead of
-    recomputing them (each keyword test is then one substring search)."""
+    recomputing them (each keyword test is then one substring search).
+    Higher-order functions are written as SQL text over the staged columns
+    (cheap to build; a Python lambda costs tens of milliseconds to create)."""
     from sitesift.functions.text import clean_text
 
+    shift = 2 if all_windows else 3
     df = df.withColumn("_fuzzy_clean", clean_text(text))
-    df = df.withColumn("_fuzzy_words", F.filter(F.split(F.col("_fuzzy_clean"), " "), lambda w: w != ""))
-    df = df.withColumn(FQ, process_fuzzy(window_words(F.col("_fuzzy_words"), all_windows)))
+    df = df.withColumn("_fuzzy_words", F.expr("filter(split(_fuzzy_clean, ' '), w -> w != '')"))
+    win = ("array_join(zip_with(zip_with(slice(_fuzzy_words, 1, _k), slice(_fuzzy_words, 2, _k), "
+           "(a, b) -> concat(a, ' ', b)), slice(_fuzzy_words, 3, _k), (ab, c) -> concat(ab, ' ', c)), ' ')")
+    win = win.replace("_k", f"greatest(size(_fuzzy_words) - {shift}, 0)")
+    df = df.withColumn(FQ, process_fuzzy(F.expr(win)))
     df = df.withColumn(FQL, F.length(F.col(FQ))).withColumn(FQP, F.concat(F.lit(" "), F.col(FQ), F.lit(" ")))
     return df.drop("_fuzzy_clean", "_fuzzy_words")
 
 
+TIERED_SQL = f"""CASE WHEN d.kpl = 0 OR {FQL} = 0 THEN 0
+     WHEN contains({FQ}, d.kp) THEN 60
+     WHEN exists(d.kws, w -> contains({FQP}, w)) THEN 57
+     WHEN 100 * least(d.kpl, {FQL}) < 30 * greatest(d.kpl, {FQL}) THEN 0
+     ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {FQ}) / greatest(d.kpl, {FQL}))) AS INT)) END"""
+
+
 def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Column:
     """Top-k dictionary keywords by tiered score (> min_score), ties in dictionary
     order, over the staged query columns (see ``with_fuzzy_query``)."""
     if not keywords:
         return F.array().cast("array<string>")
-    from sitesift.functions.text import lit_struct_array
+    from sitesift.functions.text import struct_array_sql
 
     entries = []
     for i, kw in enumerate(keywords):
         kp = _process_py(kw)
-        # a one-word keyword that is not a substring cannot be a shared word either
+        # a one-word keyword that is not a substring cannot be a shared word either;
+        # the placeholder below never occurs in the processed query
         words = [f" {w} " for w in kp.split()] if len(kp.split()) > 1 else []
         entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "kws": words or ["\u0000"]})
-    scored = F.transform(lit_struct_array(entries), lambda d: F.struct(
-        (-tiered_score(d["kp"], d["kpl"], d["kws"])).alias("neg"), d["ord"].alias("ord"), d["kw"].alias("kw")))
-    kept = F.filter(scored, lambda s: -s["neg"] > min_score)
-    return F.transform(F.slice(F.array_sort(kept), 1, k), lambda s: s["kw"])
+    scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({TIERED_SQL}), "
+              f"'ord', d.ord, 'kw', d.kw))")
+    return F.expr(f"transform(slice(array_sort(filter({scored}, s -> -s.neg > {int(min_score)})), 1, {int(k)}), "
+                  f"s -> s.kw)")
 
 
 def _process_py(s: str) -> str:

@@ -10,7 +10,7 @@ from sitesift.functions import patterns as P
 __all__ = [
     "clean_text", "find_all", "emails_in", "names_in", "phones_in", "titles_in",
     "wrapper_emails_in", "wrapper_names_in", "wrapper_phones_in", "wrapper_title_of",
-    "strip_ws", "long_enough", "lit_array", "lit_struct_array", "sql_quote",
+    "strip_ws", "long_enough", "lit_array", "lit_struct_array", "struct_array_sql", "sql_quote",
 ]
 
 
@@ -90,13 +90,17 @@ def lit_array(values: list[str]) -> Column:
 
 def lit_struct_array(rows: list[dict]) -> Column:
     """A constant array of structs (same keys in every row), as one SQL expression."""
+    return F.expr(struct_array_sql(rows))
+
+
+def struct_array_sql(rows: list[dict]) -> str:
     def one(r):
         fields = []
         for k, v in r.items():
             val = ("array(" + ", ".join(sql_quote(x) for x in v) + ")") if isinstance(v, list) else sql_quote(v)
             fields.append(f"'{k}', {val}")
         return "named_struct(" + ", ".join(fields) + ")"
-    return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
+    return "array(" + ", ".join(one(r) for r in rows) + ")"
 
 
 def wrapper_title_of(c, keywords: list[str]) -> Column:

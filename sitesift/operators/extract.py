@@ -49,6 +49,25 @@ def mention_array(text: Column, types=CONTEXT_TYPES, titles=None, fuzzy: bool =
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def _raw_arrays(text: Column, cleaned: Column, types, kws) -> dict:
+    """Per type, the array of raw matches (phones still unstripped)."""
+    from sitesift.functions import patterns as P
+    from sitesift.functions.text import find_all
+    out = {}
+    for t in types:
+        if t == "email":
+            out[t] = find_all(cleaned, P.EMAIL)
+        elif t == "name":
+            out[t] = find_all(text, P.NAME, 1)      # group 1 starts and ends with a letter: nothing to strip
+        elif t == "phone":
+            out[t] = find_all(cleaned, P.PHONE)
+        elif t == "title":
+            out[t] = titles_in(text, kws, cleaned)
+        else:
+            raise ValueError(f"unknown mention type {t}")
+    return out
+
+
 def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"), origin: str = "text",
                   types=DIRECT_TYPES, titles=None, fuzzy: bool = False, min_len: int | None = 3,
                   weight: Column | None = None, confidence: Column | None = None, **kw) -> DataFrame:
@@ -56,17 +75,28 @@ def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
 
     ``min_len`` skips texts shorter than 3 characters (the "safe" entry point);
     context blocks pass ``None`` because they are searched whatever their length.
+    The cleaned text and each type's matches are staged as columns; the typed
+    union is one SQL expression over them.
     """
+    kws = keyword_list(titles)
     src = df if min_len is None else df.filter(long_enough(F.col(text_col)))
     if fuzzy and "title" in types:
         src = with_fuzzy_query(src, F.col(text_col), kw.get("all_windows", False))
     # the cleaned text feeds several patterns: compute it once per row
     src = src.withColumn("_clean", clean_text(F.col(text_col)))
+    raw = _raw_arrays(F.col(text_col), F.col("_clean"), types, kws)
+    src = src.withColumns({f"_mx_{t}": a for t, a in raw.items()})
+    parts = []
+    for t in types:
+        v = "regexp_replace(v, '(?U)^\\\\s+|\\\\s+$', '')" if t == "phone" else "v"
+        parts.append(f"transform(_mx_{t}, v -> named_struct('type', '{t}', 'value', {v}))")
+        if t == "title" and fuzzy:
+            src = src.withColumn("_mx_fuzzy", fuzzy_titles_of(kws, kw.get("fuzzy_k", 5), kw.get("fuzzy_min", 30)))
+            parts.append("transform(_mx_fuzzy, v -> named_struct('type', 'title', 'value', v))")
+    arr = F.expr("concat(" + ", ".join(parts) + ")") if len(parts) > 1 else F.expr(parts[0])
     w = weight if weight is not None else F.lit(None).cast("string")
     c = confidence if confidence is not None else F.lit(None).cast("double")
-    out = (src.select(*ids, w.alias("weight"), c.alias("confidence"),
-                       F.explode(mention_array(F.col(text_col), types, titles, fuzzy, cleaned=F.col("_clean"),
-                                               **kw)).alias("_m"))
+    out = (src.select(*ids, w.alias("weight"), c.alias("confidence"), F.explode(arr).alias("_m"))
            .select(*ids, F.lit(origin).alias("origin"), "_m.type", "_m.value", "weight", "confidence"))
     return out
 
