@@ -47,6 +47,31 @@ def _explode_struct(parsed: DataFrame, arr: Column, ids=("page_id", "url")) -> D
     return parsed.select(*ids, F.explode(arr).alias("_m")).select(*ids, "_m.*")
 
 
+# ---- SQL-text building blocks ------------------------------------------------------
+# Selectors are written as SQL higher-order functions over the page row: a
+# Python lambda costs tens of milliseconds to build, a SQL string one parse.
+def _q(v: str) -> str:
+    from sitesift.functions.text import sql_quote
+    return sql_quote(v)
+
+
+def _etext(x: str) -> str:
+    return f"substring(text, {x}.text_start + 1, {x}.text_end - {x}.text_start)"
+
+
+def _attr(x: str, name: str) -> str:
+    return f"coalesce({x}.attrs[{_q(name)}], '')"
+
+
+def _has_class(x: str, token: str) -> str:
+    return (f"(array_contains(split({_attr(x, 'class')}, {_q(r'(?U)\s+')}), {_q(token)}) "
+            f"OR {_attr(x, 'class')} = {_q(token)})")
+
+
+def _in(col: str, values) -> str:
+    return f"{col} IN (" + ", ".join(_q(v) for v in values) + ")"
+
+
 # ---- H2 / H3 / H1 -----------------------------------------------------------
 
 def page_text(parsed: DataFrame) -> DataFrame:
@@ -55,13 +80,10 @@ def page_text(parsed: DataFrame) -> DataFrame:
 
 def text_nodes(parsed: DataFrame, stripped: bool = True) -> DataFrame:
     """Text nodes in document order; stripped and non-empty by default."""
-    if stripped:
-        arr = F.transform(F.filter("nodes", lambda n: n["s_end"] > n["s_start"]),
-                          lambda n: F.struct(n["pos"].alias("pos"), n["node_id"].alias("node_id"),
-                                             F.substring("text", n["s_start"] + 1, n["s_end"] - n["s_start"]).alias("text")))
-    else:
-        arr = F.transform("nodes", lambda n: F.struct(n["pos"].alias("pos"), n["node_id"].alias("node_id"),
-                                                      F.substring("text", n["start"] + 1, n["end"] - n["start"]).alias("text")))
+    a, b = ("s_start", "s_end") if stripped else ("start", "end")
+    cond = "filter(nodes, tn -> tn.s_end > tn.s_start)" if stripped else "nodes"
+    arr = F.expr(f"transform({cond}, tn -> named_struct('pos', tn.pos, 'node_id', tn.node_id, "
+                 f"'text', substring(text, tn.{a} + 1, tn.{b} - tn.{a})))")
     return _explode_struct(parsed, arr)
 
 
@@ -74,30 +96,30 @@ def element_rows(parsed: DataFrame) -> DataFrame:
 
 # ---- H4 meta --------------------------------------------------------------------
 
-def _is_desc_meta(e: Column) -> Column:
-    n = F.lower(attr(e, "name"))
-    return (e["tag"] == "meta") & ((F.instr(n, "description") > 0) | (F.instr(n, "keywords") > 0))
+def _desc_meta_pred(x: str) -> str:
+    n = f"lower({_attr(x, 'name')})"
+    return f"({x}.tag = 'meta' AND (instr({n}, 'description') > 0 OR instr({n}, 'keywords') > 0))"
 
 
 def meta_contents(parsed: DataFrame) -> DataFrame:
     """One row per description/keywords <meta>: (page_id, url, node_id, content)."""
-    arr = F.transform(F.filter("elements", _is_desc_meta),
-                      lambda e: F.struct(e["node_id"].alias("node_id"), attr(e, "content").alias("content")))
+    arr = F.expr(f"transform(filter(elements, el -> {_desc_meta_pred('el')}), "
+                 f"el -> named_struct('node_id', el.node_id, 'content', {_attr('el', 'content')}))")
     return _explode_struct(parsed, arr)
 
 
-def meta_joined(c_elements: Column | str = "elements") -> Column:
+def meta_joined(c_elements: str = "elements") -> Column:
     """All description/keywords contents of a page joined by one space."""
-    return F.array_join(F.transform(F.filter(c_elements, _is_desc_meta), lambda e: attr(e, "content")), " ")
+    return F.expr(f"array_join(transform(filter({c_elements}, el -> {_desc_meta_pred('el')}), "
+                  f"el -> {_attr('el', 'content')}), ' ')")
 
 
 # ---- H5 / H6 / H7 links -------------------------------------------------------------
 
 def links(parsed: DataFrame) -> DataFrame:
     """<a> elements with an href: (page_id, url, node_id, text, href), document order."""
-    arr = F.transform(F.filter("elements", lambda e: (e["tag"] == "a") & has_attr(e, "href")),
-                      lambda e: F.struct(e["node_id"].alias("node_id"), etext(e).alias("text"),
-                                         attr(e, "href").alias("href")))
+    arr = F.expr("transform(filter(elements, el -> el.tag = 'a' AND el.attrs['href'] IS NOT NULL), "
+                 f"el -> named_struct('node_id', el.node_id, 'text', {_etext('el')}, 'href', {_attr('el', 'href')}))")
     return _explode_struct(parsed, arr)
 
 
@@ -112,25 +134,19 @@ def hrefs_raw(pages: DataFrame) -> DataFrame:
 
 def mailto(parsed: DataFrame, tags: tuple[str, ...] = ("a",)) -> DataFrame:
     """Addresses of mailto: hrefs (``href[7:]``, query kept) on the given tags."""
-    def pred(e):
-        return e["tag"].isin(*tags) & attr(e, "href").startswith("mailto:")
-
-    arr = F.transform(F.filter("elements", pred),
-                      lambda e: F.struct(e["node_id"].alias("node_id"),
-                                         F.substring(attr(e, "href"), 8, 1 << 30).alias("value")))
+    arr = F.expr(f"transform(filter(elements, el -> {_in('el.tag', tags)} AND startswith({_attr('el', 'href')}, 'mailto:')), "
+                 f"el -> named_struct('node_id', el.node_id, 'value', substring({_attr('el', 'href')}, 8)))")
     return _explode_struct(parsed, arr)
 
 
 # ---- H8 contact elements ------------------------------------------------------------
 
-def _is_contact_el(e: Column) -> Column:
-    return e["tag"].isin(*CONTACT_TAGS) & (F.array_contains(class_tokens(e), "contact")
-                                          | (F.instr(attr(e, "id"), "contact") > 0))
-
-
 def contact_elements(parsed: DataFrame) -> DataFrame:
-    arr = F.transform(F.filter("elements", _is_contact_el),
-                      lambda e: F.struct(e["node_id"].alias("node_id"), etext(e).alias("text")))
+    """a/p/div/span with the class token 'contact' or an id containing 'contact'."""
+    pred = (f"{_in('el.tag', CONTACT_TAGS)} AND (array_contains(split({_attr('el', 'class')}, "
+            f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr('el', 'id')}, 'contact') > 0)")
+    arr = F.expr(f"transform(filter(elements, el -> {pred}), "
+                 f"el -> named_struct('node_id', el.node_id, 'text', {_etext('el')}))")
     return _explode_struct(parsed, arr)
 
 
@@ -147,43 +163,36 @@ def context_blocks(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
     """Block elements whose lower-cased class or id contains a context keyword.
 
     One row per (element, keyword, attribute): (page_id, url, node_id, keyword,
-    weight, via, text). The keyword dictionary is a literal array evaluated per
-    element, which replaces a nested-loop join with the dictionary.
+    weight, ord, via, text). The keyword dictionary is a constant array
+    evaluated per element, which replaces a nested-loop join with the dictionary.
     """
-    from sitesift.functions.text import lit_struct_array
+    from sitesift.functions.text import struct_array_sql
 
     kws, weights = _ctx_lists(ctx)
-    hits = lit_struct_array([{"keyword": k, "weight": w, "ord": i} for i, (k, w) in enumerate(zip(kws, weights))])
+    hits = struct_array_sql([{"keyword": k, "weight": w, "ord": i} for i, (k, w) in enumerate(zip(kws, weights))])
 
-    def matches(e, a):
-        low = F.lower(attr(e, a))
-        return F.transform(F.filter(hits, lambda h: low.contains(h["keyword"])),
-                           lambda h: F.struct(e["node_id"].alias("node_id"), h["keyword"].alias("keyword"),
-                                              h["weight"].alias("weight"), h["ord"].alias("ord"),
-                                              F.lit(a).alias("via"), etext(e).alias("text")))
+    def matches(a):
+        return (f"transform(filter({hits}, h -> contains(lower({_attr('el', a)}), h.keyword)), "
+                f"h -> named_struct('node_id', el.node_id, 'keyword', h.keyword, 'weight', h.weight, "
+                f"'ord', h.ord, 'via', {_q(a)}, 'text', {_etext('el')}))")
 
-    blocks = F.filter("elements", lambda e: e["tag"].isin(*CONTEXT_BLOCK_TAGS)
-                      & ((attr(e, "class") != "") | (attr(e, "id") != "")))
-    per_el = F.transform(blocks, lambda e: F.concat(matches(e, "class"), matches(e, "id")))
-    return _explode_struct(parsed, F.flatten(per_el))
+    blocks = (f"filter(elements, el -> {_in('el.tag', CONTEXT_BLOCK_TAGS)} "
+              f"AND ({_attr('el', 'class')} != '' OR {_attr('el', 'id')} != ''))")
+    arr = F.expr(f"flatten(transform({blocks}, el -> concat({matches('class')}, {matches('id')})))")
+    return _explode_struct(parsed, arr)
 
 
 def header_siblings(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
     """Next element sibling of every h1/h2/h3 whose lower-cased text contains a
     context keyword; weight 'high'. (page_id, url, header_id, node_id, weight, text)."""
-    kws = lit_array(all_context_keywords(ctx))
-
-    def pred(e):
-        low = F.lower(etext(e))
-        return (e["tag"].isin(*HEADER_TAGS) & (e["next_sib"] >= 0)
-                & F.exists(kws, lambda k: low.contains(k)))
-
-    def sib(e):
-        s = F.element_at(F.col("elements"), e["next_sib"] + 1)
-        return F.struct(e["node_id"].alias("header_id"), s["node_id"].alias("node_id"),
-                        F.lit("high").alias("weight"), etext(s).alias("text"))
-
-    return _explode_struct(parsed, F.transform(F.filter("elements", pred), sib))
+    kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
+    pred = (f"{_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0 AND "
+            f"exists({kws}, k -> contains(lower({_etext('el')}), k))")
+    sib = "element_at(elements, el.next_sib + 1)"
+    arr = F.expr(f"transform(filter(elements, el -> {pred}), el -> named_struct('header_id', el.node_id, "
+                 f"'node_id', {sib}.node_id, 'weight', 'high', 'text', "
+                 f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start)))")
+    return _explode_struct(parsed, arr)
 
 
 # ---- H11 vCard ------------------------------------------------------------------------------
@@ -195,17 +204,14 @@ def vcards(parsed: DataFrame) -> DataFrame:
     """div.vcard: first descendant with class fn/org/email/tel -> name/organization/email/phone.
 
     Values are the raw element text (not pattern-checked here)."""
-    def fields(v):
-        desc = F.slice(F.col("elements"), v["node_id"] + 2, F.greatest(v["last_desc"] - v["node_id"], F.lit(0)))
-        out = []
-        for cls, typ in VCARD_FIELDS:
-            first = F.element_at(F.filter(desc, lambda d: has_class(d, cls)), 1)
-            out.append(F.struct(v["node_id"].alias("node_id"), F.lit(typ).alias("type"),
-                                F.when(first.isNotNull(), etext(first)).alias("value")))
-        return F.filter(F.array(*out), lambda r: r["value"].isNotNull())
-
-    vc = F.filter("elements", lambda e: (e["tag"] == "div") & has_class(e, "vcard"))
-    return _explode_struct(parsed, F.flatten(F.transform(vc, fields)))
+    desc = "slice(elements, vc.node_id + 2, greatest(vc.last_desc - vc.node_id, 0))"
+    fields = ", ".join(
+        f"named_struct('node_id', vc.node_id, 'type', {_q(typ)}, 'value', "
+        f"element_at(transform(filter({desc}, dd -> {_has_class('dd', cls)}), dd -> {_etext('dd')}), 1))"
+        for cls, typ in VCARD_FIELDS)
+    arr = F.expr(f"flatten(transform(filter(elements, el -> el.tag = 'div' AND {_has_class('el', 'vcard')}), "
+                 f"vc -> filter(array({fields}), r -> r.value IS NOT NULL)))")
+    return _explode_struct(parsed, arr)
 
 
 # ---- H12 JSON-LD ---------------------------------------------------------------------------------
@@ -224,10 +230,9 @@ def jsonld(parsed: DataFrame) -> DataFrame:
     """<script type="application/ld+json">: a list gives its first item; an item whose
     scalar @type is Person or Organization yields name/email/phone/title.
     Unparseable JSON, an empty script or an empty list give no rows."""
-    scripts = F.filter("elements", lambda e: (e["tag"] == "script")
-                       & (attr(e, "type") == "application/ld+json") & e["raw_text"].isNotNull())
-    arr = F.transform(scripts, lambda e: F.struct(e["node_id"].alias("node_id"),
-                                                  F.try_parse_json(e["raw_text"]).alias("v")))
+    arr = F.expr("transform(filter(elements, el -> el.tag = 'script' AND "
+                 f"{_attr('el', 'type')} = 'application/ld+json' AND el.raw_text IS NOT NULL), "
+                 "el -> named_struct('node_id', el.node_id, 'v', try_parse_json(el.raw_text)))")
     df = _explode_struct(parsed, arr)
     v = F.col("v")
     item = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
