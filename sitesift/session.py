@@ -71,16 +71,10 @@ def partition_counts(df):
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/sitesift/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _gen():
-    i = 0
-    while True:
-        i += 1
-        yield i
+    """A fresh path under the shared checkpoint folder for intermediate tables,
+    sink output and stream checkpoints (unique per call: a reused path would
+    let a new stream resume an old checkpoint)."""
+    import uuid
 
-
-_counter = _gen()
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/sitesift/{name}-{uuid.uuid4().hex}"

@@ -92,6 +92,10 @@ def stream_rate(spark: SparkSession, folder: str, out: str | None = None, period
     def write_batch(batch: DataFrame, batch_id: int):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
 
+    # an empty batch folder with the result schema, so a stream with no data still reads back
+    empty = spark.createDataFrame([], "domain long, window_start long, window_end long, n long, batch_id int")
+    empty.write.mode("overwrite").parquet(f"{out}/data/b=-1")
+
     w = agg.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
     _run(w, available_now)
     res = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data/b=*")
