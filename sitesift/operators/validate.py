@@ -114,8 +114,11 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
     title span that is not part of the name. A record is kept when any
     validated field is non-null.
     """
-    # the records feed the token table and the main flow: compute them once
-    r = records.persist(StorageLevel.MEMORY_AND_DISK)
+    # the records feed the token table and the main flow: compute them once, and
+    # cut their (long) lineage so the plans built below stay small
+    from sitesift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(records.sparkSession)
+    r = records.checkpoint(eager=True)
     for f in RECORD_FIELDS + ["organization"]:
         if f not in r.columns:
             r = r.withColumn(f, F.lit(None).cast("string"))
