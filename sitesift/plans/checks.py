@@ -1075,3 +1075,16 @@ def q_stream_visited(spark, d):
 def q_stream_rate(spark, d):
     from sitesift.streaming.jobs import stream_rate
     return stream_rate(spark, d, period="1 day", limit=3, delay="1 day")
+
+
+@query("agg_contact_wide", f"""
+SELECT url, {", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT value) FILTER (WHERE type = '{t}')), '; '), '') AS {t}"
+                       for t in ["email", "name", "linkedin", "title", "phone", "organization"])}
+FROM ({CONTACT_INFO_SQL}) m GROUP BY url
+""")
+def q_agg_contact_wide(spark, d):
+    """A4 wide form: one row per page, each type's distinct values sorted and joined by '; '."""
+    from sitesift.operators.aggregate import RECORD_TYPES, wide_records
+    w = wide_records(q_pipe_contact_info(spark, d))
+    return w.select("url", *[F.array_join(F.coalesce(F.col(t), F.array().cast("array<string>")), "; ").alias(t)
+                             for t in RECORD_TYPES])
