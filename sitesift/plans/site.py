@@ -35,10 +35,12 @@ def site_contacts(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, max_pa
     return csv_projection(records)
 
 
-def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int = 64) -> DataFrame:
+def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Q4: every stored page reachable from the seeds over unique links (URL
     identity = normalized URL), with the step it was first reached; one
-    distributed join per step, each step checkpointed."""
+    distributed join per step, each step checkpointed. Runs until a step finds
+    no new URL (the seen set only grows, so this ends); ``max_steps`` is an
+    optional explicit limit, off by default."""
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     pg = pages.select("page_id", "url", normalize_url(F.col("url")).alias("norm_url")) \
@@ -50,7 +52,7 @@ def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int = 64) -> Dat
     seen = start.distinct().withColumn("step", F.lit(0)).checkpoint(eager=True)
     frontier, n = seen, seen.count()
     step = 0
-    while n > 0 and step < max_steps:
+    while n > 0 and (max_steps is None or step < max_steps):
         step += 1
         nxt = (frontier.select(F.col("norm_url").alias("src")).join(ln, "src")
                .select(F.col("dst").alias("norm_url")).distinct()
