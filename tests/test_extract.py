@@ -79,3 +79,12 @@ def test_fuzzy_tiers(spark):
     got = df.select(fuzzy_titles_of(["Manager", "Lead", "Project Manager", "Project"], k=5)).first()[0]
     # substring hits (60) first in dictionary order, then the shared-word keyword (57)
     assert got == ["Lead", "Project", "Project Manager"]
+
+
+def test_dictionary_as_dataframe_in_order_and_size_checked(spark, monkeypatch):
+    import sitesift.dictionaries as D
+    d = spark.createDataFrame([("Manager", 2), ("Project", 1), ("Chief", 0)], "keyword string, ord int")
+    assert D.keyword_list(d) == ["Chief", "Project", "Manager"]
+    monkeypatch.setattr(D, "MAX_DICTIONARY", 2)
+    with pytest.raises(ValueError):
+        D.keyword_list(d)
