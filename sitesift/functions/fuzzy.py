@@ -122,6 +122,18 @@ def fuzzy_match(a: Column, b: Column, threshold: int = 50) -> Column:
     return levenshtein_ratio(a, b) >= threshold
 
 
+def _ship_by_value():
+    """Pickle this module's code into tasks, so executors need no install of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
+
+
 @F.pandas_udf(T.IntegerType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact 2*M/T similarity (difflib), Arrow-batched; for short strings."""

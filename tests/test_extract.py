@@ -88,3 +88,16 @@ def test_dictionary_as_dataframe_in_order_and_size_checked(spark, monkeypatch):
     monkeypatch.setattr(D, "MAX_DICTIONARY", 2)
     with pytest.raises(ValueError):
         D.keyword_list(d)
+
+
+def test_exact_ratio_udf_matches_difflib(spark):
+    from difflib import SequenceMatcher
+
+    from sitesift.functions.fuzzy import fuzzy_match, ratio_udf
+    pairs = [("Project Manager", "project managers"), ("CEO", "Chief Executive"), ("", "x"), ("abc", "abc")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r.r for r in df.select(ratio_udf("a", "b").alias("r")).collect()]
+    want = [int(round(100 * SequenceMatcher(None, a.lower(), b.lower()).ratio())) for a, b in pairs]
+    assert got == want
+    native = [r.m for r in df.select(fuzzy_match(F.col("a"), F.col("b"), 50).alias("m")).collect()]
+    assert native == [True, False, False, True]
