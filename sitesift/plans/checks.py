@@ -984,7 +984,7 @@ def q_src_csv(spark, d):
 
 
 @query("sink_json", f"""
-SELECT url, to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}}))) AS extracted_info
+SELECT url, CAST(to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}}))) AS VARCHAR) AS extracted_info
 FROM ({CONTACT_INFO_SQL}) m GROUP BY url
 """)
 def q_sink_json(spark, d):
@@ -995,7 +995,7 @@ def q_sink_json(spark, d):
 
 @query("sink_page_status", f"""
 SELECT g.page_id, g.url, 'success' AS status, 0 AS n_errors, '' AS warnings,
-       to_json(coalesce(i.info, [])) AS extracted_info
+       CAST(to_json(coalesce(i.info, [])) AS VARCHAR) AS extracted_info
 FROM {GEN} LEFT JOIN (SELECT page_id, list_sort(list(DISTINCT {{'type': type, 'value': value}})) AS info
                       FROM ({CONTACT_INFO_SQL}) m GROUP BY page_id) i ON g.page_id = i.page_id
 """)
