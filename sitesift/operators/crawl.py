@@ -72,7 +72,8 @@ def same_site_unseen(links: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def _small_enough(n: int, spark) -> bool:
-    limit = int(spark.conf.get("sitesift.crawl.broadcastFrontierRows", "2000000"))
+    # ~100 bytes per (seed, url) row: 200k rows is ~20 MB per executor
+    limit = int(spark.conf.get("sitesift.crawl.broadcastFrontierRows", "200000"))
     return n <= limit
 
 
