@@ -117,3 +117,16 @@ def test_fetch_slots_caps_hold_with_a_dominant_domain(spark):
     # the plan is dense: total seconds = sum over levels of ceil(n_level / 10)
     lv = s.groupBy("level").count().collect()
     assert s.agg(F.max("slot")).first()[0] + 1 == sum((r["count"] + 9) // 10 for r in lv)
+
+
+def test_bfs_same_result_with_and_without_frontier_broadcast(spark):
+    seeds, edges = _graph(n_sites=2, n_pages=30, seed=7)
+    e = spark.createDataFrame(edges, "src_url string, dst_url string, priority int")
+    s = spark.createDataFrame([(x,) for x in seeds], "seed string")
+    a = sorted(map(tuple, crawl_bfs(s, e, 3).collect()))
+    spark.conf.set("sitesift.crawl.broadcastFrontierRows", "0")
+    try:
+        b = sorted(map(tuple, crawl_bfs(s, e, 3).collect()))
+    finally:
+        spark.conf.unset("sitesift.crawl.broadcastFrontierRows")
+    assert a == b and len(a) > len(seeds)
