@@ -52,3 +52,23 @@ def test_nested_results_and_status(spark):
     st = {r.page_id: r for r in page_status(pages, m).collect()}
     assert st[3].warnings == ["Empty HTML content"] and st[3].extracted_info == []
     assert len(st[1].extracted_info) == 2 and st[1].status == "success"
+
+
+def test_command_line_end_to_end(tmp_path):
+    import json
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    (pages / "a.html").write_text('<div class="team"><p>Ann Lee</p> . <p>ann@x.example.com</p></div>'
+                                  '<a href="mailto:bo@x.example.com">Mail Bo</a>')
+    out = tmp_path / "out"
+    r = subprocess.run([sys.executable, "-m", "sitesift", "--pages", str(pages), "--pages-format", "html",
+                        "--out", str(out), "--format", "json", "--master", "local[2]", "--no-fuzzy"],
+                       cwd=repo, capture_output=True, text=True, timeout=600)
+    assert r.returncode == 0, r.stderr[-2000:]
+    rows = [json.loads(ln) for p in out.glob("part-*.json") for ln in p.read_text().splitlines() if ln]
+    values = {m["value"] for row in rows for m in row["extracted_info"]}
+    assert {"Ann Lee", "ann@x.example.com", "bo@x.example.com"} <= values
