@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["fuzzy_query", "process_fuzzy", "tiered_score", "fuzzy_titles_of", "with_fuzzy_query", "window_words",
+__all__ = ["fuzzy_query", "process_fuzzy", "fuzzy_titles_of", "with_fuzzy_query", "window_words",
            "levenshtein_ratio", "fuzzy_match", "ratio_udf"]
 
 
@@ -46,19 +46,6 @@ def fuzzy_query(cleaned: Column, all_windows: bool = False) -> Column:
 FQ, FQL, FQP = "_fuzzy_q", "_fuzzy_ql", "_fuzzy_qpad"
 
 
-def tiered_score(kp: Column, kpl: Column, kwords_padded: Column) -> Column:
-    """Score of one keyword (processed text ``kp``, its length, its words as
-    ' w ') against the staged query columns."""
-    qp, lq, pad = F.col(FQ), F.col(FQL), F.col(FQP)
-    mx, mn = F.greatest(kpl, lq), F.least(kpl, lq)
-    lev_ratio = F.least(F.lit(56), F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(kp, qp) / mx)).cast("int"))
-    return (F.when((kpl == 0) | (lq == 0), F.lit(0))
-            .when(qp.contains(kp), F.lit(60))
-            .when(F.exists(kwords_padded, lambda w: pad.contains(w)), F.lit(57))
-            .when(F.lit(100) * mn < F.lit(30) * mx, F.lit(0))
-            .otherwise(lev_ratio))
-
-
 def with_fuzzy_query(df, text: Column, all_windows: bool = False):
     """Stage the processed window string, its length and a space-padded copy as
     columns, so the per-keyword scoring reads attributes instead of
