@@ -24,3 +24,20 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"crawl_best_first"}
+
+
+def test_every_oracle_sql_binds_in_duckdb_with_the_spark_columns(spark):
+    import duckdb
+
+    import __spark_entry__ as E
+    con = duckdb.connect()
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    q = E.queries()
+    cheap = ["x_email", "url_parse", "crawl_rate_audit", "html_vcard", "agg_type_counts", "v_title"]
+    for k, sql in E.oracle_sql().items():
+        cols = [r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall()]
+        assert len(cols) == len(set(cols)), k
+        if k in cheap:      # Spark side: schema only (no action) for a sample of keys
+            assert sorted(q[k](spark, SF_SMALL).columns) == sorted(cols), k
