@@ -41,3 +41,22 @@ def test_every_oracle_sql_binds_in_duckdb_with_the_spark_columns(spark):
         assert len(cols) == len(set(cols)), k
         if k in cheap:      # Spark side: schema only (no action) for a sample of keys
             assert sorted(q[k](spark, SF_SMALL).columns) == sorted(cols), k
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_properties(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    # the document scan reads only the two columns it needs
+    p = _plan(q["x_email"](spark, SF_SMALL))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p or "struct<doc_id:bigint,text:string>" in p
+    # the page budget is a partial top-k before the shuffle
+    assert "WindowGroupLimit" in _plan(q["crawl_budget"](spark, SF_SMALL))
+    # selectors need no shuffle after the parse: no Exchange above the Python stage
+    p = _plan(q["html_vcard"](spark, SF_SMALL))
+    assert "MapInArrow" in p or "PythonMapInArrow" in p
+    above = p.split("MapInArrow")[0]
+    assert "Exchange" not in above
