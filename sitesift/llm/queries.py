@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import simhash
+from sitesift.llm import decontaminate, language_gru, line_crf, pii, simhash, token_counts, toxicity
 from sitesift.llm.common import table
+from sitesift.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +24,53 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+@query
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and the line field's verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    crf = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.judge(docs, crf).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a byte network fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return language_gru.predict(docs, language_gru.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a lexicon and model learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts of base kinds and all spans."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.span_table(found).withColumnRenamed("id", "doc_id")
+
+
+TOKENIZER = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that starts empty."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER,
+                                       scratch_path(spark, "token-cache"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words found in every document."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).drop("spans").withColumnRenamed("id", "doc_id")
