@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import decontaminate, language_gru, line_crf, pii, simhash, token_counts, toxicity
+from sitesift.llm import (decontaminate, language_gru, licenses, line_crf, mixing, pii, simhash, token_counts, toxicity,
+                          url_templates)
 from sitesift.llm.common import table
 from sitesift.session import scratch_path
 
@@ -74,3 +75,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words found in every document."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found).drop("spans").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or template verdict for every page url."""
+    found = url_templates.judge(table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("id", "page_id")
+
+
+#: Target weights of the mixture; sources not named share one lane.
+TARGETS = {"src0": 0.12, **{f"src{k}": 0.044 for k in range(1, 20)}}
+BLOCK = 64
+
+
+@query
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and position of every document in the mixture."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, TARGETS, BLOCK)
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licence of every page."""
+    return licenses.scan(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+ORACLE["op5_license_scan"] = licenses.oracle_sql()
