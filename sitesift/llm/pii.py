@@ -207,9 +207,9 @@ def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 100):
     of ten votes in favour of honest labelers keep the classes from trading names.
     """
     keys = sorted(patterns)
-    votes = np.array(keys, int).reshape(len(keys), -1) + 1
+    m = len(keys[0]) if keys else LABELERS
+    votes = np.array(keys, int).reshape(len(keys), m) + 1
     n = np.array([patterns[k] for k in keys], float)
-    m = votes.shape[1] if len(keys) else LABELERS
     prior = np.tile(np.array([[4.0, 3.0, 1.0], [1.0, 3.0, 4.0]]), (m, 1, 1)) * 1.25   # labeler, class, vote
     share, p = 0.5, prior / prior.sum(axis=2, keepdims=True)
     post = np.full(len(keys), 0.5)
