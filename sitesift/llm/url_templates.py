@@ -114,23 +114,21 @@ def merge_branches(templates: DataFrame, depth: int) -> DataFrame:
     return cur
 
 
-def purity(templates: DataFrame, depth: int) -> DataFrame:
-    """(host, template, purity): bad share smoothed from all hosts to the host and down
-    its tree, each level worth PULL labels of the one above."""
+def purity(templates: DataFrame) -> DataFrame:
+    """(host, template, merged, purity): bad share smoothed from all hosts to the host and
+    down its tree, each level worth PULL labels of the one above. Sums of all nodes are
+    made in one grouping; each template folds those on its own path."""
     total = templates.agg(F.sum("bad"), F.sum("good")).first()
     bad, good = total[0] or 0, total[1] or 0
     root = (bad + 0.5) / (bad + good + 1.0)
-    rate = (F.sum("bad") + PULL * F.first("up")) / (F.sum("bad") + F.sum("good") + PULL)
-    hosts = templates.groupBy("host").agg(((F.sum("bad") + PULL * root) / (F.sum("bad") + F.sum("good") + PULL)).alias("up"))
-    cur = templates.join(hosts, "host")
-    for d in range(1, depth + 1):
-        node = F.array_join(F.slice("merged", 1, d), "/")
-        at = cur.withColumn("node", node)
-        # a node's rows share one parent, so any of its rows holds the parent's rate
-        rates = at.where(F.size("merged") >= d).groupBy("host", "node").agg(rate.alias("r"))
-        cur = at.join(rates, ["host", "node"], "left").withColumn("up", F.coalesce("r", "up")).drop("r", "node")
-    return cur.select("host", F.array_join("tokens", "/").alias("template"),
-                      F.concat(F.lit("/"), F.array_join("merged", "/")).alias("merged"), F.col("up").alias("purity"))
+    nodes = (templates.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("merged"))))
+             .withColumn("node", F.expr("array_join(slice(merged, 1, d), '/')")))
+    sums = nodes.groupBy("host", "d", "node").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
+    chain = (nodes.select("host", "tokens", "merged", "d", "node").join(sums, ["host", "d", "node"])
+             .groupBy("host", "tokens", "merged").agg(F.array_sort(F.collect_list(F.struct("d", "b", "g"))).alias("c")))
+    fold = F.aggregate("c", F.lit(root), lambda up, x: (x["b"] + PULL * up) / (x["b"] + x["g"] + PULL))
+    return chain.select("host", F.array_join("tokens", "/").alias("template"),
+                        F.concat(F.lit("/"), F.array_join("merged", "/")).alias("merged"), fold.alias("purity"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
@@ -165,7 +163,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, id_col: str = "pa
     named = generalise(paths, depth)
     templates = stored(named.groupBy("host", "tokens").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")]),
                        "url-templates")
-    pure = stored(purity(merge_branches(templates, depth), depth), "url-purity")
+    pure = stored(purity(merge_branches(templates, depth)), "url-purity")
     of_path = (named.select("host", "path", F.array_join("tokens", "/").alias("template"))
                .join(pure, ["host", "template"]).select("host", "path", F.col("merged").alias("template"), "purity"))
     return (rows.join(of_path, ["host", "path"], "left")
