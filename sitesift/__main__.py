@@ -8,7 +8,8 @@
 With --seeds, the stored pages a crawl from each seed reaches are processed
 (level-synchronous, depth and page cap per seed); without, every page is.
 Output: validated contact records as CSV (name,title,email,linkedin,src_url),
-nested JSON (one object per page with its distinct mentions) or Parquet.
+nested JSON (one object per page with its distinct mentions; with --seeds one object per
+seed holding its pages) or Parquet.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def main(argv=None) -> int:
     from sitesift.operators.validate import validate_records
     from sitesift.plans.contact import contact_info, parsed_pages, wrapper_info
     from sitesift.plans.site import crawl_pages
-    from sitesift.session import build_session
+    from sitesift.session import build_session, stored
     from sitesift.sources.readers import read_pages, read_seeds
-    from sitesift.sources.sinks import nested_results, write_contacts_csv, write_json
+    from sitesift.sources.sinks import nested_by_seed, nested_results, write_contacts_csv, write_json
 
     spark = build_session(a.master)
     titles = None
@@ -47,16 +48,23 @@ def main(argv=None) -> int:
         with open(a.titles, encoding="utf-8") as f:
             titles = [ln.strip() for ln in f if ln.strip()]
     pages = read_pages(spark, a.pages, a.pages_format)
-    parsed = parsed_pages(pages)
+    taken = None
     if a.seeds:
-        taken = crawl_pages(read_seeds(spark, a.seeds), pages, a.max_depth, a.max_pages, parsed=parsed)
-        parsed = parsed.join(taken.select("page_id").distinct(), "page_id", "left_semi")
+        seeds = read_seeds(spark, a.seeds)
+        taken = stored(crawl_pages(seeds, pages, a.max_depth, a.max_pages).select("seed", "page_id", "url").distinct(),
+                       "taken")
+        pages = pages.join(taken.select("page_id", "url").distinct(), ["page_id", "url"], "left_semi")
+    parsed = parsed_pages(pages)
     if a.profile == "wrapper":
         mentions = wrapper_info(pages, titles=titles, parsed=parsed)
     else:
         mentions = contact_info(pages, titles=titles, fuzzy=not a.no_fuzzy, parsed=parsed)
     if a.format == "json":
-        write_json(nested_results(mentions.select("url", "type", "value")), a.out)
+        if taken is not None:
+            of_seed = taken.join(mentions, ["page_id", "url"]).select("seed", "url", "type", "value")
+            write_json(nested_by_seed(of_seed, max_pages=a.max_pages), a.out)
+        else:
+            write_json(nested_results(mentions.select("url", "type", "value")), a.out)
     else:
         records = validate_records(sparse_records(mentions), titles=titles)
         if a.format == "csv":

@@ -8,8 +8,7 @@ order, because order decides which keyword wins a match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 # --- FIXED VALUES: page-context keywords by weight (order inside a weight kept) ---
 CONTEXT_KEYWORDS = {
@@ -89,26 +88,10 @@ DEFAULT_TITLES = [
     "Secretary", "Treasurer", "Chairman", "Owner",
 ]
 
-# --- FIXED VALUES: name-extraction pieces (honorifics dropped, lead words skipped) ---
-HONORIFICS = ["Dr.", "Mr.", "Ms.", "Mrs.", "Prof."]
-NAME_SKIP_WORDS = ["Email", "Contact", "sent by"]
-
 # Tags whose direct text never counts as page text (raw-text containers).
 HIDDEN_TEXT_TAGS = ["script", "style", "template", "rt", "rp"]
 
-DICT_SCHEMA = T.StructType([
-    T.StructField("keyword", T.StringType(), False),
-    T.StructField("ord", T.IntegerType(), False),
-])
-
-CTX_SCHEMA = T.StructType([
-    T.StructField("keyword", T.StringType(), False),
-    T.StructField("weight", T.StringType(), False),
-    T.StructField("ord", T.IntegerType(), False),
-])
-
-
-MAX_DICTIONARY = 20_000
+MAX_DICTIONARY = 2_000
 
 
 def keyword_list(d) -> list[str]:
@@ -116,8 +99,9 @@ def keyword_list(d) -> list[str]:
 
     Dictionaries are small, fixed-size inputs (hundreds of rows) compiled into
     constant expressions, so a DataFrame dictionary is read once on the driver.
-    Its size is checked first: a dictionary larger than MAX_DICTIONARY is
-    refused, never truncated.
+    This is the operators' limit: a dictionary larger than MAX_DICTIONARY is refused,
+    never truncated (fuzzy titles score every keyword in every row, and plans grow
+    with the constants).
     """
     if d is None:
         return list(DEFAULT_TITLES)
@@ -130,20 +114,6 @@ def keyword_list(d) -> list[str]:
     return list(d)
 
 
-def dict_df(spark: SparkSession, keywords: list[str]) -> DataFrame:
-    return spark.createDataFrame([(k, i) for i, k in enumerate(keywords)], DICT_SCHEMA)
-
-
-def ctx_df(spark: SparkSession, ctx: dict | None = None) -> DataFrame:
-    ctx = ctx or CONTEXT_KEYWORDS
-    rows, i = [], 0
-    for weight, kws in ctx.items():
-        for k in kws:
-            rows.append((k, weight, i))
-            i += 1
-    return spark.createDataFrame(rows, CTX_SCHEMA)
-
-
 def all_context_keywords(ctx: dict | None = None) -> list[str]:
     ctx = ctx or CONTEXT_KEYWORDS
     return [k for kws in ctx.values() for k in kws]

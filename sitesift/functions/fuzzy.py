@@ -4,8 +4,8 @@ The "tiered" score of keyword k against a query q (both lower-cased, every
 character outside [a-z0-9] turned into a space, trimmed):
     60 if k is a substring of q, else 57 if they share a word, else
     round(100 * (1 - levenshtein(k, q) / max(len))) capped at 56.
-Levenshtein is only evaluated when 100*min(len)/max(len) >= 30, because below
-that the ratio cannot exceed 30, the cut-off; this keeps page-length text cheap.
+Levenshtein is only evaluated where the lengths allow a ratio over the cut-off; this
+keeps page-length text cheap and never changes which keywords pass.
 """
 
 from __future__ import annotations
@@ -15,39 +15,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-__all__ = ["fuzzy_query", "process_fuzzy", "fuzzy_titles_of", "with_fuzzy_query", "window_words",
-           "levenshtein_ratio", "fuzzy_match", "ratio_udf"]
+__all__ = ["process_fuzzy", "fuzzy_titles_of", "fuzzy_titles_sql", "windows_sql", "with_fuzzy_query", "tiered_sql", "levenshtein_ratio",
+           "fuzzy_match", "ratio_udf"]
 
 
 def process_fuzzy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]", " "))
 
 
-def window_words(words: Column, all_windows: bool = False) -> Column:
-    """3-word windows over a word array, joined by spaces (see ``fuzzy_query``)."""
-    k = F.greatest(F.size(words) - (2 if all_windows else 3), F.lit(0))
-    w0, w1, w2 = F.slice(words, 1, k), F.slice(words, 2, k), F.slice(words, 3, k)
-    pairs = F.zip_with(w0, w1, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_join(F.zip_with(pairs, w2, lambda ab, c: F.concat(ab, F.lit(" "), c)), " ")
-
-
-def fuzzy_query(cleaned: Column, all_windows: bool = False) -> Column:
-    """3-word windows over the words of the (cleaned) text, joined by spaces.
-
-    Faithful default: windows start at 0 .. n-4, so texts of fewer than 4 words
-    give none and the last window is never formed; ``all_windows`` starts them
-    at 0 .. n-3. Built from three shifted slices zipped together, so the cost
-    is linear in the text (a lambda over positions would re-read the text per
-    window).
-    """
-    return window_words(F.filter(F.split(cleaned, " "), lambda w: w != ""), all_windows)
+def windows_sql(words: str, shift: int = 3) -> str:
+    """The three-word windows of an array given by name, joined by spaces."""
+    k = f"greatest(size({words}) - {shift}, 0)"
+    return (f"array_join(zip_with(zip_with(slice({words}, 1, {k}), slice({words}, 2, {k}), "
+            f"(a, b) -> concat(a, ' ', b)), slice({words}, 3, {k}), (ab, c) -> concat(ab, ' ', c)), ' ')")
 
 
 FQ, FQL, FQP = "_fuzzy_q", "_fuzzy_ql", "_fuzzy_qpad"
 
 
 def with_fuzzy_query(df, text: Column, all_windows: bool = False):
-    """Stage the processed window string, its length and a space-padded copy as
+    """Windows of three words over the words of the cleaned text: by default they start at
+    0 .. n-4, so texts of fewer than 4 words give none and the last window is never formed
+    (as in the behaviour reproduced); ``all_windows`` starts them at 0 .. n-3.
+
+    Stage the processed window string, its length and a space-padded copy as
     columns, so the per-keyword scoring reads attributes instead of
     recomputing them (each keyword test is then one substring search).
     Higher-order functions are written as SQL text over the staged columns
@@ -57,26 +48,32 @@ def with_fuzzy_query(df, text: Column, all_windows: bool = False):
     shift = 2 if all_windows else 3
     df = df.withColumn("_fuzzy_clean", clean_text(text))
     df = df.withColumn("_fuzzy_words", F.expr("filter(split(_fuzzy_clean, ' '), w -> w != '')"))
-    win = ("array_join(zip_with(zip_with(slice(_fuzzy_words, 1, _k), slice(_fuzzy_words, 2, _k), "
-           "(a, b) -> concat(a, ' ', b)), slice(_fuzzy_words, 3, _k), (ab, c) -> concat(ab, ' ', c)), ' ')")
-    win = win.replace("_k", f"greatest(size(_fuzzy_words) - {shift}, 0)")
-    df = df.withColumn(FQ, process_fuzzy(F.expr(win)))
+    df = df.withColumn(FQ, process_fuzzy(F.expr(windows_sql("_fuzzy_words", shift))))
     df = df.withColumn(FQL, F.length(F.col(FQ))).withColumn(FQP, F.concat(F.lit(" "), F.col(FQ), F.lit(" ")))
     return df.drop("_fuzzy_clean", "_fuzzy_words")
 
 
-TIERED_SQL = f"""CASE WHEN d.kpl = 0 OR {FQL} = 0 THEN 0
-     WHEN contains({FQ}, d.kp) THEN 60
-     WHEN exists(d.kws, w -> contains({FQP}, w)) THEN 57
-     WHEN 100 * least(d.kpl, {FQL}) < 30 * greatest(d.kpl, {FQL}) THEN 0
-     ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {FQ}) / greatest(d.kpl, {FQL}))) AS INT)) END"""
+def tiered_sql(min_score: int, q: str = FQ, ql: str = FQL, qp: str = FQP) -> str:
+    """The tiered score of dictionary entry ``d`` for a query, its length and its padded
+    copy, given as SQL names. A ratio is at most
+    100 * min(len) / max(len); where even that, rounded, cannot exceed ``min_score``, the
+    entry loses whatever its distance, and Levenshtein is not evaluated."""
+    return f"""CASE WHEN d.kpl = 0 OR {ql} = 0 THEN 0
+     WHEN contains({q}, d.kp) THEN 60
+     WHEN exists(d.kws, w -> contains({qp}, w)) THEN 57
+     WHEN 200 * least(d.kpl, {ql}) < {2 * int(min_score) + 1} * greatest(d.kpl, {ql}) THEN -1
+     ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {q}) / greatest(d.kpl, {ql}))) AS INT)) END"""
 
 
 def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Column:
     """Top-k dictionary keywords by tiered score (> min_score), ties in dictionary
     order, over the staged query columns (see ``with_fuzzy_query``)."""
-    if not keywords:
-        return F.array().cast("array<string>")
+    return F.expr(fuzzy_titles_sql(keywords, k, min_score)) if keywords else F.array().cast("array<string>")
+
+
+def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: str = FQ, ql: str = FQL,
+                     qp: str = FQP) -> str:
+    """``fuzzy_titles_of`` as SQL text over a query given by name."""
     from sitesift.functions.text import struct_array_sql
 
     entries = []
@@ -86,10 +83,10 @@ def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Col
         # the placeholder below never occurs in the processed query
         words = [f" {w} " for w in kp.split()] if len(kp.split()) > 1 else []
         entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "kws": words or ["\u0000"]})
-    scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({TIERED_SQL}), "
+    scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({tiered_sql(min_score, q, ql, qp)}), "
               f"'ord', d.ord, 'kw', d.kw))")
-    return F.expr(f"transform(slice(array_sort(filter({scored}, s -> -s.neg > {int(min_score)})), 1, {int(k)}), "
-                  f"s -> s.kw)")
+    return (f"transform(slice(array_sort(filter({scored}, x -> -x.neg > {int(min_score)})), 1, {int(k)}), "
+            f"x -> x.kw)")
 
 
 def _process_py(s: str) -> str:
@@ -123,13 +120,17 @@ _ship_by_value()
 
 @F.pandas_udf(T.IntegerType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact 2*M/T similarity (difflib), Arrow-batched; for short strings."""
+    """Exact 2*M/T similarity of matching blocks, whatever the length (no popularity
+    heuristic). The matcher is quadratic in the lengths: meant for names and titles.
+    Equal pairs of a batch are compared once."""
     from difflib import SequenceMatcher
 
-    out = []
-    for x, y in zip(a, b):
+    def ratio(x, y):
         if x is None or y is None:
-            out.append(None)
-        else:
-            out.append(int(round(100 * SequenceMatcher(None, x.lower(), y.lower()).ratio())))
-    return pd.Series(out, dtype="Int32")
+            return None
+        return int(round(100 * SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio()))
+
+    pairs = pd.DataFrame({"a": a, "b": b}, dtype=object)
+    pairs = pairs.where(pairs.notna(), None)
+    once = {p: ratio(*p) for p in set(zip(pairs["a"], pairs["b"]))}
+    return pd.Series([once[p] for p in zip(pairs["a"], pairs["b"])], dtype="Int32")

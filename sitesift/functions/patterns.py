@@ -5,18 +5,17 @@ which is how Python's ``re`` treats str patterns; without it Java's \\s misses
 NBSP and \\b differs on accented letters.
 """
 
-from sitesift.dictionaries import HONORIFICS, NAME_SKIP_WORDS
-
 U = "(?U)"
 
 # --- FIXED VALUES: extraction patterns (the e-mail TLD class keeps a literal '|') ---
 EMAIL = U + r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = U + r"\+?[\d\s.-]+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
-NAME = (U + r"\b(?!(?:" + "|".join(w for w in NAME_SKIP_WORDS) + r")\b)(?:"
-        + "|".join(h.replace(".", r"\.") for h in HONORIFICS)
-        + r")?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b")
+# further words of a name are matched possessively: every word ends at a word boundary, so
+# giving one back never helps, and Java repeats a possessive group in a loop, not by recursion
+NAME = (U + r"\b(?!(?:Email|Contact|sent by)\b)(?:Dr\.|Mr\.|Ms\.|Mrs\.|Prof\.)?\s*"
+        r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+\b)++)")
 # "wrapper" profile: single spaces between name words, no honorific or skip words
-WRAPPER_NAME = U + r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"
+WRAPPER_NAME = U + r"\b[A-Z][a-z]+(?: [A-Z][a-z]+\b)++"
 WRAPPER_PHONE = U + r"\b(?:\+\d{1,2}\s?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}\b"
 
 # --- FIXED VALUES: validation patterns (whole value) ---
@@ -24,9 +23,6 @@ V_EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 V_LINKEDIN = U + r"^https?://(?:www\.)?linkedin\.com/in/[\w\-]+/?$"
 V_PHONE = U + r"^\+?[\d\s.-]+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}$"
 
-# RFC 3986 appendix B: scheme, authority, path, query, fragment
-URI = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
-
 MIN_TEXT_LEN = 3
 
 

@@ -10,7 +10,7 @@ from sitesift.functions import patterns as P
 __all__ = [
     "clean_text", "find_all", "emails_in", "names_in", "phones_in", "titles_in",
     "wrapper_emails_in", "wrapper_names_in", "wrapper_phones_in", "wrapper_title_of",
-    "strip_ws", "long_enough", "lit_array", "lit_struct_array", "struct_array_sql", "sql_quote",
+    "strip_ws", "long_enough", "lit_array", "struct_array_sql", "sql_quote",
 ]
 
 
@@ -88,11 +88,6 @@ def lit_array(values: list[str]) -> Column:
     return F.expr("array(" + ", ".join(sql_quote(v) for v in values) + ")")
 
 
-def lit_struct_array(rows: list[dict]) -> Column:
-    """A constant array of structs (same keys in every row), as one SQL expression."""
-    return F.expr(struct_array_sql(rows))
-
-
 def struct_array_sql(rows: list[dict]) -> str:
     def one(r):
         fields = []

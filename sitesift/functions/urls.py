@@ -99,6 +99,10 @@ def _unparse(scheme, netloc, path, query, fragment) -> Column:
                     F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
 
 
+def _unpadded(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "^[\\x00-\\x20]+", ""), "[\\t\\r\\n]", "")
+
+
 def with_joined_url(df, base: str, href: str, out: str = "abs_url"):
     """Add ``out`` = ``href`` resolved against ``base`` like ``urllib.parse.urljoin``.
 
@@ -110,17 +114,22 @@ def with_joined_url(df, base: str, href: str, out: str = "abs_url"):
     """
     u = "_uj_"
     b, h = F.col(base), F.col(href)
+    # leading controls and spaces, and tabs and line ends anywhere, are not part of a URL
+    clean = {"cb": _unpadded(b), "ch": _unpadded(h)}
+    df = df.withColumns({u + k: v for k, v in clean.items()})
+    cb, ch = F.col(u + "cb"), F.col(u + "ch")
     parts = {
-        "bs": url_scheme(b), "bn": url_netloc(b), "bp": url_path(b), "bq": url_query(b),
-        "hs": url_scheme(h), "hh": F.regexp_extract(h, URI_RE, 3) != "", "hn": url_netloc(h),
-        "hp": url_path(h), "hq": url_query(h), "hf": url_fragment(h),
+        "bs": url_scheme(cb), "bn": url_netloc(cb), "bp": url_path(cb), "bq": url_query(cb),
+        "hs": url_scheme(ch), "hn": url_netloc(ch), "hp": url_path_noparams(ch),
+        # ';params' of the last segment; an empty one is dropped, as when a URL is put together
+        "hm": F.regexp_extract(url_path(ch), r";[^/;][^/]*$|;;[^/]*$", 0), "hq": url_query(ch), "hf": url_fragment(ch),
     }
     df = df.withColumns({u + k: v for k, v in parts.items()})
     c = {k: F.col(u + k) for k in parts}
     df = df.withColumn(u + "s", F.when(c["hs"] == "", c["bs"]).otherwise(c["hs"]))
     S = F.col(u + "s")
     # relative path: base directory + href path, empty middle segments dropped
-    bparts = F.split(c["bp"], "/")
+    bparts = F.split(F.regexp_replace(c["bp"], r";[^/]*$", ""), "/")
     bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
     df = df.withColumn(u + "r", F.concat(bdir, F.split(c["hp"], "/")))
     R = F.col(u + "r")
@@ -131,15 +140,15 @@ def with_joined_url(df, base: str, href: str, out: str = "abs_url"):
     df = df.withColumn(u + "m", _remove_dot_segments(F.when(c["hp"].startswith("/"), F.split(c["hp"], "/"))
                                                      .otherwise(rel)))
     M = F.col(u + "m")
-    net_abs = S.isin(*USES_NETLOC) & c["hh"]
+    net_abs = S.isin(*USES_NETLOC) & (c["hn"] != "")
     netloc = F.when(net_abs, c["hn"]).otherwise(c["bn"])
     res = (F.when(b.isNull() | (b == ""), h)
            .when(h.isNull() | (h == ""), b)
            .when((S != c["bs"]) | ~S.isin(*USES_RELATIVE), h)
-           .when(net_abs, _unparse(S, c["hn"], c["hp"], c["hq"], c["hf"]))
-           .when(c["hp"] == "", _unparse(S, netloc, c["bp"], F.when(c["hq"] != "", c["hq"]).otherwise(c["bq"]), c["hf"]))
-           .otherwise(_unparse(S, netloc, M, c["hq"], c["hf"])))
-    return df.withColumn(out, res).drop(*[u + k for k in parts], u + "s", u + "r", u + "m")
+           .when(net_abs, _unparse(S, c["hn"], F.concat(c["hp"], c["hm"]), c["hq"], c["hf"]))
+           .when((c["hp"] == "") & (c["hm"] == ""), _unparse(S, netloc, c["bp"], F.when(c["hq"] != "", c["hq"]).otherwise(c["bq"]), c["hf"]))
+           .otherwise(_unparse(S, netloc, F.concat(M, c["hm"]), c["hq"], c["hf"])))
+    return df.withColumn(out, res).drop(*[u + k for k in (*parts, *clean)], u + "s", u + "r", u + "m")
 
 
 NON_HTML_RE = "(" + "|".join(x.replace(".", "\\.") for x in NON_HTML_SUFFIXES) + ")$"

@@ -13,33 +13,23 @@ from pyspark.sql import functions as F
 
 from sitesift.dictionaries import URL_KEYWORDS
 from sitesift.functions.text import lit_array
-from sitesift.functions.urls import normalize_url, url_netloc, url_path, with_joined_url
+from sitesift.functions.urls import normalize_url, url_netloc, url_path_noparams, with_joined_url
 from sitesift.operators.htmltree import parse_pages
 from sitesift.operators.structure import links as page_links
 from sitesift.session import ensure_checkpoint_dir
 
 
-def relevance_score(url: Column, text: Column, keywords=None) -> Column:
-    """+5 if the lower-cased path contains a keyword, +3 if the lower-cased link
-    text does, plus max(0, 3 - number of '/' in the path). Use ``with_relevance``
-    on large inputs: it stages the path so the keyword loop reads a column."""
-    kws = lit_array(list(keywords or URL_KEYWORDS))
-    path = F.lower(url_path(url))
-    low = F.lower(F.coalesce(text, F.lit("")))
-    slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
-    return (F.when(F.exists(kws, lambda k: path.contains(k)), 5).otherwise(0)
-            + F.when(F.exists(kws, lambda k: low.contains(k)), 3).otherwise(0)
-            + F.greatest(F.lit(0), 3 - slashes))
-
-
 def with_relevance(df: DataFrame, url_col: str, text_col: str, out: str = "score", keywords=None) -> DataFrame:
-    df = df.withColumn("_rel_path", F.lower(url_path(F.col(url_col)))) \
+    """+5 if the lower-cased path (without ;params) contains a keyword, +3 if the
+    lower-cased link text does, plus max(0, 3 - number of '/' in the path). The path is
+    staged, so the keyword loop reads a column."""
+    df = df.withColumn("_rel_path", F.lower(url_path_noparams(F.col(url_col)))) \
         .withColumn("_rel_text", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    return df.withColumn(out, relevance_score_staged(F.col("_rel_path"), F.col("_rel_text"), keywords)) \
+    return df.withColumn(out, _relevance(F.col("_rel_path"), F.col("_rel_text"), keywords)) \
         .drop("_rel_path", "_rel_text")
 
 
-def relevance_score_staged(path: Column, low: Column, keywords=None) -> Column:
+def _relevance(path: Column, low: Column, keywords=None) -> Column:
     kws = lit_array(list(keywords or URL_KEYWORDS))
     slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
     return (F.when(F.exists(kws, lambda k: path.contains(k)), 5).otherwise(0)
@@ -71,19 +61,13 @@ def same_site_unseen(links: DataFrame, visited: DataFrame) -> DataFrame:
         .select("src_url", "dst_url")
 
 
-def _small_enough(n: int, spark) -> bool:
-    # ~100 bytes per (seed, url) row: 200k rows is ~20 MB per executor
-    limit = int(spark.conf.get("sitesift.crawl.broadcastFrontierRows", "200000"))
-    return n <= limit
-
-
 def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """C4: level-synchronous bounded traversal.
 
     seeds(seed) -> (seed, url, depth, priority): a URL is taken once per seed at
     its smallest depth; its priority is the best (lowest) over the links that
-    reach it from the previous level. The frontier is broadcast only when its
-    row count, measured after each checkpointed step, is under a limit.
+    reach it from the previous level. Join strategies are left to the engine, which
+    knows the sizes of the checkpointed steps in bytes.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
@@ -97,7 +81,6 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFra
         if n == 0:
             break
         f = frontier.select("seed", F.col("url").alias("src_url"))
-        f = F.broadcast(f) if _small_enough(n, spark) else f
         cand = (f.join(e, "src_url")
                 .filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("seed")))
                 .groupBy("seed", F.col("dst_url").alias("url")).agg(F.min("priority").alias("priority")))
@@ -155,82 +138,3 @@ def rate_audit(log: DataFrame, ts_col: str = "ts", domain_col: str = "domain", p
             .filter(F.col("n") > limit)
             .select("domain", F.unix_seconds(F.col("w.start").cast("timestamp")).alias("window_start"),
                     F.unix_seconds(F.col("w.end").cast("timestamp")).alias("window_end"), "n"))
-
-
-def _netloc_py(url: str) -> str:
-    import re
-    m = re.match(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?", url or "")
-    return (m.group(1) or "") if m else ""
-
-
-def best_first_order(seed: str, adj: dict, max_depth: int, max_pages: int):
-    """Exact best-first visit order from one seed (a small helper over one
-    seed's bounded edge list): pop (priority, url, depth); skip past the depth
-    or page cap, other netlocs and seen URLs; expand while under both limits."""
-    import heapq
-
-    site = _netloc_py(seed)
-    heap = [(0, seed, 0)]
-    seen, out = set(), []
-    while heap:
-        prio, url, depth = heapq.heappop(heap)
-        if depth > max_depth or len(seen) >= max_pages:
-            continue
-        if _netloc_py(url) != site or url in seen:
-            continue
-        seen.add(url)
-        out.append((url, depth, prio, len(out)))
-        if depth < max_depth and len(seen) < max_pages:
-            for p, dst in adj.get(url, ()):
-                if _netloc_py(dst) == site and dst not in seen:
-                    heapq.heappush(heap, (p, dst, depth + 1))
-    return out
-
-
-def crawl_best_first(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_pages: int = 50) -> DataFrame:
-    """Exact heap order per seed (priority before depth; a URL's depth is that
-    of its first dequeue), as (seed, url, depth, priority, visit).
-
-    Each seed's work is bounded independently of the site size: a page's
-    entries are taken in (priority, url) order and at most ``max_pages`` of
-    them can be accepted and at most ``max_pages`` skipped as already seen, so
-    only its best 2*max_pages distinct same-site targets can matter; and only
-    pages within ``max_depth - 1`` links of the seed are ever expanded. So one
-    seed's edge group holds at most (2*max_pages)^max_depth rows, whatever the
-    number of pages of the site. Other-site links never enter the group.
-    """
-    import pandas as pd
-
-    k = 2 * max_pages
-    e = (edges.groupBy("src_url", "dst_url").agg(F.min("priority").alias("priority")))
-    w = Window.partitionBy("src_url").orderBy("priority", "dst_url")
-    e = e.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-    e = e.checkpoint(eager=True)
-    # pages the crawl may expand: within max_depth - 1 links of the seed (over the pruned edges)
-    near = crawl_bfs(seeds, e, max(max_depth - 1, 0)).select("seed", F.col("url").alias("src_url"))
-    grp = near.join(e, "src_url").select("seed", "src_url", "dst_url", "priority")
-    grp = grp.unionByName(seeds.select("seed", F.lit(None).cast("string").alias("src_url"),
-                                       F.lit(None).cast("string").alias("dst_url"),
-                                       F.lit(None).cast("int").alias("priority")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = pdf["seed"].iloc[0]
-        adj: dict = {}
-        for s, d, p in pdf[["src_url", "dst_url", "priority"]].dropna().itertuples(index=False):
-            adj.setdefault(s, []).append((int(p), d))
-        rows = best_first_order(seed, adj, max_depth, max_pages)
-        return pd.DataFrame({"seed": [seed] * len(rows), "url": [r[0] for r in rows],
-                             "depth": [r[1] for r in rows], "priority": [r[2] for r in rows],
-                             "visit": [r[3] for r in rows]})
-
-    _ship_crawl_by_value()
-    return grp.groupBy("seed").applyInPandas(
-        run, "seed string, url string, depth int, priority int, visit int")
-
-
-def _ship_crawl_by_value():
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])

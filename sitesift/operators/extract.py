@@ -125,6 +125,70 @@ def explode_matches(df: DataFrame, text_col: str, pattern: str, group: int = 0,
     return (df.select(*ids, F.posexplode(find_all(F.col(text_col), pattern, group)).alias("pos", out)))
 
 
+MENTION = "array<struct<type:string,value:string>>"
+
+
+def _found_sql(text: str, pattern: str, group: int = 0) -> str:
+    from sitesift.functions.text import sql_quote
+    return (f"if({text} IS NULL OR {text} = '', cast(array() AS array<string>), "
+            f"regexp_extract_all({text}, {sql_quote(pattern)}, {group}))")
+
+
+def _typed_sql(arr: str, typ: str, value: str = "v") -> str:
+    return f"transform({arr}, v -> named_struct('type', '{typ}', 'value', {value}))"
+
+
+def mentions_of_texts_sql(texts: str, types, titles=None, fuzzy: bool = False, k: int = 5, min_score: int = 30) -> str:
+    """array<struct<type, value>> of the mentions in all texts of an array<string>
+    expression. Each text is cleaned once: every step of the chain is an array of
+    structs that the next one reads."""
+    from sitesift.functions import patterns as P
+    from sitesift.functions.fuzzy import fuzzy_titles_sql, windows_sql
+
+    kws = keyword_list(titles)
+    fuzzy = fuzzy and "title" in types and bool(kws)
+    step = f"transform({texts}, t -> named_struct('t', t, 'w', trim(regexp_replace(t, '(?U)\\\\s+', ' '))))"
+    step = f"transform({step}, s -> named_struct('t', s.t, 'c', if(s.w = '', s.t, s.w)))"
+    if fuzzy:
+        step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'f', "
+                "filter(split(s.c, ' '), w -> w != '')))")
+        step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'q', "
+                f"trim(regexp_replace(lower({windows_sql('s.f')}), '[^a-z0-9]', ' '))))")
+        step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'q', s.q, 'l', length(s.q), "
+                "'p', concat(' ', s.q, ' ')))")
+    parts = []
+    for t in types:
+        if t == "email":
+            parts.append(_typed_sql(_found_sql("s.c", P.EMAIL), t))
+        elif t == "name":
+            parts.append(_typed_sql(_found_sql("s.t", P.NAME, 1), t))
+        elif t == "phone":
+            parts.append(_typed_sql(_found_sql("s.c", P.PHONE), t, "regexp_replace(v, '(?U)^\\\\s+|\\\\s+$', '')"))
+        elif t == "title":
+            if kws:
+                parts.append(_typed_sql(_found_sql("s.c", P.title_alternation(kws), 1), t))
+            if fuzzy:
+                parts.append(_typed_sql(fuzzy_titles_sql(kws, k, min_score, "s.q", "s.l", "s.p"), t))
+        else:
+            raise ValueError(f"unknown mention type {t}")
+    return f"flatten(transform({step}, s -> concat(cast(array() AS {MENTION}), {', '.join(parts)})))"
+
+
+def wrapper_mentions_of_texts_sql(texts: str, titles=None) -> str:
+    """``wrapper_mention_array`` over all texts of an array<string> expression."""
+    from sitesift.functions import patterns as P
+    from sitesift.functions.text import sql_quote
+
+    kws = [k.lower() for k in (list(WRAPPER_TITLES) if titles is None else keyword_list(titles))]
+    parts = [_typed_sql(_found_sql("t", p), typ)
+             for typ, p in (("email", P.EMAIL), ("name", P.WRAPPER_NAME), ("phone", P.WRAPPER_PHONE))]
+    if kws:
+        words = "array(" + ", ".join(sql_quote(k) for k in kws) + ")"
+        parts.append(f"if(exists({words}, k -> contains(lower(t), k)), "
+                     f"array(named_struct('type', 'title', 'value', t)), cast(array() AS {MENTION}))")
+    return f"flatten(transform({texts}, t -> concat(cast(array() AS {MENTION}), {', '.join(parts)})))"
+
+
 class ExtractorRegistry:
     """Plug-in extractors (F1): name -> function(Column) -> array<string>.
 

@@ -223,19 +223,13 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 keep: tuple[str, ...] = ("url",), min_partitions: int | None = None) -> DataFrame:
     """Parse every page once into (id, keep..., text, elements, nodes).
 
-    Pages are independent, so this is a narrow stage. When the input arrives in
-    fewer partitions than the cluster has cores (a few large parquet splits),
-    it is spread out first by a round-robin repartition; at scale the scan's
-    own splits are used as they are.
+    Pages are independent, so this is a narrow stage over the input's own partitions;
+    ``min_partitions`` deals them out anew first (for a few large splits).
     """
     keep = [k for k in keep if k != id_col]
     src = pages.select(id_col, *keep, html_col)
-    from sitesift.session import partition_counts
-
-    cores, have = partition_counts(src)
-    want = min_partitions or cores
-    if have is not None and want and have < want:
-        src = src.repartition(want)
+    if min_partitions:
+        src = src.repartition(min_partitions)
     out_schema = T.StructType([src.schema[id_col]] + [src.schema[k] for k in keep] + PARSED_FIELDS)
 
     def fn(batches):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.functions.urls import (is_html_url, normalize_url, with_joined_url, url_fragment, url_netloc,
@@ -18,10 +20,11 @@ def parse_urls(df: DataFrame, col: str = "url") -> DataFrame:
             .withColumn("fragment", url_fragment(c)).filter(F.col("netloc") != ""))
 
 
-def unique_links(pages: DataFrame) -> DataFrame:
-    """Raw hrefs -> absolute (joined only when the href has no netloc) -> non-HTML
-    and mailto dropped -> URLs without a netloc dropped -> one row per (page,
-    normalized URL), the first in document order.
+def unique_links(pages: DataFrame, keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
+    """Raw hrefs -> absolute (joined only when the href has no netloc) -> URLs that
+    fail ``keep`` (a predicate on the absolute URL; by default non-HTML and mailto ones)
+    dropped -> URLs without a netloc dropped -> one row per (page, normalized URL), the
+    first link in document order that passes.
 
     Rows are dropped through the aggregate (``keep`` = the group's URL is
     valid), not by a filter under it, so the URL resolution is planned once
@@ -31,8 +34,9 @@ def unique_links(pages: DataFrame) -> DataFrame:
     h = h.withColumn("abs_url", F.when(url_netloc(F.col("href")) == "", F.col("_joined"))
                      .otherwise(F.col("href"))).drop("_joined")
     h = h.withColumn("norm_url", normalize_url(F.col("abs_url")))
-    h = h.withColumn("_ok", is_html_url(F.col("abs_url")) & F.col("norm_url").isNotNull())
-    first = F.min_by(F.struct("pos", "href", "abs_url"), F.col("pos"))
+    h = h.withColumn("_ok", F.coalesce(keep(F.col("abs_url")), F.lit(False)) & F.col("norm_url").isNotNull())
+    # the order is null, so never smallest, for links that fail
+    first = F.min_by(F.struct("pos", "href", "abs_url"), F.when(F.col("_ok"), F.col("pos")))
     g = h.groupBy("page_id", "url", "norm_url").agg(first.alias("f"), F.max("_ok").alias("keep"))
     return g.filter(F.col("keep")).select("page_id", "url", "norm_url", "f.pos", "f.href", "f.abs_url")
 

@@ -19,30 +19,6 @@ HEADER_TAGS = ["h1", "h2", "h3"]
 CONTACT_TAGS = ["a", "p", "div", "span"]
 
 
-def etext(e: Column, text: Column | None = None) -> Column:
-    """Text of an element: its slice of the page text."""
-    text = F.col("text") if text is None else text
-    return F.substring(text, e["text_start"] + 1, e["text_end"] - e["text_start"])
-
-
-def attr(e: Column, name: str) -> Column:
-    """Attribute value, '' when absent (a missing map key is null and poisons predicates)."""
-    return F.coalesce(e["attrs"].getItem(name), F.lit(""))
-
-
-def has_attr(e: Column, name: str) -> Column:
-    return e["attrs"].getItem(name).isNotNull()
-
-
-def class_tokens(e: Column) -> Column:
-    return F.split(attr(e, "class"), r"(?U)\s+")
-
-
-def has_class(e: Column, token: str) -> Column:
-    """Class token equality (multi-valued attribute), or the whole value equal to it."""
-    return F.array_contains(class_tokens(e), token) | (attr(e, "class") == token)
-
-
 def _explode_struct(parsed: DataFrame, arr: Column, ids=("page_id", "url")) -> DataFrame:
     return parsed.select(*ids, F.explode(arr).alias("_m")).select(*ids, "_m.*")
 
@@ -204,14 +180,18 @@ def vcards(parsed: DataFrame) -> DataFrame:
     """div.vcard: first descendant with class fn/org/email/tel -> name/organization/email/phone.
 
     Values are the raw element text (not pattern-checked here)."""
+    return _explode_struct(parsed, F.expr(vcard_sql()))
+
+
+def vcard_sql() -> str:
+    """array<struct<node_id, type, value>> of a page row's vCards."""
     desc = "slice(elements, vc.node_id + 2, greatest(vc.last_desc - vc.node_id, 0))"
     fields = ", ".join(
         f"named_struct('node_id', vc.node_id, 'type', {_q(typ)}, 'value', "
         f"element_at(transform(filter({desc}, dd -> {_has_class('dd', cls)}), dd -> {_etext('dd')}), 1))"
         for cls, typ in VCARD_FIELDS)
-    arr = F.expr(f"flatten(transform(filter(elements, el -> el.tag = 'div' AND {_has_class('el', 'vcard')}), "
-                 f"vc -> filter(array({fields}), r -> r.value IS NOT NULL)))")
-    return _explode_struct(parsed, arr)
+    return (f"flatten(transform(filter(elements, el -> el.tag = 'div' AND {_has_class('el', 'vcard')}), "
+            f"vc -> filter(array({fields}), r -> r.value IS NOT NULL)))")
 
 
 # ---- H12 JSON-LD ---------------------------------------------------------------------------------
@@ -219,35 +199,96 @@ def vcards(parsed: DataFrame) -> DataFrame:
 JSONLD_FIELDS = [("name", "name"), ("email", "email"), ("telephone", "phone"), ("jobTitle", "title")]
 
 
-def _scalar(v: Column, path: str) -> Column:
-    x = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(x)
-    return F.when(x.isNotNull() & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "NULL"),
-                  F.try_variant_get(v, path, "string"))
+def prepare_jsonld(df: DataFrame) -> None:
+    """Of equal keys in JSON the session keeps the last."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def jsonld_problems(parsed: DataFrame) -> DataFrame:
+    """One row (page_id, url, level, message) per JSON-LD script that cannot be parsed."""
+    prepare_jsonld(parsed)
+    arr = F.expr("transform(filter(elements, el -> el.tag = 'script' AND "
+                 f"{_attr('el', 'type')} = 'application/ld+json' AND trim(coalesce(el.raw_text, '')) <> '' "
+                 "AND try_parse_json(el.raw_text) IS NULL), "
+                 "el -> named_struct('level', 'warning', 'message', 'JSON-LD could not be parsed'))")
+    return _explode_struct(parsed, arr)
 
 
 def jsonld(parsed: DataFrame) -> DataFrame:
     """<script type="application/ld+json">: a list gives its first item; an item whose
     scalar @type is Person or Organization yields name/email/phone/title.
-    Unparseable JSON, an empty script or an empty list give no rows."""
-    arr = F.expr("transform(filter(elements, el -> el.tag = 'script' AND "
-                 f"{_attr('el', 'type')} = 'application/ld+json' AND el.raw_text IS NOT NULL), "
-                 "el -> named_struct('node_id', el.node_id, 'v', try_parse_json(el.raw_text)))")
-    df = _explode_struct(parsed, arr)
-    v = F.col("v")
-    item = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant")).otherwise(v)
-    df = df.select("page_id", "url", "node_id", item.alias("item"))
-    typ = _scalar(F.col("item"), "$['@type']")
-    df = df.filter(F.col("item").isNotNull() & F.schema_of_variant("item").startswith("OBJECT")
-                   & typ.isin("Person", "Organization"))
-    rows = F.array(*[F.struct(F.lit(t).alias("type"), _scalar(F.col("item"), f"$.{k}").alias("value"))
-                     for k, t in JSONLD_FIELDS])
-    return (df.select("page_id", "url", "node_id", F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("_m"))
-            .select("page_id", "url", "node_id", "_m.type", "_m.value"))
+    Of a key given twice the last value counts. Unparseable JSON, an empty script or an
+    empty list give no rows (see ``jsonld_problems``)."""
+    prepare_jsonld(parsed)
+    return _explode_struct(parsed, F.expr(jsonld_sql()))
+
+
+def jsonld_sql() -> str:
+    """array<struct<node_id, type, value>> of a page row's JSON-LD scripts. The session
+    must keep the last of equal keys (``prepare_jsonld``)."""
+    def scalar(path):
+        x = f"try_variant_get(it.v, {_q(path)}, 'variant')"
+        return (f"CASE WHEN {x} IS NOT NULL AND NOT rlike(schema_of_variant({x}), '^(OBJECT|ARRAY|VOID|NULL)') "
+                f"THEN try_variant_get(it.v, {_q(path)}, 'string') END")
+    scripts = (f"filter(elements, el -> el.tag = 'script' AND {_attr('el', 'type')} = 'application/ld+json' "
+               "AND el.raw_text IS NOT NULL)")
+    parsed = f"transform({scripts}, el -> named_struct('node_id', el.node_id, 'v', try_parse_json(el.raw_text)))"
+    items = (f"transform({parsed}, x -> named_struct('node_id', x.node_id, 'v', "
+             "CASE WHEN startswith(schema_of_variant(x.v), 'ARRAY') THEN try_variant_get(x.v, '$[0]', 'variant') ELSE x.v END))")
+    typ = scalar("$['@type']")
+    objects = (f"filter({items}, it -> it.v IS NOT NULL AND startswith(schema_of_variant(it.v), 'OBJECT') "
+               f"AND ({typ}) IN ('Person', 'Organization'))")
+    rows = ", ".join(f"named_struct('node_id', it.node_id, 'type', '{t}', 'value', {scalar('$.' + k)})"
+                     for k, t in JSONLD_FIELDS)
+    return f"flatten(transform({objects}, it -> filter(array({rows}), r -> r.value IS NOT NULL)))"
+
+
+# ---- texts of a page row, for pipelines that search all of them in one pass ----------------
+
+def block_texts_sql(ctx: dict | None = None) -> str:
+    """array<string>: texts of context blocks and of siblings of keyword headers."""
+    kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
+    told = lambda a: f"exists({kws}, k -> contains(lower({_attr('el', a)}), k))"
+    blocks = (f"transform(filter(elements, el -> {_in('el.tag', CONTEXT_BLOCK_TAGS)} AND ({told('class')} OR {told('id')})), "
+              f"el -> {_etext('el')})")
+    heads = (f"filter(elements, el -> {_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0 AND "
+             f"exists({kws}, k -> contains(lower({_etext('el')}), k)))")
+    sib = "element_at(elements, el.next_sib + 1)"
+    return (f"concat({blocks}, transform({heads}, el -> "
+            f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start)))")
+
+
+def page_texts_sql() -> str:
+    """array<string>: page text, joined meta contents, text of every link."""
+    meta = (f"array_join(transform(filter(elements, el -> {_desc_meta_pred('el')}), el -> {_attr('el', 'content')}), ' ')")
+    ln = "filter(elements, el -> el.tag = 'a' AND el.attrs['href'] IS NOT NULL)"
+    return f"concat(array(text, {meta}), transform({ln}, el -> {_etext('el')}))"
+
+
+def wrapper_texts_sql() -> str:
+    """array<string>: stripped text nodes, meta contents, texts of contact elements."""
+    nodes = ("transform(filter(nodes, tn -> tn.s_end > tn.s_start), "
+             "tn -> substring(text, tn.s_start + 1, tn.s_end - tn.s_start))")
+    meta = f"transform(filter(elements, el -> {_desc_meta_pred('el')}), el -> {_attr('el', 'content')})"
+    touch = (f"transform(filter(elements, el -> {_in('el.tag', CONTACT_TAGS)} AND (array_contains(split({_attr('el', 'class')}, "
+             f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr('el', 'id')}, 'contact') > 0)), el -> {_etext('el')})")
+    return f"concat({nodes}, {meta}, {touch})"
+
+
+def mailto_sql(tags: tuple[str, ...] = ("a",)) -> str:
+    """array<string>: addresses of mailto: hrefs."""
+    return (f"transform(filter(elements, el -> {_in('el.tag', tags)} AND startswith({_attr('el', 'href')}, 'mailto:')), "
+            f"el -> substring({_attr('el', 'href')}, 8))")
+
+
+def hrefs_sql() -> str:
+    return ("transform(filter(elements, el -> el.tag = 'a' AND el.attrs['href'] IS NOT NULL), "
+            f"el -> {_attr('el', 'href')})")
 
 
 __all__ = [
-    "etext", "attr", "has_attr", "has_class", "page_text", "text_nodes", "element_rows",
+    "block_texts_sql", "page_texts_sql", "wrapper_texts_sql", "mailto_sql", "hrefs_sql",
+    "page_text", "text_nodes", "element_rows",
     "meta_contents", "meta_joined", "links", "hrefs_raw", "mailto", "contact_elements",
-    "context_blocks", "header_siblings", "vcards", "jsonld", "strip_ws",
+    "context_blocks", "header_siblings", "vcards", "vcard_sql", "jsonld", "jsonld_sql", "jsonld_problems", "prepare_jsonld", "strip_ws",
 ]

@@ -8,13 +8,13 @@ a statistical tagger.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.dictionaries import keyword_list
 from sitesift.functions import patterns as P
-from sitesift.functions.text import lit_array
+from sitesift.functions.text import lit_array, sql_quote
+from sitesift.session import stored
 
 RECORD_FIELDS = ["email", "name", "linkedin", "title", "phone"]
 
@@ -106,45 +106,71 @@ def org_from_titles(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return j.groupBy("title", "name").agg(F.min_by("_pt", "_pi").alias("title_org"))
 
 
+def _rule_tokens_sql(value: str) -> str:
+    """array<struct<text, pos>> of one value by the stand-in tagger's rules."""
+    words = lambda ws: ", ".join(sql_quote(w) for w in ws)
+    pos = (f"CASE WHEN lower(t) = 'of' THEN 'ADP' WHEN lower(t) IN ({words(DETERMINERS)}) THEN 'DET' "
+           f"WHEN endswith(lower(t), 'ly') THEN 'ADV' WHEN lower(t) IN ({words(ADJECTIVES)}) THEN 'ADJ' "
+           "WHEN t RLIKE '^[A-Z]' THEN 'PROPN' ELSE 'NOUN' END")
+    return (f"transform(filter(split({value}, ' '), t -> t <> ''), t -> named_struct('text', t, 'pos', {pos}))")
+
+
+#: V5 over a token array ``_tk``: the first span, as its text, position and length.
+_SPAN_SQL = """if(size(_tk) > 0, get(filter(transform(sequence(1, size(_tk)), j -> CASE
+    WHEN get(_tk, j).pos = 'NOUN' AND get(_tk, j - 1).pos IN ('ADJ', 'NOUN')
+    THEN named_struct('span', concat_ws(' ', get(_tk, j - 1).text, get(_tk, j).text), 'at', j, 'n', 2)
+    WHEN get(_tk, j - 1).pos = 'PROPN' AND lower(get(_tk, j).text) = 'of' AND get(_tk, j + 1).pos = 'PROPN'
+    THEN named_struct('span', concat_ws(' ', get(_tk, j - 1).text, get(_tk, j).text, get(_tk, j + 1).text), 'at', j, 'n', 3)
+    END), x -> x IS NOT NULL), 0), NULL)"""
+#: V6 (title part): the first PROPN token inside the span that is not part of the name.
+_ORG_SQL = """get(filter(slice(_tk, _sp.at, _sp.n), x -> x.pos = 'PROPN'
+    AND instr(coalesce(name, ''), x.text) = 0), 0).text"""
+
+
+def _key(col: str) -> Column:
+    """``col``, or for a null one of 1,024 values that no value equals: rows without the
+    field, most of a sparse table, are not gathered in one task by a join."""
+    spread = F.pmod(F.xxhash64("src_url", *RECORD_FIELDS), F.lit(1024)).cast("string")
+    return F.coalesce(F.col(col), F.concat(F.lit("\u0000"), spread))
+
+
 def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles=None) -> DataFrame:
     """V1-V7 on sparse records (email, name, linkedin, title, phone, src_url).
 
     Null-safe and single pass. Organization enrichment (V6): an ORG entity of
     the validated name, overridden by the first PROPN token of the validated
     title span that is not part of the name. A record is kept when any
-    validated field is non-null.
+    validated field is non-null. Without a token table the stand-in tagger works on
+    the row's own values and nothing is joined; with one, names and titles are looked
+    up in it.
     """
-    # the records feed the token table and the main flow: compute them once, and
-    # cut their (long) lineage so the plans built below stay small
-    from sitesift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(records.sparkSession)
-    r = records.checkpoint(eager=True)
+    r = records
     for f in RECORD_FIELDS + ["organization"]:
         if f not in r.columns:
             r = r.withColumn(f, F.lit(None).cast("string"))
+    r = r.select(*RECORD_FIELDS, "organization", "src_url")
     if tokens is None:
-        vals = r.select(F.col("title").alias("value")).unionByName(r.select(F.col("name").alias("value")))
-        # read by four lookups below: build once
-        tokens = rule_tokens(vals, titles=titles).persist(StorageLevel.MEMORY_AND_DISK)
-    orgs = (tokens.filter(F.col("ent_label") == "ORG").groupBy("value", "ent_id")
-            .agg(F.min("i").alias("i0"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))),
-                                                                   lambda s: s["text"]), " ").alias("t"))
-            .groupBy("value").agg(F.max_by("t", "i0").alias("name_org")).withColumnRenamed("value", "_ov"))
-    names = entity_names(tokens).withColumnRenamed("value", "_nv")
-    spans = title_spans(tokens).withColumnRenamed("value", "_tv")
-    out = (r.withColumn("email", validate_email(F.col("email")))
-           .withColumn("phone", validate_phone(F.col("phone")))
-           .withColumn("linkedin", validate_linkedin(F.col("linkedin")))
-           .join(names, F.col("name") == F.col("_nv"), "left")
-           .join(spans, F.col("title") == F.col("_tv"), "left")
-           .withColumn("name", F.col("valid_name"))
-           # ORG entities are looked up on the validated name text (what gets re-tagged)
-           .join(orgs, F.col("name") == F.col("_ov"), "left"))
-    # the title override depends only on (original title, validated name): per distinct pair
-    pairs = out.filter(F.col("valid_title").isNotNull()).select("title", "name", "span_i", "span_last").distinct()
-    tor = org_from_titles(pairs, tokens).withColumnRenamed("title", "_ot").withColumnRenamed("name", "_on")
-    res = (out.join(tor, (F.col("title") == F.col("_ot")) & F.col("name").eqNullSafe(F.col("_on")), "left")
-           .withColumn("organization", F.coalesce(F.col("title_org"), F.col("name_org"), F.col("organization")))
-           .withColumn("title", F.col("valid_title")))
+        r = (r.withColumn("_tk", F.expr(_rule_tokens_sql("title"))).withColumn("name_org", F.lit(None).cast("string"))
+             .withColumn("valid_name", validate_name_rule(F.col("name"), titles)))
+    else:
+        tokens = stored(tokens.select("value", "i", "text", "pos", "ent_label", "ent_id"), "tokens")
+        ordered = F.array_sort(F.collect_list(F.struct("i", "text", "pos")))
+        of_title = tokens.groupBy(F.col("value").alias("_k")).agg(
+            F.transform(ordered, lambda x: F.struct(x["text"].alias("text"), x["pos"].alias("pos"))).alias("_tk"))
+        entity = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ")
+        orgs = (tokens.filter(F.col("ent_label") == "ORG").groupBy("value", "ent_id")
+                .agg(F.min("i").alias("i0"), entity.alias("t"))
+                .groupBy(F.col("value").alias("_k")).agg(F.max_by("t", "i0").alias("name_org")))
+        names = entity_names(tokens).withColumnRenamed("value", "_k")
+        r = r.withColumn("_k", _key("name")).join(names, "_k", "left").drop("_k")
+        r = r.withColumn("_k", _key("title")).join(of_title, "_k", "left").drop("_k")
+        # ORG entities are looked up on the validated name text (what gets re-tagged)
+        r = r.withColumn("_k", _key("valid_name")).join(orgs, "_k", "left").drop("_k")
+    r = (r.withColumn("name", F.col("valid_name")).withColumn("_sp", F.expr(_SPAN_SQL))
+         .withColumn("_org", F.expr(_ORG_SQL))
+         .withColumn("email", validate_email(F.col("email"))).withColumn("phone", validate_phone(F.col("phone")))
+         .withColumn("linkedin", validate_linkedin(F.col("linkedin")))
+         .withColumn("organization", F.coalesce("_org", "name_org", "organization"))
+         .withColumn("title", F.col("_sp.span")))
     keep = F.coalesce(*[F.col(f) for f in RECORD_FIELDS]).isNotNull()
-    return res.filter(keep).select(*RECORD_FIELDS, "organization", "src_url")
+    return r.filter(keep).select(*RECORD_FIELDS, "organization", "src_url")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.dictionaries import DEFAULT_TITLES, URL_KEYWORDS, WRAPPER_TITLES
+from sitesift.dictionaries import (BASE_CONFIDENCE, CONTEXT_KEYWORDS, DEFAULT_TITLES, URL_KEYWORDS, WEIGHT_FACTOR,
+                                   WRAPPER_TITLES)
 from sitesift.functions import patterns as P
 from sitesift.functions.text import clean_text, find_all
 from sitesift.functions.urls import (is_html_url, normalize_url, with_joined_url, url_fragment, url_netloc,
@@ -69,13 +70,26 @@ def sql_explode(select_ids, arr_expr, from_sql, value="value", pos=True):
 
 
 # ================================================================ sources
+# seed lines: hosts between tabs and spaces, and lines of white space alone
+SEED_LINES_SQL = """
+SELECT chr(9) || ' ' || regexp_replace(url, '^https?://', '') || ' ' || chr(9) AS value FROM pages
+UNION ALL SELECT ' ' || url FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT chr(9) || ' ' FROM pages WHERE page_id % 5 = 0
+"""
+
+
 @query("src_seeds", """
 SELECT CASE WHEN starts_with(s, 'http') THEN s ELSE 'http://' || s END AS seed
-FROM (SELECT trim(regexp_replace(url, '^https?://', '')) AS s FROM pages) t WHERE s <> ''
+FROM (SELECT trim(value, ' ' || chr(9)) AS s FROM (""" + SEED_LINES_SQL + """) l) t WHERE s <> ''
 """)
 def q_src_seeds(spark, d):
-    lines = T(spark, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("value"))
-    return seeds_from_lines(lines)
+    """Seed lines written as a text file to the shared folder and read as seeds."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.readers import read_seeds
+    T(spark, d, "pages").createOrReplaceTempView("pages")
+    path = scratch_path(spark, "seeds")
+    spark.sql(SEED_LINES_SQL).write.text(path)
+    return read_seeds(spark, path)
 
 
 @query("src_pages", "SELECT page_id, url, html FROM pages")
@@ -84,6 +98,16 @@ def q_src_pages(spark, d):
     return read_pages(spark, f"{d.rstrip('/')}/pages.parquet")
 
 
+@query("src_pages_json", "SELECT page_id, url, html FROM pages")
+def q_src_pages_json(spark, d):
+    """The page table written as JSON lines to the shared folder and read with a schema."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.readers import read_pages
+    path = scratch_path(spark, "pages_json")
+    T(spark, d, "pages").write.json(path)
+    return read_pages(spark, path, fmt="json")
+
+
 FETCH_LOG_SQL = """
 SELECT 'http://site' || cast(user_id AS string) || '.example.com/e/' || cast(event_id AS string) AS url,
        CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status,
@@ -182,11 +206,27 @@ def q_x_phone(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(phones_in(F.col("text"))).alias("pos", "value"))
 
 
+# documents with job titles, an e-mail that only the extractor takes and a phone that only it takes
+TITLED_SQL = """
+SELECT doc_id, text || (CASE doc_id % 5
+    WHEN 0 THEN ' Our Project Manager met the DIRECTOR. '
+    WHEN 1 THEN ' ask the vp or a sales manager '
+    WHEN 2 THEN ' write to a.b@c' || cast(doc_id AS string) || '.example.co|m now '
+    WHEN 3 THEN ' Phone: (212) 555-01' || lpad(cast(doc_id % 100 AS string), 2, '0') || ' now '
+    ELSE '' END) AS text FROM documents
+"""
+
+
+def _titled(spark, d):
+    T(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("documents")
+    return spark.sql(TITLED_SQL)
+
+
 @query("x_title_exact", sql_explode("doc_id", "regexp_extract_all(" + ASCII_US.format(c=sql_clean("text"))
-                                    + f", '{re2_titles(DEFAULT_TITLES)}', 1)", "documents"))
+                                    + f", '{re2_titles(DEFAULT_TITLES)}', 1)", "(" + TITLED_SQL + ") td"))
 def q_x_title_exact(spark, d):
     from sitesift.functions.text import titles_in
-    return _docs(spark, d).select("doc_id", F.posexplode(titles_in(F.col("text"), DEFAULT_TITLES)).alias("pos", "value"))
+    return _titled(spark, d).select("doc_id", F.posexplode(titles_in(F.col("text"), DEFAULT_TITLES)).alias("pos", "value"))
 
 
 @query("x_safe_extract", """
@@ -245,13 +285,44 @@ def q_url_join(spark, d):
     return with_joined_url(h, "url", "href", "abs_url").select("page_id", "pos", "href", "abs_url")
 
 
+# one href of each kind; the wanted URL is what urljoin gives for the page's host
+JOIN_HREFS = ["c", "/c", "../c", "./c", "?z=2", "#t", "", "//o.example.com/p", "https://o.example.com", "a/../d",
+              "../../../e", "mailto:x@y.z", "tel:1", "c/./d/", "c/..", "/x/../../y", "g;p?q#f", "..", ".", " /c",
+              "\n/c\n", "/c\t/d", "//", "///x", "  ", ";p", "..;p", ";", "a//b", "/a//b", "http:", "http:a", " mailto:x"]
+JOIN_BASE = "http://h@@.example.com/a/b;x?q=1#f"
+
+
+def _join_cases_sql():
+    from urllib.parse import urljoin
+
+    quote = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    rows = ", ".join(f"({i}, {quote(h)}, {quote(urljoin(JOIN_BASE, h))})" for i, h in enumerate(JOIN_HREFS))
+    return f"(VALUES {rows}) AS jc(k, href, want)"
+
+
+@query("url_join_cases", f"""
+SELECT p.page_id, jc.k, jc.href, replace(jc.want, '@@', cast(p.page_id AS string)) AS abs_url FROM pages p, {_join_cases_sql()}
+""")
+def q_url_join_cases(spark, d):
+    base = T(spark, d, "pages").select("page_id", F.replace(F.lit(JOIN_BASE), F.lit("@@"), F.col("page_id").cast("string")).alias("base"))
+    cases = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(h).alias("href")) for i, h in enumerate(JOIN_HREFS)])
+    rows = base.select("page_id", "base", F.explode(cases).alias("c")).select("page_id", "base", "c.k", "c.href")
+    return with_joined_url(rows, "base", "href", "abs_url").select("page_id", "k", "href", "abs_url")
+
+
+FILTER_SUFFIXES = ["", ".html", ".css", ".css?v=1", ".pdf", ".PDF", ".js", ".jsonx"]
+
+
 @query("url_filter", f"""
-SELECT page_id, pos, abs_url, NOT (regexp_matches(abs_url, '\\.(json|css|png|jpg|svg|ico|js|gif|pdf|xml)$')
-                                  OR starts_with(abs_url, 'mailto')) AS is_html
-FROM (SELECT page_id, pos, {SQL_JOIN_ROOTREL} AS abs_url FROM ({HREFS_SQL}) h) j
+SELECT page_id, pos, abs_url || x.suffix AS abs_url,
+       NOT (regexp_matches(abs_url || x.suffix, '\\.(json|css|png|jpg|svg|ico|js|gif|pdf|xml)$')
+            OR starts_with(abs_url || x.suffix, 'mailto')) AS is_html
+FROM (SELECT page_id, pos, {SQL_JOIN_ROOTREL} AS abs_url FROM ({HREFS_SQL}) h) j,
+     (VALUES {", ".join(f"('{x}')" for x in FILTER_SUFFIXES)}) AS x(suffix)
 """)
 def q_url_filter(spark, d):
-    j = q_url_join(spark, d)
+    j = q_url_join(spark, d).withColumn("s", F.explode(F.array(*map(F.lit, FILTER_SUFFIXES))))
+    j = j.withColumn("abs_url", F.concat("abs_url", "s"))
     return j.select("page_id", "pos", "abs_url", is_html_url(F.col("abs_url")).alias("is_html"))
 
 
@@ -318,6 +389,23 @@ def q_html_context_blocks(spark, d):
     return S.context_blocks(_cparsed(spark, d)).select("page_id", "keyword", "weight", "via", "text")
 
 
+CTX_CLASSES = ["Staff-directory", "x company", "group", "plain", "MEMBERS crew"]
+CTX_VALUES = ", ".join(f"('{k}', '{w}')" for w, ks in CONTEXT_KEYWORDS.items() for k in ks)
+CTX_CASE = "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CTX_CLASSES)) + " END"
+
+
+@query("html_context_weights", f"""
+SELECT c_custkey AS page_id, kw.keyword, kw.weight, a.via, 'T' || cast(c_custkey AS string) AS text
+FROM customer, (VALUES ('class'), ('id')) AS a(via), (VALUES {CTX_VALUES}) AS kw(keyword, weight)
+WHERE contains(lower(CASE WHEN a.via = 'class' THEN {CTX_CASE} ELSE 'unit-' || c_mktsegment END), kw.keyword)
+""")
+def q_html_context_weights(spark, d):
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    pages = spark.sql(f"""SELECT c_custkey AS page_id, 'http://x' AS url, '<div class="' || {CTX_CASE} || '" id="unit-' ||
+                          c_mktsegment || '">T' || cast(c_custkey AS string) || '</div>' AS html FROM customer""")
+    return S.context_blocks(parse_pages(pages)).select("page_id", "keyword", "weight", "via", "text")
+
+
 @query("html_header_siblings", f"SELECT page_id, 'high' AS weight, cname || ' ' || title AS text FROM {GEN}")
 def q_html_header_siblings(spark, d):
     return S.header_siblings(_cparsed(spark, d)).select("page_id", "weight", "text")
@@ -411,30 +499,34 @@ def q_pipe_wrapper(spark, d):
 
 # ================================================================ aggregation over document mentions
 def _doc_mentions(spark, d):
-    """Mentions (email, name, phone, title) of every document, with url = 'doc://<id>'."""
-    docs = T(spark, d, "documents").select(F.col("doc_id").alias("page_id"),
+    """Mentions (email, name, phone, title) of every titled document, with url = 'doc://<id>'."""
+    docs = _titled(spark, d).select(F.col("doc_id").alias("page_id"),
                                            F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
     return text_mentions(docs, "text", origin="text", types=("email", "name", "phone", "title"),
                          titles=DEFAULT_TITLES, min_len=3)
 
 
-DOC_MENTIONS_SQL = f"""
+def sql_doc_mentions(src):
+    return f"""
 SELECT doc_id AS page_id, 'doc://' || cast(doc_id AS string) AS url, 'email' AS type,
-       unnest(regexp_extract_all({sql_clean('text')}, '{RE2_EMAIL}')) AS value FROM documents WHERE length(text) >= 3
+       unnest(regexp_extract_all({sql_clean('text')}, '{RE2_EMAIL}')) AS value FROM {src} WHERE length(text) >= 3
 UNION ALL
 SELECT doc_id, 'doc://' || cast(doc_id AS string), 'name',
-       trim(unnest(regexp_extract_all({ASCII_US.format(c='text')}, '{RE2_NAME}', 1))) FROM documents WHERE length(text) >= 3
+       trim(unnest(regexp_extract_all({ASCII_US.format(c='text')}, '{RE2_NAME}', 1))) FROM {src} WHERE length(text) >= 3
 UNION ALL
 SELECT doc_id, 'doc://' || cast(doc_id AS string), 'phone',
        trim(unnest(regexp_extract_all({sql_clean('text')}, '{RE2_PHONE}')), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))
-       FROM documents WHERE length(text) >= 3
+       FROM {src} WHERE length(text) >= 3
 UNION ALL
 SELECT doc_id, 'doc://' || cast(doc_id AS string), 'title',
        unnest(regexp_extract_all({ASCII_US.format(c=sql_clean('text'))}, '{re2_titles(DEFAULT_TITLES)}', 1))
-       FROM documents WHERE length(text) >= 3
+       FROM {src} WHERE length(text) >= 3
 """
 
 
+DOC_MENTIONS_SQL = sql_doc_mentions("(" + TITLED_SQL + ") td")
+
+
 @query("agg_distinct_mentions", f"SELECT DISTINCT page_id, url, type, value FROM ({DOC_MENTIONS_SQL}) m "
                                 "WHERE value IS NOT NULL AND value <> 'not_found'")
 def q_agg_distinct_mentions(spark, d):
@@ -538,7 +630,7 @@ def q_v_name(spark, d):
 
 
 # ================================================================ crawl (generated link trees, test pages, events)
-from sitesift.plans.generated import LINK_HTML_SQL, link_pages, link_seeds  # noqa: E402
+from sitesift.plans.generated import LINK_HTML_SQL, link_pages, link_seeds, register_views  # noqa: E402
 
 LGEN = "(" + LINK_HTML_SQL + ") lg"
 
@@ -562,7 +654,7 @@ FROM (SELECT page_id, src_url, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS hr
 
 def sql_score(url, text):
     kws = sql_list(URL_KEYWORDS)
-    path = f"lower({sql_url_part(url, 5)})"
+    path = f"lower(regexp_replace({sql_url_part(url, 5)}, ';[^/]*$', ''))"
     return (f"((CASE WHEN len(list_filter({kws}, lambda k: contains({path}, k))) > 0 THEN 5 ELSE 0 END)"
             f" + (CASE WHEN len(list_filter({kws}, lambda k: contains(lower({text}), k))) > 0 THEN 3 ELSE 0 END)"
             f" + greatest(0, 3 - (length({path}) - length(replace({path}, '/', '')))))")
@@ -708,7 +800,6 @@ sc AS (SELECT {ids}, kw, ord,
       CASE WHEN length(kp) = 0 OR length(qp) = 0 THEN 0
            WHEN contains(qp, kp) THEN 60
            WHEN len(list_intersect(string_split_regex(kp, ' +'), qw)) > 0 THEN 57
-           WHEN 100 * least(length(kp), length(qp)) < 30 * greatest(length(kp), length(qp)) THEN 0
            ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(kp, qp) / greatest(length(kp), length(qp)))) AS INTEGER))
       END AS score
     FROM q CROSS JOIN {sql_dict(keywords)})
@@ -727,6 +818,28 @@ def q_x_title_fuzzy(spark, d):
         .select("doc_id", "value", (F.col("rk") + 1).alias("rk"))
 
 
+SHORT_SQL = "SELECT c_custkey AS doc_id, c_name || ' works in ' || c_mktsegment || ' since ' || cast(c_nationkey AS string) AS text FROM customer"
+
+
+@query("x_title_fuzzy_low", "SELECT doc_id, value, rk FROM (" + sql_fuzzy("(" + SHORT_SQL + ") st", "doc_id", DEFAULT_TITLES, 8, 10) + ") f")
+def q_x_title_fuzzy_low(spark, d):
+    """Fuzzy titles with a low cut-off, where keywords of very different length still score."""
+    from sitesift.functions.fuzzy import fuzzy_titles_of, with_fuzzy_query
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    docs = with_fuzzy_query(spark.sql(SHORT_SQL), F.col("text"))
+    return docs.select("doc_id", F.posexplode(fuzzy_titles_of(DEFAULT_TITLES, 8, 10)).alias("rk", "value")) \
+        .select("doc_id", "value", (F.col("rk") + 1).alias("rk"))
+
+
+@query("x_ratio_exact")
+def q_x_ratio_exact(spark, d):
+    """Exact 2*M/T ratio of customer and supplier names; matching blocks have no SQL form, so
+    it is held against a plain matcher in tests/."""
+    from sitesift.functions.fuzzy import ratio_udf
+    c, s = T(spark, d, "customer"), T(spark, d, "supplier")
+    return c.join(s, c.c_custkey == s.s_suppkey).select("c_custkey", ratio_udf("c_name", "s_name").alias("ratio"))
+
+
 @query("x_fuzzy_match", """
 SELECT c_custkey, s_name, c_name, r AS ratio, r >= 50 AS is_match FROM (
   SELECT c_custkey, s_name, c_name,
@@ -882,33 +995,64 @@ SELECT CASE WHEN type = 'email' THEN value END AS email, CASE WHEN type = 'name'
        url AS src_url
 FROM ({CONTACT_INFO_SQL}) m
 """
-REC_TITLES = "(SELECT title AS value FROM (" + RECORDS_SQL + ") r)"
+# records of several fields: titles that are and are not found, phones that pass and fail
+EXTRA_RECORDS_SQL = """
+SELECT CASE c_custkey % 6 WHEN 0 THEN 'c' || cast(c_custkey AS string) || '@x.example.com' WHEN 1 THEN 'a@b.co|m' END AS email,
+       CASE c_custkey % 5 WHEN 0 THEN 'Director Ruiz' WHEN 1 THEN 'Ana Lee' WHEN 2 THEN 'ana' END AS name,
+       CASE c_custkey % 7 WHEN 0 THEN 'https://linkedin.com/in/c-' || cast(c_custkey AS string) WHEN 1 THEN 'https://x.com/in/c' END AS linkedin,
+       CASE c_custkey % 4 WHEN 0 THEN 'senior engineer' WHEN 1 THEN 'Director of Sales' WHEN 2 THEN 'quickly'
+            ELSE 'the project manager here' END AS title,
+       CASE c_custkey % 3 WHEN 0 THEN '+1 212-555-' || lpad(cast(c_custkey % 10000 AS string), 4, '0')
+            WHEN 1 THEN '(212) 555-0101' END AS phone,
+       CASE c_custkey % 2 WHEN 0 THEN 'Org ' || c_mktsegment END AS organization,
+       'http://x/' || cast(c_custkey AS string) AS src_url
+FROM customer
+"""
+ALL_RECORDS_SQL = RECORDS_SQL + " UNION ALL " + EXTRA_RECORDS_SQL
+REC_TITLES = "(SELECT title AS value FROM (" + ALL_RECORDS_SQL + ") r)"
 
 V_RECORD_SQL = f"""
-WITH r AS ({RECORDS_SQL}),
+WITH r0 AS (SELECT row_number() OVER () AS rid, * FROM ({ALL_RECORDS_SQL}) a),
+r AS (SELECT * REPLACE (CASE WHEN regexp_matches(name, '{NAME_RULE}')
+                       AND len(list_filter(string_split(lower(name), ' '),
+                                           lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
+                  THEN name END AS name) FROM r0),
 sp AS ({sql_spans(sql_tokens(REC_TITLES))}),
 tk AS ({sql_tokens(REC_TITLES)}),
-v AS (SELECT CASE WHEN regexp_matches(r.email, '{V_EMAIL_RE2}') THEN r.email END AS email,
-             CASE WHEN regexp_matches(r.name, '{NAME_RULE}')
-                       AND len(list_filter(string_split(lower(r.name), ' '),
-                                           lambda w: list_contains({sql_list([k.lower() for k in DEFAULT_TITLES])}, w))) = 0
-                  THEN r.name END AS name,
+org AS (SELECT r.rid, min_by(t.text, t.i) AS org FROM r JOIN sp ON sp.value = r.title JOIN tk t ON t.value = r.title
+        WHERE t.pos = 'PROPN' AND t.i BETWEEN sp.span_i AND sp.span_last AND NOT contains(coalesce(r.name, ''), t.text)
+        GROUP BY r.rid),
+v AS (SELECT CASE WHEN regexp_matches(r.email, '{V_EMAIL_RE2}') THEN r.email END AS email, r.name,
              CASE WHEN regexp_matches(r.linkedin, '^https?://(?:www\\.)?linkedin\\.com/in/[\\w\\-]+/?$') THEN r.linkedin END AS linkedin,
              sp.valid_title AS title,
              CASE WHEN regexp_matches(r.phone, '{V_PHONE_RE2}') THEN r.phone END AS phone,
-             coalesce((SELECT t.text FROM tk t WHERE t.value = r.title AND t.pos = 'PROPN'
-                         AND t.i BETWEEN sp.span_i AND sp.span_last ORDER BY t.i LIMIT 1), r.organization) AS organization,
-             r.src_url
-      FROM r LEFT JOIN sp ON sp.value = r.title)
+             coalesce(org.org, r.organization) AS organization, r.src_url
+      FROM r LEFT JOIN sp ON sp.value = r.title LEFT JOIN org ON org.rid = r.rid)
 SELECT * FROM v WHERE coalesce(email, name, linkedin, title, phone) IS NOT NULL
 """
 
 
+def _all_records(spark, d):
+    from sitesift.operators.aggregate import sparse_records, union_all
+    mentions = sparse_records(q_pipe_contact_info(spark, d))
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    return union_all(mentions, spark.sql(EXTRA_RECORDS_SQL))
+
+
 @query("v_record", V_RECORD_SQL)
 def q_v_record(spark, d):
-    from sitesift.operators.aggregate import sparse_records
     from sitesift.operators.validate import validate_records
-    return validate_records(sparse_records(q_pipe_contact_info(spark, d)), titles=DEFAULT_TITLES)
+    return validate_records(_all_records(spark, d), titles=DEFAULT_TITLES)
+
+
+@query("v_record_tokens", V_RECORD_SQL)
+def q_v_record_tokens(spark, d):
+    """The same records with names and titles looked up in a token table."""
+    from sitesift.operators.validate import rule_tokens, validate_records
+    from sitesift.session import stored
+    r = stored(_all_records(spark, d), "records")
+    values = r.select(F.explode(F.array("title", "name")).alias("value"))
+    return validate_records(r, tokens=rule_tokens(values, titles=DEFAULT_TITLES), titles=DEFAULT_TITLES)
 
 
 @query("v_name_entities", f"""
@@ -935,6 +1079,25 @@ def q_agg_confidence(spark, d):
     return mention_confidence(m.filter(F.col("value").isNotNull()))
 
 
+WEIGHTED_SQL = """
+SELECT 'http://n' || cast(c_nationkey AS string) AS url, 'email' AS type, c_mktsegment AS value,
+       CASE c_custkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS weight,
+       CASE c_custkey % 3 WHEN 0 THEN CAST(0.9 AS DOUBLE) WHEN 1 THEN CAST(0.25 AS DOUBLE) END AS confidence
+FROM customer WHERE c_custkey % 4 <> c_nationkey % 4
+"""
+
+
+@query("agg_confidence_weights", f"""
+SELECT url, type, value, max(least(coalesce(confidence, {BASE_CONFIDENCE}) * CASE weight
+  {" ".join(f"WHEN '{w}' THEN CAST({f} AS DOUBLE)" for w, f in WEIGHT_FACTOR.items())} ELSE 1.0 END, 1.0)) AS confidence
+FROM ({WEIGHTED_SQL}) w GROUP BY url, type, value
+""")
+def q_agg_confidence_weights(spark, d):
+    from sitesift.operators.aggregate import mention_confidence
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    return mention_confidence(spark.sql(WEIGHTED_SQL))
+
+
 @query("agg_union_profiles", f"SELECT DISTINCT page_id, url, type, value FROM ({CONTACT_INFO_SQL} UNION ALL {WRAPPER_ALL_SQL}) u")
 def q_agg_union_profiles(spark, d):
     from sitesift.operators.aggregate import distinct_mentions, union_all
@@ -964,22 +1127,29 @@ SELECT coalesce(name, '') AS name, coalesce(title, '') AS title, coalesce(email,
        coalesce(linkedin, '') AS linkedin, coalesce(src_url, '') AS src_url FROM ({V_RECORD_SQL}) v
 """)
 def q_sink_csv(spark, d):
-    from sitesift.sources.sinks import csv_projection
-    return csv_projection(q_v_record(spark, d))
+    """Validated records written as CSV to the shared folder, read back."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.readers import read_contacts_csv
+    from sitesift.sources.sinks import write_contacts_csv
+    path = scratch_path(spark, "records_csv")
+    write_contacts_csv(q_v_record(spark, d), path)
+    return read_contacts_csv(spark, path)
 
 
 @query("src_csv", f"""
-SELECT coalesce(name, '') AS name, coalesce(title, '') AS title, coalesce(email, '') AS email,
+SELECT coalesce('  ' || name || chr(9), '') AS name, coalesce(title, '') AS title, coalesce(email, '') AS email,
        coalesce(linkedin, '') AS linkedin, coalesce(src_url, '') AS src_url FROM ({RECORDS_SQL}) v
 """)
 def q_src_csv(spark, d):
-    """Round trip: contact records written as CSV to the shared scratch folder, read back."""
+    """Round trip: contact records, names between spaces, written as CSV to the shared
+    scratch folder, read back."""
     from sitesift.operators.aggregate import sparse_records
     from sitesift.session import scratch_path
     from sitesift.sources.readers import read_contacts_csv
     from sitesift.sources.sinks import write_contacts_csv
     path = scratch_path(spark, "contacts_csv")
-    write_contacts_csv(sparse_records(q_pipe_contact_info(spark, d)), path)
+    records = sparse_records(q_pipe_contact_info(spark, d))
+    write_contacts_csv(records.withColumn("name", F.concat(F.lit("  "), "name", F.lit("\t"))), path)
     return read_contacts_csv(spark, path)
 
 
@@ -988,39 +1158,77 @@ SELECT url, CAST(to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}
 FROM ({CONTACT_INFO_SQL}) m GROUP BY url
 """)
 def q_sink_json(spark, d):
-    from sitesift.sources.sinks import nested_results
-    n = nested_results(q_pipe_contact_info(spark, d))
-    return n.select("url", F.to_json("extracted_info").alias("extracted_info"))
+    """Nested results written as JSON lines to the shared folder, read back as text."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.sinks import nested_results, write_json
+    path = scratch_path(spark, "nested_json")
+    write_json(nested_results(q_pipe_contact_info(spark, d)), path)
+    line = spark.read.text(path)
+    return line.select(F.get_json_object("value", "$.url").alias("url"),
+                       F.get_json_object("value", "$.extracted_info").alias("extracted_info"))
+
+
+@query("sink_json_seeds", f"""
+SELECT 'http://site' || cast(page_id % 50 AS string) AS seed, url,
+       CAST(to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}}))) AS VARCHAR) AS extracted_info
+FROM ({CONTACT_INFO_SQL}) m GROUP BY ALL
+""")
+def q_sink_json_seeds(spark, d):
+    """One object per seed holding its pages, written and read back, one row per page."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.sinks import nested_by_seed, write_json
+    seed = F.concat(F.lit("http://site"), (F.col("page_id") % 50).cast("string"))
+    path = scratch_path(spark, "seed_json")
+    write_json(nested_by_seed(q_pipe_contact_info(spark, d).withColumn("seed", seed), max_pages=1_000_000), path)
+    info = "array<struct<type:string,value:string>>"
+    back = spark.read.schema(f"seed string, pages map<string,{info}>").json(path)
+    return (back.select("seed", F.explode("pages").alias("url", "i"))
+            .select("seed", "url", F.to_json("i").alias("extracted_info")))
+
+
+FAILED_SQL = "SELECT page_id, url, 'error' AS level, 'HTTP 500' AS message FROM " + GEN + " WHERE page_id % 11 = 0"
 
 
 @query("sink_page_status", f"""
-SELECT g.page_id, g.url, 'success' AS status, 0 AS n_errors, '' AS warnings,
-       CAST(to_json(coalesce(i.info, [])) AS VARCHAR) AS extracted_info
+SELECT g.page_id, g.url, CASE WHEN g.page_id % 11 = 0 THEN 'failure' ELSE 'success' END AS status,
+       CASE WHEN g.page_id % 11 = 0 THEN 'HTTP 500' ELSE '' END AS errors,
+       CASE WHEN g.seg = 'MACHINERY' THEN 'JSON-LD could not be parsed' ELSE '' END AS warnings,
+       CASE WHEN g.page_id % 11 = 0 THEN '[]' ELSE CAST(to_json(coalesce(i.info, [])) AS VARCHAR) END AS extracted_info
 FROM {GEN} LEFT JOIN (SELECT page_id, list_sort(list(DISTINCT {{'type': type, 'value': value}})) AS info
                       FROM ({CONTACT_INFO_SQL}) m GROUP BY page_id) i ON g.page_id = i.page_id
+UNION ALL SELECT -1, 'http://empty', 'success', '', 'Empty HTML content', '[]'
 """)
 def q_sink_page_status(spark, d):
     from sitesift.sources.sinks import page_status
     pages = contact_pages(spark, d)
-    st = page_status(pages, q_pipe_contact_info(spark, d))
-    return st.select("page_id", "url", "status", F.size("errors").alias("n_errors"),
+    problems = S.jsonld_problems(parse_pages(pages)).unionByName(spark.sql(FAILED_SQL))
+    empty = spark.createDataFrame([(-1, "http://empty", "")], "page_id long, url string, html string")
+    st = page_status(pages.unionByName(empty), q_pipe_contact_info(spark, d), problems)
+    return st.select("page_id", "url", "status", F.array_join("errors", ";").alias("errors"),
                      F.array_join("warnings", ";").alias("warnings"), F.to_json("extracted_info").alias("extracted_info"))
 
 
 # ================================================================ site runs and link crawl
+# every page of the link trees names an address of its own, so the rows tell which pages the
+# crawl took: depth 3, at most BUDGET pages per seed, the seed's site only
+SITE_MAIL = "'m' || cast(n AS string) || '@t' || cast(site AS string) || '.example.com'"
+SITE_HTML_SQL = f"""
+SELECT page_id, url, replace(html, '</body>', '<p> . mail ' || {SITE_MAIL} || ' . </p></body>') AS html FROM {LGEN}
+"""
+
+
 @query("pipe_site", f"""
-SELECT coalesce(name, '') AS name, coalesce(title, '') AS title, coalesce(email, '') AS email,
-       coalesce(linkedin, '') AS linkedin, coalesce(src_url, '') AS src_url FROM ({V_RECORD_SQL}) v
+SELECT '' AS name, '' AS title, {SITE_MAIL} AS email, '' AS linkedin, p.url AS src_url
+FROM (SELECT seed, url, row_number() OVER (PARTITION BY seed ORDER BY depth, priority, url) AS rank FROM ({BFS_SQL}) b) t
+JOIN {LGEN.replace(") lg", ") p")} ON p.url = t.url WHERE t.rank <= {BUDGET}
 """)
 def q_pipe_site(spark, d):
-    """Q3: every contact page and every link-tree root is a seed; crawl, extract,
-    validate, CSV shape. (Link-tree pages hold no valid contact, so the result
-    equals the validated records of the contact pages.)"""
-    from sitesift.operators.aggregate import union_all
+    """Q3: every link-tree root is a seed; crawl, extract, validate, CSV shape. Pages
+    without a site among the seeds are in the table too."""
     from sitesift.plans.site import site_contacts
-    cp, lp = contact_pages(spark, d), link_pages(spark, d)
-    seeds = union_all(cp.select(F.col("url").alias("seed")), link_seeds(spark, d))
-    return site_contacts(seeds, union_all(cp, lp), titles=DEFAULT_TITLES, fuzzy=True)
+    register_views(spark, d, ["customer", "nation"])
+    pages = spark.sql(SITE_HTML_SQL).unionByName(contact_pages(spark, d))
+    return site_contacts(link_seeds(spark, d), pages, max_depth=3, max_pages=BUDGET, titles=DEFAULT_TITLES, fuzzy=True)
 
 
 LINK_UNIQUE_SQL = f"""
@@ -1050,16 +1258,26 @@ def q_pipe_link_crawl(spark, d):
     return r.select("norm_url", "step", "page_id", "url")
 
 
-@query("crawl_best_first")
-def q_crawl_best_first(spark, d):
-    """Exact heap order; no SQL twin (a priority queue); tested against a
-    plain simulation in tests/."""
-    from sitesift.operators.crawl import crawl_best_first, crawl_edges
-    return crawl_best_first(link_seeds(spark, d), crawl_edges(link_pages(spark, d)), 3, 50)
+@query("pipe_link_info", f"""
+WITH RECURSIVE e AS ({LINK_UNIQUE_SQL}),
+reach(norm_url, step) AS (
+  SELECT {sql_norm('url')}, 0 FROM {LGEN} WHERE n = 0
+  UNION
+  SELECT e.dst, r.step + 1 FROM reach r JOIN e ON e.src = r.norm_url WHERE r.step < 64),
+best AS (SELECT norm_url, min(step) AS step FROM reach GROUP BY norm_url)
+SELECT p.page_id, p.url, b.step, 'email' AS type, {SITE_MAIL} AS value
+FROM best b JOIN {LGEN.replace(") lg", ") p")} ON {sql_norm('p.url')} = b.norm_url
+""")
+def q_pipe_link_info(spark, d):
+    """Q4 with extraction: the addresses on every page of the closure."""
+    from sitesift.plans.site import link_crawl_info
+    register_views(spark, d, ["customer"])
+    found = link_crawl_info(link_seeds(spark, d), spark.sql(SITE_HTML_SQL), titles=DEFAULT_TITLES, fuzzy=False)
+    return found.where("type = 'email'").select("page_id", "url", "step", "type", "value")
 
 
 # ================================================================ streaming (equals the batch result)
-@query("stream_contacts", f"SELECT DISTINCT page_id, url, type, value FROM ({DOC_MENTIONS_SQL}) m")
+@query("stream_contacts", f"SELECT DISTINCT page_id, url, type, value FROM ({sql_doc_mentions('documents')}) m")
 def q_stream_contacts(spark, d):
     from sitesift.streaming.jobs import stream_contacts
     return stream_contacts(spark, d, titles=DEFAULT_TITLES)

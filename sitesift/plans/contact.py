@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesift.dictionaries import OTHER_RANK, TYPE_RANK
+from sitesift.functions.patterns import MIN_TEXT_LEN, V_LINKEDIN
+from sitesift.functions.text import sql_quote
 from sitesift.operators import structure as S
-from sitesift.operators.aggregate import distinct_mentions, sort_by_relevance, union_all
-from sitesift.operators.extract import (CONTEXT_TYPES, DIRECT_TYPES, text_mentions,
-                                        wrapper_text_mentions)
+from sitesift.operators.aggregate import NOT_FOUND, union_all
+from sitesift.operators.extract import (CONTEXT_TYPES, DIRECT_TYPES, mentions_of_texts_sql, text_mentions,
+                                        wrapper_mentions_of_texts_sql, wrapper_text_mentions)
 from sitesift.operators.htmltree import parse_pages
+from sitesift.session import stored
 
 
-def parsed_pages(pages: DataFrame, persist: bool = True, materialize: str | None = None) -> DataFrame:
-    """Parse once; every selector below reads the same parsed rows.
-
-    ``materialize``: None/"persist" keeps the parsed rows in the block manager
-    (recomputed from the pages if an executor is lost); "write" stores them
-    once as parquet in the shared checkpoint folder and reads them back, the
-    choice for very large inputs (the element table is about as large as the
-    HTML, and a lost executor then costs a re-read, not a re-parse).
-    """
+def parsed_pages(pages: DataFrame, keep: bool = False) -> DataFrame:
+    """The parsed page rows. ``keep`` writes them once to the shared folder, for plans
+    that read them more than once (the element table is about as large as the HTML)."""
     p = parse_pages(pages)
-    if materialize == "write":
-        from sitesift.session import scratch_path
-        path = scratch_path(pages.sparkSession, "parsed_pages")
-        p.write.mode("overwrite").parquet(path)
-        return pages.sparkSession.read.parquet(path)
-    return p.persist(StorageLevel.MEMORY_AND_DISK) if persist else p
+    return stored(p, "parsed_pages") if keep else p
 
 
 def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
@@ -69,11 +61,35 @@ def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx:
     return union_all(*parts)
 
 
+def contact_array(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
+                  phones_everywhere: bool = False, linkedin: bool = True) -> DataFrame:
+    """(page_id, url, mentions): the distinct mentions of ``contextual_mentions`` in an
+    array of the page's own row, found in one pass over it, without a shuffle."""
+    S.prepare_jsonld(parsed)
+    direct = DIRECT_TYPES + (("phone",) if phones_everywhere else ())
+    pair = lambda arr: f"transform({arr}, m -> named_struct('type', m.type, 'value', m.value))"
+    typed = lambda arr, t: f"transform({arr}, v -> named_struct('type', '{t}', 'value', v))"
+    parts = {
+        "_m_ctx": mentions_of_texts_sql(S.block_texts_sql(ctx), CONTEXT_TYPES, titles, fuzzy),
+        "_m_text": mentions_of_texts_sql(f"filter({S.page_texts_sql()}, t -> length(t) >= {MIN_TEXT_LEN})", direct,
+                                         titles, fuzzy),
+        "_m_vcard": pair(S.vcard_sql()), "_m_json": pair(S.jsonld_sql()), "_m_mail": typed(S.mailto_sql(), "email"),
+    }
+    if linkedin:
+        parts["_m_linkedin"] = typed(f"filter({S.hrefs_sql()}, h -> h RLIKE {sql_quote(V_LINKEDIN)})", "linkedin")
+    df = parsed.withColumns({k: F.expr(v) for k, v in parts.items()})
+    every = f"filter(concat({', '.join(parts)}), m -> m.value IS NOT NULL AND m.value <> '{NOT_FOUND}')"
+    return df.select("page_id", "url", F.expr(f"array_distinct({every})").alias("mentions"))
+
+
 def contact_info(pages: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
                  parsed: DataFrame | None = None, **kw) -> DataFrame:
     """Q1: distinct (page_id, url, type, value) per page."""
     parsed = parsed_pages(pages) if parsed is None else parsed
-    return distinct_mentions(contextual_mentions(parsed, titles, fuzzy, ctx, **kw))
+    return (contact_array(parsed, titles, fuzzy, ctx, **kw)
+            # outer: else the optimizer adds a filter that builds the array a second time
+            .select("page_id", "url", F.explode_outer("mentions").alias("m")).where("m IS NOT NULL")
+            .select("page_id", "url", "m.type", "m.value"))
 
 
 def wrapper_mentions(parsed: DataFrame, titles=None) -> DataFrame:
@@ -89,6 +105,16 @@ def wrapper_mentions(parsed: DataFrame, titles=None) -> DataFrame:
 
 
 def wrapper_info(pages: DataFrame, titles=None, parsed: DataFrame | None = None) -> DataFrame:
-    """Q2: distinct (type, value) per page in relevance order (rank, then value)."""
+    """Q2: distinct (type, value) per page in relevance order (rank, then value, then
+    type); ordered and numbered inside the page's row."""
     parsed = parsed_pages(pages) if parsed is None else parsed
-    return sort_by_relevance(wrapper_mentions(parsed, titles), keys=("page_id", "url"))
+    mail = (f"transform({S.mailto_sql(('a', 'p', 'div', 'span'))}, "
+            "v -> named_struct('type', 'email', 'value', v))")
+    df = parsed.withColumn("_m_text", F.expr(wrapper_mentions_of_texts_sql(S.wrapper_texts_sql(), titles))) \
+        .withColumn("_m_mail", F.expr(mail))
+    rank = " ".join(f"WHEN '{t}' THEN {r}" for t, r in TYPE_RANK.items())
+    order = (f"array_sort(transform(array_distinct(concat(_m_text, _m_mail)), m -> named_struct('neg', "
+             f"-(CASE m.type {rank} ELSE {OTHER_RANK} END), 'value', m.value, 'type', m.type)))")
+    return (df.select("page_id", "url", F.posexplode_outer(F.expr(order)).alias("pos", "m")).where("m IS NOT NULL")
+            .select("page_id", "url", "m.type", "m.value", (-F.col("m.neg")).alias("relevance"),
+                    (F.col("pos") + 1).alias("rn")))

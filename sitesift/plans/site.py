@@ -2,51 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.functions.urls import normalize_url
+from sitesift.functions.urls import is_html_url, normalize_url, url_netloc
 from sitesift.operators.aggregate import sparse_records
 from sitesift.operators.crawl import crawl_bfs, crawl_budget, crawl_edges
 from sitesift.operators.links import unique_links
 from sitesift.operators.validate import validate_records
-from sitesift.plans.contact import contact_info, parsed_pages
-from sitesift.session import ensure_checkpoint_dir
+from sitesift.plans.contact import contact_info, parsed_pages, wrapper_info
+from sitesift.session import ensure_checkpoint_dir, stored
 from sitesift.sources.sinks import csv_projection
 
 
+def site_pages(seeds: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages of the seeds' sites: a crawl never leaves its netloc, so other pages
+    need not be parsed."""
+    sites = seeds.select(url_netloc(F.col("seed")).alias("_site")).distinct()
+    return pages.join(sites, url_netloc(F.col("url")) == F.col("_site"), "left_semi")
+
+
 def crawl_pages(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, max_pages: int = 50,
                 parsed: DataFrame | None = None) -> DataFrame:
     """C4 + C5: the stored pages a crawl from each seed takes, with seed and depth."""
-    parsed = parsed_pages(pages) if parsed is None else parsed
-    edges = crawl_edges(pages, parsed=parsed)
+    own = site_pages(seeds, pages)
+    edges = crawl_edges(own, parsed=parsed_pages(own) if parsed is None else parsed)
     taken = crawl_budget(crawl_bfs(seeds, edges, max_depth), max_pages)
     return taken.join(pages.select("page_id", "url"), "url")
 
 
+def site_mentions(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, max_pages: int = 50,
+                  titles=None, fuzzy: bool = True) -> DataFrame:
+    """(seed, page_id, url, type, value) of the pages each seed's crawl takes."""
+    parsed = parsed_pages(site_pages(seeds, pages), keep=True)
+    taken = stored(crawl_pages(seeds, pages, max_depth, max_pages, parsed=parsed)
+                   .select("seed", "page_id", "url").distinct(), "crawl_taken")
+    # pages are joined on (page_id, url): ids hashed from URLs may collide
+    sel = parsed.join(taken.select("page_id", "url").distinct(), ["page_id", "url"], "left_semi")
+    mentions = contact_info(pages, titles=titles, fuzzy=fuzzy, parsed=sel)
+    return taken.join(mentions, ["page_id", "url"]).select("seed", "page_id", "url", "type", "value")
+
+
 def site_contacts(seeds: DataFrame, pages: DataFrame, max_depth: int = 3, max_pages: int = 50,
                   titles=None, fuzzy: bool = True, tokens: DataFrame | None = None) -> DataFrame:
-    """Q3: validated contact rows (CSV shape) of the pages each seed's crawl takes."""
-    parsed = parsed_pages(pages)
-    taken = crawl_pages(seeds, pages, max_depth, max_pages, parsed=parsed)
-    sel = parsed.join(taken.select("page_id").distinct(), "page_id", "left_semi")
-    mentions = contact_info(pages, titles=titles, fuzzy=fuzzy, parsed=sel)
+    """Q3: validated contact rows (CSV shape) of the pages each seed's crawl takes; a page
+    taken by several seeds counts once."""
+    mentions = site_mentions(seeds, pages, max_depth, max_pages, titles, fuzzy).drop("seed").distinct()
     records = validate_records(sparse_records(mentions), tokens=tokens, titles=titles)
     return csv_projection(records)
 
 
-def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = None) -> DataFrame:
+def link_crawl_info(seeds: DataFrame, pages: DataFrame, profile: str = "contextual", titles=None, fuzzy: bool = True,
+                    keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
+    """Q4 with extraction: (page_id, url, step, type, value) of every page of the link
+    closure, by the "contextual" or the "wrapper" profile."""
+    reached = stored(link_closure(seeds, pages, keep=keep).select("page_id", "url", "step"), "closure")
+    sel = pages.join(reached.select("page_id", "url").distinct(), ["page_id", "url"], "left_semi")
+    if profile == "wrapper":
+        found = wrapper_info(sel, titles=titles).select("page_id", "url", "type", "value")
+    elif profile == "contextual":
+        found = contact_info(sel, titles=titles, fuzzy=fuzzy)
+    else:
+        raise ValueError(f"unknown profile {profile}")
+    return reached.join(found, ["page_id", "url"])
+
+
+def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = None,
+                 keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
     """Q4: every stored page reachable from the seeds over unique links (URL
     identity = normalized URL), with the step it was first reached; one
     distributed join per step, each step checkpointed. Runs until a step finds
     no new URL (the seen set only grows, so this ends); ``max_steps`` is an
-    optional explicit limit, off by default."""
+    optional explicit limit, off by default. ``keep`` is the predicate on link URLs."""
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     pg = pages.select("page_id", "url", normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull())
     # read once per step: materialize the edge list once
-    ln = unique_links(pages).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")) \
+    ln = unique_links(pages, keep).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")) \
         .distinct().checkpoint(eager=True)
     start = seeds.select(normalize_url(F.col("seed")).alias("norm_url")).filter(F.col("norm_url").isNotNull())
     seen = start.distinct().withColumn("step", F.lit(0)).checkpoint(eager=True)

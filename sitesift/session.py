@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conf keys tuned for the engine. On a cluster they come from the job's own
 # spark-defaults; builder values here are only used when nothing is set.
@@ -38,8 +39,9 @@ def build_session(master: str | None = None, app: str = "sitesift", **conf) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system); it is
-    only filled in here when unset, which happens in local tests.
+    On a cluster this must be set by the deployment (a shared file system): executors
+    do not see each other's disks, so a missing setting is an error there. Only with a
+    local master is it filled in, by a temporary folder.
     """
     try:
         sc = spark.sparkContext
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        if sc is None or not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sitesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
@@ -54,27 +58,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def spread(df):
-    """Round-robin a DataFrame over the cluster's cores when its scan produced
-    fewer partitions than that (a small file read as one split). Large inputs
-    already arrive in many splits and are left as they are."""
-    want, have = partition_counts(df)
-    return df.repartition(want) if have is not None and have < want else df
-
-
-def partition_counts(df):
-    """(cores of the cluster, partitions of df); (None, None) when not available."""
-    try:
-        return df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect sessions
-        return None, None
+def spread(df: DataFrame) -> DataFrame:
+    """Deal ``df`` over ``sitesift.read.partitions`` tasks if that is set. For small files
+    read as one split (tests, benchmarks); at scale the scan's own splits, sized by
+    ``spark.sql.files.maxPartitionBytes``, are used and the setting is left out."""
+    n = df.sparkSession.conf.get("sitesift.read.partitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for intermediate tables,
     sink output and stream checkpoints (unique per call: a reused path would
     let a new stream resume an old checkpoint)."""
-    import uuid
-
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/sitesift/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the shared checkpoint folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

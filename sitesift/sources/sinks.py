@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesift.session import stored
 from sitesift.sources.readers import CONTACT_CSV_FIELDS
 
-__all__ = ["csv_projection", "write_contacts_csv", "nested_results", "write_json", "page_status"]
+__all__ = ["csv_projection", "write_contacts_csv", "nested_results", "nested_by_seed", "write_json", "page_status"]
 
 
 def csv_projection(records: DataFrame, fields=None) -> DataFrame:
@@ -18,38 +19,67 @@ def csv_projection(records: DataFrame, fields=None) -> DataFrame:
 
 
 def write_contacts_csv(records: DataFrame, path: str, fields=None, mode: str = "overwrite") -> bool:
-    """K1: header CSV; writes nothing for an empty input. Returns whether it wrote."""
-    if records.isEmpty():
+    """K1: header CSV; writes nothing for an empty input. Returns whether it wrote.
+
+    Values are written as they are, outer spaces included. The input runs once: its rows
+    are kept in the shared folder, looked at, then written."""
+    rows = stored(csv_projection(records, fields), "csv_rows")
+    if rows.isEmpty():
         return False
-    csv_projection(records, fields).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (rows.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return True
 
 
 def nested_results(mentions: DataFrame, seed_col: str | None = None) -> DataFrame:
     """K2 shape: one row per page: url -> sorted array of {type, value}; with a seed
-    column, one row per seed holding a map page url -> mentions."""
-    per_page = mentions.groupBy(*([seed_col] if seed_col else []), "url").agg(
-        F.array_sort(F.collect_set(F.struct("type", "value"))).alias("extracted_info"))
-    if not seed_col:
-        return per_page
-    return per_page.groupBy(seed_col).agg(F.map_from_entries(F.collect_list(F.struct("url", "extracted_info")))
-                                          .alias("pages"))
+    column, one row per (seed, page): a seed's pages may be many, so they are not
+    gathered into one row here (see ``nested_by_seed``)."""
+    keys = [*([seed_col] if seed_col else []), "url"]
+    return mentions.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("type", "value"))).alias("extracted_info"))
+
+
+def nested_by_seed(mentions: DataFrame, seed_col: str = "seed", max_pages: int = 50) -> DataFrame:
+    """K2 shape of a crawl: one row per seed holding a map page url -> mentions. A crawl
+    takes at most ``max_pages`` pages per seed, which bounds the row; a seed with more is
+    an error, not cut."""
+    per_page = nested_results(mentions, seed_col)
+    size = F.size("pages")
+    seeds = per_page.groupBy(seed_col).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("url", "extracted_info")))).alias("pages"))
+    return seeds.withColumn("pages", F.when(size <= max_pages, F.col("pages")).otherwise(
+        F.raise_error(F.concat(F.lit("more than the page cap for seed "), F.col(seed_col)))
+        .cast(seeds.schema["pages"].dataType)))
+
 
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = None) -> None:
+    w = df.write.mode(mode)
+    (w.partitionBy(by) if by else w).json(path)
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
 
+def page_status(pages: DataFrame, mentions: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """K3: (page_id, url, status, errors, warnings, extracted_info) for every page.
 
-def page_status(pages: DataFrame, mentions: DataFrame) -> DataFrame:
-    """K3: (url, status, errors, warnings, extracted_info) for every page; an empty
-    page is a success with the warning 'Empty HTML content'."""
-    info = (mentions.groupBy("page_id")
-            .agg(F.array_sort(F.collect_set(F.struct("type", "value"))).alias("extracted_info")))
+    An empty page is a success with the warning 'Empty HTML content'. ``problems``
+    (page_id, url, level, message) adds warnings and errors, e.g. of
+    ``structure.jsonld_problems`` or a failed fetch; a page with an error is a failure
+    without mentions. Joined on (page_id, url), as hashed ids may collide.
+    """
+    keys = ["page_id", "url"]
+    pair = "array<struct<type:string,value:string>>"
+    info = mentions.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("type", "value"))).alias("extracted_info"))
     empty = F.col("html").isNull() | (F.col("html") == "")
-    return (pages.select("page_id", "url", empty.alias("_empty")).join(info, "page_id", "left")
-            .select("page_id", "url", F.lit("success").alias("status"),
-                    F.array().cast("array<string>").alias("errors"),
-                    F.when(F.col("_empty"), F.array(F.lit("Empty HTML content")))
-                    .otherwise(F.array().cast("array<string>")).alias("warnings"),
-                    F.coalesce("extracted_info", F.array().cast("array<struct<type:string,value:string>>"))
-                    .alias("extracted_info")))
+    out = pages.select(*keys, F.when(empty, F.array(F.lit("Empty HTML content")))
+                       .otherwise(F.array().cast("array<string>")).alias("warnings")).join(info, keys, "left")
+    if problems is None:
+        out = out.withColumn("errors", F.array().cast("array<string>"))
+    else:
+        told = lambda level: F.array_sort(F.collect_list(F.when(F.col("level") == level, F.col("message"))))
+        more = problems.groupBy(*keys).agg(told("error").alias("_errors"), told("warning").alias("_warnings"))
+        none = F.array().cast("array<string>")
+        out = (out.join(more, keys, "left").withColumn("errors", F.coalesce("_errors", none))
+               .withColumn("warnings", F.concat("warnings", F.coalesce("_warnings", none))))
+    failed = F.size("errors") > 0
+    return out.select(*keys, F.when(failed, "failure").otherwise("success").alias("status"), "errors", "warnings",
+                      F.when(failed, F.array().cast(pair))
+                      .otherwise(F.coalesce("extracted_info", F.array().cast(pair))).alias("extracted_info"))

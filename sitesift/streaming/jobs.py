@@ -17,16 +17,34 @@ from sitesift.functions.text import long_enough
 from sitesift.operators.extract import mention_array
 from sitesift.session import scratch_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 __all__ = ["table_stream", "stream_contacts", "stream_visited", "stream_rate"]
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the parquet files of one table (``<name>.parquet`` or ``<name>/*``) in a folder."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream the parquet files of one table in a folder: a directory ``<name>.parquet`` or
+    ``<name>`` into which files arrive, or a single file ``<name>.parquet``. Large keyed
+    state is kept in RocksDB, not in the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    base = folder.rstrip("/")
+    path = f"{base}/{name}.parquet"
+    if not _is_directory(spark, path) and _is_directory(spark, f"{base}/{name}"):
+        path = f"{base}/{name}"
+    schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    if _is_directory(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(base)
+
+
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system, so remote folders work."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def _run(writer, available_now: bool):
@@ -37,7 +55,7 @@ def _run(writer, available_now: bool):
 
 
 def stream_contacts(spark: SparkSession, folder: str, out: str | None = None, titles=None,
-                    table: str = "documents", available_now: bool = True):
+                    table: str = "documents", available_now: bool = True, max_files_per_trigger: int | None = None):
     """Documents arriving as files -> e-mail, name, phone and title mentions ->
     distinct (doc, type, value) -> parquet, append.
 
@@ -45,7 +63,7 @@ def stream_contacts(spark: SparkSession, folder: str, out: str | None = None, ti
     row (``array_distinct``) before exploding: no streaming state at all, where
     a ``dropDuplicates`` would keep every (doc, type, value) ever seen."""
     out = out or scratch_path(spark, "stream_contacts")
-    docs = table_stream(spark, folder, table).select(
+    docs = table_stream(spark, folder, table, max_files_per_trigger).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
     docs = docs.filter(long_enough(F.col("text")))
     arr = F.array_distinct(mention_array(F.col("text"), ("email", "name", "phone", "title"), titles))
@@ -57,13 +75,13 @@ def stream_contacts(spark: SparkSession, folder: str, out: str | None = None, ti
 
 
 def stream_visited(spark: SparkSession, folder: str, out: str | None = None, table: str = "pages",
-                   available_now: bool = True):
+                   available_now: bool = True, max_files_per_trigger: int | None = None):
     """The visited set as streaming state: each normalized URL is emitted once.
 
     The state is the visited set itself (one key per distinct URL), which is
     what the operator is; it has no event time to expire entries by."""
     out = out or scratch_path(spark, "stream_visited")
-    u = table_stream(spark, folder, table).select(normalize_url(F.col("url")).alias("norm_url")) \
+    u = table_stream(spark, folder, table, max_files_per_trigger).select(normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull()).dropDuplicates(["norm_url"])
     w = (u.writeStream.format("parquet").option("path", f"{out}/data")
          .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
@@ -73,7 +91,7 @@ def stream_visited(spark: SparkSession, folder: str, out: str | None = None, tab
 
 def stream_rate(spark: SparkSession, folder: str, out: str | None = None, period: str = "1 second",
                 limit: int = 5, delay: str = "1 hour", table: str = "events", domain_col: str = "user_id",
-                available_now: bool = True):
+                available_now: bool = True, max_files_per_trigger: int | None = None):
     """(domain, window) pairs over the request limit, on a stream.
 
     Event-time tumbling windows with a watermark (state of closed windows is
@@ -82,7 +100,7 @@ def stream_rate(spark: SparkSession, folder: str, out: str | None = None, period
     the current answer is the latest count per pair.
     """
     out = out or scratch_path(spark, "stream_rate")
-    ev = table_stream(spark, folder, table).withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = table_stream(spark, folder, table, max_files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
     agg = (ev.withWatermark("ts", delay)
            .groupBy(F.window("ts", period).alias("w"), F.col(domain_col).alias("domain"))
            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)

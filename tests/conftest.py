@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from sitesift.session import build_session
-    s = build_session("local[4]", **{"spark.sql.shuffle.partitions": "4"})
+    s = build_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "sitesift.read.partitions": "4"})
     yield s
     s.stop()
 

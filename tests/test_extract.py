@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sitesift.functions.fuzzy import fuzzy_query
+from sitesift.functions.fuzzy import FQ, with_fuzzy_query
 from sitesift.functions.text import (clean_text, emails_in, names_in, phones_in, titles_in,
                                      wrapper_phones_in)
 from sitesift.operators.validate import validate_email
@@ -67,9 +67,10 @@ def test_clean_text_keeps_blank_input(spark):
 
 def test_fuzzy_windows_d14(spark):
     # windows start at 0 .. n-4: the last window is never formed
-    assert one(spark, lambda c: fuzzy_query(c), "a b c d e") == "a b c b c d"
-    assert one(spark, lambda c: fuzzy_query(c), "a b c") == ""
-    assert one(spark, lambda c: fuzzy_query(c, all_windows=True), "a b c d e") == "a b c b c d c d e"
+    df = spark.createDataFrame([("a b c d e",), ("a b c",)], "t string")
+    got = lambda **kw: [r[FQ] for r in with_fuzzy_query(df, F.col("t"), **kw).collect()]
+    assert got() == ["a b c b c d", ""]
+    assert got(all_windows=True) == ["a b c b c d c d e", "a b c"]
 
 
 def test_fuzzy_tiers(spark):
@@ -94,10 +95,27 @@ def test_exact_ratio_udf_matches_difflib(spark):
     from difflib import SequenceMatcher
 
     from sitesift.functions.fuzzy import fuzzy_match, ratio_udf
-    pairs = [("Project Manager", "project managers"), ("CEO", "Chief Executive"), ("", "x"), ("abc", "abc")]
+    long = "".join(chr(97 + i * i % 26) for i in range(300))
+    pairs = [("Project Manager", "project managers"), ("CEO", "Chief Executive"), ("", "x"), ("abc", "abc"),
+             (long, long[::-1] + "x")]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r.r for r in df.select(ratio_udf("a", "b").alias("r")).collect()]
-    want = [int(round(100 * SequenceMatcher(None, a.lower(), b.lower()).ratio())) for a, b in pairs]
+    want = [int(round(100 * SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio())) for a, b in pairs]
     assert got == want
     native = [r.m for r in df.select(fuzzy_match(F.col("a"), F.col("b"), 50).alias("m")).collect()]
-    assert native == [True, False, False, True]
+    assert native[:4] == [True, False, False, True]
+
+
+def test_names_of_a_very_long_list_of_capitalised_words(spark):
+    from sitesift.functions.text import names_in, wrapper_names_in
+    words = "Ann " * 50_000
+    assert one(spark, names_in, words) == [words.strip()]
+    assert one(spark, wrapper_names_in, words) == [words.strip()]
+    assert one(spark, names_in, "Ann LeE and Bo McCoy or Jo Li") == ["Jo Li"]
+
+
+def test_fuzzy_low_cut_off_keeps_short_scores(spark):
+    from sitesift.functions.fuzzy import fuzzy_titles_of, with_fuzzy_query
+    df = with_fuzzy_query(spark.createDataFrame([("abcde fghij klmno pqrst",)], "t string"), F.col("t"))
+    assert df.select(fuzzy_titles_of(["abx", "zz"], 5, 10)).first()[0] == ["abx"]
+    assert df.select(fuzzy_titles_of(["abx", "zz"], 5, 30)).first()[0] == []

@@ -70,5 +70,28 @@ def test_parsed_pages_written_once_equals_persisted(spark, pages_of):
     from sitesift.plans.contact import contact_info, parsed_pages
     pages = pages_of(FB)
     a = {tuple(r) for r in contact_info(pages, fuzzy=False, parsed=parsed_pages(pages)).collect()}
-    b = {tuple(r) for r in contact_info(pages, fuzzy=False, parsed=parsed_pages(pages, materialize="write")).collect()}
+    b = {tuple(r) for r in contact_info(pages, fuzzy=False, parsed=parsed_pages(pages, keep=True)).collect()}
     assert a == b and a
+
+
+def test_jsonld_duplicate_keys_and_problems(spark, pages_of):
+    from sitesift.operators.htmltree import parse_pages
+    from sitesift.operators.structure import jsonld, jsonld_problems
+    script = '<script type="application/ld+json">%s</script>'
+    pages = pages_of(script % '{"@type":"Person","name":"A","name":"B","email":"a@b.co"}', script % "{bad" + script % "[]")
+    p = parse_pages(pages)
+    assert {(r.type, r.value) for r in jsonld(p).collect()} == {("name", "B"), ("email", "a@b.co")}
+    assert [(r.page_id, r.level) for r in jsonld_problems(p).collect()] == [(2, "warning")]
+
+
+def test_one_pass_equals_the_mention_rows(spark, pages_of):
+    from conftest import FA, FB, FB_TITLES
+    from sitesift.operators.aggregate import distinct_mentions, sort_by_relevance
+    from sitesift.plans.contact import contact_info, contextual_mentions, parsed_pages, wrapper_info, wrapper_mentions
+    p = parsed_pages(pages_of(FA, FB, "", None), keep=True)
+    for kw in ({"titles": FB_TITLES}, {"titles": [], "fuzzy": False}, {"phones_everywhere": True, "linkedin": False}):
+        rows = distinct_mentions(contextual_mentions(p, **kw)).collect()
+        assert sorted(map(tuple, contact_info(None, parsed=p, **kw).collect())) == sorted(map(tuple, rows))
+    rows = sort_by_relevance(wrapper_mentions(p), keys=("page_id", "url")).select("page_id", "url", "type", "value", "rn")
+    got = wrapper_info(None, parsed=p).select("page_id", "url", "type", "value", "rn")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))

@@ -3,14 +3,16 @@
 import os
 import tempfile
 
+import pytest
+
 from sitesift.sources.readers import read_contacts_csv, read_pages, read_seeds
-from sitesift.sources.sinks import csv_projection, nested_results, page_status, write_contacts_csv
+from sitesift.sources.sinks import csv_projection, nested_by_seed, nested_results, page_status, write_contacts_csv
 
 
 def test_read_seeds(spark):
     d = tempfile.mkdtemp(prefix="sitesift-seeds-")
     with open(os.path.join(d, "seeds.txt"), "w") as f:
-        f.write("  example.com \n\nhttps://a.example.org/x\n   \nhttpbin.example.net\n")
+        f.write("  example.com \n\nhttps://a.example.org/x\n \t \n\thttpbin.example.net\t\n")
     got = [r.seed for r in read_seeds(spark, os.path.join(d, "seeds.txt")).collect()]
     assert got == ["http://example.com", "https://a.example.org/x", "httpbin.example.net"]
 
@@ -26,17 +28,17 @@ def test_read_pages_html_files_and_array_html(spark):
     j = os.path.join(d, "j")
     spark.createDataFrame([("http://a/1", ["<p>a</p>", "<p>b</p>"])], "url string, html array<string>") \
         .write.json(j)
-    r = read_pages(spark, j, fmt="json").first()
+    r = read_pages(spark, j, fmt="json", schema="url string, html array<string>").first()
     assert r.html == "<p>a</p> <p>b</p>" and r.page_id is not None
 
 
 def test_csv_round_trip_and_empty_input(spark):
     d = tempfile.mkdtemp(prefix="sitesift-csv-")
-    recs = spark.createDataFrame([("Ann, \"Lee\"", None, "a@b.co", None, "http://x/1", "extra")],
+    recs = spark.createDataFrame([("  Ann, \"Lee\"\t", None, "a@b.co", None, "http://x/1", "extra")],
                                  "name string, title string, email string, linkedin string, src_url string, z string")
     assert write_contacts_csv(recs, os.path.join(d, "out"))
     back = read_contacts_csv(spark, os.path.join(d, "out")).collect()
-    assert [tuple(r) for r in back] == [("Ann, \"Lee\"", "", "a@b.co", "", "http://x/1")]
+    assert [tuple(r) for r in back] == [("  Ann, \"Lee\"\t", "", "a@b.co", "", "http://x/1")]
     assert not write_contacts_csv(recs.limit(0), os.path.join(d, "empty"))
     assert not os.path.exists(os.path.join(d, "empty"))
     assert csv_projection(recs).columns == ["name", "title", "email", "linkedin", "src_url"]
@@ -46,12 +48,20 @@ def test_nested_results_and_status(spark):
     m = spark.createDataFrame([(1, "http://s/1", "email", "a@b.co", "http://s/"), (1, "http://s/1", "name", "Ann Lee", "http://s/"),
                                (2, "http://s/2", "email", "c@d.co", "http://s/")],
                               "page_id long, url string, type string, value string, seed string")
-    per_seed = nested_results(m, seed_col="seed").first()
-    assert set(per_seed.pages.keys()) == {"http://s/1", "http://s/2"}
+    assert {(r.seed, r.url) for r in nested_results(m, seed_col="seed").collect()} == {
+        ("http://s/", "http://s/1"), ("http://s/", "http://s/2")}
+    assert set(nested_by_seed(m).first().pages) == {"http://s/1", "http://s/2"}
+    with pytest.raises(Exception, match="page cap"):
+        nested_by_seed(m, max_pages=1).collect()
     pages = spark.createDataFrame([(1, "http://s/1", "<p>x</p>"), (3, "http://s/3", "")], "page_id long, url string, html string")
     st = {r.page_id: r for r in page_status(pages, m).collect()}
     assert st[3].warnings == ["Empty HTML content"] and st[3].extracted_info == []
     assert len(st[1].extracted_info) == 2 and st[1].status == "success"
+    told = spark.createDataFrame([(1, "http://s/1", "error", "HTTP 500"), (1, "http://s/1", "warning", "w"), (3, "http://s/3", "warning", "x")],
+                                 "page_id long, url string, level string, message string")
+    st = {r.page_id: r for r in page_status(pages, m, told).collect()}
+    assert (st[1].status, st[1].errors, st[1].warnings, st[1].extracted_info) == ("failure", ["HTTP 500"], ["w"], [])
+    assert (st[3].status, st[3].warnings) == ("success", ["Empty HTML content", "x"])
 
 
 def test_command_line_end_to_end(tmp_path):

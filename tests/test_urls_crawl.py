@@ -1,17 +1,15 @@
 """URLs (F-D), relevance (F-E), crawl order, rate plan, skew-safe ranks."""
 
-import heapq
 import random
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlparse
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitesift.functions.urls import normalize_url, with_joined_url
-from sitesift.operators.crawl import best_first_order, crawl_bfs, fetch_slots, relevance_score
+from sitesift.operators.crawl import crawl_bfs, fetch_slots, with_relevance
 from sitesift.operators.ranking import row_number_within
 
 BASE = "http://h.example.com/a/b?q=1#f"
@@ -45,9 +43,9 @@ def test_normalize_is_idempotent(spark, urls):
 def test_relevance_fe(spark):
     rows = [("http://h.example.com", "Home", 3), ("http://h.example.com/team", "Our team", 10),
             ("http://h.example.com/x/y", "Read", 1), ("http://h.example.com/x/y/z", "Read", 0),
-            ("http://h.example.com/x/y/z", "team page", 3)]
+            ("http://h.example.com/x/y/z", "team page", 3), ("http://h.example.com/a;team", "x", 2)]
     df = spark.createDataFrame(rows, "u string, t string, want int")
-    got = df.select(relevance_score(F.col("u"), F.col("t"), ["team"]).alias("s"), "want").collect()
+    got = with_relevance(df, "u", "t", "s", ["team"]).collect()
     assert [r.s for r in got] == [r.want for r in got]
 
 
@@ -65,28 +63,6 @@ def _graph(n_sites=3, n_pages=40, seed=1):
     return seeds, edges
 
 
-def _brute_best_first(seed, edges, max_depth, max_pages):
-    adj = {}
-    for s, d, p in edges:
-        adj.setdefault(s, []).append((p, d))
-    return best_first_order(seed, adj, max_depth, max_pages)
-
-
-@pytest.mark.parametrize("cap", [5, 12, 50])
-def test_best_first_equals_plain_heap_simulation(spark, cap):
-    from sitesift.operators.crawl import crawl_best_first
-    seeds, edges = _graph()
-    e = spark.createDataFrame(edges, "src_url string, dst_url string, priority int")
-    s = spark.createDataFrame([(x,) for x in seeds], "seed string")
-    got = {}
-    for r in crawl_best_first(s, e, 3, cap).collect():
-        got.setdefault(r.seed, []).append((r.visit, r.url, r.depth, r.priority))
-    for seed in seeds:
-        # plain simulation over the full (unpruned) edge list, duplicate edges kept
-        want = [(v, u, d, p) for (u, d, p, v) in _brute_best_first(seed, edges, 3, cap)]
-        assert sorted(got.get(seed, [])) == want
-
-
 def test_bfs_levels(spark):
     edges = [("http://a.x/0", "http://a.x/1", 99), ("http://a.x/0", "http://a.x/2", 95),
              ("http://a.x/1", "http://a.x/2", 90), ("http://a.x/2", "http://a.x/3", 97),
@@ -119,14 +95,44 @@ def test_fetch_slots_caps_hold_with_a_dominant_domain(spark):
     assert s.agg(F.max("slot")).first()[0] + 1 == sum((r["count"] + 9) // 10 for r in lv)
 
 
-def test_bfs_same_result_with_and_without_frontier_broadcast(spark):
+def test_bfs_against_plain_levels(spark):
     seeds, edges = _graph(n_sites=2, n_pages=30, seed=7)
     e = spark.createDataFrame(edges, "src_url string, dst_url string, priority int")
     s = spark.createDataFrame([(x,) for x in seeds], "seed string")
-    a = sorted(map(tuple, crawl_bfs(s, e, 3).collect()))
-    spark.conf.set("sitesift.crawl.broadcastFrontierRows", "0")
-    try:
-        b = sorted(map(tuple, crawl_bfs(s, e, 3).collect()))
-    finally:
-        spark.conf.unset("sitesift.crawl.broadcastFrontierRows")
-    assert a == b and len(a) > len(seeds)
+    got = {(r.seed, r.url): (r.depth, r.priority) for r in crawl_bfs(s, e, 3).collect()}
+    want = {}
+    for seed in seeds:
+        level, want[seed, seed] = {seed}, (0, 0)
+        for d in range(1, 4):
+            best = {}
+            for src, dst, p in edges:
+                if src in level and urlparse(dst).netloc == urlparse(seed).netloc and (seed, dst) not in want:
+                    best[dst] = min(p, best.get(dst, p))
+            want.update({(seed, u): (d, p) for u, p in best.items()})
+            level = set(best)
+    assert got == want
+
+
+def test_url_join_fuzz(spark):
+    rnd = random.Random(5)
+    bases = ["http://h.example.com/a/b?q=1#f", "https://h.example.com", "http://h.example.com/a/;p",
+             "http://h.example.com/a/b;x/c;y?z", " http://h.x/\tq/ "]
+    parts = ["/", ".", "..", ";", "?", "#", ":", "a", "b", " ", "\t", "http:", "//", "%", "é", "&", "="]
+    hrefs = [" /c", "\n/c\n", "/c\t/d", "//", "///x", "  ", "..;p"] + [
+        "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 7))) for _ in range(1500)]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in with_joined_url(df, "b", "h", "j").collect():
+        try:
+            want = urljoin(r.b, r.h)
+        except ValueError:
+            continue
+        assert r.j == want, (r.b, r.h)
+
+
+def test_unique_links_take_the_first_link_that_passes(spark):
+    from sitesift.operators.links import unique_links
+    html = '<a href="/x.css">a</a><a href="/x.css?v=1">b</a><a href="/y">c</a><a href="/y?z">d</a>'
+    pages = spark.createDataFrame([(1, "http://h.example.com/", html)], "page_id long, url string, html string")
+    assert {(r.pos, r.href) for r in unique_links(pages).collect()} == {(1, "/x.css?v=1"), (2, "/y")}
+    only = unique_links(pages, keep=lambda u: u.contains("?")).collect()
+    assert {(r.pos, r.href) for r in only} == {(1, "/x.css?v=1"), (3, "/y?z")}
