@@ -109,7 +109,7 @@ def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
     rows = rows.select("id", host.alias("host"), path.alias("path"), own_license(F.col("html"), t, least).alias("own"))
-    folder = F.concat(F.lit("/"), F.regexp_extract("path", "^/((?:[^/]*/)*)[^/]*$", 1))
+    folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "(?s)^.*/", 0)).otherwise(F.lit("/"))
     rows = stored(rows.select("id", "host", "path", F.col("own.name").alias("own_license"),
                               F.col("own.score").alias("own_score"), folder.alias("folder"),
                               F.regexp_extract("path", "[^/]*$", 0).alias("base")), "license-rows")
@@ -120,10 +120,10 @@ def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
               .select("host", "above", F.col("c.name").alias("name")))
     # ancestors of each folder, itself first
     parts = F.split("folder", "/")
-    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: F.struct(
-        k.alias("hops"), F.concat(F.array_join(F.slice(parts, 1, F.size(parts) - 1 - k), "/"), F.lit("/")).alias("above")))
+    above = F.concat(F.array_join(F.slice(parts, 1, F.size(parts) - 1 - F.col("hops")), "/"), F.lit("/"))
     near = (rows.where("host <> ''").select("host", "folder").distinct()
-            .select("host", "folder", F.explode(ups).alias("u")).select("host", "folder", "u.*")
+            .select("host", "folder", F.explode(F.sequence(F.lit(0), F.size(parts) - 2)).alias("hops"))
+            .withColumn("above", above)
             .join(claims, ["host", "above"])
             .groupBy("host", "folder").agg(F.min(F.struct("hops", "above", "name")).alias("n")))
     out = rows.join(near, ["host", "folder"], "left")
@@ -147,7 +147,7 @@ u AS (SELECT row_number() OVER () AS r, page_id, html,
       CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT r, page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{az}', '{az.lower()}') AS host,
       regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-q AS (SELECT r, page_id, host, path, '/' || regexp_extract(path, '^/((?:[^/]*/)*)[^/]*$', 1) AS folder,
+q AS (SELECT r, page_id, host, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^.*/') ELSE '/' END AS folder,
       regexp_extract(path, '[^/]*$') AS base FROM p),
 s AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(html, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'),
       '<[^>]*>|[\\r\\n]+')) AS seg FROM p),

@@ -47,12 +47,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape(value: Column) -> Column:
-    """Digits and long hexadecimal runs by kind, the rest as it is; words alone are ``w``."""
-    s = F.regexp_replace(value, "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "{uuid}")
-    s = F.regexp_replace(s, "(?i)(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}", "{hex}")
-    s = F.regexp_replace(s, "[0-9]+", "{n}")
-    plain = F.regexp_replace(s, r"[\p{L}_-]+(?![^{]*\})", "w")
-    return F.when(s.contains("{"), s).otherwise(plain)
+    """Digits, long hexadecimal runs and uuids by kind, long words and slugs beside them as
+    ``w``; a segment of none of these is ``w``. Every run is looked at once."""
+    s = F.regexp_replace(value, "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "\u0001")
+    s = F.regexp_replace(s, "(?i)(?<![0-9a-f])(?![0-9]++(?![0-9a-f]))(?![a-f]++(?![0-9a-f]))[0-9a-f]{16,}+", "\u0002")
+    s = F.regexp_replace(s, "[0-9]++", "\u0003")
+    known = F.regexp_replace(s, r"[\p{L}_-]{7,}+", "w")
+    for mark, name in (("\u0001", "{uuid}"), ("\u0002", "{hex}"), ("\u0003", "{n}")):
+        known = F.replace(known, F.lit(mark), F.lit(name))
+    return F.when(s.rlike("[\u0001\u0002\u0003]"), known).otherwise(F.lit("w"))
 
 
 def generalise(paths: DataFrame, depth: int) -> DataFrame:
