@@ -108,6 +108,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, id_col: str =
                                                  names=["key", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = (spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-              .groupBy("key").agg(F.max("n_tokens").alias("n_tokens")))
+    # one row a key, written, so that the join reads both sides from exchanges of its own and a
+    # key with most of the documents can be split
+    counts = stored(spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+                    .groupBy("key").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "key").select("id", "n_bytes", "n_tokens")
