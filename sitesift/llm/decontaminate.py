@@ -141,13 +141,16 @@ def judge(texts: list[bytes], phrases: Phrases, numbers: dict):
             yield len(w), (_spans(own) if own.any() else []), pairs[cut[k]:cut[k + 1], 1].tolist()
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
-    """The benchmark as ``Phrases`` of bounded size, one after another. The driver holds
-    one block at a time, whatever the size of the table."""
+def block_count(benchmark: DataFrame, text_col: str) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(1, math.ceil(size / BLOCK_BYTES))
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, n: int):
+    """The benchmark as ``n`` ``Phrases`` of bounded size, one after another. The driver
+    holds one block at a time, whatever the size of the table."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")) \
         .where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         yield Phrases([(r[0], bytes(r[1])) for r in part.collect()], window)
@@ -161,14 +164,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and empty texts have no words; an empty benchmark or one without words hits
     nothing; items with a null id are ignored; repeated items count once; other columns
     are ignored. A benchmark over BLOCK_BYTES is searched block by block and the
-    blocks' results, one per row of ``docs``, are merged by row.
+    blocks' results are merged by id and digest of the text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
     named = benchmark.where(F.col(item_col).isNotNull())
+    n = block_count(named, item_text_col)
+    text = F.col(text_col).cast("string")
+    key = F.md5(F.coalesce(text, F.lit(""))) if n > 1 else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), key.alias("key"))
+    kind = rows.schema["id"].dataType.simpleString()
     parts = []
-    for phrases in blocks(named, item_col, item_text_col, window):
+    for phrases in blocks(named, item_col, item_text_col, window, n):
         shared = spark.sparkContext.broadcast(phrases)      # at most about BLOCK_BYTES of text
 
         def run(batches, shared=shared):
@@ -178,31 +184,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 found = list(judge(binary_texts(b), p, numbers))
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([f[0] for f in found], pa.int64()),
+                    b.column(0), b.column(2), pa.array([f[0] for f in found], pa.int64()),
                     pa.array([[{"s": s, "e": e} for s, e in f[1]] for f in found],
                              pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                     pa.array([sorted(names[i] for i in f[2]) for f in found], pa.list_(pa.string())),
-                ], names=["id", "n_words", "spans", "items"])
+                ], names=["id", "key", "n_words", "spans", "items"])
 
         parts.append(rows.mapInArrow(
-            run, f"id {kind}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
+            run, f"id {kind}, key string, n_words long, spans array<struct<s:long,e:long>>, items array<string>"))
+    if n == 1:
+        return parts[0].drop("key")
     one = parts[0]
     for p in parts[1:]:
         one = one.unionByName(p)
-    # equal ids may repeat: their rows have equal spans where their texts are equal
-    merged = (one.groupBy("id", "n_words").agg(
+    merged = one.groupBy("id", "key", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count(F.lit(1)) / len(parts)).cast("long").alias("copies")))
+        (F.count(F.lit(1)) / n).cast("int").alias("copies"))
     joined = F.expr("""aggregate(spans, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) ->
         case when size(a) > 0 and x.s <= element_at(a, -1).e
              then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s,
                          greatest(element_at(a, -1).e, x.e) as e)))
              else concat(a, array(x)) end)""")
     return merged.select("id", "n_words", joined.alias("spans"), "items",
-                         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+                         F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -233,9 +238,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     one Arrow stage per benchmark block; nothing is shuffled.
     """
     spark = docs.sparkSession
-    named = benchmark.where(F.col(names.get("item_col", "item_id")).isNotNull())
+    item, item_text = names.get("item_col", "item_id"), names.get("item_text_col", "text")
+    named = benchmark.where(F.col(item).isNotNull())
     mark = free_name(docs, "_text")
-    for phrases in blocks(named, names.get("item_col", "item_id"), names.get("item_text_col", "text"), window):
+    for phrases in blocks(named, item, item_text, window, block_count(named, item_text)):
         shared = spark.sparkContext.broadcast(phrases)
         schema = docs.schema
         at = [c.lower() for c in docs.columns].index(text_col.lower())

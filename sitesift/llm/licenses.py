@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sitesift.llm.common import stored
 from sitesift.llm.url_templates import url_parts
 
-LEAST = 0.6            # cosine from which a sentence states a licence
+LEAST = 0.7            # cosine from which a sentence states a licence; no single term of a template has as much
 
 #: Short statements, one or more for each licence (our own wording).
 TEMPLATES = [
