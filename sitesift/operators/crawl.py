@@ -120,13 +120,15 @@ def fetch_slots(urls: DataFrame, domain_rate: int = 5, global_rate: int = 10,
     u = urls.select(F.col(url_col).alias("url"), url_netloc(F.col(url_col)).alias("netloc"))
     r = row_number_within(u, ["netloc"], ["url"], out="dom_rank")
     r = r.withColumn("level", F.floor((F.col("dom_rank") - 1) / domain_rate).cast("long"))
-    lv = r.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    lv = lv.withColumn("secs", F.ceil(F.col("n") / global_rate).cast("long"))
-    # one row per level: up to (largest domain / domain_rate) rows, summed in blocks
-    lv = exclusive_prefix_sum(lv, "level", "secs", out="start").select("level", "start")
-    r = row_number_within(r, ["level"], ["netloc", "url"], out="level_rank")
-    return (r.join(lv, "level")
-            .withColumn("slot", F.col("start") + F.floor((F.col("level_rank") - 1) / global_rate).cast("long"))
+
+    def starts(levels: DataFrame) -> DataFrame:
+        # one row per level: up to (largest domain / domain_rate) rows, summed in blocks
+        secs = levels.withColumn("secs", F.ceil(F.col("n") / global_rate).cast("long"))
+        return exclusive_prefix_sum(secs, "level", "secs", out="start").select("level", "n", "start")
+
+    # level 0 holds the first URLs of every domain: its start comes with the rank's offsets
+    r = row_number_within(r, ["level"], ["netloc", "url"], out="level_rank", per_key=starts)
+    return (r.withColumn("slot", F.col("start") + F.floor((F.col("level_rank") - 1) / global_rate).cast("long"))
             .select("url", "netloc", "dom_rank", "level", "slot"))
 
 

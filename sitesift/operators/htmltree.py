@@ -187,21 +187,34 @@ def parse_html(html: str | None):
     return b.finish()
 
 
+def _structs(rows_of_pages: list[list[dict]], kind):
+    """list<struct> column of a batch: one flat array per field, then offsets."""
+    import itertools
+
+    import pyarrow as pa
+
+    flat = list(itertools.chain.from_iterable(rows_of_pages))
+    struct = kind.value_type
+    columns = [pa.array([r[f.name] for r in flat], f.type) for f in struct]
+    offsets = pa.array([0, *itertools.accumulate(map(len, rows_of_pages))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(struct)), type=kind)
+
+
 def _parse_batches(batches, keep: list[str], id_col: str, html_col: str):
     import pyarrow as pa
 
     for batch in batches:
-        cols = batch.to_pydict()
-        out = {k: cols[k] for k in keep}
-        out[id_col] = cols[id_col]
+        schema = _arrow_schema(batch.schema, keep, id_col)
         texts, elems, nodes = [], [], []
-        for html in cols[html_col]:
+        for html in batch.column(batch.schema.get_field_index(html_col)).to_pylist():
             t, e, n = parse_html(html)
             texts.append(t)
             elems.append(e)
             nodes.append(n)
-        out["text"], out["elements"], out["nodes"] = texts, elems, nodes
-        yield pa.RecordBatch.from_pydict(out, schema=_arrow_schema(batch.schema, keep, id_col))
+        same = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, *keep)]
+        yield pa.RecordBatch.from_arrays(
+            [*same, pa.array(texts, pa.string()), _structs(elems, schema.field("elements").type),
+             _structs(nodes, schema.field("nodes").type)], schema=schema)
 
 
 def _arrow_schema(in_schema, keep, id_col):
