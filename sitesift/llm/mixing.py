@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sitesift.llm.common import free_name, stored
 
 GRID = 1000          # slots in a period; a weight is a multiple of 1/GRID, at least one
-BUCKET = 4096        # rows of a hash bucket, about
+BUCKET = 1024        # rows of a hash bucket, about
 REST = "*"           # lane of sources without a weight of their own
 
 
