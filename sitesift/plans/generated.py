@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitesift.session import spread
+
 # one contact page per customer; person, title, e-mail and phone follow from the row
 CONTACT_BASE_SQL = """
 SELECT c.c_custkey AS page_id,
@@ -90,13 +92,13 @@ def register_views(spark: SparkSession, sf_dir: str, names) -> None:
 
 def contact_pages(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
     register_views(spark, sf_dir, ["customer", "nation"])
-    df = spark.sql(CONTACT_HTML_SQL)
+    df = spread(spark.sql(CONTACT_HTML_SQL))
     return df if full else df.select("page_id", "url", "html")
 
 
 def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, ["customer"])
-    return spark.sql(LINK_HTML_SQL).select("page_id", "url", "html")
+    return spread(spark.sql(LINK_HTML_SQL).select("page_id", "url", "html"))
 
 
 def link_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
