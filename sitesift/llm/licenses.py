@@ -47,9 +47,8 @@ _CUT = r"<[^>]*>|[\r\n]+"
 
 
 class Templates:
-    """Distinct terms of each template, inverse document frequencies over the templates
-    (a term of none counts as one of the rarest) and the terms without which no sentence
-    reaches the threshold."""
+    """Distinct terms of each template and inverse document frequencies over the templates
+    (a term of none counts as rarer than all). No single term reaches the threshold."""
 
     def __init__(self, templates=TEMPLATES, least: float = LEAST):
         self.rows = [(name, sorted(set(re.findall(_TOKEN, text.lower())))) for name, text in templates]
@@ -61,37 +60,38 @@ class Templates:
         self.idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in sorted(df.items())}
         self.rare = math.log(1 + n) + 1
         self.norms = [math.sqrt(sum(self.idf[t] ** 2 for t in terms)) for _, terms in self.rows]
-        weak: set[str] = set()
-        for t in sorted(self.idf, key=lambda t: (self.idf[t], t)):
-            held = weak | {t}
-            if all(math.sqrt(sum(self.idf[x] ** 2 for x in terms if x in held)) < (least - 1e-6) * norm
-                   for (_, terms), norm in zip(self.rows, self.norms)):
-                weak = held
-        self.strong = sorted(set(self.idf) - weak)
-
-    def pattern(self) -> str:
-        return "(?i)" + "|".join(re.escape(t) for t in self.strong)
+        # A cosine of ``least`` needs shared mass of least^2 times the sentence's own. Foreign
+        # terms weigh ``rare``^2 each and known ones no more than the heaviest, so a sentence
+        # with a smaller part of known terms than this cannot reach it.
+        known, foreign = max(self.idf.values()) ** 2, self.rare ** 2
+        share = least * least
+        self.part = share * foreign / (share * foreign + (1 - share) * known)
 
 
 def own_license(html: Column, t: Templates, least: float = LEAST) -> Column:
-    """struct(score, name) of the best sentence, or null. Sentences without a strong term
-    stay below the threshold, so they are not weighed; ties go to the smaller name."""
+    """struct(score, order, name) of the best sentence, or null. Sentences with too small
+    a part of template terms for the threshold are not weighed (see ``Templates.part``);
+    ties go to the smaller name."""
     text = F.regexp_replace(html, _BREAK, "$1\n")
-    parts = F.filter(F.split(text, _CUT), lambda s: s.rlike(t.pattern()))
-    idf = F.map_from_arrays(F.array(*map(F.lit, t.idf)), F.array(*map(F.lit, t.idf.values())))
+    vocabulary = F.array(*map(F.lit, t.idf))
+    idf = F.map_from_arrays(vocabulary, F.array(*map(F.lit, t.idf.values())))
     weigh = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.pow(
         F.coalesce(F.element_at(idf, x), F.lit(t.rare)), F.lit(2.0)))
 
     def best(s):
-        terms = F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(f"({_TOKEN})"), F.lit(1)))
-        found = [F.struct(F.round(weigh(F.array_intersect(terms, F.array(*map(F.lit, own))))
-                                  / (F.sqrt(weigh(terms)) * norm), 6).alias("score"),
+        found = [F.struct(F.round(weigh(F.array_intersect(s["terms"], F.array(*map(F.lit, own))))
+                                  / (s["norm"] * norm), 6).alias("score"),
                           F.lit(-k).alias("order"), F.lit(name).alias("name"))
                  for k, ((name, own), norm) in enumerate(zip(t.rows, t.norms))]
         return F.array_max(F.array(*found))
 
-    top = F.array_max(F.transform(parts, best))
-    return F.when(html.rlike(t.pattern()), F.when(top["score"] >= least, top))
+    # each step reads the one before, so terms and norm are made once a sentence
+    terms = F.transform(F.split(text, _CUT), lambda s: F.array_distinct(
+        F.regexp_extract_all(F.lower(s), F.lit(f"({_TOKEN})"), F.lit(1))))
+    likely = F.filter(terms, lambda w: (F.size(w) > 1) & (
+        F.size(F.array_intersect(w, vocabulary)) >= F.size(w) * (t.part - 1e-9)))
+    weighed = F.transform(likely, lambda w: F.struct(w.alias("terms"), F.sqrt(weigh(w)).alias("norm")))
+    return F.array_max(F.filter(F.transform(weighed, best), lambda x: x["score"] >= least))
 
 
 def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -151,7 +151,7 @@ q AS (SELECT r, page_id, host, path, CASE WHEN contains(path, '/') THEN regexp_e
       regexp_extract(path, '[^/]*$') AS base FROM p),
 s AS (SELECT r, unnest(regexp_split_to_array(regexp_replace(html, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'),
       '<[^>]*>|[\\r\\n]+')) AS seg FROM p),
-s2 AS (SELECT r, row_number() OVER () AS sid, seg FROM s WHERE regexp_matches(seg, '{t.pattern()}')),
+s2 AS (SELECT r, row_number() OVER () AS sid, seg FROM s),
 w AS (SELECT DISTINCT r, sid, unnest(regexp_extract_all(lower(seg), '{_TOKEN}')) AS w FROM s2),
 n AS (SELECT sid, sqrt(sum(pow(coalesce(v, {t.rare!r}::DOUBLE), 2))) AS norm FROM w LEFT JOIN idf USING (w) GROUP BY sid),
 d AS (SELECT w.r, w.sid, tmpl.k, tmpl.name, sum(v * v) / max(n.norm * tmpl.norm) AS c

@@ -106,12 +106,19 @@ def test_similar_branches_merge(spark):
 
 # -- licences ---------------------------------------------------------------
 
-def test_weak_terms_cannot_reach_the_threshold():
+def test_sentences_left_out_cannot_reach_the_threshold():
+    import random
+    rng = random.Random(4)
     t = licenses.Templates()
-    assert "the" not in t.strong and t.strong
-    for (_, terms), norm in zip(t.rows, t.norms):
-        weak = math.sqrt(sum(t.idf[x] ** 2 for x in terms if x not in t.strong))
-        assert weak / norm < licenses.LEAST
+    assert max(t.idf[x] / n for (_, terms), n in zip(t.rows, t.norms) for x in terms) < licenses.LEAST
+    for _ in range(20000):
+        k = rng.randrange(len(t.rows))
+        own = t.rows[k][1]
+        s = set(rng.sample(own, rng.randint(1, len(own)))) | {f"other{i}" for i in range(rng.randint(0, 8))}
+        s |= set(rng.sample(sorted(t.idf), rng.randint(0, 3)))
+        mass = lambda ts: sum(t.idf.get(x, t.rare) ** 2 for x in ts)
+        if mass(s & set(own)) / math.sqrt(mass(s)) / t.norms[k] >= licenses.LEAST:
+            assert len(s) > 1 and len(s & set(t.idf)) >= len(s) * t.part
 
 
 def test_inheritance(spark):
