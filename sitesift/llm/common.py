@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.session import scratch_path
+from sitesift.session import stored
+
+__all__ = ["table", "stored", "fold", "free_name", "binary_texts", "strings"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it
-    back: lineage is cut, and a lost executor costs a re-read, not a re-run."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str) -> Column:
     """crc32 of the id's text, modulo 3; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
