@@ -22,7 +22,7 @@ from sitesift.llm.fmindex import FMIndex
 
 WINDOW = 10               # words in a phrase
 SHARD_WORDS = 1 << 19     # words indexed at once (a longer document is its own shard)
-BLOCK_BYTES = 4 << 20     # benchmark text searched in one pass over the documents
+BLOCK_BYTES = 1 << 20     # benchmark text searched in one pass over the documents
 
 # A-Z to lower case; everything but 0-9, a-z and bytes over 7F to a space
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
