@@ -126,7 +126,9 @@ def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             .withColumn("above", above)
             .join(claims, ["host", "above"])
             .groupBy("host", "folder").agg(F.min(F.struct("hops", "above", "name")).alias("n")))
-    out = rows.join(near, ["host", "folder"], "left")
+    # written, so that the join reads both sides from exchanges of its own and a folder with most
+    # of the pages can be split
+    out = rows.join(stored(near, "license-near"), ["host", "folder"], "left")
     none = F.col("own_license").isNull()
     return out.select("id", "host", "path", "own_license", "own_score",
                       F.coalesce("own_license", "n.name").alias("license"),
