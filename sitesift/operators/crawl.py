@@ -3,7 +3,7 @@
 Pages arrive as a table; the crawl decides which stored pages a bounded
 best-first crawl from each seed reaches. The traversal is level-synchronous:
 at most ``max_depth`` distributed join steps (frontier x link edges, anti-join
-on the visited set), each checkpointed to the shared checkpoint folder.
+on the visited set), each written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from sitesift.functions.text import lit_array
 from sitesift.functions.urls import normalize_url, url_netloc, url_path_noparams, with_joined_url
 from sitesift.operators.htmltree import parse_pages
 from sitesift.operators.structure import links as page_links
-from sitesift.session import ensure_checkpoint_dir
+from sitesift.session import stored
 
 
 def with_relevance(df: DataFrame, url_col: str, text_col: str, out: str = "score", keywords=None) -> DataFrame:
@@ -66,17 +66,16 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFra
 
     seeds(seed) -> (seed, url, depth, priority): a URL is taken once per seed at
     its smallest depth; its priority is the best (lowest) over the links that
-    reach it from the previous level. Join strategies are left to the engine, which
-    knows the sizes of the checkpointed steps in bytes.
+    reach it from the previous level. Every step is written to the shared folder, so the
+    engine knows its size in bytes and chooses the join by it.
     """
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
     seeds = seeds.select(F.col("seed"))
     visited = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"),
-                           F.lit(0).alias("priority")).distinct().checkpoint(eager=True)
+                           F.lit(0).alias("priority")).distinct()
+    visited = stored(visited, "crawl_seeds")
     frontier, n = visited, visited.count()
     # the edge table is read once per level: materialize it once
-    e = edges.select("src_url", "dst_url", "priority").checkpoint(eager=True)
+    e = stored(edges.select("src_url", "dst_url", "priority"), "crawl_edges")
     for d in range(1, max_depth + 1):
         if n == 0:
             break
@@ -85,7 +84,8 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFra
                 .filter(url_netloc(F.col("dst_url")) == url_netloc(F.col("seed")))
                 .groupBy("seed", F.col("dst_url").alias("url")).agg(F.min("priority").alias("priority")))
         new = (cand.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-               .select("seed", "url", F.lit(d).alias("depth"), "priority")).checkpoint(eager=True)
+               .select("seed", "url", F.lit(d).alias("depth"), "priority"))
+        new = stored(new, "crawl_level")
         n = new.count()
         visited = visited.unionByName(new)
         frontier = new

@@ -13,7 +13,7 @@ from sitesift.operators.crawl import crawl_bfs, crawl_budget, crawl_edges
 from sitesift.operators.links import unique_links
 from sitesift.operators.validate import validate_records
 from sitesift.plans.contact import contact_info, parsed_pages, wrapper_info
-from sitesift.session import ensure_checkpoint_dir, stored
+from sitesift.session import stored
 from sitesift.sources.sinks import csv_projection
 
 
@@ -73,18 +73,17 @@ def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = Non
                  keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
     """Q4: every stored page reachable from the seeds over unique links (URL
     identity = normalized URL), with the step it was first reached; one
-    distributed join per step, each step checkpointed. Runs until a step finds
+    distributed join per step, each step written. Runs until a step finds
     no new URL (the seen set only grows, so this ends); ``max_steps`` is an
     optional explicit limit, off by default. ``keep`` is the predicate on link URLs."""
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
     pg = pages.select("page_id", "url", normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull())
     # read once per step: materialize the edge list once
     ln = unique_links(pages, keep).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")) \
-        .distinct().checkpoint(eager=True)
+        .distinct()
+    ln = stored(ln, "closure_links")
     start = seeds.select(normalize_url(F.col("seed")).alias("norm_url")).filter(F.col("norm_url").isNotNull())
-    seen = start.distinct().withColumn("step", F.lit(0)).checkpoint(eager=True)
+    seen = stored(start.distinct().withColumn("step", F.lit(0)), "closure_step")
     frontier, n = seen, seen.count()
     step = 0
     while n > 0 and (max_steps is None or step < max_steps):
@@ -92,7 +91,8 @@ def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = Non
         nxt = (frontier.select(F.col("norm_url").alias("src")).join(ln, "src")
                .select(F.col("dst").alias("norm_url")).distinct()
                .join(seen.select("norm_url"), "norm_url", "left_anti")
-               .withColumn("step", F.lit(step))).checkpoint(eager=True)
+               .withColumn("step", F.lit(step)))
+        nxt = stored(nxt, "closure_step")
         n = nxt.count()
         seen = seen.unionByName(nxt)
         frontier = nxt
