@@ -9,7 +9,10 @@ U = "(?U)"
 
 # --- FIXED VALUES: extraction patterns (the e-mail TLD class keeps a literal '|') ---
 EMAIL = U + r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-PHONE = U + r"\+?[\d\s.-]+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
+# A leftmost phone match starts at the end of the match before, at a plus, or where its run of
+# digits, spaces, dots and hyphens starts (one starting inside the run could start earlier), so
+# only these positions are tried: long runs cost linear time.
+PHONE = U + r"(?:\G|(?<![\d\s.-])|(?=\+))" + r"\+?[\d\s.-]+\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
 # further words of a name are matched possessively: every word ends at a word boundary, so
 # giving one back never helps, and Java repeats a possessive group in a loop, not by recursion
 NAME = (U + r"\b(?!(?:Email|Contact|sent by)\b)(?:Dr\.|Mr\.|Ms\.|Mrs\.|Prof\.)?\s*"

@@ -119,3 +119,9 @@ def test_fuzzy_low_cut_off_keeps_short_scores(spark):
     df = with_fuzzy_query(spark.createDataFrame([("abcde fghij klmno pqrst",)], "t string"), F.col("t"))
     assert df.select(fuzzy_titles_of(["abx", "zz"], 5, 10)).first()[0] == ["abx"]
     assert df.select(fuzzy_titles_of(["abx", "zz"], 5, 30)).first()[0] == []
+
+
+def test_phones_of_long_digit_runs_take_linear_time(spark):
+    from sitesift.functions.text import phones_in
+    assert one(spark, phones_in, "1." * 30_000 + "x") == []
+    assert one(spark, phones_in, "call +1 (017) 555-0101 or 12+34 212-555-0102") == ["+1 (017) 555-0101", "+34 212-555-0102"]
