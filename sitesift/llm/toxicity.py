@@ -4,7 +4,8 @@ Words that labelled toxic documents use in several contexts and others do not fo
 lexicon, stored as a trie; stems shared by several such words become open entries. The
 trie is intersected with the Levenshtein automata of its entries, and the product is
 made deterministic as words are read, so misspelled terms cost one walk, not one
-distance per entry. Every match is weighed by its context window: matches between
+distance per entry. A digit or symbol inside a word is an edit like any other letter;
+forms near an entry that the labelled rows show to be ordinary words are left out. Every match is weighed by its context window: matches between
 quotation marks or behind words of reporting count apart from plain ones. A logistic
 model over these counts gives the score.
 """
@@ -26,9 +27,11 @@ MAX_TERMS = 4000        # lexicon entries at most, the best supported ones
 MIN_CONTEXTS = 3        # different words before a term in toxic documents
 MIN_ODDS = 2.5          # log odds of toxic against other documents
 STEM, STEM_END = 4, 8    # letters of a stem
-FUZZY_FROM = 6          # shortest term that may be misspelled
+FUZZY_FROM = 4          # shortest term that may be misspelled
 WINDOW = 6              # words looked at before a match
 _WORD = re.compile(r"[^\W\d_]+")
+#: A word, one digit or symbol and the word behind it, which may begin the next such pair.
+_JOINED = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([\d_]|[^\w\s])(?=([^\W\d_]++))")
 _QUOTE = re.compile(r"[\"“”«»„‟]|(?<!\w)['‘]|['’](?!\w)")
 #: Words that report what others say (our own short list).
 REPORTING = frozenset("said says called quote quoted quotes word term slur insult sagte nannte zitat wort dit "
@@ -153,42 +156,65 @@ def _quoted(text: str, start: int, end: int, words_before: list[str]) -> bool:
 N_FEATURES = 8
 
 
-def features(text: str, automaton: Automaton) -> list[float]:
+def matches(low: str, words: set[str], automaton: Automaton, ordinary=frozenset()):
+    """(kind, form, start, end, words before) of every match in a lower-cased text.
+    ``words`` are its distinct words. Entries are letters only, so a word with one digit
+    or symbol inside can be a misspelled entry; its parts are looked at first. Misspelled
+    forms in ``ordinary`` are no matches."""
+    match = automaton.match
+    kinds = {w: k for w in words if (k := match(w)) and (k != automaton.FUZZY or w not in ordinary)}
+    joined = {a + c + b for a, c, b in set(_JOINED.findall(low))
+              if a not in kinds and b not in kinds and match(a + c + b) == automaton.FUZZY} - ordinary
+    if not kinds and not joined:
+        return
+    at = {m.start(): (m[1] + m[2] + m[3], m.end(3)) for m in _JOINED.finditer(low)
+          if m[1] + m[2] + m[3] in joined} if joined else {}
+    before: list[str] = []
+    for m in _WORD.finditer(low):
+        w = m.group()
+        if w in kinds:
+            yield kinds[w], w, m.start(), m.end(), before[-WINDOW:]
+        elif m.start() in at:
+            form, end = at[m.start()]
+            yield automaton.FUZZY, form, m.start(), end, before[-WINDOW:]
+        before.append(w)
+        if len(before) > 4 * WINDOW:
+            del before[:-WINDOW]
+
+
+def features(text: str, automaton: Automaton, ordinary=frozenset()) -> list[float]:
     """Bias; matches by kind, plain and quoted, damped by log; density of plain ones."""
     low = text.lower()
-    if len(low) != len(text):                      # rare letters that grow in lower case
-        text = low
     words = set(_WORD.findall(low))
-    match = automaton.match
-    hits = {w: k for w in words if (k := match(w))}
     plain, quoted = [0, 0, 0, 0], 0
-    if hits:
-        before: list[str] = []
-        for m in _WORD.finditer(low):
-            w = m.group()
-            kind = hits.get(w)
-            if kind:
-                if _quoted(low, m.start(), m.end(), before[-WINDOW:]):
-                    quoted += 1
-                else:
-                    plain[kind] += 1
-            before.append(w)
-            if len(before) > 4 * WINDOW:
-                del before[:-WINDOW]
+    for kind, _, start, end, before in matches(low, words, automaton, ordinary):
+        if _quoted(low, start, end, before):
+            quoted += 1
+        else:
+            plain[kind] += 1
     total = plain[1] + plain[2]
     return [1.0, float(plain[1] > 0), math.log1p(plain[1]), float(plain[2] > 0), math.log1p(plain[2]),
             math.log1p(plain[3]), math.log1p(quoted), min(1.0, 50 * total / (len(words) + 1))]
 
 
+def misspelled(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` with plain terms as they would be if every term were misspelled."""
+    x = x[x[:, 1] > 0].copy()
+    x[:, 5] = np.log1p(np.expm1(x[:, 2]) + np.expm1(x[:, 5]))
+    x[:, 7] *= np.expm1(x[:, 4]) / (np.expm1(x[:, 2]) + np.expm1(x[:, 4]))
+    x[:, 1:3] = 0
+    return x
+
+
 class Model:
-    def __init__(self, terms: list[str], stems: list[str], weights: np.ndarray):
-        self.terms, self.stems, self.weights = terms, stems, weights
+    def __init__(self, terms: list[str], stems: list[str], weights: np.ndarray, ordinary=frozenset()):
+        self.terms, self.stems, self.weights, self.ordinary = terms, stems, weights, ordinary
 
     def automaton(self) -> Automaton:
         return Automaton(self.terms, self.stems)
 
     def scores(self, texts: list[str], automaton: Automaton) -> np.ndarray:
-        x = np.array([features(t, automaton) for t in texts]).reshape(len(texts), N_FEATURES)
+        x = np.array([features(t, automaton, self.ordinary) for t in texts]).reshape(len(texts), N_FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -251,6 +277,32 @@ def lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[list[str], lis
             sorted(x for x in found if not any(x[:k] in found for k in range(STEM, len(x)))))
 
 
+def near_forms(rows: DataFrame, terms: list[str], stems: list[str]) -> dict[str, int]:
+    """Misspelled forms of terms that are ordinary words by the labelled rows (used in
+    other rows, and their odds do not favour toxic ones), with their contexts there."""
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count_distinct("id").alias("n")).collect()}
+
+    def run(batches):
+        automaton = Automaton(terms, stems)
+        for b in batches:
+            out = []
+            for y, text in zip(b.column(0).to_pylist(), strings(b)):
+                low = text.lower()
+                out += {(y, form, before[-1] if before else "")
+                        for kind, form, _, _, before in matches(low, set(_WORD.findall(low)), automaton)
+                        if kind == automaton.FUZZY}
+            yield pa.RecordBatch.from_pylist([{"y": y, "w": w, "b": p} for y, w, p in out], pa.schema(
+                [("y", pa.int32()), ("w", pa.string()), ("b", pa.string())]))
+            if len(automaton.states) > 200_000:
+                automaton = Automaton(terms, stems)
+
+    per = rows.select("y", "text").mapInArrow(run, "y int, w string, b string").groupBy("w").agg(
+        F.count_distinct(F.when(F.col("y") == 1, F.col("b"))).alias("contexts"),
+        F.count_distinct(F.when(F.col("y") == 0, F.col("b"))).alias("others"))
+    odds = F.log((F.col("contexts") + 0.5) / (n[1] + 1)) - F.log((F.col("others") + 0.5) / (n[0] + 1))
+    return {r["w"]: r["others"] for r in per.where((F.col("others") > 0) & (odds < MIN_ODDS)).collect()}
+
+
 FIT_DOCS = 3000         # of the sample, so many fit the weights on the driver
 FIT_CHARS = 8192        # and of each, so many characters
 
@@ -258,8 +310,9 @@ FIT_CHARS = 8192        # and of each, so many characters
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", held_fold: int = 1, limit: int = SAMPLE_DOCS) -> Model:
     """Lexicon and weights from labelled documents outside the held-out fold. The toxic
-    and the other documents of the fit weigh as they are found; without both labels every
-    score is 0.5."""
+    and the other documents of the fit weigh as they are found, and those with terms once more
+    as if misspelled, which labelled rows seldom show; without both labels every score is
+    0.5. A near form used once in other rows counts in the fit, as an unseen one will."""
     rows = labelled(docs, labels, id_col, text_col, label_col, held_fold, limit)
     terms, stems = lexicon(rows)
     cut = rows.select(F.substring("text", 1, FIT_CHARS).alias("t"), "y", F.xxhash64("id").alias("h"), "id")
@@ -269,10 +322,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 cut.where(F.col("y") == y).orderBy("h", "id").limit(FIT_DOCS // 2).select("t", "y").collect()]
     if len({y for _, y in fit}) < 2:
         return Model(terms, stems, np.zeros(N_FEATURES))
+    near = near_forms(rows, terms, stems)
+    often = frozenset(w for w, others in near.items() if others > 1)
     automaton = Automaton(terms, stems)
-    x = np.array([features(t, automaton) for t, _ in fit])
+    x = np.array([features(t, automaton, often) for t, _ in fit])
     y = np.array([y for _, y in fit], float)
-    return Model(terms, stems, _logistic(x, y))
+    w = _logistic(np.concatenate([x, misspelled(x)]), np.concatenate([y, y[x[:, 1] > 0]]))
+    return Model(terms, stems, w, frozenset(near))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_fold: int = 1,
