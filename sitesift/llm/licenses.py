@@ -1,8 +1,10 @@
 """Licence scans: TF-IDF cosine of sentences to licence templates, then inheritance from
 the nearest ancestor directory.
 
-DataFrame functions only. A page's text is cut into sentences; the best cosine of one of
-them to a template is the page's own licence. Licence files and index pages speak for
+DataFrame functions only. A page that is a whole licence text is compared to licence texts
+as one set of words. Else its text is cut into sentences, and once more, with inline tags
+dropped and wrapped lines joined, into windows as long as each header; the best cosine of
+one of them to a template is the page's own licence. Licence files and index pages speak for
 their directory; a page without a licence of its own takes that of the nearest directory
 above it, found by joining its ancestors' paths to the claims.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import stored
+from sitesift.llm.license_texts import TEXTS
 from sitesift.llm.url_templates import url_parts
 
 LEAST = 0.7            # cosine from which a sentence states a licence; no single term of a template has as much
@@ -39,11 +42,29 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
 ]
 
+LEAST_TEXT = 0.8       # cosine from which a page is a whole licence text
+#: Headers of files, looked for as windows of words along with the templates.
+HEADERS = [(name, f"the terms of the GNU {kind}General Public License as published by the Free Software Foundation; "
+            f"either version {v} of the License") for name, kind, v in (
+                ("agpl-3.0", "Affero ", "3"), ("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.0", "Library ", "2"),
+                ("lgpl-2.1", "Lesser ", "2.1"), ("lgpl-3.0", "Lesser ", "3"))] + [
+    ("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("mpl-1.1", "Subject to the terms of the Mozilla Public License, version 1.1."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+#: Words that name a licence; a window must have all those of its template, and of _APART no others.
+_APART = "affero lesser library nc sa nd noncommercial sharealike noderivatives noderivs".split()
+_NAMING = set(_APART) | set("apache bsd clause cc cc0 by creative commons attribution gnu general public mozilla mit license "
+                            "domain rights reserved 1.0 1.1 2 2.0 2.1 3 4.0".split())
+
 _TOKEN = r"[a-z0-9]+(?:[.][0-9]+)*"
 _FILE = r"(?i)^(licen[cs]e|copying|copyright|notice|legal|terms)([._-].*)?$"
 _INDEX = r"(?i)^((index|readme)([._-].*)?)?$"
 _BREAK = r"([.!?])[ \t\r\n]+"
 _CUT = r"<[^>]*>|[\r\n]+"
+_INLINE = r"(?i)</?(?:a|abbr|acronym|b|big|bdi|bdo|cite|code|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var)(?:\s[^>]*)?>"
+_BLOCK = r"<[^>]*>|\r?\n[ \t]*\r?\n"
 
 
 class Templates:
@@ -52,6 +73,7 @@ class Templates:
 
     def __init__(self, templates=TEMPLATES, least: float = LEAST):
         self.rows = [(name, sorted(set(re.findall(_TOKEN, text.lower())))) for name, text in templates]
+        self.lengths = [len(re.findall(_TOKEN, text.lower())) for _, text in templates]
         n = len(self.rows)
         df = {}
         for _, terms in self.rows:
@@ -68,16 +90,29 @@ class Templates:
         self.part = share * foreign / (share * foreign + (1 - share) * known)
 
 
-def own_license(html: Column, t: Templates, least: float = LEAST) -> Column:
-    """struct(score, order, name) of the best sentence, or null. Sentences with too small
-    a part of template terms for the threshold are not weighed (see ``Templates.part``);
-    ties go to the smaller name."""
+def sentences(html: Column) -> Column:
+    """The distinct words of each sentence."""
     text = F.regexp_replace(html, _BREAK, "$1\n")
-    vocabulary = F.array(*map(F.lit, t.idf))
-    idf = F.map_from_arrays(vocabulary, F.array(*map(F.lit, t.idf.values())))
-    weigh = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.pow(
+    return F.transform(F.split(text, _CUT), lambda s: F.array_distinct(_tokens(s)))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN})"), F.lit(1))
+
+
+def _weigh(t: Templates):
+    idf = F.map_from_arrays(F.array(*map(F.lit, t.idf)), F.array(*map(F.lit, t.idf.values())))
+    return lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.pow(
         F.coalesce(F.element_at(idf, x), F.lit(t.rare)), F.lit(2.0)))
 
+
+def _nearest(terms: Column, t: Templates, least: float) -> Column:
+    """struct(score, order, name) of the best of an array of term sets, or null. Sets with
+    too small a part of template terms for the threshold are not weighed (see
+    ``Templates.part``); ties go to the smaller name."""
+    vocabulary = F.array(*map(F.lit, t.idf))
+    weigh = _weigh(t)
+
     def best(s):
         found = [F.struct(F.round(weigh(F.array_intersect(s["terms"], F.array(*map(F.lit, own))))
                                   / (s["norm"] * norm), 6).alias("score"),
@@ -86,14 +121,45 @@ def own_license(html: Column, t: Templates, least: float = LEAST) -> Column:
         return F.array_max(F.array(*found))
 
     # each step reads the one before, so terms and norm are made once a sentence
-    terms = F.transform(F.split(text, _CUT), lambda s: F.array_distinct(
-        F.regexp_extract_all(F.lower(s), F.lit(f"({_TOKEN})"), F.lit(1))))
     likely = F.filter(terms, lambda w: (F.size(w) > 1) & (
         F.size(F.array_intersect(w, vocabulary)) >= F.size(w) * (t.part - 1e-9)))
     weighed = F.transform(likely, lambda w: F.struct(w.alias("terms"), F.sqrt(weigh(w)).alias("norm")))
     return F.array_max(F.filter(F.transform(weighed, best), lambda x: x["score"] >= least))
 
 
+def header(html: Column, t: Templates, least: float = LEAST) -> tuple[Column, Column]:
+    """(blocks, best): the page's blocks that can hold all naming words of a template, as
+    arrays of words, to be named ``blocks``, and struct(score, order, name) of the best window of words in them, or null. Inline tags don't
+    part words and single line ends are spaces. A window starts at a word of its template
+    (no other start is better), is as long and has all its naming words."""
+    weigh = _weigh(t)
+
+    def windows(k, name, own, norm):
+        needs = [x for x in own if x in _NAMING]
+        mine, need = F.array(*map(F.lit, own)), F.array(*map(F.lit, needs))
+        apart = F.array(*[F.lit(x) for x in _APART if x not in own])
+        named = lambda w: F.size(F.array_intersect(w, need)) == len(needs)
+
+        def cut(w):
+            starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(mine, F.element_at(w, i)))
+            return F.transform(starts, lambda i: F.array_distinct(F.slice(w, i, t.lengths[k])))
+
+        full = F.filter(F.flatten(F.transform(F.filter("blocks", named), cut)),
+                        lambda w: named(w) & ~F.arrays_overlap(w, apart))
+        return F.transform(full, lambda w: F.struct(
+            F.round(weigh(F.array_intersect(w, mine)) / (F.sqrt(weigh(w)) * norm), 6).alias("score"),
+            F.lit(-k).alias("order"), F.lit(name).alias("name")))
+
+    # a window has all naming words of its template, so its block has the longest of them
+    words = {max(_NAMING.intersection(own), key=lambda x: (len(x), x)) for _, own in t.rows if _NAMING.intersection(own)}
+    likely = "|".join(map(re.escape, sorted(words))) or "(?!)"
+    blocks = F.transform(F.filter(F.split(F.regexp_replace(html, _INLINE, ""), _BLOCK),
+                                  lambda b: F.lower(b).rlike(likely)), _tokens)
+    found = [windows(k, name, own, norm) for k, ((name, own), norm) in enumerate(zip(t.rows, t.norms))
+             if _NAMING.intersection(own)]
+    return blocks, F.array_max(F.filter(F.flatten(F.array(*found)), lambda x: x["score"] >= least))
+
+
 def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
          templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row per row of ``pages``: id, host, path, own_license, own_score, license (own
@@ -108,7 +174,18 @@ def scan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
-    rows = rows.select("id", host.alias("host"), path.alias("path"), own_license(F.col("html"), t, least).alias("own"))
+    blocks, window = header(F.col("html"), Templates(list(templates) + HEADERS, least), least)
+    rows = (rows.select("id", host.alias("host"), path.alias("path"), sentences(F.col("html")).alias("sentences"),
+                        blocks.alias("blocks"))
+            .withColumn("said", _nearest(F.col("sentences"), t, least)).withColumn("head", window)
+            .withColumn("text", _nearest(F.array(F.array_distinct(F.flatten("sentences"))),
+                                         Templates(TEXTS, LEAST_TEXT), LEAST_TEXT)))
+    # the text of a licence names it best; a sentence without words around it comes before a
+    # window unless that is nearer; reserved rights beside a named licence say nothing
+    free = lambda c: F.when(F.col(f"{c}.name") != "proprietary", F.col(c))
+    nearer = lambda a, b: F.when(a["score"].isNull() | (b["score"] > a["score"]), F.coalesce(b, a)).otherwise(a)
+    rows = rows.withColumn("own", F.coalesce("text", nearer(free("said"), free("head")),
+                                             nearer(F.col("said"), F.col("head"))))
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", "(?s)^.*/", 0)).otherwise(F.lit("/"))
     rows = stored(rows.select("id", "host", "path", F.col("own.name").alias("own_license"),
                               F.col("own.score").alias("own_score"), folder.alias("folder"),
