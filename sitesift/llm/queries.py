@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import (decontaminate, language_gru, licenses, line_crf, mixing, pii, simhash, token_counts, toxicity,
+from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, simhash, token_counts, toxicity,
                           url_templates)
 from sitesift.llm.common import table
 from sitesift.session import scratch_path
@@ -103,3 +103,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op5_license_scan"] = licenses.oracle_sql()
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals of five filters in all 120 orders, per source."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.oracle_sql()
