@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, simhash, token_counts, toxicity,
-                          url_templates)
+from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, prefix_trie, simhash,
+                          token_counts, toxicity, url_templates)
 from sitesift.llm.common import table
 from sitesift.session import scratch_path
 
@@ -112,3 +112,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_filter_audit"] = filter_audit.oracle_sql()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op13_prefix_trie"] = prefix_trie.oracle_sql()
