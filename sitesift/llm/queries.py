@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, prefix_trie, simhash,
-                          token_counts, toxicity, url_templates)
+from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, prefix_trie, secret_scan,
+                          simhash, token_counts, toxicity, url_templates)
 from sitesift.llm.common import table
 from sitesift.session import scratch_path
 
@@ -121,3 +121,11 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op13_prefix_trie"] = prefix_trie.oracle_sql()
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of base kinds and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.secrets(docs, secret_scan.train(docs))
+    return secret_scan.span_table(found).withColumnRenamed("id", "doc_id")

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitesift.llm import (decontaminate, language_gru, licenses, line_crf, mixing, pii, simhash, token_counts, toxicity,
-                          url_templates)
+from sitesift.llm import (decontaminate, filter_audit, language_gru, licenses, line_crf, mixing, pii, secret_scan, simhash,
+                          token_counts, toxicity, url_templates)
 from sitesift.llm.common import stored, table
 from sitesift.session import scratch_path
 
@@ -41,6 +41,8 @@ OPERATORS = {
     "toxicity": lambda s, d: toxicity.score(d, toxicity.train(d, labels_of(s))),
     "pii": lambda s, d: pii.span_table(pii.personal_data(d)),
     "tokens": lambda s, d: token_counts.token_counts(d, "piece_bpe_32k.model", scratch_path(s, "edge-cache")),
+    "secrets": lambda s, d: secret_scan.span_table(secret_scan.secrets(d, secret_scan.train(d))),
+    "audit": lambda s, d: filter_audit.masks(d),
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "benchmark": lambda s, d: decontaminate.digest(decontaminate.contamination(d, bench_of(s))),
     "mix": lambda s, d: mixing.mix(d, {"src0": 0.5, "src1": 0.2}, 2),
