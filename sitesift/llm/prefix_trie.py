@@ -24,7 +24,7 @@ from sitesift.operators.ranking import row_number_within
 
 FAMILY, HEAD_TURNS = 20, 4     # a conversation starts like the first of its family, for id hash % 4 turns
 WIDTH = 64                     # turns of a block
-LIMIT = 4096                   # suffixes of a container that is swept in one piece
+LIMIT = 512                    # suffixes of a container that is swept in one piece
 KEY, UNIT = 16, 20             # bytes of a head's key and of a turn
 PIECE = 4096                   # ids joined into one piece of an id list
 ROOT = bytes(KEY)
@@ -280,7 +280,9 @@ def prefix_trie(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     are left out; an empty table has no conversations and gives no rows; other columns are
     ignored. No task holds more than ``limit`` suffixes of 64 turns at once.
     """
-    blocks = rebuilt_blocks(units(conversations, id_col, turn_col, role_col, text_col))
+    # written before they are ranked: the range partitioning reads its input twice
+    turns = stored(units(conversations, id_col, turn_col, role_col, text_col), "trie-units")
+    blocks = rebuilt_blocks(turns)
     if blocks.isEmpty():
         schema = ("conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, "
                   "saved_tokens long, ends_sha256 string")
@@ -320,11 +322,12 @@ def prefix_trie(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
         # a block's last node is the head of what goes on below it
         known.append(suffixes.groupBy("k").agg(F.min("low").alias("low"), F.max("goes_on").alias("on")).where("on")
                      .select(F.col("k").alias("parent_key"), "low"))
-    top = blocks.where("b = 0").agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv").alias("conv_id"))
-    root = top.select("n_convs", "conv_id", F.lit(ROOT).alias("class")).join(classes, "class").select(
-        F.lit(0).cast("long").alias("depth"), "conv_id", F.lit(None).cast("binary").alias("parent_key"),
-        F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "sha")
-    known.append(top.select(F.lit(ROOT).alias("parent_key"), F.col("conv_id").alias("low")))
+    n, low = blocks.where("b = 0").agg(F.count(F.lit(1)), F.min("conv")).first()
+    root = classes.where(F.col("class") == F.lit(ROOT)).select(
+        F.lit(0).cast("long").alias("depth"), F.lit(low).cast("long").alias("conv_id"), F.lit(None).cast("binary").alias("parent_key"),
+        F.lit(None).cast("long").alias("parent_conv_id"), F.lit(n).cast("long").alias("n_convs"),
+        "n_children", "n_leaves", "saved_tokens", "sha")
+    known.append(root.select(F.lit(ROOT).alias("parent_key"), F.col("conv_id").alias("low")))
     nodes.append(_chains(blocks, stored(_union(alone), "trie-alone")))
     known = stored(_union(known), "trie-known")
     found = stored(_union(nodes), "trie-found")
