@@ -6,7 +6,11 @@ one row per page:
     page_id, url, text,
     elements: array<struct<node_id, parent_id, sib_idx, next_sib, last_desc, tag,
                            attrs: map<string,string>, text_start, text_end, raw_text>>
-    nodes:    array<struct<pos, node_id, start, end, s_start, s_end>>
+    nodes:    array<struct<pos, node_id, start, end, s_start, s_end>>,
+    error:    null, or why the page could not be parsed
+
+A page that the tokenizer refuses (malformed marked sections, for example) gives an empty
+text and tree and its error; the other pages of the job go on (see ``parse_problems``).
 
 ``node_id`` is the element's index in the array (document order), so every
 tree query (descendants, next sibling) is an array lookup inside the page's
@@ -23,6 +27,7 @@ script/style/template/rt/rp and comments are not page text.
 
 from __future__ import annotations
 
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -64,7 +69,9 @@ PARSED_FIELDS = [
     T.StructField("text", T.StringType()),
     T.StructField("elements", T.ArrayType(ELEMENT_TYPE)),
     T.StructField("nodes", T.ArrayType(NODE_TYPE)),
+    T.StructField("error", T.StringType()),
 ]
+PART_PAGES, PART_CHARS = 64, 1 << 20     # pages held as Python objects at once, unless one is longer
 
 
 class _TreeBuilder(HTMLParser):
@@ -74,6 +81,8 @@ class _TreeBuilder(HTMLParser):
         self.pos = 0
         self.els: list[dict] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}       # open elements by tag
+        self.unclosed: dict[str, int] = {}   # characters left where an opening had no closing sign
         self.last_child: dict[int, int] = {}
         self.pending: list[str] = []
         self.nodes: list[dict] = []
@@ -121,6 +130,26 @@ class _TreeBuilder(HTMLParser):
             self.pending.append(data[6:])
             self._flush()
 
+    # An opening without its closing sign is text. The tokenizer looks for the sign anew at
+    # each such opening; once it was missing from some place on, it is from later ones too.
+    def parse_html_declaration(self, i):
+        kind = self.rawdata[i:i + 9] if self.rawdata.startswith("<![", i) else self.rawdata[i:i + 4]
+        left = len(self.rawdata) - i
+        if left <= self.unclosed.get(kind, -1):
+            return -1
+        k = super().parse_html_declaration(i)
+        if k < 0:
+            self.unclosed[kind] = left
+        return k
+
+    def read(self, html):
+        """The whole page. No tag ends behind its last ">": what stands there is text."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if end < len(html):
+            self.handle_data(html[end:] if self.cdata_elem else unescape(html[end:]))
+
     # -- tags ----------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
         self._start(tag, attrs, tag in VOID_TAGS)
@@ -147,6 +176,7 @@ class _TreeBuilder(HTMLParser):
                          "text_start": self.pos, "text_end": self.pos, "raw_text": None})
         if not void:
             self.stack.append(nid)
+            self.open[tag] = self.open.get(tag, 0) + 1
             if tag in _HIDDEN:
                 self.hidden += 1
             if tag in PRESERVE_WS_TAGS:
@@ -156,12 +186,15 @@ class _TreeBuilder(HTMLParser):
         e = self.els[nid]
         e["text_end"] = self.pos
         e["last_desc"] = len(self.els) - 1
+        self.open[e["tag"]] -= 1
         if e["tag"] in _HIDDEN:
             self.hidden -= 1
         if e["tag"] in PRESERVE_WS_TAGS:
             self.preserve -= 1
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):      # nothing to close: the stack need not be looked through
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.els[self.stack[i]]["tag"] == tag:
                 self._flush()
@@ -171,7 +204,6 @@ class _TreeBuilder(HTMLParser):
                 return
 
     def finish(self):
-        self.close()
         self._flush()
         for nid in reversed(self.stack):
             self._close(nid)
@@ -183,10 +215,33 @@ def parse_html(html: str | None):
     """Parse one page; returns (text, elements, nodes). Public for tests."""
     b = _TreeBuilder()
     if html:
-        b.feed(html)
+        b.read(html)
     return b.finish()
 
 
+def parse_or_error(html: str | None):
+    """``parse_html`` and None, or an empty page and the reason why it can't be parsed."""
+    try:
+        return *parse_html(html), None
+    except Exception as e:  # noqa: BLE001 - whatever one page holds, the others go on
+        return "", [], [], f"{type(e).__name__}: {str(e)[:200]}"
+
+
+def _pieces(batch, column):
+    """Slices of a batch of few pages or few characters."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == PART_PAGES or held + n > PART_CHARS):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
 def _structs(rows_of_pages: list[list[dict]], kind):
     """list<struct> column of a batch: one flat array per field, then offsets."""
     import itertools
@@ -203,18 +258,15 @@ def _structs(rows_of_pages: list[list[dict]], kind):
 def _parse_batches(batches, keep: list[str], id_col: str, html_col: str):
     import pyarrow as pa
 
-    for batch in batches:
-        schema = _arrow_schema(batch.schema, keep, id_col)
-        texts, elems, nodes = [], [], []
-        for html in batch.column(batch.schema.get_field_index(html_col)).to_pylist():
-            t, e, n = parse_html(html)
-            texts.append(t)
-            elems.append(e)
-            nodes.append(n)
-        same = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, *keep)]
-        yield pa.RecordBatch.from_arrays(
-            [*same, pa.array(texts, pa.string()), _structs(elems, schema.field("elements").type),
-             _structs(nodes, schema.field("nodes").type)], schema=schema)
+    for whole in batches:
+        schema = _arrow_schema(whole.schema, keep, id_col)
+        at = whole.schema.get_field_index(html_col)
+        for batch in _pieces(whole, whole.column(at)):
+            texts, elems, nodes, errors = map(list, zip(*map(parse_or_error, batch.column(at).to_pylist())))
+            same = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, *keep)]
+            yield pa.RecordBatch.from_arrays(
+                [*same, pa.array(texts, pa.string()), _structs(elems, schema.field("elements").type),
+                 _structs(nodes, schema.field("nodes").type), pa.array(errors, pa.string())], schema=schema)
 
 
 def _arrow_schema(in_schema, keep, id_col):
@@ -228,13 +280,13 @@ def _arrow_schema(in_schema, keep, id_col):
                     ("end", pa.int32()), ("s_start", pa.int32()), ("s_end", pa.int32())])
     fields = [in_schema.field(id_col)] + [in_schema.field(k) for k in keep]
     fields += [pa.field("text", pa.string()), pa.field("elements", pa.list_(el)),
-               pa.field("nodes", pa.list_(nd))]
+               pa.field("nodes", pa.list_(nd)), pa.field("error", pa.string())]
     return pa.schema(fields)
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 keep: tuple[str, ...] = ("url",), min_partitions: int | None = None) -> DataFrame:
-    """Parse every page once into (id, keep..., text, elements, nodes).
+    """Parse every page once into (id, keep..., text, elements, nodes, error).
 
     Pages are independent, so this is a narrow stage over the input's own partitions;
     ``min_partitions`` deals them out anew first (for a few large splits).
@@ -252,6 +304,14 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     return src.mapInArrow(fn, out_schema)
 
 
+def parse_problems(parsed: DataFrame) -> DataFrame:
+    """One row (page_id, url, level, message) per page that could not be parsed."""
+    from pyspark.sql import functions as F
+
+    return parsed.where(F.col("error").isNotNull()).select(
+        "page_id", "url", F.lit("error").alias("level"), F.concat(F.lit("page could not be parsed: "), "error").alias("message"))
+
+
 def _ship_by_value():
     """Pickle this module's code into the task, so executors need no install of the package."""
     import sys

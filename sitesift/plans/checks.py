@@ -18,7 +18,7 @@ from sitesift.functions.urls import (is_html_url, normalize_url, with_joined_url
                                      url_path, url_query, url_scheme)
 from sitesift.operators import structure as S
 from sitesift.operators.extract import explode_matches, text_mentions
-from sitesift.operators.htmltree import parse_pages
+from sitesift.operators.htmltree import parse_pages, parse_problems
 from sitesift.sources.readers import fetched_ok, read_table, seeds_from_lines
 
 QUERIES: dict = {}
@@ -1169,23 +1169,28 @@ def q_sink_json(spark, d):
 
 
 @query("sink_json_seeds", f"""
-SELECT 'http://site' || cast(page_id % 50 AS string) AS seed, url,
+SELECT 'http://site' || cast(page_id // 50 AS string) AS seed, url,
        CAST(to_json(list_sort(list(DISTINCT {{'type': type, 'value': value}}))) AS VARCHAR) AS extracted_info
 FROM ({CONTACT_INFO_SQL}) m GROUP BY ALL
 """)
 def q_sink_json_seeds(spark, d):
-    """One object per seed holding its pages, written and read back, one row per page."""
+    """One object per seed holding its pages (a crawl's cap of 50 at most), written and
+    read back, one row per page."""
     from sitesift.session import scratch_path
     from sitesift.sources.sinks import nested_by_seed, write_json
-    seed = F.concat(F.lit("http://site"), (F.col("page_id") % 50).cast("string"))
+    seed = F.concat(F.lit("http://site"), F.expr("page_id div 50").cast("string"))
     path = scratch_path(spark, "seed_json")
-    write_json(nested_by_seed(q_pipe_contact_info(spark, d).withColumn("seed", seed), max_pages=1_000_000), path)
+    write_json(nested_by_seed(q_pipe_contact_info(spark, d).withColumn("seed", seed)), path)
     info = "array<struct<type:string,value:string>>"
     back = spark.read.schema(f"seed string, pages map<string,{info}>").json(path)
     return (back.select("seed", F.explode("pages").alias("url", "i"))
             .select("seed", "url", F.to_json("i").alias("extracted_info")))
 
 
+# pages that the tokenizer refuses: a mail address in them is not found, the other pages go on
+BROKEN_SQL = """SELECT -2 - c_custkey AS page_id, 'http://broken/' || cast(c_custkey AS string) AS url,
+  '<p>a@b.example.com</p>' || CASE c_custkey % 2 WHEN 0 THEN '<![foo[x]]>' ELSE '<![ x>' END AS html
+FROM customer WHERE c_custkey % 7 = 0"""
 FAILED_SQL = "SELECT page_id, url, 'error' AS level, 'HTTP 500' AS message FROM " + GEN + " WHERE page_id % 11 = 0"
 
 
@@ -1197,14 +1202,19 @@ SELECT g.page_id, g.url, CASE WHEN g.page_id % 11 = 0 THEN 'failure' ELSE 'succe
 FROM {GEN} LEFT JOIN (SELECT page_id, list_sort(list(DISTINCT {{'type': type, 'value': value}})) AS info
                       FROM ({CONTACT_INFO_SQL}) m GROUP BY page_id) i ON g.page_id = i.page_id
 UNION ALL SELECT -1, 'http://empty', 'success', '', 'Empty HTML content', '[]'
+UNION ALL SELECT -2 - c_custkey, 'http://broken/' || cast(c_custkey AS string), 'failure', 'page could not be parsed', '', '[]'
+FROM customer WHERE c_custkey % 7 = 0
 """)
 def q_sink_page_status(spark, d):
     from sitesift.sources.sinks import page_status
     pages = contact_pages(spark, d)
-    problems = S.jsonld_problems(parse_pages(pages)).unionByName(spark.sql(FAILED_SQL))
+    broken = spark.sql(BROKEN_SQL)
+    parsed = parse_pages(pages.unionByName(broken))
+    problems = S.jsonld_problems(parsed).unionByName(parse_problems(parsed)).unionByName(spark.sql(FAILED_SQL))
     empty = spark.createDataFrame([(-1, "http://empty", "")], "page_id long, url string, html string")
-    st = page_status(pages.unionByName(empty), q_pipe_contact_info(spark, d), problems)
-    return st.select("page_id", "url", "status", F.array_join("errors", ";").alias("errors"),
+    st = page_status(pages.unionByName(broken).unionByName(empty), q_pipe_contact_info(spark, d), problems)
+    # the parser's own words behind the colon are left out
+    return st.select("page_id", "url", "status", F.regexp_extract(F.array_join("errors", ";"), "^[^:]*", 0).alias("errors"),
                      F.array_join("warnings", ";").alias("warnings"), F.to_json("extracted_info").alias("extracted_info"))
 
 

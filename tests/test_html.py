@@ -95,3 +95,47 @@ def test_one_pass_equals_the_mention_rows(spark, pages_of):
     rows = sort_by_relevance(wrapper_mentions(p), keys=("page_id", "url")).select("page_id", "url", "type", "value", "rn")
     got = wrapper_info(None, parsed=p).select("page_id", "url", "type", "value", "rn")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_any_input_gives_a_row(spark):
+    """Tag soup of every kind: no input stops the others, trees stay consistent."""
+    import random
+
+    from sitesift.operators.htmltree import parse_or_error, parse_pages, parse_problems
+
+    rng = random.Random(11)
+    bits = ["<", ">", "</", "<p", "<p>", "</p>", "<![", "<![CDATA[", "]]>", "<!--", "-->", "<!", "<?", "?>", "<a href=", "'", '"', "=", "&", "&#x", "&lt;", "x", " ",
+            "<script>", "</script>", "<textarea>", "\x00", "퟿", "é", "foo[", "<br/>", "</", "<pre>\n", "<style", "\n", "if", "temp"]
+    pages = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)]
+    refused = 0
+    for html in pages:
+        text, elements, nodes, error = parse_or_error(html)
+        refused += error is not None
+        for e in elements:
+            assert e["parent_id"] < e["node_id"] <= e["last_desc"] < len(elements) and 0 <= e["text_start"] <= e["text_end"] <= len(text)
+        assert error is None or not (text or elements or nodes)
+    assert 0 < refused < len(pages)
+    rows = [(k, f"http://a/{k}", h) for k, h in enumerate([*pages[:500], None, "", "<p>ok</p>", "<p>a<![foo[x]]>b</p>"])]
+    parsed = parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    assert parsed.count() == len(rows)
+    got = {r["page_id"]: r for r in parsed.collect()}
+    assert got[502]["text"] == "ok" and got[502]["error"] is None and got[503]["error"].startswith("AssertionError")
+    assert {r["page_id"] for r in parse_problems(parsed).collect()} == {k for k, r in got.items() if r["error"]}
+    parsed.unpersist()
+
+
+def test_hostile_pages_are_linear():
+    import time
+
+    from sitesift.operators.htmltree import parse_or_error
+
+    n = 60_000
+    pages = ["<div>" * n + "</p>" * n, "<a " * n, "<!--" * n, "<!-- >" * n, "<![CDATA[" * n, "<![CDATA[ >" * n, "<a b='" * n, "<!" * n, "</a " * n,
+             "<script>" + "</" * n, "&#x" * n, "<" * n, '<a ">' * n]
+    start = time.time()
+    for html in pages:
+        parse_or_error(html)
+    assert time.time() - start < 20      # a quadratic one alone takes minutes
+    # openings without their closing sign stay text, in scripts they stay as they are
+    assert parse_or_error("a <b x='1")[0] == "a <b x='1" and parse_or_error("<p>x &amp; <!-- y")[0] == "x & <!-- y"
+    assert parse_or_error("<script>if (a < b) &amp;")[1][0]["raw_text"] == "if (a < b) &amp;"
