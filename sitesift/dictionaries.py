@@ -91,27 +91,32 @@ DEFAULT_TITLES = [
 # Tags whose direct text never counts as page text (raw-text containers).
 HIDDEN_TEXT_TAGS = ["script", "style", "template", "rt", "rp"]
 
-MAX_DICTIONARY = 2_000
+MAX_DICTIONARY = 2_000      # keywords of a dictionary that is compiled into constant expressions
 
 
 def keyword_list(d) -> list[str]:
-    """Accept a list or a (small) DataFrame(keyword, ord) and return keywords in order.
-
-    Dictionaries are small, fixed-size inputs (hundreds of rows) compiled into
-    constant expressions, so a DataFrame dictionary is read once on the driver.
-    This is the operators' limit: a dictionary larger than MAX_DICTIONARY is refused,
-    never truncated (fuzzy titles score every keyword in every row, and plans grow
-    with the constants).
-    """
+    """Accept a list or a DataFrame(keyword, ord) and return keywords in order, for
+    operators that compile them into constant expressions. A longer dictionary is refused
+    here, never truncated: the operators take it as a table instead (``large_dictionary``)."""
     if d is None:
         return list(DEFAULT_TITLES)
     if isinstance(d, DataFrame):
-        n = d.count()
-        if n > MAX_DICTIONARY:
-            raise ValueError(f"dictionary of {n} keywords exceeds {MAX_DICTIONARY}; it is compiled into "
-                             "constant expressions and must stay small")
-        return [r.keyword for r in d.select("keyword", "ord").orderBy("ord").collect()]
-    return list(d)
+        found = [r.keyword for r in d.select("keyword", "ord").orderBy("ord").limit(MAX_DICTIONARY + 1).collect()]
+    else:
+        found = list(d)
+    if len(found) > MAX_DICTIONARY:
+        raise ValueError(f"more than {MAX_DICTIONARY} keywords in a constant expression; use the operators of "
+                         "sitesift.operators.vocabulary")
+    return found
+
+
+def large_dictionary(spark, d) -> DataFrame | None:
+    """``d`` as a table (keyword, ord) if it is too long for constant expressions, else None."""
+    if isinstance(d, DataFrame):
+        return d if len(d.limit(MAX_DICTIONARY + 1).collect()) > MAX_DICTIONARY else None
+    if d is None or len(d) <= MAX_DICTIONARY:
+        return None
+    return spark.createDataFrame([(k, i) for i, k in enumerate(d)], "keyword string, ord long")
 
 
 def all_context_keywords(ctx: dict | None = None) -> list[str]:

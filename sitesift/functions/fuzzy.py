@@ -58,7 +58,7 @@ def tiered_sql(min_score: int, q: str = FQ, ql: str = FQL, qp: str = FQP) -> str
     copy, given as SQL names. A ratio is at most
     100 * min(len) / max(len); where even that, rounded, cannot exceed ``min_score``, the
     entry loses whatever its distance, and Levenshtein is not evaluated."""
-    return f"""CASE WHEN d.kpl = 0 OR {ql} = 0 THEN 0
+    return f"""CASE WHEN d.kpl = 0 OR coalesce({ql}, 0) = 0 THEN 0
      WHEN contains({q}, d.kp) THEN 60
      WHEN exists(d.kws, w -> contains({qp}, w)) THEN 57
      WHEN 200 * least(d.kpl, {ql}) < {2 * int(min_score) + 1} * greatest(d.kpl, {ql}) THEN -1

@@ -22,19 +22,32 @@ from sitesift.session import stored
 def with_relevance(df: DataFrame, url_col: str, text_col: str, out: str = "score", keywords=None) -> DataFrame:
     """+5 if the lower-cased path (without ;params) contains a keyword, +3 if the
     lower-cased link text does, plus max(0, 3 - number of '/' in the path). The path is
-    staged, so the keyword loop reads a column."""
+    staged, so the keyword loop reads a column. ``keywords``: a list, or a DataFrame
+    (keyword, ord) of any size, joined with the distinct paths and link texts."""
     df = df.withColumn("_rel_path", F.lower(url_path_noparams(F.col(url_col)))) \
         .withColumn("_rel_text", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    if isinstance(keywords, DataFrame):
+        from sitesift.operators.vocabulary import holding_any
+
+        df = stored(df, "relevance")
+        strings = df.select(F.explode(F.array("_rel_path", "_rel_text")).alias("s"))
+        told = holding_any(strings, "s", keywords)
+        for c in ("_rel_path", "_rel_text"):
+            df = df.join(told.select(F.col("s").alias(c), F.lit(True).alias(f"{c}_told")), c, "left")
+        return df.withColumn(out, _points(F.coalesce("_rel_path_told", F.lit(False)), F.coalesce("_rel_text_told", F.lit(False)),
+                                          F.col("_rel_path"))).drop("_rel_path", "_rel_text", "_rel_path_told", "_rel_text_told")
     return df.withColumn(out, _relevance(F.col("_rel_path"), F.col("_rel_text"), keywords)) \
         .drop("_rel_path", "_rel_text")
 
 
 def _relevance(path: Column, low: Column, keywords=None) -> Column:
     kws = lit_array(list(keywords or URL_KEYWORDS))
+    return _points(F.exists(kws, lambda k: path.contains(k)), F.exists(kws, lambda k: low.contains(k)), path)
+
+
+def _points(in_path: Column, in_text: Column, path: Column) -> Column:
     slashes = F.length(path) - F.length(F.regexp_replace(path, "/", ""))
-    return (F.when(F.exists(kws, lambda k: path.contains(k)), 5).otherwise(0)
-            + F.when(F.exists(kws, lambda k: low.contains(k)), 3).otherwise(0)
-            + F.greatest(F.lit(0), 3 - slashes))
+    return F.when(in_path, 5).otherwise(0) + F.when(in_text, 3).otherwise(0) + F.greatest(F.lit(0), 3 - slashes)
 
 
 def crawl_edges(pages: DataFrame, parsed: DataFrame | None = None, keywords=None) -> DataFrame:

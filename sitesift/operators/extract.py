@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesift.dictionaries import WRAPPER_TITLES, keyword_list
+from sitesift.dictionaries import WRAPPER_TITLES, keyword_list, large_dictionary
 from sitesift.functions.fuzzy import FQ, FQL, FQP, fuzzy_titles_of, with_fuzzy_query
 from sitesift.functions.text import (clean_text, emails_in, long_enough, names_in, phones_in,
                                      titles_in, wrapper_emails_in, wrapper_names_in,
@@ -76,9 +76,12 @@ def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
     ``min_len`` skips texts shorter than 3 characters (the "safe" entry point);
     context blocks pass ``None`` because they are searched whatever their length.
     The cleaned text and each type's matches are staged as columns; the typed
-    union is one SQL expression over them.
+    union is one SQL expression over them. A title dictionary too long for that is joined
+    as a table (operators/vocabulary.py).
     """
-    kws = keyword_list(titles)
+    if "title" in types and (table := large_dictionary(df.sparkSession, titles)) is not None:
+        return _mentions_by_table(df, table, text_col, ids, origin, types, fuzzy, min_len, weight, confidence, **kw)
+    kws = keyword_list(titles) if "title" in types else []
     src = df if min_len is None else df.filter(long_enough(F.col(text_col)))
     if fuzzy and "title" in types:
         src = with_fuzzy_query(src, F.col(text_col), kw.get("all_windows", False))
@@ -101,6 +104,27 @@ def text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
     return out
 
 
+def _mentions_by_table(df, table, text_col, ids, origin, types, fuzzy, min_len, weight, confidence, **kw) -> DataFrame:
+    """``text_mentions`` with a title dictionary of any size."""
+    from sitesift.operators import vocabulary
+
+    df = df.withColumns({"weight": weight if weight is not None else F.lit(None).cast("string"),
+                         "confidence": confidence if confidence is not None else F.lit(None).cast("double")})
+    src = df if min_len is None else df.filter(long_enough(F.col(text_col)))
+    keys = (*ids, "weight", "confidence")
+    found = vocabulary.exact_titles(src, F.col(text_col), table, keys).select(*keys, "value")
+    if fuzzy:
+        found = found.unionByName(vocabulary.fuzzy_titles(
+            src, F.col(text_col), table, keys, kw.get("fuzzy_k", 5), kw.get("fuzzy_min", 30),
+            kw.get("all_windows", False)).select(*keys, "value"))
+    out = found.select(*ids, F.lit(origin).alias("origin"), F.lit("title").alias("type"), "value", "weight", "confidence")
+    others = tuple(t for t in types if t != "title")
+    if others:
+        out = out.unionByName(text_mentions(df, text_col, ids, origin, others, None, False, min_len,
+                                            F.col("weight"), F.col("confidence")))
+    return out
+
+
 def wrapper_mention_array(text: Column, titles=None) -> Column:
     """Mentions of one text in the "wrapper" profile: its own patterns; a title is
     the whole text when it contains a keyword."""
@@ -114,6 +138,15 @@ def wrapper_mention_array(text: Column, titles=None) -> Column:
 
 def wrapper_text_mentions(df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
                           origin: str = "text", titles=None) -> DataFrame:
+    table = large_dictionary(df.sparkSession, titles)
+    if table is not None:
+        from sitesift.operators import vocabulary
+
+        rows = df.withColumn("_low", F.lower(text_col))
+        told = vocabulary.holding_any(rows.select("_low"), "_low", table.select(F.lower("keyword").alias("keyword"), "ord"))
+        found = rows.join(told, "_low", "left_semi").select(*ids, F.lit(origin).alias("origin"), F.lit("title").alias("type"),
+                                                            F.col(text_col).alias("value"))
+        return found.unionByName(wrapper_text_mentions(df, text_col, ids, origin, titles=[]))
     return (df.select(*ids, F.explode(wrapper_mention_array(F.col(text_col), titles)).alias("_m"))
             .select(*ids, F.lit(origin).alias("origin"), "_m.type", "_m.value"))
 

@@ -135,15 +135,28 @@ def _ctx_lists(ctx):
     return kws, weights
 
 
-def context_blocks(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
+def context_blocks(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> DataFrame:
     """Block elements whose lower-cased class or id contains a context keyword.
 
     One row per (element, keyword, attribute): (page_id, url, node_id, keyword,
-    weight, ord, via, text). The keyword dictionary is a constant array
-    evaluated per element, which replaces a nested-loop join with the dictionary.
+    weight, ord, via, text). A dict of keywords by weight is a constant array
+    evaluated per element, which replaces a nested-loop join with the dictionary. A
+    DataFrame (keyword, weight, ord) of any size is joined with the distinct attribute
+    values through the keywords' rarest 3-grams.
     """
     from sitesift.functions.text import struct_array_sql
 
+    if isinstance(ctx, DataFrame):
+        from sitesift.operators.vocabulary import keywords_of
+
+        both = ", ".join(f"named_struct('node_id', el.node_id, 'via', '{a}', 'attr', lower({_attr('el', a)}), 'text', {_etext('el')})"
+                         for a in ("class", "id"))
+        rows = F.expr(f"flatten(transform(filter(elements, el -> {_in('el.tag', CONTEXT_BLOCK_TAGS)}), "
+                      f"el -> filter(array({both}), x -> x.attr <> '')))")
+        blocks = _explode_struct(parsed, rows)
+        told = keywords_of(blocks, "attr", ctx, ("keyword", "weight", "ord"))
+        return blocks.join(told, "attr").select("page_id", "url", "node_id", "keyword", "weight", "ord", "via", "text")
+
     kws, weights = _ctx_lists(ctx)
     hits = struct_array_sql([{"keyword": k, "weight": w, "ord": i} for i, (k, w) in enumerate(zip(kws, weights))])
 
@@ -158,17 +171,24 @@ def context_blocks(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
     return _explode_struct(parsed, arr)
 
 
-def header_siblings(parsed: DataFrame, ctx: dict | None = None) -> DataFrame:
+def header_siblings(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> DataFrame:
     """Next element sibling of every h1/h2/h3 whose lower-cased text contains a
-    context keyword; weight 'high'. (page_id, url, header_id, node_id, weight, text)."""
-    kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
-    pred = (f"{_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0 AND "
-            f"exists({kws}, k -> contains(lower({_etext('el')}), k))")
+    context keyword; weight 'high'. (page_id, url, header_id, node_id, weight, text).
+    ``ctx`` may be a table as in ``context_blocks``."""
+    pred = f"{_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0"
+    if not isinstance(ctx, DataFrame):
+        kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
+        pred += f" AND exists({kws}, k -> contains(lower({_etext('el')}), k))"
     sib = "element_at(elements, el.next_sib + 1)"
     arr = F.expr(f"transform(filter(elements, el -> {pred}), el -> named_struct('header_id', el.node_id, "
                  f"'node_id', {sib}.node_id, 'weight', 'high', 'text', "
-                 f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start)))")
-    return _explode_struct(parsed, arr)
+                 f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start), 'head', lower({_etext('el')})))")
+    rows = _explode_struct(parsed, arr)
+    if isinstance(ctx, DataFrame):
+        from sitesift.operators.vocabulary import holding_any
+
+        rows = rows.join(holding_any(rows, "head", ctx), "head", "left_semi")
+    return rows.select("page_id", "url", "header_id", "node_id", "weight", "text")
 
 
 # ---- H11 vCard ------------------------------------------------------------------------------

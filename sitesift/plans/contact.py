@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesift.dictionaries import OTHER_RANK, TYPE_RANK
+from sitesift.dictionaries import OTHER_RANK, TYPE_RANK, large_dictionary
 from sitesift.functions.patterns import MIN_TEXT_LEN, V_LINKEDIN
 from sitesift.functions.text import sql_quote
 from sitesift.operators import structure as S
-from sitesift.operators.aggregate import NOT_FOUND, union_all
+from sitesift.operators.aggregate import NOT_FOUND, distinct_mentions, union_all
 from sitesift.operators.extract import (CONTEXT_TYPES, DIRECT_TYPES, mentions_of_texts_sql, text_mentions,
                                         wrapper_mentions_of_texts_sql, wrapper_text_mentions)
 from sitesift.operators.htmltree import parse_pages
@@ -84,7 +84,12 @@ def contact_array(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx: dict
 
 def contact_info(pages: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
                  parsed: DataFrame | None = None, **kw) -> DataFrame:
-    """Q1: distinct (page_id, url, type, value) per page."""
+    """Q1: distinct (page_id, url, type, value) per page. With a title dictionary too long
+    for constant expressions, or context keywords as a table, the mentions are found by joins
+    and made distinct across the shuffle."""
+    if isinstance(ctx, DataFrame) or large_dictionary(pages.sparkSession, titles) is not None:
+        parsed = parsed_pages(pages, keep=True) if parsed is None else parsed
+        return distinct_mentions(contextual_mentions(parsed, titles, fuzzy, ctx, **kw))
     parsed = parsed_pages(pages) if parsed is None else parsed
     return (contact_array(parsed, titles, fuzzy, ctx, **kw)
             # outer: else the optimizer adds a filter that builds the array a second time
@@ -106,7 +111,15 @@ def wrapper_mentions(parsed: DataFrame, titles=None) -> DataFrame:
 
 def wrapper_info(pages: DataFrame, titles=None, parsed: DataFrame | None = None) -> DataFrame:
     """Q2: distinct (type, value) per page in relevance order (rank, then value, then
-    type); ordered and numbered inside the page's row."""
+    type); ordered and numbered inside the page's row. With a title dictionary too long for
+    constant expressions they are found by joins and numbered by a window per page."""
+    if large_dictionary(pages.sparkSession, titles) is not None:
+        parsed = parsed_pages(pages, keep=True) if parsed is None else parsed
+        found = distinct_mentions(wrapper_mentions(parsed, titles))
+        level = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_RANK.items() for x in kv])[F.col("type")], F.lit(OTHER_RANK))
+        found = found.withColumn("relevance", level)
+        order = Window.partitionBy("page_id", "url").orderBy(F.desc("relevance"), "value", "type")
+        return found.select("page_id", "url", "type", "value", "relevance", F.row_number().over(order).alias("rn"))
     parsed = parsed_pages(pages) if parsed is None else parsed
     mail = (f"transform({S.mailto_sql(('a', 'p', 'div', 'span'))}, "
             "v -> named_struct('type', 'email', 'value', v))")
