@@ -10,13 +10,11 @@ keeps page-length text cheap and never changes which keywords pass.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 __all__ = ["process_fuzzy", "fuzzy_titles_of", "fuzzy_titles_sql", "windows_sql", "with_fuzzy_query", "tiered_sql", "levenshtein_ratio",
-           "fuzzy_match", "ratio_udf"]
+           "fuzzy_match"]
 
 
 def process_fuzzy(c: Column) -> Column:
@@ -104,33 +102,3 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 def fuzzy_match(a: Column, b: Column, threshold: int = 50) -> Column:
     return levenshtein_ratio(a, b) >= threshold
-
-
-def _ship_by_value():
-    """Pickle this module's code into tasks, so executors need no install of the package."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-_ship_by_value()
-
-
-@F.pandas_udf(T.IntegerType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact 2*M/T similarity of matching blocks, whatever the length (no popularity
-    heuristic). The matcher is quadratic in the lengths: meant for names and titles.
-    Equal pairs of a batch are compared once."""
-    from difflib import SequenceMatcher
-
-    def ratio(x, y):
-        if x is None or y is None:
-            return None
-        return int(round(100 * SequenceMatcher(None, x.lower(), y.lower(), autojunk=False).ratio()))
-
-    pairs = pd.DataFrame({"a": a, "b": b}, dtype=object)
-    pairs = pairs.where(pairs.notna(), None)
-    once = {p: ratio(*p) for p in set(zip(pairs["a"], pairs["b"]))}
-    return pd.Series([once[p] for p in zip(pairs["a"], pairs["b"])], dtype="Int32")

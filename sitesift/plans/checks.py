@@ -831,13 +831,48 @@ def q_x_title_fuzzy_low(spark, d):
         .select("doc_id", "value", (F.col("rk") + 1).alias("rk"))
 
 
-@query("x_ratio_exact")
+# pairs of customers of one market segment within blocks of 64 keys: at most 64 partners each
+PAIRS_SQL = """
+SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_name || ' ' || cast(cast(floor(a.c_acctbal * 100) AS bigint) AS string) AS an,
+       b.c_name || ' ' || cast(cast(floor(b.c_acctbal * 100) AS bigint) AS string) AS bn
+FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND floor(a.c_custkey / 64) = floor(b.c_custkey / 64)
+                                   AND a.c_custkey < b.c_custkey
+"""
+
+
+@query("x_ratio_exact", f"""
+WITH RECURSIVE p AS ({PAIRS_SQL}),
+w AS (SELECT a, b, 0 AS side, CAST(0 AS BIGINT) AS n, lower(an) AS x, lower(bn) AS y FROM p
+      UNION ALL
+      SELECT a, b, s.side, m.n, CASE s.side WHEN 0 THEN substr(x, 1, m.i - 1) ELSE substr(x, m.i + m.n) END,
+             CASE s.side WHEN 0 THEN substr(y, 1, m.j - 1) ELSE substr(y, m.j + m.n) END
+      FROM (SELECT a, b, x, y, list_max(list_transform(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i:
+                     list_transform(range(1, length(x) - i + 2), lambda n: {{'n': n, 'i': -i, 'j': -instr(y, substr(x, i, n))}}))),
+                     lambda t: t.j < 0), lambda t: t)) AS best FROM w WHERE x <> '' AND y <> '') v,
+           LATERAL (SELECT {{'n': best.n, 'i': -best.i, 'j': -best.j}} AS m) k, (VALUES (0), (1)) AS s(side)
+      WHERE best IS NOT NULL),
+t AS (SELECT a, b, sum(n) AS m FROM w WHERE side = 0 GROUP BY 1, 2)
+SELECT p.a, p.b, CAST(round_even(100 * (CAST(2 * t.m AS DOUBLE) / (length(an) + length(bn))), 0) AS INTEGER) AS ratio FROM p JOIN t USING (a, b)
+""")
 def q_x_ratio_exact(spark, d):
-    """Exact 2*M/T ratio of customer and supplier names; matching blocks have no SQL form, so
-    it is held against a plain matcher in tests/."""
-    from sitesift.functions.fuzzy import ratio_udf
-    c, s = T(spark, d, "customer"), T(spark, d, "supplier")
-    return c.join(s, c.c_custkey == s.s_suppkey).select("c_custkey", ratio_udf("c_name", "s_name").alias("ratio"))
+    """Exact 2*M/T ratio of customers' names and balances, pairs of one segment and block."""
+    from sitesift.functions.similarity import ratio_udf
+    T(spark, d, "customer").createOrReplaceTempView("customer")
+    return spark.sql(PAIRS_SQL).select("a", "b", ratio_udf("an", "bn").alias("ratio"))
+
+
+@query("x_title_score")
+def q_x_title_score(spark, d):
+    """Full title score of customers, pairs of one segment and block, and of every part name
+    against the customer of its number; edit distance to substrings has no SQL form: the score
+    is held against a plain version in tests/."""
+    from sitesift.functions.similarity import title_score_udf
+    for t in ("customer", "part"):
+        T(spark, d, t).createOrReplaceTempView(t)
+    pairs = spark.sql(f"""SELECT a, b, an, bn FROM ({PAIRS_SQL}) p UNION ALL
+        SELECT c_custkey, -1 - p_partkey, c_name || ' ' || c_mktsegment || ' ' || p_type || ' ' || p_name || ' ' || p_brand, p_name
+        FROM customer JOIN part ON c_custkey = p_partkey""")
+    return pairs.select("a", "b", title_score_udf("an", "bn").alias("score"))
 
 
 @query("x_fuzzy_match", """

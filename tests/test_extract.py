@@ -94,7 +94,8 @@ def test_dictionary_as_dataframe_in_order_and_size_checked(spark, monkeypatch):
 def test_exact_ratio_udf_matches_difflib(spark):
     from difflib import SequenceMatcher
 
-    from sitesift.functions.fuzzy import fuzzy_match, ratio_udf
+    from sitesift.functions.fuzzy import fuzzy_match
+    from sitesift.functions.similarity import ratio_udf
     long = "".join(chr(97 + i * i % 26) for i in range(300))
     pairs = [("Project Manager", "project managers"), ("CEO", "Chief Executive"), ("", "x"), ("abc", "abc"),
              (long, long[::-1] + "x")]

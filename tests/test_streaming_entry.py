@@ -25,7 +25,7 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q)
     # training-data queries, where present, are held against brute force in their own tests
     own = {k for k in set(q) - set(o) if k != "pipeline" and not k.startswith("op")}
-    assert own == {"x_ratio_exact"}
+    assert own == {"x_title_score"}
 
 
 def test_every_oracle_sql_binds_in_duckdb_with_the_spark_columns(spark):
