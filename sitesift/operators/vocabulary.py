@@ -34,6 +34,7 @@ ROW = "_row"                # number of an input row, unique
 PIECE = 16_384              # tokens of a text that are expanded together
 GRAM = 3
 BLOCK = 1 << 17             # keywords compared by edit distance at once
+SMALL = 64 << 20            # bytes of a dictionary that every executor may hold
 
 
 def title_table(dictionary: DataFrame) -> DataFrame:
@@ -48,6 +49,8 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     """(ids..., pos, value): non-overlapping whole-word occurrences of keywords in the cleaned
     text, left to right, as a case-insensitive alternation in dictionary order finds them: at
     one place the keyword with the smallest ``ord`` that ends at a word boundary wins.
+    A dictionary of at most SMALL bytes is broadcast, and nothing is shuffled; a larger one
+    meets the n-grams in a shuffle.
 
     A keyword's first and last sign must lie at a word boundary. Null and empty texts give
     nothing; equal rows give equal matches. ``pos`` numbers a text's matches from 0.
@@ -57,7 +60,9 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
              .withColumn("t", tokens(F.col("gram"))).withColumn("m", F.size("t")).withColumn("first", F.col("t")[0]))
     words = stored(words.drop("t"), "dictionary-words")
     firsts = stored(words.groupBy("first").agg(F.sort_array(F.collect_set("m")).alias("ms")), "dictionary-firsts")
-    longest = words.agg(F.max("m")).first()[0] or 1
+    longest, size = words.agg(F.max("m"), F.sum(F.octet_length("gram") + 48)).first()
+    longest, small = longest or 1, (size or 0) <= SMALL
+    hint = F.broadcast if small else (lambda t: t)
     rows = df.select(*ids, F.monotonically_increasing_id().alias(ROW), tokens(clean_text(text)).alias("_t"))
     # a long text in pieces, each with the tokens that a match at its end needs, and one before it
     rows = rows.select(*ids, ROW, F.explode(F.expr(
@@ -68,9 +73,9 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
         "transform(filter(sequence(0, _p.n - 1), i -> _p.n > 0), i -> named_struct('pos', _p.at + i, 'first', lower(_p.t[i]), "
         f"'before', if(i = 0, _p.before, _p.t[greatest(i - 1, 0)]), 'run', slice(_p.t, i + 1, {longest + 1})))")).alias("_at")
     rows = rows.select(*ids, ROW, at).select(*ids, ROW, "_at.*")
-    rows = rows.join(firsts, "first").select(*ids, ROW, "pos", "before", "run", F.explode("ms").alias("m")).where("m <= size(run)")
+    rows = rows.join(hint(firsts), "first").select(*ids, ROW, "pos", "before", "run", F.explode("ms").alias("m")).where("m <= size(run)")
     rows = (rows.withColumn("value", F.array_join(F.slice("run", F.lit(1), F.col("m")), ""))
-            .withColumn("gram", F.lower("value")).join(words.drop("first"), ["gram", "m"]))
+            .withColumn("gram", F.lower("value")).join(hint(words.drop("first")), ["gram", "m"]))
     is_word = lambda c: c.rlike(rf"^[{_WORD}]")
     last, after = F.col("run")[F.col("m") - 1], F.coalesce(F.get("run", F.col("m")), F.lit(""))
     starts = is_word(F.substring("value", 1, 1)) | is_word(F.col("before"))
@@ -80,23 +85,42 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     n = len(ids)
 
     def leftmost(batches):
+        """Of matches sorted by text and place, one after the other: at each place free of
+        earlier ones the smallest ``ord``."""
+        from itertools import chain
+
         import pyarrow as pa
 
-        row, free, number = None, 0, 0
-        for b in batches:
-            keep, numbers = [], []
-            for i, (r, pos, m) in enumerate(zip(*(b.column(n + k).to_pylist() for k in range(3)))):
-                if r != row:
-                    row, free, number = r, 0, 0
-                if pos >= free:
-                    keep.append(i)
+        row, free, number, rest = None, 0, 0, None
+        for b in chain(batches, [None]):
+            t = b if rest is None else rest if b is None else pa.concat_batches([rest, b])      # the end comes as None
+            if t is None:
+                return
+            rows, places, sizes, orders = (t.column(n + k).to_pylist() for k in range(4))
+            keep, numbers, i = [], [], 0
+            while i < len(rows):
+                j = i + 1
+                while j < len(rows) and places[j] == places[i] and rows[j] == rows[i]:
+                    j += 1
+                if j == len(rows) and b is not None:         # more of this place may come
+                    break
+                if rows[i] != row:
+                    row, free, number = rows[i], 0, 0
+                if places[i] >= free:
+                    best = min(range(i, j), key=orders.__getitem__)
+                    keep.append(best)
                     numbers.append(number)
-                    free, number = pos + m, number + 1
-            kept = b.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:n], pa.array(numbers, pa.int32()), kept.column(n + 4)],
-                                             names=[*b.schema.names[:n], "pos", "value"])
-
-    return found.repartition(ROW).sortWithinPartitions(ROW, "pos", "ord").mapInArrow(leftmost, schema)
+                    free, number = places[i] + sizes[best], number + 1
+                i = j
+            rest = t.slice(i)
+            if keep:
+                kept = t.take(pa.array(keep, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:n], pa.array(numbers, pa.int32()), kept.column(n + 4)],
+                                                 names=[*t.schema.names[:n], "pos", "value"])
+
+    if not small:       # else the matches of a text still follow each other as they were found
+        found = found.repartition(ROW).sortWithinPartitions(ROW, "pos")
+    return found.mapInArrow(leftmost, schema)
 
 
 # ---- substrings ------------------------------------------------------------------------
