@@ -35,6 +35,7 @@ PIECE = 16_384              # tokens of a text that are expanded together
 GRAM = 3
 BLOCK = 1 << 17             # keywords compared by edit distance at once
 SMALL = 64 << 20            # bytes of a dictionary that every executor may hold
+MATCHER = 8 << 20           # characters of a dictionary that every worker may hold as an automaton
 
 
 def title_table(dictionary: DataFrame) -> DataFrame:
@@ -253,9 +254,14 @@ def nearest(query: str, words: list[str], sizes, counts, order, skip: set, k: in
 def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_id", "url"), k: int = 5, min_score: int = 30,
                  all_windows: bool = False) -> DataFrame:
     """(ids..., rk, value, score): the ``k`` best keywords of each text by the tiered score of
-    functions/fuzzy.py, ties in dictionary order; the same answers as scoring every keyword."""
+    functions/fuzzy.py, ties in dictionary order; the same answers as scoring every keyword.
+
+    A dictionary of at most MATCHER characters is broadcast and each text read once by an
+    automaton of all keywords, without a shuffle; a larger one is joined."""
     spark = df.sparkSession
     words = stored(title_table(dictionary).withColumn("kp", process_fuzzy(F.col("keyword"))).where("kp <> ''"), "fuzzy-words")
+    if (words.agg(F.sum(F.length("kp") + 4)).first()[0] or 0) <= MATCHER:
+        return _by_automaton(with_fuzzy_query(df, text, all_windows), words, ids, k, min_score)
     rows = with_fuzzy_query(df.withColumn(ROW, F.monotonically_increasing_id()), text, all_windows)
     rows = stored(rows.select(*ids, ROW, F.col("_fuzzy_q").alias("q")).where("q <> ''"), "fuzzy-queries")
     # 60: the keyword is a substring of the query
@@ -291,6 +297,79 @@ def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     return rows.select(*ids, ROW).join(top, ROW).select(*ids, "rk", F.col("keyword").alias("value"), "score")
 
 
+class Matcher:
+    """All keywords of a dictionary that fits in memory, in dictionary order."""
+
+    def __init__(self, block: list[tuple[int, str, str]]):
+        import ahocorasick
+        import numpy as np
+
+        self.keywords, self.kps = [x[1] for x in block], [x[2] for x in block]
+        self.sizes = np.array([len(w) for w in self.kps], np.int32)
+        self.same: dict[str, list[int]] = {}
+        self.by_word: dict[str, list[int]] = {}
+        for i, kp in enumerate(self.kps):
+            self.same.setdefault(kp, []).append(i)
+            if " " in kp:
+                for w in set(kp.split()):
+                    self.by_word.setdefault(w, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for kp, at in self.same.items():
+            self.automaton.add_word(kp, at)
+        if self.kps:
+            self.automaton.make_automaton()
+        self.reach, self.counts, self.order = int(self.sizes.max(initial=0)), None, np.arange(len(block))
+
+    def best(self, q: str, k: int, min_score: int) -> list[tuple[int, int]]:
+        """The k best (index, score) of a query."""
+        if not self.kps or not q:
+            return []
+        out = []
+        if min_score < 60:
+            held = set()
+            for _, at in self.automaton.iter(q):
+                held.update(at[:k])
+            out = [(i, 60) for i in sorted(held)[:k]]
+        if len(out) < k and min_score < 57:
+            shared = {i for w in set(q.split()) for i in self.by_word.get(w, ())[:k]} - {i for i, _ in out}
+            out += [(i, 57) for i in sorted(shared)[:k - len(out)]]
+        if len(out) < k and min_score < 56 and (2 * min_score + 1) * len(q) <= 200 * self.reach:
+            if self.counts is None:
+                self.counts = _letter_counts(self.kps)
+            near = nearest(q, self.kps, self.sizes, self.counts, self.order, {i for i, _ in out}, k - len(out), min_score)
+            out += [(i, s) for s, i in near]
+        return out
+
+
+def _by_automaton(rows: DataFrame, words: DataFrame, ids, k: int, min_score: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(
+        sorted((r["ord"], r["keyword"], r["kp"]) for r in words.select("ord", "keyword", "kp").toLocalIterator()))
+    src = rows.select(*ids, F.col("_fuzzy_q").alias("q"))
+    n = len(ids)
+    schema = T.StructType([*src.select(*ids).schema.fields, T.StructField("rk", T.IntegerType()), T.StructField("value", T.StringType()),
+                           T.StructField("score", T.IntegerType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(shared.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                at, rk, value, score = [], [], [], []
+                for row, q in enumerate(part.column(n).to_pylist()):
+                    for r, (i, s) in enumerate(matcher.best(q or "", k, min_score), 1):
+                        at.append(row)
+                        rk.append(r)
+                        value.append(matcher.keywords[i])
+                        score.append(s)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(at, pa.int32())) for c in part.columns[:n]), pa.array(rk, pa.int32()), pa.array(value, pa.string()),
+                     pa.array(score, pa.int32())], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
 def _by_distance(spark, queries: DataFrame, words: DataFrame, k: int, min_score: int) -> DataFrame:
     """The k best keywords of one block (at most some BLOCK, broadcast) for each query."""
     import numpy as np

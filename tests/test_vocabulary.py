@@ -60,7 +60,7 @@ def test_containment(spark):
 
 
 @pytest.mark.parametrize("k,low,all_windows", [(5, 30, False), (3, 0, True), (40, 10, False), (2, 57, False)])
-def test_fuzzy_as_scoring_every_keyword(spark, k, low, all_windows):
+def test_fuzzy_as_scoring_every_keyword(spark, k, low, all_windows, monkeypatch):
     rng = random.Random(8)
     words = [w for w in dict.fromkeys(words_of(rng, 150)) if w] + ["a" * 60, "sales mgr", "hed of salse", "...", "projekt menager"]
     texts = [" ".join(rng.choices([*BITS[:14], "hed", "salse", "mgr", "of the"], k=rng.randrange(2, 9))) for _ in range(120)]
@@ -71,6 +71,10 @@ def test_fuzzy_as_scoring_every_keyword(spark, k, low, all_windows):
     got = V.fuzzy_titles(df, F.col("text"), table(spark, words), ids=("doc_id",), k=k, min_score=low, all_windows=all_windows)
     a = sorted(((r["doc_id"], r["rk"] - 1, r["value"]) for r in got.collect()), key=str)
     assert a == sorted((tuple(r) for r in want.collect()), key=str) and a
+    scores = sorted((tuple(r) for r in got.collect()), key=str)
+    monkeypatch.setattr(V, "MATCHER", 0)          # joined instead
+    joined = V.fuzzy_titles(df, F.col("text"), table(spark, words), ids=("doc_id",), k=k, min_score=low, all_windows=all_windows)
+    assert sorted((tuple(r) for r in joined.collect()), key=str) == scores
 
 
 def test_edit_distance():
