@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitesift.dictionaries import WRAPPER_TITLES, keyword_list, large_dictionary
 from sitesift.functions.fuzzy import FQ, FQL, FQP, fuzzy_titles_of, with_fuzzy_query
@@ -231,18 +232,28 @@ class ExtractorRegistry:
 
     def __init__(self):
         self._fns = {}
+        self._plain = {}
 
     def register(self, name: str, fn):
         if not callable(fn):
             raise ValueError("extractor must be a function Column -> array<string> column")
+        self._plain.pop(name, None)
         self._fns[name] = fn
         return self
 
+    def register_plain(self, name: str, fn):
+        """A Python function str -> list of str, run on Arrow batches by ``extract_safely``."""
+        if not callable(fn):
+            raise ValueError("extractor must be a function str -> list of str")
+        self._fns.pop(name, None)
+        self._plain[name] = fn
+        return self
+
     def get(self, name: str):
-        return self._fns.get(name)
+        return self._fns.get(name) or self._plain.get(name)
 
     def names(self):
-        return list(self._fns)
+        return [*self._fns, *self._plain]
 
     def extract(self, df: DataFrame, text_col: str = "text", ids=("page_id", "url"),
                 names=None) -> DataFrame:
@@ -256,6 +267,48 @@ class ExtractorRegistry:
         return df.select(*ids, F.explode(arr).alias("_m")).select(*ids, "_m.type", "_m.value")
 
 
+    def extract_safely(self, df: DataFrame, text_col: str = "text", ids=("page_id", "url"), names=None) -> DataFrame:
+        """(ids..., type, value, level, message): the mentions of the named extractors, and a
+        warning for each text on which a Python extractor raised: that extractor gives nothing
+        there, the others and the other texts go on. A mention has no level, a warning no
+        value; ``extraction_problems`` takes the warnings for the page status. Texts shorter
+        than three characters are not searched; what an extractor gives beside strings is
+        left out."""
+        wanted = [n for n in (names or self.names())]
+        rows = df.where(long_enough(F.col(text_col)))
+        told = F.lit(None).cast("string")
+        out = self.extract(rows, text_col, ids, [n for n in wanted if n in self._fns] or [""]).withColumns({"level": told, "message": told})
+        plain = {n: self._plain[n] for n in wanted if n in self._plain}
+        if not plain:
+            return out
+        schema = T.StructType([*rows.select(*ids).schema.fields, *(T.StructField(n, T.StringType()) for n in ("type", "value", "level", "message"))])
+        k = len(ids)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                at, found = [], []
+                for i, text in enumerate(b.column(k).to_pylist()):
+                    for name, fn in plain.items():
+                        try:
+                            values = [(name, v, None, None) for v in fn(text) or [] if isinstance(v, str)]
+                        except Exception as e:  # noqa: BLE001 - one text's failure is that text's warning
+                            values = [(name, None, "warning", f"extractor {name} failed: {type(e).__name__}: {str(e)[:200]}")]
+                        found += values
+                        at += [i] * len(values)
+                cols = list(zip(*found)) or [[], [], [], []]
+                same = [c.take(pa.array(at, pa.int32())) for c in b.columns[:k]]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, pa.string()) for c in cols)], names=schema.names)
+
+        return out.unionByName(rows.select(*ids, text_col).mapInArrow(run, schema))
+
+
+def extraction_problems(found: DataFrame, ids=("page_id", "url")) -> DataFrame:
+    """The warnings of ``extract_safely`` as problems of the page status."""
+    return found.where(F.col("level").isNotNull()).select(*ids, "level", "message")
+
+
 def default_registry(titles=None) -> ExtractorRegistry:
     kws = keyword_list(titles)
     return (ExtractorRegistry().register("email", emails_in).register("name", names_in)

@@ -69,31 +69,88 @@ def link_crawl_info(seeds: DataFrame, pages: DataFrame, profile: str = "contextu
     return reached.join(found, ["page_id", "url"])
 
 
+PLAIN = 4        # steps taken level by level before chains are doubled
+
+
 def link_closure(seeds: DataFrame, pages: DataFrame, max_steps: int | None = None,
                  keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
     """Q4: every stored page reachable from the seeds over unique links (URL
-    identity = normalized URL), with the step it was first reached; one
-    distributed join per step, each step written. Runs until a step finds
-    no new URL (the seen set only grows, so this ends); ``max_steps`` is an
-    optional explicit limit, off by default. ``keep`` is the predicate on link URLs."""
+    identity = normalized URL), with the step it was first reached. ``keep`` is the
+    predicate on link URLs; ``max_steps`` is an optional explicit limit, off by default.
+    See ``reach`` for the number of rounds."""
     pg = pages.select("page_id", "url", normalize_url(F.col("url")).alias("norm_url")) \
         .filter(F.col("norm_url").isNotNull())
     # read once per step: materialize the edge list once
     ln = unique_links(pages, keep).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")) \
         .distinct()
-    ln = stored(ln, "closure_links")
-    start = seeds.select(normalize_url(F.col("seed")).alias("norm_url")).filter(F.col("norm_url").isNotNull())
-    seen = stored(start.distinct().withColumn("step", F.lit(0)), "closure_step")
-    frontier, n = seen, seen.count()
-    step = 0
-    while n > 0 and (max_steps is None or step < max_steps):
-        step += 1
-        nxt = (frontier.select(F.col("norm_url").alias("src")).join(ln, "src")
-               .select(F.col("dst").alias("norm_url")).distinct()
-               .join(seen.select("norm_url"), "norm_url", "left_anti")
-               .withColumn("step", F.lit(step)))
-        nxt = stored(nxt, "closure_step")
-        n = nxt.count()
-        seen = seen.unionByName(nxt)
-        frontier = nxt
-    return seen.join(pg, "norm_url")
+    start = seeds.select(normalize_url(F.col("seed")).alias("node")).filter(F.col("node").isNotNull()).distinct()
+    found = reach(start, stored(ln, "closure_links"), max_steps)[0]
+    return found.withColumnRenamed("node", "norm_url").join(pg, "norm_url")
+
+
+def reach(start: DataFrame, edges: DataFrame, max_steps: int | None = None) -> tuple[DataFrame, int]:
+    """Smallest number of edges (src, dst) from any start (node) to every node that can be
+    reached: (node, step), and the number of rounds it took.
+
+    The first PLAIN steps go level by level. Deeper graphs are chains for the most part
+    (paging, "next" links): where a link leads to a page with only one way on besides the
+    way back, links to pages reached before set aside, link and way on are joined to a jump.
+    Each round joins jumps to jumps of twice the length and follows them from all pages
+    reached, so a chain takes rounds logarithmic in its length; everything else goes on
+    level by level in the same rounds. A page reached by a detour first is corrected later:
+    the rounds end when no step changes, which is when all are smallest.
+    """
+    seen = stored(start.select("node").distinct().withColumn("step", F.lit(0)), "closure_seen")
+    changed, n, rounds = seen, seen.count(), 0
+    limit = PLAIN if max_steps is None else max_steps
+    while n and rounds < limit:
+        rounds += 1
+        new = (changed.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+               .join(seen.select("node"), "node", "left_anti").withColumn("step", F.lit(rounds)))
+        changed = stored(new, "closure_step")
+        n = changed.count()
+        seen = stored(seen.unionByName(changed), "closure_seen") if n else seen
+    if not n or max_steps is not None:
+        return seen, rounds
+    # links to pages whose step is settled lead nowhere new
+    rest = stored(edges.where("src <> dst").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"),
+                  "closure_rest")
+    ways = rest.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("low"), F.max("dst").alias("high"))
+    ways = stored(ways.where("n <= 2").select(F.col("src").alias("dst"), "n", "low", "high"), "closure_ways")
+    on = F.when(F.col("n") == 1, F.when(F.col("low") != F.col("src"), F.col("low"))).when(
+        F.col("low") == F.col("src"), F.col("high")).when(F.col("high") == F.col("src"), F.col("low"))
+    # a jump leads from the link (src, dst) to the link (last, to) ``size`` links further on
+    jumps = stored(rest.join(ways, "dst").select("src", "dst", F.col("dst").alias("last"), on.alias("to"), F.lit(1).alias("size"))
+                   .where("to IS NOT NULL"), "closure_jumps")
+    more = [rest.select("src", F.col("dst").alias("node"), F.lit(1).alias("cost"))]
+    grow = True
+    while n:
+        rounds += 1
+        newest = jumps.select("src", F.col("to").alias("node"), (F.col("size") + 1).alias("cost"))
+        steps = _follow(changed, more)
+        if grow:
+            steps = steps.unionByName(_follow(seen, [newest]))
+            more.append(newest)
+        best = steps.groupBy("node").agg(F.min("step").alias("step"))
+        old = seen.select("node", F.col("step").alias("old"))
+        changed = stored(best.join(old, "node", "left").where("old IS NULL OR step < old").select("node", "step"), "closure_step")
+        n = changed.count()
+        if n:
+            seen = stored(seen.join(changed.select("node"), "node", "left_anti").unionByName(changed), "closure_seen")
+            if grow:
+                ahead = jumps.select(F.col("src").alias("last"), F.col("dst").alias("to"), F.col("last").alias("_last"),
+                                     F.col("to").alias("_to"), F.col("size").alias("_size"))
+                jumps = stored(jumps.join(ahead, ["last", "to"]).select(
+                    "src", "dst", F.col("_last").alias("last"), F.col("_to").alias("to"), (F.col("size") + F.col("_size")).alias("size")),
+                    "closure_jumps")
+                grow = not jumps.isEmpty()
+    return seen, rounds
+
+
+def _follow(nodes: DataFrame, ways: list[DataFrame]) -> DataFrame:
+    """(node, step) one way on from ``nodes``."""
+    out = None
+    for w in ways:
+        found = nodes.withColumnRenamed("node", "src").join(w, "src").select("node", (F.col("step") + F.col("cost")).alias("step"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -19,7 +19,7 @@ from sitesift.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-__all__ = ["table_stream", "stream_contacts", "stream_visited", "stream_rate"]
+__all__ = ["table_stream", "stream_contacts", "stream_visited", "stream_revisits", "stream_url_queue", "stream_rate"]
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -89,6 +89,103 @@ def stream_visited(spark: SparkSession, folder: str, out: str | None = None, tab
     return spark.read.parquet(f"{out}/data")
 
 
+def stream_revisits(spark: SparkSession, folder: str, out: str | None = None, table: str = "events", url: str = "url",
+                    ttl_seconds: int = 3600, delay: str = "10 minutes", select=None, available_now: bool = True,
+                    max_files_per_trigger: int | None = None):
+    """T2 with bounded state: (url, ts) of every visit to a URL that was not visited within
+    the ``ttl_seconds`` before. ``select`` turns the stream's rows into (url, ts).
+
+    The state of a URL is the time of its last visit; event time drops it once the watermark
+    is past that time and the ttl, so the state holds the URLs of the last ttl and delay, not
+    all ever seen. Visits may come out of order within a batch; of those that come in a later
+    batch, ones older than the watermark are left out."""
+    out = out or scratch_path(spark, "stream_revisits")
+    rows = table_stream(spark, folder, table, max_files_per_trigger)
+    rows = (rows.select(F.col(url).alias("url"), "ts") if select is None else select(rows)).where("url IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+    def visits(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = sorted(t for pdf in batches for t in pdf["us"].tolist())
+        last = state.get[0] if state.exists else None
+        new = []
+        for t in times:
+            if last is None or t - last > ttl_seconds * 1_000_000:
+                new.append(t)
+            last = t if last is None else max(t, last)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        if new:
+            yield pd.DataFrame({"url": [key[0]] * len(new), "us": new})
+
+    found = (rows.withColumn("us", F.unix_micros("ts")).groupBy("url")
+             .applyInPandasWithState(visits, "url string, us long", "last long", "append", "EventTimeTimeout"))
+    w = (found.select("url", F.timestamp_micros("us").alias("ts")).writeStream.format("parquet").option("path", f"{out}/data")
+         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
+    q = _run(w, available_now)
+    return spark.read.schema("url string, ts timestamp").parquet(f"{out}/data"), q
+
+
+def stream_url_queue(spark: SparkSession, folder: str, out: str | None = None, table: str = "pages", keywords=None,
+                     prepare=None, available_now: bool = True, max_files_per_trigger: int | None = None):
+    """The continuous URL queue: while pages (page_id, url, html, and depth if they have it)
+    arrive, every link on a page's own site that scores comes out once as (url, priority,
+    depth), unless the page at its URL has arrived before or in the same batch. ``prepare``
+    turns the stream's rows into pages.
+
+    The state of a URL says that it is known. Before the shuffle the links of each Arrow
+    batch are made distinct, so a URL that every page links to sends few rows. A restarted
+    query goes on from its last committed batch; what came out before does not come again."""
+    from sitesift.functions.urls import url_netloc, with_joined_url
+    from sitesift.operators.crawl import with_relevance
+    from sitesift.operators.htmltree import parse_pages
+    from sitesift.operators.structure import links
+
+    out = out or scratch_path(spark, "stream_queue")
+    pages = table_stream(spark, folder, table, max_files_per_trigger)
+    pages = pages if prepare is None else prepare(pages)
+    if "depth" not in pages.columns:
+        pages = pages.withColumn("depth", F.lit(0))
+    level = pages.select("page_id", "url", "html", F.col("depth").cast("long").alias("depth"))
+    # a page's depth goes with its url through the parse
+    parsed = parse_pages(level.select("page_id", F.concat_ws(" ", F.col("depth").cast("string"), "url").alias("url"), "html"))
+    found = links(parsed).withColumn("depth", F.substring_index("url", " ", 1).cast("long") + 1)
+    found = found.withColumn("url", F.expr("substring(url, instr(url, ' ') + 1)"))
+    found = with_relevance(with_joined_url(found, "url", "href", "dst"), "dst", "text", "score", keywords)
+    found = found.where((url_netloc(F.col("dst")) == url_netloc(F.col("url"))) & (F.col("score") > 0)).select(
+        F.col("dst").alias("url"), (100 - F.col("score")).cast("long").alias("priority"), "depth")
+    known = level.select("url", F.lit(None).cast("long").alias("priority"), F.lit(None).cast("long").alias("depth"))
+    rows = found.unionByName(known).where("url IS NOT NULL")
+
+    def fewer(batches):
+        for pdf in batches:
+            yield pdf.groupby("url", as_index=False, sort=False).agg(
+                priority=("priority", "min"), depth=("depth", "min"), page=("priority", lambda p: bool(p.isna().any())))
+
+    def once(key, batches, state):
+        import pandas as pd
+
+        parts = list(batches)
+        if state.exists:
+            return
+        state.update((True,))
+        if not any(p["page"].any() for p in parts):
+            yield pd.DataFrame({"url": [key[0]], "priority": [min(int(p["priority"].min()) for p in parts)],
+                                "depth": [min(int(p["depth"].min()) for p in parts)]})
+
+    schema = "url string, priority long, depth long"
+    queue = (rows.mapInPandas(fewer, "url string, priority double, depth double, page boolean").groupBy("url")
+             .applyInPandasWithState(once, schema, "known boolean", "append", "NoTimeout"))
+    w = (queue.writeStream.format("parquet").option("path", f"{out}/data")
+         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
+    q = _run(w, available_now)
+    return spark.read.schema(schema).parquet(f"{out}/data"), q
+
+
 def stream_rate(spark: SparkSession, folder: str, out: str | None = None, period: str = "1 second",
                 limit: int = 5, delay: str = "1 hour", table: str = "events", domain_col: str = "user_id",
                 available_now: bool = True, max_files_per_trigger: int | None = None):
