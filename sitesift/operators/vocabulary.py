@@ -173,9 +173,12 @@ def numbered(strings: DataFrame, col: str) -> DataFrame:
 
 
 def keywords_of(strings: DataFrame, col: str, keywords: DataFrame, keyword_cols=("keyword",)) -> DataFrame:
-    """(col, keyword columns...): distinct strings of a column with the keywords that they
-    hold; written, so that a frequent string on the other side of a join can be split."""
+    """(col, keyword columns...): distinct strings of a column with the distinct keywords that
+    they hold (of equal keywords the one with the smallest ``ord``); written, so that a
+    frequent string on the other side of a join can be split."""
     once = numbered(strings, col)
+    keywords = keywords.groupBy("keyword").agg(F.min_by(F.struct(*[c for c in keywords.columns if c != "keyword"]), "ord").alias("_first"))
+    keywords = keywords.select("keyword", "_first.*")
     held = containment(once, col, keywords.select(F.struct(*keyword_cols).alias("key"), "keyword"), key_col="key")
     return stored(once.join(held, ROW).select(col, "key.*"), "held-keywords")
 

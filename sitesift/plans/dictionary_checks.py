@@ -114,7 +114,8 @@ def _context(spark, d):
 SELECT page_id, via, keyword, weight, ord FROM (
   SELECT page_id, 'class' AS via, lower(cls) AS attr FROM ({CONTEXT_PAGES_SQL}) p UNION ALL
   SELECT page_id, 'id', lower(idv) FROM ({CONTEXT_PAGES_SQL}) p) a
-JOIN ({CONTEXT_SQL}) k ON contains(attr, keyword) WHERE attr <> ''
+JOIN (SELECT keyword, arg_min(weight, ord) AS weight, min(ord) AS ord FROM ({CONTEXT_SQL}) c GROUP BY keyword) k
+  ON contains(attr, keyword) WHERE attr <> ''
 """)
 def q_html_context_table(spark, d):
     """Context blocks by a keyword table that grows with the data."""
