@@ -1,81 +1,97 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source (lane) is a task that emits blocks of documents. Block j of a lane with a of
-``GRID`` shares has release time floor(j*GRID/a) and deadline ceil((j+1)*GRID/a); one
-block leaves per slot, earliest deadline first among released ones, so at any slot each
-lane is less than one block away from its target. The schedule repeats after GRID slots,
-so one period of it, a table bounded by GRID and the number of lanes, places any number
-of blocks. When a lane runs out, the rest go on with their weights scaled up: a new
-phase, in which the same bound holds from its first slot on.
-
-Documents are numbered inside their lane in an order shuffled by a hash: hash buckets of
-bounded size, numbered within and offset by bucket sums in two steps, so a lane with a
-third of all rows is spread over many tasks.
+Each source (lane) is a task that emits blocks of documents. Weights are exact fractions:
+as whole shares a of their sum A, block j of a lane has release time floor(j*A/a) and
+deadline ceil((j+1)*A/a); one block leaves per slot, earliest deadline first among
+released ones, so at any slot each lane is less than one block away from its target. The
+schedule repeats after A slots, so one period of it places any number of blocks. When a
+lane runs out, the rest go on with their weights scaled up: a new phase, in which the same
+bound holds from its first slot on.
+
+A phase is planned slot by slot for one period or for the blocks that are left, whichever
+is shorter. Only where both exceed LONGEST are its weights rounded, to multiples of
+1/LONGEST: then a lane drifts from its target by at most one block in LONGEST slots.
+
+Documents are numbered inside their lane in an order shuffled by a hash of the id and the
+row: hash buckets of bounded size, numbered within and offset by bucket sums in two steps,
+so a lane with a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import free_name, stored
 
-GRID = 1000          # slots in a period; a weight is a multiple of 1/GRID, at least one
+LONGEST = 1 << 18    # slots of a phase that are planned and broadcast at most
 BUCKET = 1024        # rows of a hash bucket, about
 REST = "*"           # lane of sources without a weight of their own
 
 
-def shares(weights: dict[str, float], grid: int = GRID) -> dict[str, int]:
-    """Whole shares of ``grid``, each at least one, by largest remainder."""
-    lanes = sorted(weights)
-    if len(lanes) > grid:
-        raise ValueError(f"{len(lanes)} lanes need a grid of as many slots, not {grid}")
-    total = sum(weights.values())
-    exact = {k: weights[k] / total * grid if total > 0 else grid / len(lanes) for k in lanes}
-    got = {k: max(1, math.floor(exact[k])) for k in lanes}
-    while sum(got.values()) < grid:
-        k = max(lanes, key=lambda k: (exact[k] - got[k], k))
+def shares(weights: dict[str, float], longest: int | None = None) -> dict[str, int]:
+    """Whole shares without a common divisor, as the weights (read as decimals) have them;
+    with ``longest``, that many in all, each at least one, by largest remainder."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * unit) for k, w in exact.items()}
+    divisor = math.gcd(*whole.values())
+    whole = {k: w // divisor for k, w in whole.items()}
+    total = sum(whole.values())
+    if longest is None or total <= longest:
+        return whole
+    if len(whole) > longest:
+        raise ValueError(f"{len(whole)} lanes need as many slots, not {longest}")
+    got = {k: max(1, w * longest // total) for k, w in whole.items()}
+    order = sorted(whole, key=lambda k: (-(whole[k] * longest % total), k))
+    for k in order[:max(0, longest - sum(got.values()))]:
         got[k] += 1
-    while sum(got.values()) > grid:
-        k = max((k for k in lanes if got[k] > 1), key=lambda k: (got[k] - exact[k], k))
-        got[k] -= 1
+    while sum(got.values()) > longest:
+        got[max(got, key=lambda k: (got[k], k))] -= 1
     return got
 
 
-def period(share: dict[str, int], grid: int = GRID) -> dict[str, list[int]]:
-    """Slots of each lane's blocks in one period: earliest deadline first."""
+def period(share: dict[str, int], slots: int | None = None) -> dict[str, list[int]]:
+    """Slots of each lane's blocks, earliest deadline first, for one period or its first
+    ``slots``."""
+    size = sum(share.values())
     release = [(0, k, 0) for k in share]
     heapq.heapify(release)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {k: [] for k in share}
-    for t in range(grid):
+    out: dict[str, list[int]] = {k: [] for k in share}
+    for t in range(size if slots is None else min(slots, size)):
         while release and release[0][0] <= t:
             _, k, j = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(j + 1) * grid // share[k]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * size // share[k]), k, j))
         deadline, k, j = heapq.heappop(ready)
         assert t < deadline
-        slots[k].append(t)
-        if j + 1 < share[k]:
-            heapq.heappush(release, ((j + 1) * grid // share[k], k, j + 1))
-    return slots
+        out[k].append(t)
+        heapq.heappush(release, ((j + 1) * size // share[k], k, j + 1))
+    return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], grid: int = GRID) -> list[dict]:
-    """Phases until every lane is empty: first slot, and by lane its share, the blocks it
-    had emitted before, and its slots of a period. At most one phase per lane."""
+def phases(blocks: dict[str, int], weights: dict[str, float], longest: int = LONGEST) -> list[dict]:
+    """Phases until every lane is empty: first slot, period, and by lane its share, the blocks
+    it had emitted before, and its slots of a period. At most one phase per lane."""
     left = {k: n for k, n in blocks.items() if n > 0}
     done, base, out = {k: 0 for k in left}, 0, []
     while left:
-        share = shares({k: weights[k] for k in left}, grid)
-        slots = period(share, grid)
-        last = {k: (n - 1) // share[k] * grid + slots[k][(n - 1) % share[k]] for k, n in left.items()}
+        rest = sum(left.values())
+        share = shares({k: weights[k] for k in left}, None if rest <= longest else longest)
+        grid = sum(share.values())
+        slots = period(share, rest)
+        # a lane whose blocks don't all lie in a plan cut short does not end first
+        last = {k: (n - 1) // share[k] * grid + slots[k][(n - 1) % share[k]] for k, n in left.items()
+                if (n - 1) % share[k] < len(slots[k])}
         size = min(last.values()) + 1
-        out.append({"base": base, "lanes": {k: (share[k], done[k], slots[k]) for k in left}})
+        out.append({"base": base, "grid": grid, "lanes": {k: (share[k], done[k], slots[k]) for k in left}})
         for k in list(left):
-            n = size // grid * share[k] + sum(s < size % grid for s in slots[k])
+            n = size // grid * share[k] + bisect.bisect_left(slots[k], size % grid)
             done[k] += n
             left[k] -= n
             if left[k] <= 0:
@@ -115,7 +131,7 @@ def numbered(rows: DataFrame, lane: str, key: Column, out: str, total: int) -> D
 
 
 def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, id_col: str = "doc_id",
-        source_col: str = "source", grid: int = GRID) -> DataFrame:
+        source_col: str = "source", longest: int = LONGEST) -> DataFrame:
     """All rows and columns of ``docs`` with mix_lane, mix_block (number of the block in
     its lane), mix_release, mix_deadline, mix_slot and mix_position (slot * block + place
     in the block; ordering by it gives the mixture).
@@ -133,26 +149,29 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = 64, id_col: str
     rows = docs.withColumn(lane, lane_of(source_col, weights))
     # one row per lane, at most as many as weights were given
     counts = {r[0]: r[1] for r in rows.groupBy(lane).agg(F.count(F.lit(1))).collect()}
-    plan = phases({k: -(-n // block) for k, n in counts.items()}, weights, grid)
-    ranked = numbered(rows, lane, F.coalesce(F.col(id_col).cast("string"), F.lit("")), rank, sum(counts.values()))
+    plan = phases({k: -(-n // block) for k, n in counts.items()}, weights, longest)
+    # rows with equal or null ids are told apart by what else they hold
+    simple = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(*simple).cast("string"))
+    ranked = numbered(rows, lane, key, rank, sum(counts.values()))
     spark = docs.sparkSession
     names = {n: free_name(docs, n) for n in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")}
     table = []
     for k in counts:
-        steps = [(p["base"], *p["lanes"][k]) for p in plan if k in p["lanes"]]
-        table.append((k, [{"base": b, "share": a, "done": d, "slots": s} for b, a, d, s in steps]))
+        steps = [(p["base"], p["grid"], *p["lanes"][k]) for p in plan if k in p["lanes"]]
+        table.append((k, [{"base": b, "grid": g, "share": a, "done": d, "slots": s} for b, g, a, d, s in steps]))
     p = free_name(docs, "_phases")
-    schema = (f"`{lane}` string, `{p}` array<struct<base:bigint,share:bigint,done:bigint,slots:array<int>>>")
-    # at most GRID slots for each of at most len(weights) phases
+    schema = (f"`{lane}` string, `{p}` array<struct<base:bigint,grid:bigint,share:bigint,done:bigint,slots:array<int>>>")
+    # at most LONGEST slots for each of at most len(weights) phases
     lookup = F.broadcast(spark.createDataFrame(table, schema))
     blk, ph, j = names["mix_block"], free_name(docs, "_ph"), free_name(docs, "_j")
     out = (ranked.join(lookup, lane).withColumn(blk, F.floor(F.col(rank) / block).cast("long"))
            .withColumn(ph, F.expr(f"element_at(filter(`{p}`, x -> x.done <= `{blk}`), -1)"))
            .withColumn(j, F.col(blk) - F.col(ph)["done"]))
-    base, share = F.col(ph)["base"], F.col(ph)["share"]
-    out = (out.withColumn(names["mix_release"], base + F.floor(F.col(j) * grid / share))
-           .withColumn(names["mix_deadline"], base + F.ceil((F.col(j) + 1) * grid / share))
-           .withColumn(names["mix_slot"], base + F.floor(F.col(j) / share) * grid
-                       + F.element_at(F.col(ph)["slots"], (F.col(j) % share + 1).cast("int")))
+    out = (out.withColumn(names["mix_release"], F.expr(f"`{ph}`.base + `{j}` * `{ph}`.grid div `{ph}`.share"))
+           .withColumn(names["mix_deadline"], F.expr(
+               f"`{ph}`.base + ((`{j}` + 1) * `{ph}`.grid + `{ph}`.share - 1) div `{ph}`.share"))
+           .withColumn(names["mix_slot"], F.expr(f"`{ph}`.base + `{j}` div `{ph}`.share * `{ph}`.grid"
+                                                 f" + element_at(`{ph}`.slots, int(`{j}` % `{ph}`.share) + 1)"))
            .withColumn(names["mix_position"], F.col(names["mix_slot"]) * block + F.col(rank) % block))
     return out.select(*docs.columns, lane, *names.values())

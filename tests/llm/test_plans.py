@@ -3,9 +3,11 @@
 import collections
 import math
 import re
+from fractions import Fraction
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sitesift.llm import licenses, mixing, token_counts, url_templates
 from sitesift.llm.common import table
@@ -153,31 +155,62 @@ def test_scan_plan_is_native(spark):
 
 # -- mixing -----------------------------------------------------------------
 
-def lag_is_below_one(slots, share, grid):
-    order = sorted((t, k) for k, ts in slots.items() for t in ts)
-    assert [t for t, _ in order] == list(range(grid))
-    done = collections.Counter()
-    for t, k in order:
+def lag_is_below_one(order, weights, since=0):
+    """Against the weights as given, in fractions of our own: after every slot."""
+    total = sum(Fraction(str(w)) for w in weights.values())
+    exact = {k: Fraction(str(w)) / total for k, w in weights.items()}
+    top = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: int(w * top) for k, w in exact.items()}
+    done = dict.fromkeys(weights, 0)
+    for t, k in enumerate(order, 1):
         done[k] += 1
-        assert all(abs(done[x] * grid - share[x] * (t + 1)) < grid for x in share)
+        assert all(abs(done[x] * top - whole[x] * t) < top for x in whole)
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1}, {"a": .7, "b": .2, "c": .1},
-                                     {f"s{k}": 1 + k % 5 for k in range(23)}, {"a": 1, "b": 1e-9}])
-def test_a_period_deviates_by_less_than_a_block(weights):
-    share = mixing.shares(weights, 100)
-    assert sum(share.values()) == 100 and min(share.values()) >= 1
-    lag_is_below_one(mixing.period(share, 100), share, 100)
+WEIGHTS = [{"a": 1}, {"a": 1, "b": 1}, {"a": .7, "b": .2, "c": .1}, {f"s{k}": 1 + k % 5 for k in range(23)}, {"a": 1, "b": 1e-5},
+           {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": .12, **{f"s{k}": .044 for k in range(20)}}, {f"s{k}": 0.1 + k / 97 for k in range(5)}]
 
 
-def plain_mix(counts, weights, grid):
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_a_period_deviates_by_less_than_a_block(weights):
+    slots = mixing.period(mixing.shares(weights), 30_000)
+    order = sorted((t, k) for k, ts in slots.items() for t in ts)
+    assert [t for t, _ in order] == list(range(len(order)))
+    lag_is_below_one([k for _, k in order], weights)
+
+
+@pytest.mark.parametrize("weights", WEIGHTS[1:])
+def test_240000_slots_stay_with_the_given_weights(weights):
+    """Slots of all blocks, phase by phase as lanes end: less than one block off within each."""
+    total = sum(weights.values())
+    blocks = {k: max(1, int(240_000 * w / total * (0.3 if n == 1 else 1))) for n, (k, w) in enumerate(sorted(weights.items()))}
+    plan = mixing.phases(blocks, weights)
+    ends = [p["base"] for p in plan[1:]] + [sum(blocks.values())]
+    emitted = collections.Counter()
+    for p, end in zip(plan, ends):
+        order = [None] * (end - p["base"])
+        for k, (share, done, slots) in p["lanes"].items():
+            assert done == emitted[k]
+            for j in range(blocks[k] - done):
+                t = j // share * p["grid"] + slots[j % share] if j % share < len(slots) else len(order)
+                if t >= len(order):
+                    break
+                assert order[t] is None
+                order[t] = k
+                emitted[k] += 1
+        lag_is_below_one(order, {k: weights[k] for k in p["lanes"]})
+    assert emitted == blocks
+
+
+def plain_mix(counts, weights):
     """Slot by slot: among released blocks the earliest deadline; a new start when a lane ends."""
-    left, done, out, t0 = dict(counts), collections.Counter(), [], 0
+    left, done, out = dict(counts), collections.Counter(), []
     while left:
-        share, j, t = mixing.shares({k: weights[k] for k in left}, grid), collections.Counter(), 0
+        total = sum(Fraction(str(weights[k])) for k in left)
+        share, j, t = {k: Fraction(str(weights[k])) / total for k in left}, collections.Counter(), 0
         ended = False
         while not ended:
-            free = [(-(-(j[k] + 1) * grid // share[k]), k) for k in left if j[k] * grid // share[k] <= t]
+            free = [(math.ceil((j[k] + 1) / share[k]), k) for k in left if math.floor(j[k] / share[k]) <= t]
             _, k = min(free)
             out.append((k, done[k]))
             done[k] += 1
@@ -186,7 +219,6 @@ def plain_mix(counts, weights, grid):
             if done[k] == counts[k]:
                 del left[k]
                 ended = True
-        t0 += t
     return out
 
 
@@ -196,7 +228,7 @@ def test_mixture_against_slot_by_slot_scheduling(spark, monkeypatch):
     rows = [(i, s, "x") for i, (_, s) in enumerate(rows)] + [(None, "a", "x"), (0, "a", "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_block string")
     weights = {"a": .5, "b": .3, "c": .15, "*": .05}
-    got = mixing.mix(df, weights, block=4, grid=20).collect()
+    got = mixing.mix(df, weights, block=4).collect()
     assert len(got) == len(rows) and got[0]["mix_block"] == "x" and len({r["mix_position"] for r in got}) == len(rows)
     counts = {k: -(-n // 4) for k, n in collections.Counter(r["mix_lane"] for r in got).items()}
     assert counts["*"] == 4
@@ -204,7 +236,18 @@ def test_mixture_against_slot_by_slot_scheduling(spark, monkeypatch):
     for r in got:
         order.setdefault(r["mix_slot"], set()).add((r["mix_lane"], r["mix_block_"]))
         assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] and r["mix_position"] // 4 == r["mix_slot"]
-    assert [order[t] for t in range(len(order))] == [{x} for x in plain_mix(counts, weights, 20)]
-    again = sorted((r["doc_id"] or -1, r["mix_slot"]) for r in mixing.mix(df.repartition(7), weights, block=4, grid=20).collect())
+    assert [order[t] for t in range(len(order))] == [{x} for x in plain_mix(counts, weights)]
+    again = sorted((r["doc_id"] or -1, r["mix_slot"]) for r in mixing.mix(df.repartition(7), weights, block=4).collect())
     assert again == sorted((r["doc_id"] or -1, r["mix_slot"]) for r in got)
     assert mixing.mix(df.limit(0), weights).count() == 0
+
+
+def test_rounded_weights_and_null_ids(spark, monkeypatch):
+    """Beyond LONGEST weights are rounded, and every lane still gets all its blocks; rows
+    without an id are spread by what else they hold."""
+    share = mixing.shares({"a": 0.123456789, "b": 1, "c": 1e-9}, 1000)
+    assert sum(share.values()) == 1000 and min(share.values()) == 1 and abs(share["a"] - 1000 * 0.123456789 / 1.123456790) < 2
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("t"), "id").alias("text"))
+    got = mixing.mix(df, {"a": 0.123456789, "b": 1}, block=2, longest=64)
+    assert got.select("mix_position").distinct().count() == 3000 and got.agg(F.max("mix_slot")).first()[0] == 1499
