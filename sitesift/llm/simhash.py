@@ -204,20 +204,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with one document of each class: the smallest id; rows equal in id and
-    text are kept once. An id that wins in one class is kept even if another row of
-    that id loses elsewhere; null ids go when each of them loses to a named document.
-    All columns are kept as they are."""
-    found = near_duplicates(docs, id_col, text_col, **kw)
-    losers = (found.groupBy("id").agg(F.bool_and(~F.col("id").eqNullSafe(F.col("component_id"))).alias("lost"))
-              .where("lost").select("id"))
-    name, mark = free_name(docs, "_id"), free_name(docs, "_n")
-    rest = docs.join(losers.withColumnRenamed("id", name), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
-    # what is left repeats an id only where the input does
-    repeated = stored(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias(mark)).where(F.col(mark) > 1)
-                      .select(F.col(id_col).alias(name)), "simhash-repeats")
-    if not repeated.take(1):
-        return rest
-    cond = F.col(id_col).eqNullSafe(F.col(name))
-    return rest.join(repeated, cond, "left_anti").unionByName(
-        rest.join(repeated, cond, "left_semi").dropDuplicates([id_col, text_col]))
+    """``docs`` with one document of each class: the one with the smallest id, a null id
+    only if the class has no other, of equal ids the smallest digest of the text. Rows equal
+    in id and text are one document and kept once; rows equal in id alone are different
+    ones, and each class decides about its own. All columns are kept as they are."""
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text.isNull().alias("no_text"),
+                   F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    found = stored(near_duplicates(docs.select(key.alias("key"), text.alias("text")), "key", "text", **kw).select("id", "component_id"),
+                   "simhash-rows")
+    name = free_name(docs, "_key")
+    lost = stored(found.where("id <> component_id").select(F.col("id").alias(name)).distinct(), "simhash-lost")
+    rest = docs.withColumn(name, key).join(lost, name, "left_anti")
+    repeated = stored(found.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                      .select(F.col("id").alias(name)), "simhash-repeats")
+    if repeated.isEmpty():
+        return rest.select(*docs.columns)
+    once = rest.join(repeated, name, "left_semi").dropDuplicates([name])
+    return rest.join(repeated, name, "left_anti").unionByName(once).select(*docs.columns)

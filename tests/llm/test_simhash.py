@@ -95,3 +95,20 @@ def test_components_of_a_chain_and_no_edges(spark):
     got = {r["node"]: r["root"] for r in connected_components(chain).collect()}
     assert got == {i: 0 for i in range(61)}
     assert connected_components(chain.limit(0)).count() == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    """By row, not by id: repeated and null ids, equal rows, other columns kept."""
+    near = "one two three four five six seven eight nine ten " * 30
+    rows = [(1, near, "a"), (1, near.replace("one two", "one  two", 1), "b"), (1, "something else entirely here", "c"), (2, near, "d"),
+            (None, near, "e"), (None, "only without an id", "f"), (None, "only without an id", "g"), (5, "own text of five words", "h"),
+            (5, "own text of five words", "h"), (7, None, "i"), (6, "", "j"), (None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    found = simhash.near_duplicates(df).collect()
+    assert len({r["class"] for r in found}) == got.count() == 5
+    kept = [(r["doc_id"], r["_key"]) for r in got.collect()]
+    assert sum(k in ("a", "b") for _, k in kept) == 1 and sum(k in "fg" for _, k in kept) == 1
+    assert {(1, "c"), (5, "h"), (6, "j")} <= set(kept)
+    assert simhash.keep_one(df.limit(0)).count() == 0
