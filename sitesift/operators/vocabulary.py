@@ -50,8 +50,8 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     """(ids..., pos, value): non-overlapping whole-word occurrences of keywords in the cleaned
     text, left to right, as a case-insensitive alternation in dictionary order finds them: at
     one place the keyword with the smallest ``ord`` that ends at a word boundary wins.
-    A dictionary of at most SMALL bytes is broadcast, and nothing is shuffled; a larger one
-    meets the n-grams in a shuffle.
+    A dictionary of at most SMALL bytes is broadcast and each text walked once, token by
+    token; a larger one meets the texts' n-grams in joins.
 
     A keyword's first and last sign must lie at a word boundary. Null and empty texts give
     nothing; equal rows give equal matches. ``pos`` numbers a text's matches from 0.
@@ -62,8 +62,10 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     words = stored(words.drop("t"), "dictionary-words")
     firsts = stored(words.groupBy("first").agg(F.sort_array(F.collect_set("m")).alias("ms")), "dictionary-firsts")
     longest, size = words.agg(F.max("m"), F.sum(F.octet_length("gram") + 48)).first()
-    longest, small = longest or 1, (size or 0) <= SMALL
-    hint = F.broadcast if small else (lambda t: t)
+    longest = longest or 1
+    schema = T.StructType([*(df.select(*ids).schema.fields), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])
+    if (size or 0) <= SMALL:
+        return _walk(df.select(*ids, clean_text(text).alias("_text")), words, schema)
     rows = df.select(*ids, F.monotonically_increasing_id().alias(ROW), tokens(clean_text(text)).alias("_t"))
     # a long text in pieces, each with the tokens that a match at its end needs, and one before it
     rows = rows.select(*ids, ROW, F.explode(F.expr(
@@ -74,15 +76,14 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
         "transform(filter(sequence(0, _p.n - 1), i -> _p.n > 0), i -> named_struct('pos', _p.at + i, 'first', lower(_p.t[i]), "
         f"'before', if(i = 0, _p.before, _p.t[greatest(i - 1, 0)]), 'run', slice(_p.t, i + 1, {longest + 1})))")).alias("_at")
     rows = rows.select(*ids, ROW, at).select(*ids, ROW, "_at.*")
-    rows = rows.join(hint(firsts), "first").select(*ids, ROW, "pos", "before", "run", F.explode("ms").alias("m")).where("m <= size(run)")
+    rows = rows.join(firsts, "first").select(*ids, ROW, "pos", "before", "run", F.explode("ms").alias("m")).where("m <= size(run)")
     rows = (rows.withColumn("value", F.array_join(F.slice("run", F.lit(1), F.col("m")), ""))
-            .withColumn("gram", F.lower("value")).join(hint(words.drop("first")), ["gram", "m"]))
+            .withColumn("gram", F.lower("value")).join(words.drop("first"), ["gram", "m"]))
     is_word = lambda c: c.rlike(rf"^[{_WORD}]")
     last, after = F.col("run")[F.col("m") - 1], F.coalesce(F.get("run", F.col("m")), F.lit(""))
     starts = is_word(F.substring("value", 1, 1)) | is_word(F.col("before"))
     ends = is_word(last) | is_word(after)
     found = rows.where(starts & ends).select(*ids, ROW, "pos", "m", "ord", "value")
-    schema = T.StructType([*(df.select(*ids).schema.fields), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])
     n = len(ids)
 
     def leftmost(batches):
@@ -119,9 +120,59 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
                 yield pa.RecordBatch.from_arrays([*kept.columns[:n], pa.array(numbers, pa.int32()), kept.column(n + 4)],
                                                  names=[*t.schema.names[:n], "pos", "value"])
 
-    if not small:       # else the matches of a text still follow each other as they were found
-        found = found.repartition(ROW).sortWithinPartitions(ROW, "pos")
-    return found.mapInArrow(leftmost, schema)
+    return found.repartition(ROW).sortWithinPartitions(ROW, "pos").mapInArrow(leftmost, schema)
+
+
+def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
+    """``exact_titles`` with a broadcast dictionary: (ids..., text) -> (ids..., pos, value)."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r["gram"], r["ord"], r["first"], r["m"]) for r in words.toLocalIterator()])
+    n = len(rows.columns) - 1
+
+    def run(batches):
+        import pyarrow as pa
+        import regex
+
+        token, word = regex.compile(TOKEN), regex.compile(f"[{_WORD}]")
+        orders, firsts = {}, {}
+        for gram, order, first, m in shared.value:
+            orders[gram] = order
+            firsts.setdefault(first, set()).add(m)
+        firsts = {f: sorted(ms) for f, ms in firsts.items()}
+
+        def is_word(c):
+            return c.isalnum() or word.match(c) is not None
+
+        def matches(text):
+            toks = token.findall(text)
+            low = [t.lower() for t in toks]
+            out, i, size = [], 0, len(toks)
+            while i < size:
+                best = None
+                for m in firsts.get(low[i], ()):
+                    if i + m > size:
+                        break
+                    order = orders.get("".join(low[i:i + m]))
+                    if order is not None and (best is None or order < best[0]):
+                        if (is_word(toks[i][0]) or (i and is_word(toks[i - 1][-1]))) and (
+                                is_word(toks[i + m - 1][-1]) or (i + m < size and is_word(toks[i + m][0]))):
+                            best = (order, m)
+                if best:
+                    out.append("".join(toks[i:i + best[1]]))
+                    i += best[1]
+                else:
+                    i += 1
+            return out
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [matches(t or "") for t in part.column(n).to_pylist()]
+                at = [i for i, x in enumerate(found) for _ in x]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(at, pa.int32())) for c in part.columns[:n]), pa.array([k for x in found for k in range(len(x))], pa.int32()),
+                     pa.array([v for x in found for v in x], pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 # ---- substrings ------------------------------------------------------------------------
