@@ -1,8 +1,8 @@
 """URL filters: allow and block rules, then a path-template tree learned per host.
 
 Per host, path segments that vary become wildcards of their shape, level by level from
-the root; sibling branches whose subtrees are distributed alike and whose labels agree
-are merged; a template is rejected if the smoothed share of bad labels below it, drawn
+the root; sibling branches whose subtrees a chi-square test does not tell apart and whose
+labels don't contradict each other are merged; a template is rejected if the smoothed share of bad labels below it, drawn
 towards its parent's, reaches a threshold.
 """
 
@@ -16,6 +16,7 @@ from sitesift.llm.common import stored
 MIN_VALUES = 8         # distinct values of one shape that make a wildcard
 DEPTH = 12             # levels of the tree; what is deeper stays one tail segment
 PULL = 4.0             # labels the parent's share is worth
+Z = 1.645              # standard errors from which bad shares differ
 REJECT = 0.8           # smoothed bad share from which a template is rejected
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -81,36 +82,70 @@ def generalise(paths: DataFrame, depth: int) -> DataFrame:
     return cur.drop("node")
 
 
+def _contradict(b1, g1, b2, g2):
+    """Whether two branches' labels speak against each other: all bad against all good, or
+    bad shares further apart than chance explains (two proportions, Z standard errors)."""
+    l1, l2 = b1 + g1, b2 + g2
+    p = (b1 + b2) / (l1 + l2)
+    far = F.abs(b1 / l1 - b2 / l2) > Z * F.sqrt(p * (1 - p) * (F.lit(1.0) / l1 + F.lit(1.0) / l2))
+    pure = ((b1 == 0) & (g2 == 0)) | ((g1 == 0) & (b2 == 0))
+    return (l1 > 0) & (l2 > 0) & (pure | far)
+
+
 def merge_branches(templates: DataFrame, depth: int) -> DataFrame:
     """``templates`` (host, tokens, n, bad, good) with ``merged``: tokens of sibling
-    branches that are alike replaced by the smallest of them, deepest level first.
-
-    Branches are alike if what hangs below them has the same templates in the same
-    quarters of their rows, and their labels, as far as they have any, are not told
-    apart: mostly bad, mostly good or mixed by the Wilson bound of the bad share."""
+    branches that are alike replaced by the largest of them, deepest level first.
+
+    Branches with something below them are candidates if their largest template is the
+    same. Of the candidates of one template, those with mostly bad, mostly good and no
+    labels each have a head, the branch with most rows; a branch is compared with the head
+    of its own kind, one without labels with the labelled head if there is just one. It
+    joins that head if a chi-square test does not tell their shares of templates apart, at
+    least half of the rows of each lie in common templates, and their labels don't
+    contradict each other. So no two branches but a head and its candidates are compared,
+    and a branch without anything below it is never merged."""
     cur = templates.withColumn("merged", F.col("tokens"))
+    at_branch = ["host", "up", "own"]
     for d in range(depth - 1, -1, -1):
         head = F.array_join(F.slice("merged", 1, d), "/") if d else F.lit("")
         cur = cur.withColumn("up", head).withColumn("own", F.get("merged", F.lit(d))).withColumn(
             "below", F.array_join(F.slice("merged", d + 2, DEPTH + 1), "/"))
-        at = cur.where("own is not null")
-        size = at.groupBy("host", "up", "own").agg(F.sum("n").alias("rows"), F.sum("bad").alias("b"),
-                                                   F.sum("good").alias("g"))
-        part = (at.groupBy("host", "up", "own", "below").agg(F.sum("n").alias("m"))
-                .join(size, ["host", "up", "own"])
-                .groupBy("host", "up", "own").agg(
-                    F.sum(F.xxhash64("below", F.round(F.col("m") * 4 / F.col("rows"))).cast("decimal(38,0)")).alias("sig"),
-                    F.first("b").alias("b"), F.first("g").alias("g")))
-        lab = F.col("b") + F.col("g")
-        p, z = F.col("b") / lab, 1.645
-        middle, spread = p + z * z / (2 * lab), z * F.sqrt(p * (1 - p) / lab + z * z / (4 * lab * lab))
-        side = (F.when(lab == 0, "none").when((middle - spread) / (1 + z * z / lab) > 0.5, "bad")
-                .when((middle + spread) / (1 + z * z / lab) < 0.5, "good").otherwise("mixed"))
-        alike = part.withColumn("side", side)
-        names = alike.groupBy("host", "up", "sig", "side").agg(F.min("own").alias("to"), F.count(F.lit(1)).alias("k"))
-        moves = (alike.join(names, ["host", "up", "sig", "side"]).where("k > 1")
-                 .select("host", "up", "own", F.concat(F.lit("~"), F.col("to")).alias("to")))
-        cur = cur.join(moves, ["host", "up", "own"], "left")
+        part = stored(cur.where("own is not null and n > 0").groupBy(*at_branch, "below").agg(F.sum("n").alias("m")), "url-parts")
+        marks = cur.where("own is not null").groupBy(*at_branch).agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
+        size = part.groupBy(*at_branch).agg(F.sum("m").alias("rows"), F.count(F.lit(1)).alias("k"),
+                                            F.max_by("below", F.struct("m", "below")).alias("top"))
+        side = F.when(F.col("b") > F.col("g"), "bad").when(F.col("g") > 0, "good").otherwise("none")
+        size = stored(size.join(marks, at_branch).where("top <> ''").withColumn("side", side), "url-branches")
+        # heads by kind, at most three for a template
+        largest = F.min_by(F.struct("own", "rows", "k", "b", "g"), F.struct(-F.col("rows"), F.col("own")))
+        heads = size.groupBy("host", "up", "top", "side").agg(largest.alias("h"))
+        heads = heads.groupBy("host", "up", "top").agg(F.map_from_entries(F.collect_list(F.struct("side", "h"))).alias("by"))
+        by = F.col("by")
+        lead = (F.when(by["bad"].isNotNull() & by["good"].isNull(), "bad")
+                .when(by["good"].isNotNull() & by["bad"].isNull(), "good").otherwise("none"))
+        heads = stored(heads.withColumn("lead", lead), "url-heads")
+        pairs = (size.join(heads, ["host", "up", "top"])
+                 .withColumn("h", F.col("by")[F.when(F.col("side") == "none", F.col("lead")).otherwise(F.col("side"))])
+                 .select(*at_branch, "rows", "k", "b", "g", "h").where("h.own <> own"))
+        pairs = stored(pairs, "url-pairs")
+        # terms of the statistic: templates of the branch one by one, those of the head alone in one sum
+        both = (part.join(pairs.select(*at_branch, "h", "rows"), at_branch)
+                .select(*at_branch, "rows", "m", F.col("h.own").alias("to"), F.col("h.rows").alias("all"), "below")
+                .join(part.select("host", "up", F.col("own").alias("to"), "below", F.col("m").alias("m2")), ["host", "up", "to", "below"], "left"))
+        other, ratio = F.coalesce("m2", F.lit(0)), F.sqrt(F.col("all") / F.col("rows"))
+        sums = both.groupBy(*at_branch).agg(
+            F.sum((ratio * F.col("m") - other / ratio) ** 2 / (F.col("m") + other)).alias("own_terms"),
+            F.sum(other).alias("common_head"), F.sum(F.when(F.col("m2").isNotNull(), F.col("m")).otherwise(0)).alias("common"),
+            F.count("m2").alias("shared"))
+        free = F.greatest(F.col("k") + F.col("h.k") - F.col("shared") - 1, F.lit(1))
+        alone = (F.col("h.rows") - F.col("common_head")) * F.col("rows") / F.col("h.rows")
+        test = ((F.col("own_terms") + alone <= free + 3 * F.sqrt(2 * free))
+                & (2 * F.col("common") >= F.col("rows")) & (2 * F.col("common_head") >= F.col("h.rows"))
+                & ~_contradict(F.col("b"), F.col("g"), F.col("h.b"), F.col("h.g")))
+        joined = pairs.join(sums, at_branch).where(test).select(*at_branch, F.col("h.own").alias("to"))
+        names = joined.select("host", "up", F.col("to").alias("own"), "to").distinct()
+        moves = stored(joined.unionByName(names).withColumn("to", F.concat(F.lit("~"), "to")).distinct(), "url-moves")
+        cur = cur.join(moves, at_branch, "left")
         cur = cur.withColumn("merged", F.when(F.col("to").isNotNull(), F.expr(
             f"concat(slice(merged, 1, {d}), array(to), slice(merged, {d + 2}, {DEPTH + 1}))")).otherwise(F.col("merged")))
         cur = stored(cur.drop("up", "own", "below", "to"), "url-merge")

@@ -106,6 +106,101 @@ def test_similar_branches_merge(spark):
     assert names == {"/~blue/{{n}}": 60, "/about": 1}
 
 
+def plain_merge(rows, depth):
+    """The merge of sibling branches in plain Python: rows (host, tokens, n, bad, good)."""
+    merged = [list(t) for _, t, _, _, _ in rows]
+    for d in range(depth - 1, -1, -1):
+        branches = {}
+        for (host, _, n, bad, good), m in zip(rows, merged):
+            if len(m) > d:
+                x = branches.setdefault((host, "/".join(m[:d]), m[d]), [collections.Counter(), 0, 0])
+                x[0]["/".join(m[d + 1:])] += n
+                x[1] += bad
+                x[2] += good
+        groups = {}
+        for (host, up, own), (below, b, g) in branches.items():
+            below = collections.Counter({k: v for k, v in below.items() if v})
+            top = max(((v, k) for k, v in below.items()), default=(0, ""))[1]
+            if top:
+                side = "bad" if b > g else "good" if g else "none"
+                groups.setdefault((host, up, top), []).append((own, sum(below.values()), below, b, g, side))
+        moves = {}
+        for (host, up, _), own in groups.items():
+            heads = {s: min((x for x in own if x[5] == s), key=lambda x: (-x[1], x[0]), default=None) for s in ("bad", "good", "none")}
+            known = [s for s in ("bad", "good") if heads[s]]
+            lead = known[0] if len(known) == 1 else "none"
+            for name, n, below, b, g, side in own:
+                h = heads[lead if side == "none" else side]
+                if h[0] == name:
+                    continue
+                r, stat = math.sqrt(h[1] / n), 0.0
+                for t in below.keys() | h[2].keys():
+                    stat += (r * below[t] - h[2][t] / r) ** 2 / (below[t] + h[2][t])
+                free = max(len(below.keys() | h[2].keys()) - 1, 1)
+                common = below.keys() & h[2].keys()
+                labels, theirs = b + g, h[3] + h[4]
+                apart = False
+                if labels and theirs:
+                    p = (b + h[3]) / (labels + theirs)
+                    apart = (b == 0 and h[4] == 0) or (g == 0 and h[3] == 0) or (
+                        abs(b / labels - h[3] / theirs) > 1.645 * math.sqrt(p * (1 - p) * (1 / labels + 1 / theirs)))
+                if (stat <= free + 3 * math.sqrt(2 * free) and 2 * sum(below[t] for t in common) >= n
+                        and 2 * sum(h[2][t] for t in common) >= h[1] and not apart):
+                    moves[host, up, name] = moves[host, up, h[0]] = "~" + h[0]
+        for (host, *_), m in zip(rows, merged):
+            if len(m) > d and (host, "/".join(m[:d]), m[d]) in moves:
+                m[d] = moves[host, "/".join(m[:d]), m[d]]
+    return sorted((r[0], "/".join(r[1]), "/".join(m)) for r, m in zip(rows, merged))
+
+
+def test_merge_against_a_plain_tree(spark):
+    """Random hosts with noise, missing and contradicting labels."""
+    import random
+    rng = random.Random(4)
+    rows = []
+    for h in range(12):
+        kinds = [{("x", "{n}"): 40, ("x", "about"): 5, ("y",): 8}, {("x", "{n}"): 9, ("z", "q", "{n}"): 30}, {("a",): 3}]
+        for b in range(rng.randrange(2, 9)):
+            kind = rng.choice(kinds)
+            scale, side = rng.choice([1, 1, 5, 20]), rng.choice(["bad", "good", "mixed", None, None])
+            for below, n in kind.items():
+                n = max(1, int(n * scale * rng.uniform(0.9, 1.1)))
+                bad = rng.randrange(4) if side in ("bad", "mixed") else 0
+                good = rng.randrange(4) if side in ("good", "mixed") else 0
+                rows.append((f"h{h}", [f"b{b}", *below], n, bad, good))
+            if rng.random() < 0.5:
+                rows.append((f"h{h}", [f"b{b}", f"stray{rng.randrange(3)}"], 1, 0, 0))
+        rows += [(f"h{h}", [leaf], 1, rng.randrange(2), 0) for leaf in ("spam", "login")] + [(f"h{h}", [], 1, 0, 0)]
+    df = spark.createDataFrame(rows, "host string, tokens array<string>, n long, bad long, good long")
+    got = url_templates.merge_branches(df, 4).collect()
+    found = sorted((r["host"], "/".join(r["tokens"]), "/".join(r["merged"])) for r in got)
+    assert found == plain_merge(rows, 4)
+    assert any("~" in m for _, _, m in found) and not any("~spam" in m or "~login" in m for _, _, m in found)
+
+
+def test_what_merges_and_what_does_not(spark):
+    def templates(urls, marks):
+        df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+        rows = url_templates.judge(df, spark.createDataFrame(marks, "url string, bad int")).collect()
+        return {r["path"]: (r["template"], r["verdict"]) for r in rows}
+
+    # leaves with nothing below are not alike, whatever their labels
+    got = templates(["http://h.net/s/" + x for x in ("spam", "login", "privacy", "pricing")],
+                    [("http://h.net/s/spam", 1)] * 20 + [("http://h.net/s/login", 0)] * 20)
+    assert {t for t, _ in got.values()} == {"/s/spam", "/s/login", "/s/privacy", "/s/pricing"}
+    assert got["/s/spam"][1] == "block" and got["/s/login"][1] == "allow"
+    # one stray page among many does not part branches; labels carry over to the unlabelled one,
+    # and one whose labels contradict stays by itself
+    urls = [f"http://h.net/{b}/{k}" for b in ("ads1", "ads2", "news") for k in range(40)] + ["http://h.net/ads2/odd/page"]
+    bad, good = ([(f"http://h.net/{b}/{k}", x) for k in range(25)] for b, x in (("ads1", 1), ("news", 0)))
+    got = templates([u for u in urls if "news" not in u], bad)
+    assert got["/ads1/3"] == got["/ads2/3"] == ("/~ads1/{{n}}", "block")
+    # alike to a bad and to a good branch: it joins neither
+    got = templates(urls, bad + good)
+    assert {got[f"/{b}/3"] for b in ("ads1", "news")} == {("/ads1/{{n}}", "block"), ("/news/{{n}}", "allow")}
+    assert got["/ads2/3"][0] == "/ads2/{{n}}"
+
+
 # -- licences ---------------------------------------------------------------
 
 def test_sentences_left_out_cannot_reach_the_threshold():
