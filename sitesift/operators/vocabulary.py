@@ -18,6 +18,8 @@ only one can be reported.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -369,7 +371,7 @@ class Matcher:
                     self.by_word.setdefault(w, []).append(i)
         self.automaton = ahocorasick.Automaton()
         for kp, at in self.same.items():
-            self.automaton.add_word(kp, at)
+            self.automaton.add_word(kp, at[0])
         if self.kps:
             self.automaton.make_automaton()
         self.reach, self.counts, self.order = int(self.sizes.max(initial=0)), None, np.arange(len(block))
@@ -380,10 +382,9 @@ class Matcher:
             return []
         out = []
         if min_score < 60:
-            held = set()
-            for _, at in self.automaton.iter(q):
-                held.update(at[:k])
-            out = [(i, 60) for i in sorted(held)[:k]]
+            # of keywords that are processed alike the automaton knows the first
+            held = heapq.nsmallest(k, {i for _, i in self.automaton.iter(q)})
+            out = [(i, 60) for i in sorted(j for i in held for j in self.same[self.kps[i]][:k])[:k]]
         if len(out) < k and min_score < 57:
             shared = {i for w in set(q.split()) for i in self.by_word.get(w, ())[:k]} - {i for i, _ in out}
             out += [(i, 57) for i in sorted(shared)[:k - len(out)]]
