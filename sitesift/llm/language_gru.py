@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import fold
@@ -26,6 +26,7 @@ LANES = 2048         # windows computed at once
 PAD = 256            # symbol behind the end of a text; its positions are not pooled
 SAMPLE_DOCS = 800    # labelled documents fitted at most
 FIT_WINDOWS = 12288  # windows fitted at most
+LEAST_ROWS = 8          # rows of a language in the sample at least
 SAMPLE_CHARS = 4096  # of each, this many characters from its middle are fitted
 EPOCHS = 4
 _LETTER = regex.compile(r"\p{L}")
@@ -186,16 +187,20 @@ class BiGru:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_fold: int, limit: int) -> list[tuple]:
-    """At most ``limit`` labelled rows outside the held-out fold, in the order of a hash
-    of the id: a bounded random sample that does not depend on partitions."""
+    """Labelled rows outside the held-out fold, some of every language: of each the ids that
+    come first by a hash, ``limit`` shared out evenly (LEAST_ROWS for each language at least,
+    however many there are), one row for each id. So no labelled language is missing, and the
+    sample does not depend on partitions or on how often a row is repeated."""
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                         F.col(lang_col).cast("string").alias("lang"))
             .where((fold("id") != held_fold) & F.col("lang").isNotNull() & (F.length("text") > 0)))
-    chosen = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(limit).select("id").distinct()
+    ids = rows.groupBy("lang", "id").agg(F.xxhash64("id").alias("h"))
+    each = max(LEAST_ROWS, limit // max(1, rows.select("lang").distinct().count()))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = ids.withColumn("n", first).where(F.col("n") <= each).select("lang", "id")
     middle = F.greatest(F.lit(1), (F.length("text") / 2 - SAMPLE_CHARS / 2).cast("int"))
-    return sorted((r["lang"], r["t"]) for r in
-                  rows.join(F.broadcast(chosen), "id").select("lang", F.substring("text", middle, F.lit(SAMPLE_CHARS))
-                                                              .alias("t")).limit(limit).collect())
+    part = rows.join(F.broadcast(chosen), ["lang", "id"]).select("lang", "id", F.substring("text", middle, F.lit(SAMPLE_CHARS)).alias("t"))
+    return sorted((r["lang"], r["t"]) for r in part.groupBy("lang", "id").agg(F.min("t").alias("t")).collect())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

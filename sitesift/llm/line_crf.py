@@ -184,7 +184,7 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int):
     """(text, label) of at most ``limit`` labelled documents in the order of a hash of
     the id. Rows with a null id or label are not used; an id labelled twice keeps its
-    smaller label."""
+    smaller label, an id with several texts the smallest."""
     marks = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y")))
     chosen = marks.orderBy(F.xxhash64("id"), "id").limit(limit)
@@ -194,8 +194,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     start = F.greatest(F.lit(1), (F.size(part) / 2 - SAMPLE_LINES / 2).cast("int"))
     lines = F.array_join(F.transform(F.slice(part, start, F.lit(SAMPLE_LINES)),
                                      lambda s: F.substring(s, 1, 4096)), "\n")
-    found = rows.join(F.broadcast(chosen), "id").select(lines.alias("t"), "y").limit(limit).collect()
-    return sorted((r["t"], r["y"]) for r in found)
+    found = rows.join(F.broadcast(chosen), "id").select("id", lines.alias("t"), "y").groupBy("id", "y").agg(F.min("t").alias("t"))
+    return sorted((r["t"], r["y"]) for r in found.collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
