@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesift.llm.common import fold, stored, strings
@@ -303,8 +303,28 @@ def near_forms(rows: DataFrame, terms: list[str], stems: list[str]) -> dict[str,
     return {r["w"]: r["others"] for r in per.where((F.col("others") > 0) & (odds < MIN_ODDS)).collect()}
 
 
-FIT_DOCS = 3000         # of the sample, so many fit the weights on the driver
-FIT_CHARS = 8192        # and of each, so many characters
+FIT_DOCS = 3000         # of the sample, so many fit the weights; their features are computed on whole texts
+
+
+def fit_rows(rows: DataFrame, terms: list[str], stems: list[str], often: frozenset, limit: int = FIT_DOCS):
+    """Features and labels of at most ``limit`` documents, half of each label, the first by a
+    hash of the id; one row an id. Only the features reach the driver."""
+    chosen = rows.select("y", "id").distinct().withColumn("n", F.row_number().over(
+        Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= limit // 2).select("y", "id")
+    some = rows.join(F.broadcast(chosen), ["y", "id"]).select("y", "text", "id")
+    kind = some.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        automaton = Automaton(terms, stems)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([list(map(float, features(t, automaton, often))) for t in strings(b)], pa.list_(pa.float64()))],
+                names=["y", "id", "x"])
+            if len(automaton.states) > 200_000:
+                automaton = Automaton(terms, stems)
+
+    found = some.mapInArrow(run, f"y int, id {kind}, x array<double>").groupBy("y", "id").agg(F.min("x").alias("x")).collect()
+    return sorted((tuple(r["x"]), r["y"]) for r in found)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -315,18 +335,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     0.5. A near form used once in other rows counts in the fit, as an unseen one will."""
     rows = labelled(docs, labels, id_col, text_col, label_col, held_fold, limit)
     terms, stems = lexicon(rows)
-    cut = rows.select(F.substring("text", 1, FIT_CHARS).alias("t"), "y", F.xxhash64("id").alias("h"), "id")
-    fit = []
-    for y in (0, 1):
-        fit += [(r["t"], r["y"]) for r in
-                cut.where(F.col("y") == y).orderBy("h", "id").limit(FIT_DOCS // 2).select("t", "y").collect()]
+    near = near_forms(rows, terms, stems) if terms or stems else {}
+    often = frozenset(w for w, others in near.items() if others > 1)
+    fit = fit_rows(rows, terms, stems, often)
     if len({y for _, y in fit}) < 2:
         return Model(terms, stems, np.zeros(N_FEATURES))
-    near = near_forms(rows, terms, stems)
-    often = frozenset(w for w, others in near.items() if others > 1)
-    automaton = Automaton(terms, stems)
-    x = np.array([features(t, automaton, often) for t, _ in fit])
-    y = np.array([y for _, y in fit], float)
+    x, y = np.array([r for r, _ in fit]), np.array([y for _, y in fit], float)
     w = _logistic(np.concatenate([x, misspelled(x)]), np.concatenate([y, y[x[:, 1] > 0]]))
     return Model(terms, stems, w, frozenset(near))
 
