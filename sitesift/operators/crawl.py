@@ -65,11 +65,18 @@ def crawl_edges(pages: DataFrame, parsed: DataFrame | None = None, keywords=None
     return g.filter(F.col("priority").isNotNull())
 
 
-def same_site_unseen(links: DataFrame, visited: DataFrame) -> DataFrame:
-    """Distinct (src_url, dst_url) links on the source page's netloc whose
-    absolute URL is not yet visited (identity: the raw absolute URL)."""
+def same_site_unseen(links: DataFrame, visited: DataFrame, identity: str = "raw") -> DataFrame:
+    """Distinct (src_url, dst_url) links on the source page's netloc whose URL is not
+    yet visited. ``identity``: "raw" compares absolute URLs as they are, "norm" normalized
+    ones (of links to the same normalized URL each stays)."""
     same = url_netloc(F.col("dst_url")) == url_netloc(F.col("src_url"))
     g = links.groupBy("src_url", "dst_url").agg(F.max(same).alias("keep")).filter(F.col("keep"))
+    if identity == "norm":
+        known = visited.select(normalize_url(F.col("url")).alias("_norm")).where("_norm IS NOT NULL").distinct()
+        return (g.withColumn("_norm", normalize_url(F.col("dst_url"))).join(known, "_norm", "left_anti")
+                .select("src_url", "dst_url"))
+    if identity != "raw":
+        raise ValueError(f"unknown identity {identity}")
     return g.join(visited.select(F.col("url").alias("dst_url")).distinct(), "dst_url", "left_anti") \
         .select("src_url", "dst_url")
 

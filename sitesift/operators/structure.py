@@ -50,8 +50,12 @@ def _in(col: str, values) -> str:
 
 # ---- H2 / H3 / H1 -----------------------------------------------------------
 
-def page_text(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", "url", "text")
+def page_text(parsed: DataFrame, sep: str = "") -> DataFrame:
+    """The text of every page; ``sep`` stands between text nodes, as they are."""
+    if not sep:
+        return parsed.select("page_id", "url", "text")
+    nodes = "transform(nodes, tn -> substring(text, tn.start + 1, tn.end - tn.start))"
+    return parsed.select("page_id", "url", F.expr(f"array_join({nodes}, {_q(sep)})").alias("text"))
 
 
 def text_nodes(parsed: DataFrame, stripped: bool = True) -> DataFrame:

@@ -108,6 +108,17 @@ def q_src_pages_json(spark, d):
     return read_pages(spark, path, fmt="json")
 
 
+@query("src_pages_csv", "SELECT page_id, url, html FROM pages")
+def q_src_pages_csv(spark, d):
+    """The page table written as CSV with line ends inside values, and read again."""
+    from sitesift.session import scratch_path
+    from sitesift.sources.readers import read_pages
+    path = scratch_path(spark, "pages_csv")
+    (T(spark, d, "pages").write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_pages(spark, path, fmt="csv")
+
+
 FETCH_LOG_SQL = """
 SELECT 'http://site' || cast(user_id AS string) || '.example.com/e/' || cast(event_id AS string) AS url,
        CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status,

@@ -141,3 +141,17 @@ def test_url_queue_goes_on_after_a_restart(spark):
         found, q = stream_url_queue(spark, folder, out)
     got = [(r["url"], (r["priority"], r["depth"])) for r in found.collect()]
     assert dict(got) == want and len(got) == len(want) and base + "b" in want and base + "c" not in want
+
+
+def test_text_separator_and_link_identity(spark, pages_of):
+    from sitesift.operators.crawl import same_site_unseen
+    from sitesift.operators.htmltree import parse_pages
+    from sitesift.operators.structure import page_text
+
+    parsed = parse_pages(pages_of("<p>a <b>b</b></p><p>c</p>", ""))
+    assert [r["text"] for r in page_text(parsed, " | ").orderBy("page_id").collect()] == ["a  | b | c", ""]
+    assert [r["text"] for r in page_text(parsed).orderBy("page_id").collect()] == ["a bc", ""]
+    links = spark.createDataFrame([("http://A.org/", u) for u in ("http://A.org/x?q", "http://A.org/y", "http://b.org/x", "http://A.org/x")], "src_url string, dst_url string")
+    visited = spark.createDataFrame([("https://a.org/x",), (None,), ("http://A.org/y",)], "url string")
+    left = lambda how: {r["dst_url"] for r in same_site_unseen(links, visited, how).collect()}
+    assert left("raw") == {"http://A.org/x?q", "http://A.org/x"} and left("norm") == set()
