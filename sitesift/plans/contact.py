@@ -87,7 +87,7 @@ def contact_info(pages: DataFrame, titles=None, fuzzy: bool = True, ctx: dict |
     """Q1: distinct (page_id, url, type, value) per page. With a title dictionary too long
     for constant expressions, or context keywords as a table, the mentions are found by joins
     and made distinct across the shuffle."""
-    if isinstance(ctx, DataFrame) or large_dictionary(pages.sparkSession, titles) is not None:
+    if isinstance(ctx, DataFrame) or large_dictionary((pages if parsed is None else parsed).sparkSession, titles) is not None:
         parsed = parsed_pages(pages, keep=True) if parsed is None else parsed
         return distinct_mentions(contextual_mentions(parsed, titles, fuzzy, ctx, **kw))
     parsed = parsed_pages(pages) if parsed is None else parsed
@@ -113,7 +113,7 @@ def wrapper_info(pages: DataFrame, titles=None, parsed: DataFrame | None = None)
     """Q2: distinct (type, value) per page in relevance order (rank, then value, then
     type); ordered and numbered inside the page's row. With a title dictionary too long for
     constant expressions they are found by joins and numbered by a window per page."""
-    if large_dictionary(pages.sparkSession, titles) is not None:
+    if large_dictionary((pages if parsed is None else parsed).sparkSession, titles) is not None:
         parsed = parsed_pages(pages, keep=True) if parsed is None else parsed
         found = distinct_mentions(wrapper_mentions(parsed, titles))
         level = F.coalesce(F.create_map(*[F.lit(x) for kv in TYPE_RANK.items() for x in kv])[F.col("type")], F.lit(OTHER_RANK))
