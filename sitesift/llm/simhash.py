@@ -203,6 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("id", "fp", "class", "component_id")
 
 
+FEW = 1 << 21          # keys of dropped documents that are broadcast at most
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id, a null id
     only if the class has no other, of equal ids the smallest digest of the text. Rows equal
@@ -215,10 +218,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                    "simhash-rows")
     name = free_name(docs, "_key")
     lost = stored(found.where("id <> component_id").select(F.col("id").alias(name)).distinct(), "simhash-lost")
-    rest = docs.withColumn(name, key).join(lost, name, "left_anti")
+    # up to FEW keys (some 60 bytes each) go to every executor; more meet the documents in a shuffle
+    few = lambda t: F.broadcast(t) if t.limit(FEW + 1).count() <= FEW else t
+    rest = docs.withColumn(name, key).join(few(lost), name, "left_anti")
     repeated = stored(found.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                       .select(F.col("id").alias(name)), "simhash-repeats")
     if repeated.isEmpty():
         return rest.select(*docs.columns)
-    once = rest.join(repeated, name, "left_semi").dropDuplicates([name])
-    return rest.join(repeated, name, "left_anti").unionByName(once).select(*docs.columns)
+    once = rest.join(few(repeated), name, "left_semi").dropDuplicates([name])
+    return rest.join(few(repeated), name, "left_anti").unionByName(once).select(*docs.columns)
