@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesift.session import spread
+from sitesift.session import deal
 
 # one contact page per customer; person, title, e-mail and phone follow from the row
 CONTACT_BASE_SQL = """
@@ -27,7 +27,7 @@ SELECT c.c_custkey AS page_id,
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
-CONTACT_HTML_SQL = """
+CONTACT_HTML_OF = """
 SELECT page_id, url, cname, nname, seg, person, title, email, phone,
   '<html><head><title>' || cname || '</title>'
   || '<meta name="description" content="Ask ' || person || ', ' || title || '">'
@@ -50,8 +50,8 @@ SELECT page_id, url, cname, nname, seg, person, title, email, phone,
   || '<p> . </p><a href="mailto:' || email || '?subject=hi">Write to ' || person || '</a>'
   || '<p> . </p><a href="https://www.linkedin.com/in/c' || cast(page_id AS string) || '">Profile</a>'
   || '</body></html>' AS html
-FROM (""" + CONTACT_BASE_SQL + """) b
-"""
+FROM """
+CONTACT_HTML_SQL = CONTACT_HTML_OF + "(" + CONTACT_BASE_SQL + ") b\n"
 
 # one site per nation; the customers of a nation, numbered n = 0.., form a binary
 # tree (n links to 2n+1 and 2n+2) with back-links, one deep link (score 0), one
@@ -62,7 +62,7 @@ SELECT c_custkey AS page_id, c_nationkey AS site, c_mktsegment AS seg,
 FROM customer
 """
 
-LINK_HTML_SQL = """
+LINK_HTML_OF = """
 SELECT page_id, site, n,
   'http://t' || cast(site AS string) || '.example.com'
   || (CASE WHEN n > 0 AND n % 2 = 0 THEN '/team/' ELSE '/p/' END) || cast(n AS string) AS url,
@@ -79,8 +79,8 @@ SELECT page_id, site, n,
   || '<li><a href="/files/' || cast(n AS string) || '.pdf">report</a></li>'
   || '<li><a href="tel:555' || cast(n AS string) || '">call</a></li>'
   || '</ul></body></html>' AS html
-FROM (""" + LINK_BASE_SQL + """) b
-"""
+FROM """
+LINK_HTML_SQL = LINK_HTML_OF + "(" + LINK_BASE_SQL + ") b\n"
 
 LINK_SEEDS_SQL = "SELECT url AS seed FROM (" + LINK_HTML_SQL + ") g WHERE n = 0"
 
@@ -91,14 +91,18 @@ def register_views(spark: SparkSession, sf_dir: str, names) -> None:
 
 
 def contact_pages(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
+    """Rows of a few columns are dealt out before they become pages: the tables are small in
+    bytes, read as one split, but every row is a page to parse."""
     register_views(spark, sf_dir, ["customer", "nation"])
-    df = spread(spark.sql(CONTACT_HTML_SQL))
+    deal(spark.sql(CONTACT_BASE_SQL)).createOrReplaceTempView("contact_base")
+    df = spark.sql(CONTACT_HTML_OF + "contact_base")
     return df if full else df.select("page_id", "url", "html")
 
 
 def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, ["customer"])
-    return spread(spark.sql(LINK_HTML_SQL).select("page_id", "url", "html"))
+    deal(spark.sql(LINK_BASE_SQL)).createOrReplaceTempView("link_base")
+    return spark.sql(LINK_HTML_OF + "link_base").select("page_id", "url", "html")
 
 
 def link_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,21 @@ def test_text_separator_and_link_identity(spark, pages_of):
     visited = spark.createDataFrame([("https://a.org/x",), (None,), ("http://A.org/y",)], "url string")
     left = lambda how: {r["dst_url"] for r in same_site_unseen(links, visited, how).collect()}
     assert left("raw") == {"http://A.org/x?q", "http://A.org/x"} and left("norm") == set()
+
+
+def test_small_tables_become_pages_in_many_tasks(spark, tmp_path):
+    """A table of few bytes is one split; its rows are dealt out before they become pages."""
+    from sitesift.plans.generated import contact_pages, link_pages
+
+    rows = spark.range(200).selectExpr("id AS c_custkey", "'Customer' || id AS c_name", "id % 3 AS c_nationkey", "'BUILDING' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("id AS n_nationkey", "'N' || id AS n_name").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    set_ = spark.conf.get("sitesift.read.partitions")
+    spark.conf.unset("sitesift.read.partitions")
+    try:
+        for pages in (contact_pages(spark, str(tmp_path)), link_pages(spark, str(tmp_path))):
+            found = pages.selectExpr("page_id", "spark_partition_id() AS p").collect()
+            assert sorted(r.page_id for r in found) == list(range(200))
+            assert len({r.p for r in found}) >= 3 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("sitesift.read.partitions", set_)
