@@ -58,7 +58,7 @@ def tiered_sql(min_score: int, q: str = FQ, ql: str = FQL, qp: str = FQP) -> str
     entry loses whatever its distance, and Levenshtein is not evaluated."""
     return f"""CASE WHEN d.kpl = 0 OR coalesce({ql}, 0) = 0 THEN 0
      WHEN contains({q}, d.kp) THEN 60
-     WHEN exists(d.kws, w -> contains({qp}, w)) THEN 57
+     WHEN d.many AND exists(d.kws, w -> contains({qp}, w)) THEN 57
      WHEN 200 * least(d.kpl, {ql}) < {2 * int(min_score) + 1} * greatest(d.kpl, {ql}) THEN -1
      ELSE least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {q}) / greatest(d.kpl, {ql}))) AS INT)) END"""
 
@@ -77,10 +77,9 @@ def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: st
     entries = []
     for i, kw in enumerate(keywords):
         kp = _process_py(kw)
-        # a one-word keyword that is not a substring cannot be a shared word either;
-        # the placeholder below never occurs in the processed query
-        words = [f" {w} " for w in kp.split()] if len(kp.split()) > 1 else []
-        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "kws": words or ["\u0000"]})
+        # a one-word keyword that is not a substring cannot be a shared word either
+        words = [f" {w} " for w in kp.split()]
+        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "many": len(words) > 1, "kws": words or [" "]})
     scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({tiered_sql(min_score, q, ql, qp)}), "
               f"'ord', d.ord, 'kw', d.kw))")
     return (f"transform(slice(array_sort(filter({scored}, x -> -x.neg > {int(min_score)})), 1, {int(k)}), "

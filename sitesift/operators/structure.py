@@ -146,7 +146,7 @@ def context_blocks(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> Da
     weight, ord, via, text). A dict of keywords by weight is a constant array
     evaluated per element, which replaces a nested-loop join with the dictionary. A
     DataFrame (keyword, weight, ord) of any size is joined with the distinct attribute
-    values through the keywords' rarest 3-grams.
+    values (``vocabulary.containment``).
     """
     from sitesift.functions.text import struct_array_sql
 

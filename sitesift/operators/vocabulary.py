@@ -5,8 +5,8 @@ Here a dictionary is a DataFrame (keyword, ord) that meets the texts in equi-joi
 size is bounded by nothing but the cluster:
 
 * whole words: word n-grams of the lengths that the dictionary has, equal to a keyword;
-* substrings: distinct character 3-grams of a text, equal to a keyword's rarest 3-gram in
-  these texts, then ``contains``;
+* substrings: at each place of a text the substrings of the lengths that keywords with the
+  next 3 signs have, equal to a keyword;
 * fuzzy titles: substrings, shared words (of each word only the first k keywords can be
   among the k best) and, only where fewer than k were found, edit distance under bounds.
 
@@ -35,6 +35,8 @@ TOKEN = rf"[{_WORD}]++|[^{_WORD}]"
 ROW = "_row"                # number of an input row, unique
 PIECE = 16_384              # tokens of a text that are expanded together
 GRAM = 3
+CUT = 64                    # signs of a keyword that are compared in a join
+STRETCH = 1024              # places of a text that are expanded together
 BLOCK = 1 << 17             # keywords compared by edit distance at once
 SMALL = 64 << 20            # bytes of a dictionary that every executor may hold
 MATCHER = 8 << 20           # characters of a dictionary that every worker may hold as an automaton
@@ -179,45 +181,41 @@ def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
 
 # ---- substrings ------------------------------------------------------------------------
 
-def _grams(c: str, size: int) -> str:
-    """Distinct character n-grams of a string column given by name (linear: over its signs)."""
-    parts = ", ".join(f"s[i + {k}]" for k in range(size))
-    return (f"array_distinct(flatten(transform(array(split({c}, '')), s -> if(size(s) < {size}, cast(array() AS array<string>), "
-            f"transform(sequence(0, size(s) - {size}), i -> concat({parts}))))))")
-
-
 def containment(texts: DataFrame, text_col: str, keywords: DataFrame, id_col: str = ROW, key_col: str = "ord",
                 keyword_col: str = "keyword") -> DataFrame:
     """(id, key): texts that hold a keyword as a substring, both as given (lower both first
     to ignore case). ``texts`` should be a written table with unique ids: it is read twice.
 
-    A text meets a keyword only through the keyword's rarest 3-gram in these texts; shorter
-    keywords meet it as they are. No two tables are multiplied.
+    At each place of a text its next 3 signs say which lengths keywords that start so have;
+    the substrings of these lengths equal keywords or don't. So a text meets the keywords it
+    holds and few others, however many there are. Of keywords over CUT signs the first CUT
+    meet the texts, then ``contains`` decides.
     """
     words = keywords.select(F.col(key_col).alias("_key"), F.col(keyword_col).alias("_kw")).where(F.length("_kw") > 0)
-    words = stored(words, "keywords")
-    sizes = sorted(r[0] for r in words.select(F.least(F.length("_kw"), F.lit(GRAM))).distinct().collect())
+    words = stored(words.withColumn("_cut", F.substring("_kw", 1, CUT)), "keywords")
+    longest, sizes = words.agg(F.max(F.length("_kw")), F.collect_set(F.least(F.length("_kw"), F.lit(GRAM)))).first()
     if not sizes:
         return texts.select(id_col).limit(0).withColumn(key_col, F.lit(None).cast(keywords.schema[key_col].dataType))
-    own = None
-    for s in sizes:
-        size = F.length("_kw") == s if s < GRAM else F.length("_kw") >= s
-        part = words.where(size).select("_key", "_kw", F.explode(F.expr(_grams("_kw", s))).alias("_gram"))
-        own = part if own is None else own.unionByName(part)
-    own = stored(own, "keyword-grams")
-    every = ", ".join(_grams("_text", s) for s in sizes)
-    grams = (texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-             .select("_id", F.explode(F.expr(f"concat({every})")).alias("_gram")))
-    wanted = stored(own.select("_gram").distinct(), "wanted-grams")
-    spread = grams.join(wanted, "_gram", "left_semi").groupBy("_gram").count()
-    # a keyword with a gram that no text has occurs nowhere
-    rarest = (own.join(spread, "_gram", "left").groupBy("_key", "_kw")
-              .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("_gram"))).alias("r"))
-              .where("r.n > 0").select("_key", "_kw", F.col("r._gram").alias("_gram")))
-    rarest = stored(rarest, "rarest-grams")
-    pairs = grams.join(rarest, "_gram").select("_id", "_key", "_kw")
-    held = pairs.join(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
-    return held.where(F.contains("_text", "_kw")).select(F.col("_id").alias(id_col), F.col("_key").alias(key_col))
+    heads = stored(words.groupBy(F.substring("_cut", 1, GRAM).alias("_head"))
+                   .agg(F.sort_array(F.collect_set(F.length("_cut"))).alias("_ms")), "keyword-heads")
+    whole = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+    # long texts in pieces, each with the signs that a match at its end needs
+    rows = whole.select("_id", F.explode(F.expr(
+        f"transform(sequence(0, (length(_text) - 1) div {STRETCH}), p -> substring(_text, p * {STRETCH} + 1, {STRETCH + CUT - 1}))")).alias("_t"))
+    rows = rows.select("_id", "_t", F.explode(F.expr(f"sequence(1, least(length(_t), {STRETCH}))")).alias("_at"))
+    rows = rows.select("_id", "_t", "_at", F.explode(F.array(*[F.lit(n) for n in sorted(sizes)])).alias("_n"))
+    rows = rows.where("_at + _n - 1 <= length(_t)").withColumn("_head", F.expr("substring(_t, _at, _n)")).join(heads, "_head")
+    rows = rows.select("_id", "_t", "_at", F.explode("_ms").alias("_m")).where("_at + _m - 1 <= length(_t)")
+    # of equal substrings of a piece the first
+    rows = rows.withColumn("_cut", F.expr("substring(_t, _at, _m)")).where("instr(_t, _cut) = _at").select("_id", "_cut")
+    found = rows.join(words, "_cut")
+    held = found.where(F.length("_kw") <= CUT).select("_id", "_key")
+    if longest > CUT:
+        more = found.where(F.length("_kw") > CUT).select("_id", "_key", "_kw").join(whole, "_id").where(F.contains("_text", "_kw"))
+        held = held.unionByName(more.select("_id", "_key"))
+    if (texts.agg(F.max(F.length(text_col))).first()[0] or 0) > STRETCH:
+        held = held.distinct()
+    return held.select(F.col("_id").alias(id_col), F.col("_key").alias(key_col))
 
 
 def numbered(strings: DataFrame, col: str) -> DataFrame:
@@ -238,7 +236,9 @@ def keywords_of(strings: DataFrame, col: str, keywords: DataFrame, keyword_cols=
 
 def holding_any(strings: DataFrame, col: str, keywords: DataFrame) -> DataFrame:
     """The distinct strings of a column that hold any keyword."""
-    return stored(keywords_of(strings, col, keywords).select(col).distinct(), "holding")
+    once = numbered(strings, col)
+    held = containment(once, col, keywords.select("keyword").distinct().withColumn("key", F.lit(True)), key_col="key")
+    return stored(once.join(held.select(ROW).distinct(), ROW).select(col), "holding")
 
 
 # ---- fuzzy titles ----------------------------------------------------------------------

@@ -117,3 +117,25 @@ def test_profiles_take_long_dictionaries(spark, pages_of, monkeypatch):
     links = spark.createDataFrame([("http://a/team/x", "our board"), ("http://a/", None), ("http://a/x/y/z", "news"), ("http://a/x/y/z", "")], "url string, text string")
     keys = spark.createDataFrame([(k, i) for i, k in enumerate(dictionaries.URL_KEYWORDS)], "keyword string, ord int")
     assert rows(with_relevance(links, "url", "text", keywords=keys)) == rows(with_relevance(links, "url", "text"))
+
+
+def test_substrings_meet_few_keywords_they_do_not_hold(spark):
+    """Digits share their 3-grams: numbers met every keyword with a common gram."""
+    from sitesift.operators.vocabulary import containment, keywords_of, holding_any
+
+    numbers = [str(i) for i in range(0, 3000, 7)]
+    long_ = "x" * 100 + "END"
+    words = numbers + ["ab", "é", "box-", long_, "x" * 70]
+    texts = ["box-123456", "n777", "ab ab ab", "zéz", "x" * 150 + "END", "y" * 1020 + "box-14" + "y" * 2000 + "box-", "", "q"]
+    kw = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "keyword string, ord long")
+    tx = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, s string")
+    want = sorted((i, k) for i, t in enumerate(texts) for k, w in enumerate(words) if w in t)
+    assert sorted((r[0], r[1]) for r in containment(tx, "s", kw).collect()) == want
+    got = sorted((r.s, r.keyword) for r in keywords_of(tx, "s", kw).collect())
+    assert got == sorted((texts[i], words[k]) for i, k in want)
+    assert sorted(r.s for r in holding_any(tx, "s", kw).collect()) == sorted({texts[i] for i, _ in want})
+
+    many = spark.range(4000).selectExpr("cast(1000000 + id * 7919 % 1000000 AS string) AS keyword", "id AS ord")
+    some = spark.range(400).selectExpr("id AS _row", "'k' || cast(1000000 + id * 4999 % 1000000 AS string) AS s")
+    # equal substrings need no check: no pairs that share a gram alone are made
+    assert "contains(" not in containment(some, "s", many)._jdf.queryExecution().executedPlan().toString().lower()
