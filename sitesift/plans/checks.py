@@ -509,12 +509,11 @@ def q_pipe_wrapper(spark, d):
 
 
 # ================================================================ aggregation over document mentions
-def _doc_mentions(spark, d):
-    """Mentions (email, name, phone, title) of every titled document, with url = 'doc://<id>'."""
+def _doc_mentions(spark, d, types=("email", "name", "phone", "title")):
+    """Mentions of every titled document, with url = 'doc://<id>'."""
     docs = _titled(spark, d).select(F.col("doc_id").alias("page_id"),
                                            F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
-    return text_mentions(docs, "text", origin="text", types=("email", "name", "phone", "title"),
-                         titles=DEFAULT_TITLES, min_len=3)
+    return text_mentions(docs, "text", origin="text", types=types, titles=DEFAULT_TITLES, min_len=3)
 
 
 def sql_doc_mentions(src):
@@ -603,7 +602,7 @@ FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'email'
 """)
 def q_v_email(spark, d):
     from sitesift.operators.validate import validate_email
-    m = _doc_mentions(spark, d).filter(F.col("type") == "email")
+    m = _doc_mentions(spark, d, ("email",))
     return m.select("page_id", "value", validate_email(F.col("value")).alias("valid"))
 
 
@@ -613,7 +612,7 @@ FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'phone'
 """)
 def q_v_phone(spark, d):
     from sitesift.operators.validate import validate_phone
-    m = _doc_mentions(spark, d).filter(F.col("type") == "phone")
+    m = _doc_mentions(spark, d, ("phone",))
     return m.select("page_id", "value", validate_phone(F.col("value")).alias("valid"))
 
 
@@ -636,7 +635,7 @@ FROM ({DOC_MENTIONS_SQL}) m WHERE type = 'name'
 """)
 def q_v_name(spark, d):
     from sitesift.operators.validate import validate_name_rule
-    m = _doc_mentions(spark, d).filter(F.col("type") == "name")
+    m = _doc_mentions(spark, d, ("name",))
     return m.select("page_id", "value", validate_name_rule(F.col("value"), DEFAULT_TITLES).alias("valid"))
 
 

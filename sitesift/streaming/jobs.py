@@ -137,9 +137,10 @@ def stream_url_queue(spark: SparkSession, folder: str, out: str | None = None, t
     depth), unless the page at its URL has arrived before or in the same batch. ``prepare``
     turns the stream's rows into pages.
 
-    The state of a URL says that it is known. Before the shuffle the links of each Arrow
-    batch are made distinct, so a URL that every page links to sends few rows. A restarted
-    query goes on from its last committed batch; what came out before does not come again."""
+    The known URLs are a table, one folder per batch: a batch's URLs are made distinct, those
+    known from earlier batches are left out by a join, the others are written. A replayed
+    batch overwrites its own folders, so a restarted query goes on from its last committed
+    batch and what came out before does not come again."""
     from sitesift.functions.urls import url_netloc, with_joined_url
     from sitesift.operators.crawl import with_relevance
     from sitesift.operators.htmltree import parse_pages
@@ -156,34 +157,32 @@ def stream_url_queue(spark: SparkSession, folder: str, out: str | None = None, t
     found = links(parsed).withColumn("depth", F.substring_index("url", " ", 1).cast("long") + 1)
     found = found.withColumn("url", F.expr("substring(url, instr(url, ' ') + 1)"))
     found = with_relevance(with_joined_url(found, "url", "href", "dst"), "dst", "text", "score", keywords)
-    found = found.where((url_netloc(F.col("dst")) == url_netloc(F.col("url"))) & (F.col("score") > 0)).select(
-        F.col("dst").alias("url"), (100 - F.col("score")).cast("long").alias("priority"), "depth")
-    known = level.select("url", F.lit(None).cast("long").alias("priority"), F.lit(None).cast("long").alias("depth"))
-    rows = found.unionByName(known).where("url IS NOT NULL")
+    # rows are dropped through the aggregate's output, as in crawl_edges: a filter here would be
+    # pushed down and repeat the resolution of URLs many times
+    found = found.withColumn("_ok", (url_netloc(F.col("dst")) == url_netloc(F.col("url"))) & (F.col("score") > 0)).select(
+        F.col("dst").alias("url"), F.when(F.col("_ok"), 100 - F.col("score")).cast("long").alias("priority"),
+        F.when(F.col("_ok"), F.col("depth")).alias("depth"), F.lit(False).alias("page"))
+    known = level.select("url", F.lit(None).cast("long").alias("priority"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("page"))
+    rows = found.unionByName(known)
 
-    def fewer(batches):
-        for pdf in batches:
-            yield pdf.groupby("url", as_index=False, sort=False).agg(
-                priority=("priority", "min"), depth=("depth", "min"), page=("priority", lambda p: bool(p.isna().any())))
+    queue = "url string, priority long, depth long"
 
-    def once(key, batches, state):
-        import pandas as pd
-
-        parts = list(batches)
-        if state.exists:
-            return
-        state.update((True,))
-        if not any(p["page"].any() for p in parts):
-            yield pd.DataFrame({"url": [key[0]], "priority": [min(int(p["priority"].min()) for p in parts)],
-                                "depth": [min(int(p["depth"].min()) for p in parts)]})
-
-    schema = "url string, priority long, depth long"
-    queue = (rows.mapInPandas(fewer, "url string, priority double, depth double, page boolean").groupBy("url")
-             .applyInPandasWithState(once, schema, "known boolean", "append", "NoTimeout"))
-    w = (queue.writeStream.format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
+    def write_batch(batch: DataFrame, batch_id: int):
+        session = batch.sparkSession
+        earlier = session.read.schema(f"{queue}, page boolean, b long").parquet(f"{out}/known").where(F.col("b") < batch_id)
+        best = batch.groupBy("url").agg(F.min("priority").alias("priority"), F.min("depth").alias("depth"),
+                                        F.max("page").alias("page")).where("page OR priority IS NOT NULL")
+        at = f"{out}/known/b={batch_id}"
+        best.join(earlier.select("url"), "url", "left_anti").write.mode("overwrite").parquet(at)
+        new = session.read.schema(f"{queue}, page boolean").parquet(at).where("NOT page").drop("page")
+        new.write.mode("overwrite").parquet(f"{out}/data/b={batch_id}")
+
+    # empty folders, so that the first batch and a stream with no data read back
+    spark.createDataFrame([], f"{queue}, page boolean").write.mode("overwrite").parquet(f"{out}/known/b=-1")
+    spark.createDataFrame([], queue).write.mode("overwrite").parquet(f"{out}/data/b=-1")
+    w = rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out}/_checkpoint")
     q = _run(w, available_now)
-    return spark.read.schema(schema).parquet(f"{out}/data"), q
+    return spark.read.schema(queue).parquet(f"{out}/data").select("url", "priority", "depth"), q
 
 
 def stream_rate(spark: SparkSession, folder: str, out: str | None = None, period: str = "1 second",

@@ -173,3 +173,16 @@ def test_small_tables_become_pages_in_many_tasks(spark, tmp_path):
             assert len({r.p for r in found}) >= 3 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("sitesift.read.partitions", set_)
+
+
+def test_url_queue_calls_no_function_per_url(spark):
+    """The known URLs meet a batch in a join: no Python call and no state row for each URL."""
+    from sitesift.streaming.jobs import stream_url_queue
+
+    folder = scratch_path(spark, "queue")
+    html = "".join(f'<a href="/p/{i}">team</a>' for i in range(300))
+    pages = spark.createDataFrame([(1, "http://a.example.com/", html), (2, "http://a.example.com/p/1", html)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{folder}/pages")
+    found, q = stream_url_queue(spark, folder)
+    assert sorted(r["url"] for r in found.collect()) == sorted(f"http://a.example.com/p/{i}" for i in range(300) if i != 1)
+    assert not any(p["stateOperators"] for p in q.recentProgress)
