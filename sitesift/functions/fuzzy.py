@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["process_fuzzy", "fuzzy_titles_of", "fuzzy_titles_sql", "windows_sql", "with_fuzzy_query", "tiered_sql", "levenshtein_ratio",
+__all__ = ["process_fuzzy", "fuzzy_titles_of", "fuzzy_titles_sql", "windows_sql", "covered_sql", "with_fuzzy_query", "tiered_sql", "levenshtein_ratio",
            "fuzzy_match"]
 
 
@@ -28,7 +28,12 @@ def windows_sql(words: str, shift: int = 3) -> str:
             f"(a, b) -> concat(a, ' ', b)), slice({words}, 3, {k}), (ab, c) -> concat(ab, ' ', c)), ' ')")
 
 
-FQ, FQL, FQP = "_fuzzy_q", "_fuzzy_ql", "_fuzzy_qpad"
+def covered_sql(words: str, shift: int = 3) -> str:
+    """The words that the windows of ``windows_sql`` hold, each place once, joined by spaces."""
+    return f"array_join(if(size({words}) > {shift}, slice({words}, 1, size({words}) - {shift} + 2), slice({words}, 1, 0)), ' ')"
+
+
+FQ, FQL, FQP, FQU = "_fuzzy_q", "_fuzzy_ql", "_fuzzy_qpad", "_fuzzy_qwords"
 
 
 def with_fuzzy_query(df, text: Column, all_windows: bool = False):
@@ -47,6 +52,7 @@ def with_fuzzy_query(df, text: Column, all_windows: bool = False):
     df = df.withColumn("_fuzzy_clean", clean_text(text))
     df = df.withColumn("_fuzzy_words", F.expr("filter(split(_fuzzy_clean, ' '), w -> w != '')"))
     df = df.withColumn(FQ, process_fuzzy(F.expr(windows_sql("_fuzzy_words", shift))))
+    df = df.withColumn(FQU, F.concat(F.lit(" "), process_fuzzy(F.expr(covered_sql("_fuzzy_words", shift))), F.lit(" ")))
     df = df.withColumn(FQL, F.length(F.col(FQ))).withColumn(FQP, F.concat(F.lit(" "), F.col(FQ), F.lit(" ")))
     return df.drop("_fuzzy_clean", "_fuzzy_words")
 
@@ -70,20 +76,43 @@ def fuzzy_titles_of(keywords: list[str], k: int = 5, min_score: int = 30) -> Col
 
 
 def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: str = FQ, ql: str = FQL,
-                     qp: str = FQP) -> str:
-    """``fuzzy_titles_of`` as SQL text over a query given by name."""
+                     u: str = FQU) -> str:
+    """``fuzzy_titles_of`` as SQL text over a query given by name, its length and its words,
+    each place once, between spaces. Substrings come first, then shared words, then the edit
+    distance, each looked for only where the ones before gave fewer than ``k``. A keyword of
+    one word lies inside one word, so it and shared words are sought in ``u``, a third of ``q``."""
     from sitesift.functions.text import struct_array_sql
 
+    k, low = max(int(k), 0), int(min_score)
     entries = []
     for i, kw in enumerate(keywords):
         kp = _process_py(kw)
         # a one-word keyword that is not a substring cannot be a shared word either
         words = [f" {w} " for w in kp.split()]
         entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "many": len(words) > 1, "kws": words or [" "]})
-    scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({tiered_sql(min_score, q, ql, qp)}), "
-              f"'ord', d.ord, 'kw', d.kw))")
-    return (f"transform(slice(array_sort(filter({scored}, x -> -x.neg > {int(min_score)})), 1, {int(k)}), "
-            f"x -> x.kw)")
+    none = "cast(array() AS array<string>)"
+    if low < 0 and entries:     # every keyword passes, with its score
+        scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', "
+                  f"-({tiered_sql(low, q, ql, u)}), 'ord', d.ord, 'kw', d.kw))")
+        return f"transform(slice(array_sort(filter({scored}, x -> -x.neg > {low})), 1, {k}), x -> x.kw)"
+    entries = [d for d in entries if d["kp"]]       # an empty keyword scores 0
+    if not entries or not k or low >= 60:
+        return none
+    many = [d for d in entries if d["many"]]
+    held = f"if(d.many, contains({q}, d.kp), contains({u}, d.kp))"
+    shared = f"d.many AND exists(d.kws, w -> contains({u}, w))"
+    first = f"transform(filter({struct_array_sql(entries)}, d -> {held}), d -> d.kw)"
+    second = (f"transform(filter({struct_array_sql(many)}, d -> NOT contains({q}, d.kp) AND {shared}), d -> d.kw)"
+              if many and low < 57 else none)
+    third = (f"transform(array_sort(filter(transform(filter({struct_array_sql(entries)}, d -> "
+             f"200 * least(d.kpl, {ql}) >= {2 * low + 1} * greatest(d.kpl, {ql}) AND NOT {held} AND NOT ({shared})), "
+             f"d -> named_struct('neg', -least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {q}) / "
+             f"greatest(d.kpl, {ql}))) AS INT)), 'ord', d.ord, 'kw', d.kw)), x -> -x.neg > {low})), x -> x.kw)"
+             if low < 56 else none)
+    # one-item arrays stand for names: what is found in a step is an array that the next one reads
+    more = f"transform(array(concat(h, {second})), g -> if(size(g) >= {k}, g, concat(g, {third})))[0]"
+    found = f"transform(array({first}), h -> if(size(h) >= {k}, h, {more}))[0]"
+    return f"if(coalesce({ql}, 0) = 0, {none}, slice({found}, 1, {k}))"
 
 
 def _process_py(s: str) -> str:

@@ -10,7 +10,7 @@ from sitesift.functions import patterns as P
 __all__ = [
     "clean_text", "find_all", "emails_in", "names_in", "phones_in", "titles_in",
     "wrapper_emails_in", "wrapper_names_in", "wrapper_phones_in", "wrapper_title_of",
-    "strip_ws", "long_enough", "lit_array", "struct_array_sql", "sql_quote",
+    "strip_ws", "long_enough", "lit_array", "struct_array_sql", "sql_quote", "holds_any_sql",
 ]
 
 
@@ -98,9 +98,21 @@ def struct_array_sql(rows: list[dict]) -> str:
     return "array(" + ", ".join(one(r) for r in rows) + ")"
 
 
+def _shortest(keywords: list[str]) -> list[str]:
+    """The keywords that contain no other one: a text that holds any keyword holds one of them."""
+    return [k for k in dict.fromkeys(keywords) if not any(o != k and o in k for o in keywords)]
+
+
+def holds_any_sql(text: str, keywords: list[str]) -> str:
+    """Whether a text given as SQL, lower-cased, contains any of the keywords."""
+    words = "array(" + ", ".join(sql_quote(k) for k in _shortest(keywords)) + ")"
+    return f"exists(array(lower({text})), _low -> exists({words}, _k -> contains(_low, _k)))"
+
+
 def wrapper_title_of(c, keywords: list[str]) -> Column:
     """The whole text if it contains any keyword (case-insensitive substring), else null."""
     c = _c(c)
-    low = F.lower(c)
-    kws = lit_array([k.lower() for k in keywords])
-    return F.when(F.exists(kws, lambda k: low.contains(k)), c)
+    if not keywords:
+        return F.lit(None).cast("string")
+    kws = lit_array(_shortest([k.lower() for k in keywords]))
+    return F.when(F.exists(F.array(F.lower(c)), lambda low: F.exists(kws, lambda k: F.contains(low, k))), c)

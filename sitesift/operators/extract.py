@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitesift.dictionaries import WRAPPER_TITLES, keyword_list, large_dictionary
-from sitesift.functions.fuzzy import FQ, FQL, FQP, fuzzy_titles_of, with_fuzzy_query
+from sitesift.functions.fuzzy import fuzzy_titles_of, with_fuzzy_query
 from sitesift.functions.text import (clean_text, emails_in, long_enough, names_in, phones_in,
                                      titles_in, wrapper_emails_in, wrapper_names_in,
                                      wrapper_phones_in, wrapper_title_of)
@@ -172,24 +172,28 @@ def _typed_sql(arr: str, typ: str, value: str = "v") -> str:
     return f"transform({arr}, v -> named_struct('type', '{typ}', 'value', {value}))"
 
 
-def mentions_of_texts_sql(texts: str, types, titles=None, fuzzy: bool = False, k: int = 5, min_score: int = 30) -> str:
+def mentions_of_texts_sql(texts: str, types, titles=None, fuzzy: bool = False, k: int = 5, min_score: int = 30,
+                          carry: tuple[str, ...] = ()) -> str:
     """array<struct<type, value>> of the mentions in all texts of an array<string>
     expression. Each text is cleaned once: every step of the chain is an array of
-    structs that the next one reads."""
+    structs that the next one reads. With ``carry`` the texts are structs of ``text`` and
+    these fields, which their mentions take over."""
     from sitesift.functions import patterns as P
-    from sitesift.functions.fuzzy import fuzzy_titles_sql, windows_sql
+    from sitesift.functions.fuzzy import covered_sql, fuzzy_titles_sql, windows_sql
 
     kws = keyword_list(titles)
     fuzzy = fuzzy and "title" in types and bool(kws)
-    step = f"transform({texts}, t -> named_struct('t', t, 'w', trim(regexp_replace(t, '(?U)\\\\s+', ' '))))"
-    step = f"transform({step}, s -> named_struct('t', s.t, 'c', if(s.w = '', s.t, s.w)))"
+    kept = lambda x: "".join(f", '{c}', {x}.{c}" for c in carry)
+    t, more = "t.text" if carry else "t", kept("s")
+    step = f"transform({texts}, t -> named_struct('t', {t}, 'w', trim(regexp_replace({t}, '(?U)\\\\s+', ' ')){kept('t')}))"
+    step = f"transform({step}, s -> named_struct('t', s.t, 'c', if(s.w = '', s.t, s.w){more}))"
     if fuzzy:
         step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'f', "
-                "filter(split(s.c, ' '), w -> w != '')))")
+                f"filter(split(s.c, ' '), w -> w != ''){more}))")
         step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'q', "
-                f"trim(regexp_replace(lower({windows_sql('s.f')}), '[^a-z0-9]', ' '))))")
-        step = (f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'q', s.q, 'l', length(s.q), "
-                "'p', concat(' ', s.q, ' ')))")
+                f"trim(regexp_replace(lower({windows_sql('s.f')}), '[^a-z0-9]', ' ')), 'u', "
+                f"concat(' ', trim(regexp_replace(lower({covered_sql('s.f')}), '[^a-z0-9]', ' ')), ' '){more}))")
+        step = f"transform({step}, s -> named_struct('t', s.t, 'c', s.c, 'q', s.q, 'l', length(s.q), 'u', s.u{more}))"
     parts = []
     for t in types:
         if t == "email":
@@ -202,25 +206,33 @@ def mentions_of_texts_sql(texts: str, types, titles=None, fuzzy: bool = False, k
             if kws:
                 parts.append(_typed_sql(_found_sql("s.c", P.title_alternation(kws), 1), t))
             if fuzzy:
-                parts.append(_typed_sql(fuzzy_titles_sql(kws, k, min_score, "s.q", "s.l", "s.p"), t))
+                parts.append(_typed_sql(fuzzy_titles_sql(kws, k, min_score, "s.q", "s.l", "s.u"), t))
         else:
             raise ValueError(f"unknown mention type {t}")
-    return f"flatten(transform({step}, s -> concat(cast(array() AS {MENTION}), {', '.join(parts)})))"
+    found = f"concat(cast(array() AS {MENTION}), {', '.join(parts)})"
+    if carry:
+        found = f"transform({found}, m -> named_struct('type', m.type, 'value', m.value{more}))"
+    return f"flatten(transform({step}, s -> {found}))"
 
 
-def wrapper_mentions_of_texts_sql(texts: str, titles=None) -> str:
-    """``wrapper_mention_array`` over all texts of an array<string> expression."""
+def wrapper_mentions_of_texts_sql(texts: str, titles=None, carry: tuple[str, ...] = ()) -> str:
+    """``wrapper_mention_array`` over all texts of an array<string> expression, or with
+    ``carry`` of structs as in ``mentions_of_texts_sql``."""
     from sitesift.functions import patterns as P
-    from sitesift.functions.text import sql_quote
+    from sitesift.functions.text import holds_any_sql
 
     kws = [k.lower() for k in (list(WRAPPER_TITLES) if titles is None else keyword_list(titles))]
-    parts = [_typed_sql(_found_sql("t", p), typ)
+    t = "t.text" if carry else "t"
+    parts = [_typed_sql(_found_sql(t, p), typ)
              for typ, p in (("email", P.EMAIL), ("name", P.WRAPPER_NAME), ("phone", P.WRAPPER_PHONE))]
     if kws:
-        words = "array(" + ", ".join(sql_quote(k) for k in kws) + ")"
-        parts.append(f"if(exists({words}, k -> contains(lower(t), k)), "
-                     f"array(named_struct('type', 'title', 'value', t)), cast(array() AS {MENTION}))")
-    return f"flatten(transform({texts}, t -> concat(cast(array() AS {MENTION}), {', '.join(parts)})))"
+        parts.append(f"if({holds_any_sql(t, kws)}, "
+                     f"array(named_struct('type', 'title', 'value', {t})), cast(array() AS {MENTION}))")
+    found = f"concat(cast(array() AS {MENTION}), {', '.join(parts)})"
+    if carry:
+        fields = "".join(f", '{c}', t.{c}" for c in carry)
+        found = f"transform({found}, m -> named_struct('type', m.type, 'value', m.value{fields}))"
+    return f"flatten(transform({texts}, t -> {found}))"
 
 
 class ExtractorRegistry:

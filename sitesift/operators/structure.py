@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitesift.dictionaries import CONTEXT_KEYWORDS, all_context_keywords
-from sitesift.functions.text import lit_array, strip_ws
+from sitesift.functions.text import holds_any_sql, lit_array, strip_ws
 
 CONTEXT_BLOCK_TAGS = ["div", "section", "article", "aside", "header", "footer"]
 HEADER_TAGS = ["h1", "h2", "h3"]
@@ -121,11 +121,14 @@ def mailto(parsed: DataFrame, tags: tuple[str, ...] = ("a",)) -> DataFrame:
 
 # ---- H8 contact elements ------------------------------------------------------------
 
+def _contact_pred(x: str) -> str:
+    return (f"{_in(f'{x}.tag', CONTACT_TAGS)} AND (array_contains(split({_attr(x, 'class')}, "
+            f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr(x, 'id')}, 'contact') > 0)")
+
+
 def contact_elements(parsed: DataFrame) -> DataFrame:
     """a/p/div/span with the class token 'contact' or an id containing 'contact'."""
-    pred = (f"{_in('el.tag', CONTACT_TAGS)} AND (array_contains(split({_attr('el', 'class')}, "
-            f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr('el', 'id')}, 'contact') > 0)")
-    arr = F.expr(f"transform(filter(elements, el -> {pred}), "
+    arr = F.expr(f"transform(filter(elements, el -> {_contact_pred('el')}), "
                  f"el -> named_struct('node_id', el.node_id, 'text', {_etext('el')}))")
     return _explode_struct(parsed, arr)
 
@@ -148,8 +151,6 @@ def context_blocks(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> Da
     DataFrame (keyword, weight, ord) of any size is joined with the distinct attribute
     values (``vocabulary.containment``).
     """
-    from sitesift.functions.text import struct_array_sql
-
     if isinstance(ctx, DataFrame):
         from sitesift.operators.vocabulary import keywords_of
 
@@ -161,6 +162,13 @@ def context_blocks(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> Da
         told = keywords_of(blocks, "attr", ctx, ("keyword", "weight", "ord"))
         return blocks.join(told, "attr").select("page_id", "url", "node_id", "keyword", "weight", "ord", "via", "text")
 
+    return _explode_struct(parsed, F.expr(context_blocks_sql(ctx)))
+
+
+def context_blocks_sql(ctx: dict | None = None) -> str:
+    """array<struct<node_id, keyword, weight, ord, via, text>> of a page row's context blocks."""
+    from sitesift.functions.text import struct_array_sql
+
     kws, weights = _ctx_lists(ctx)
     hits = struct_array_sql([{"keyword": k, "weight": w, "ord": i} for i, (k, w) in enumerate(zip(kws, weights))])
 
@@ -171,23 +179,14 @@ def context_blocks(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> Da
 
     blocks = (f"filter(elements, el -> {_in('el.tag', CONTEXT_BLOCK_TAGS)} "
               f"AND ({_attr('el', 'class')} != '' OR {_attr('el', 'id')} != ''))")
-    arr = F.expr(f"flatten(transform({blocks}, el -> concat({matches('class')}, {matches('id')})))")
-    return _explode_struct(parsed, arr)
+    return f"flatten(transform({blocks}, el -> concat({matches('class')}, {matches('id')})))"
 
 
 def header_siblings(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> DataFrame:
     """Next element sibling of every h1/h2/h3 whose lower-cased text contains a
     context keyword; weight 'high'. (page_id, url, header_id, node_id, weight, text).
     ``ctx`` may be a table as in ``context_blocks``."""
-    pred = f"{_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0"
-    if not isinstance(ctx, DataFrame):
-        kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
-        pred += f" AND exists({kws}, k -> contains(lower({_etext('el')}), k))"
-    sib = "element_at(elements, el.next_sib + 1)"
-    arr = F.expr(f"transform(filter(elements, el -> {pred}), el -> named_struct('header_id', el.node_id, "
-                 f"'node_id', {sib}.node_id, 'weight', 'high', 'text', "
-                 f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start), 'head', lower({_etext('el')})))")
-    rows = _explode_struct(parsed, arr)
+    rows = _explode_struct(parsed, F.expr(header_siblings_sql(ctx)))
     if isinstance(ctx, DataFrame):
         from sitesift.operators.vocabulary import holding_any
 
@@ -195,6 +194,18 @@ def header_siblings(parsed: DataFrame, ctx: dict | DataFrame | None = None) -> D
     return rows.select("page_id", "url", "header_id", "node_id", "weight", "text")
 
 
+def header_siblings_sql(ctx: dict | DataFrame | None = None) -> str:
+    """array<struct<header_id, node_id, weight, text, head>> of a page row; with a table of
+    keywords, of all its headers."""
+    pred = f"{_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0"
+    if not isinstance(ctx, DataFrame):
+        pred += f" AND {holds_any_sql(_etext('el'), all_context_keywords(ctx))}"
+    sib = "element_at(elements, el.next_sib + 1)"
+    return (f"transform(filter(elements, el -> {pred}), el -> named_struct('header_id', el.node_id, "
+            f"'node_id', {sib}.node_id, 'weight', 'high', 'text', "
+            f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start), 'head', lower({_etext('el')})))")
+
+
 # ---- H11 vCard ------------------------------------------------------------------------------
 
 VCARD_FIELDS = [("fn", "name"), ("org", "organization"), ("email", "email"), ("tel", "phone")]
@@ -271,12 +282,12 @@ def jsonld_sql() -> str:
 
 def block_texts_sql(ctx: dict | None = None) -> str:
     """array<string>: texts of context blocks and of siblings of keyword headers."""
-    kws = "array(" + ", ".join(_q(k) for k in all_context_keywords(ctx)) + ")"
-    told = lambda a: f"exists({kws}, k -> contains(lower({_attr('el', a)}), k))"
+    kws = all_context_keywords(ctx)
+    told = lambda a: holds_any_sql(_attr("el", a), kws)
     blocks = (f"transform(filter(elements, el -> {_in('el.tag', CONTEXT_BLOCK_TAGS)} AND ({told('class')} OR {told('id')})), "
               f"el -> {_etext('el')})")
     heads = (f"filter(elements, el -> {_in('el.tag', HEADER_TAGS)} AND el.next_sib >= 0 AND "
-             f"exists({kws}, k -> contains(lower({_etext('el')}), k)))")
+             f"{holds_any_sql(_etext('el'), kws)})")
     sib = "element_at(elements, el.next_sib + 1)"
     return (f"concat({blocks}, transform({heads}, el -> "
             f"substring(text, {sib}.text_start + 1, {sib}.text_end - {sib}.text_start)))")
@@ -289,13 +300,38 @@ def page_texts_sql() -> str:
     return f"concat(array(text, {meta}), transform({ln}, el -> {_etext('el')}))"
 
 
+def weighted_blocks_sql(ctx: dict | None = None) -> str:
+    """array<struct<text, weight>>: texts of context blocks, one for each keyword and attribute
+    that tells them, and of siblings of keyword headers."""
+    pair = lambda arr: f"transform({arr}, b -> named_struct('text', b.text, 'weight', b.weight))"
+    return f"concat({pair(context_blocks_sql(ctx))}, {pair(header_siblings_sql(ctx))})"
+
+
+def page_origins_sql() -> str:
+    """array<struct<text, origin>>: the texts of ``page_texts_sql``."""
+    meta = (f"array_join(transform(filter(elements, el -> {_desc_meta_pred('el')}), el -> {_attr('el', 'content')}), ' ')")
+    ln = "filter(elements, el -> el.tag = 'a' AND el.attrs['href'] IS NOT NULL)"
+    return (f"concat(array(named_struct('text', text, 'origin', 'text'), named_struct('text', {meta}, 'origin', 'meta')), "
+            f"transform({ln}, el -> named_struct('text', {_etext('el')}, 'origin', 'link')))")
+
+
+def wrapper_origins_sql() -> str:
+    """array<struct<text, origin>>: the texts of ``wrapper_texts_sql``."""
+    nodes = ("transform(filter(nodes, tn -> tn.s_end > tn.s_start), "
+             "tn -> named_struct('text', substring(text, tn.s_start + 1, tn.s_end - tn.s_start), 'origin', 'text'))")
+    meta = (f"transform(filter(elements, el -> {_desc_meta_pred('el')}), "
+            f"el -> named_struct('text', {_attr('el', 'content')}, 'origin', 'meta'))")
+    touch = (f"transform(filter(elements, el -> {_contact_pred('el')}), "
+             f"el -> named_struct('text', {_etext('el')}, 'origin', 'contact'))")
+    return f"concat({nodes}, {meta}, {touch})"
+
+
 def wrapper_texts_sql() -> str:
     """array<string>: stripped text nodes, meta contents, texts of contact elements."""
     nodes = ("transform(filter(nodes, tn -> tn.s_end > tn.s_start), "
              "tn -> substring(text, tn.s_start + 1, tn.s_end - tn.s_start))")
     meta = f"transform(filter(elements, el -> {_desc_meta_pred('el')}), el -> {_attr('el', 'content')})"
-    touch = (f"transform(filter(elements, el -> {_in('el.tag', CONTACT_TAGS)} AND (array_contains(split({_attr('el', 'class')}, "
-             f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr('el', 'id')}, 'contact') > 0)), el -> {_etext('el')})")
+    touch = f"transform(filter(elements, el -> {_contact_pred('el')}), el -> {_etext('el')})"
     return f"concat({nodes}, {meta}, {touch})"
 
 
@@ -311,7 +347,7 @@ def hrefs_sql() -> str:
 
 
 __all__ = [
-    "block_texts_sql", "page_texts_sql", "wrapper_texts_sql", "mailto_sql", "hrefs_sql",
+    "block_texts_sql", "weighted_blocks_sql", "page_texts_sql", "page_origins_sql", "wrapper_origins_sql", "wrapper_texts_sql", "mailto_sql", "hrefs_sql",
     "page_text", "text_nodes", "element_rows",
     "meta_contents", "meta_joined", "links", "hrefs_raw", "mailto", "contact_elements",
     "context_blocks", "header_siblings", "vcards", "vcard_sql", "jsonld", "jsonld_sql", "jsonld_problems", "prepare_jsonld", "strip_ws",

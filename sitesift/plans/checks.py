@@ -19,6 +19,7 @@ from sitesift.functions.urls import (is_html_url, normalize_url, with_joined_url
 from sitesift.operators import structure as S
 from sitesift.operators.extract import explode_matches, text_mentions
 from sitesift.operators.htmltree import parse_pages, parse_problems
+from sitesift.session import deal
 from sitesift.sources.readers import fetched_ok, read_table, seeds_from_lines
 
 QUERIES: dict = {}
@@ -1147,7 +1148,7 @@ def q_agg_confidence_weights(spark, d):
 def q_agg_union_profiles(spark, d):
     from sitesift.operators.aggregate import distinct_mentions, union_all
     from sitesift.plans.contact import contextual_mentions, parsed_pages, wrapper_mentions
-    p = parsed_pages(contact_pages(spark, d))
+    p = parsed_pages(contact_pages(spark, d), keep=True)
     u = union_all(contextual_mentions(p, titles=DEFAULT_TITLES, fuzzy=True), wrapper_mentions(p))
     return distinct_mentions(u)
 
@@ -1251,13 +1252,15 @@ UNION ALL SELECT -2 - c_custkey, 'http://broken/' || cast(c_custkey AS string),
 FROM customer WHERE c_custkey % 7 = 0
 """)
 def q_sink_page_status(spark, d):
+    from sitesift.plans.contact import contact_info, parsed_pages
     from sitesift.sources.sinks import page_status
     pages = contact_pages(spark, d)
-    broken = spark.sql(BROKEN_SQL)
-    parsed = parse_pages(pages.unionByName(broken))
+    broken = deal(spark.sql(BROKEN_SQL))
+    parsed = parsed_pages(pages.unionByName(broken), keep=True)
     problems = S.jsonld_problems(parsed).unionByName(parse_problems(parsed)).unionByName(spark.sql(FAILED_SQL))
     empty = spark.createDataFrame([(-1, "http://empty", "")], "page_id long, url string, html string")
-    st = page_status(pages.unionByName(broken).unionByName(empty), q_pipe_contact_info(spark, d), problems)
+    found = contact_info(pages, titles=DEFAULT_TITLES, fuzzy=True, parsed=parsed)
+    st = page_status(pages.unionByName(broken).unionByName(empty), found, problems)
     # the parser's own words behind the colon are left out
     return st.select("page_id", "url", "status", F.regexp_extract(F.array_join("errors", ";"), "^[^:]*", 0).alias("errors"),
                      F.array_join("warnings", ";").alias("warnings"), F.to_json("extracted_info").alias("extracted_info"))

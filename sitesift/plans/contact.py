@@ -35,7 +35,11 @@ def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx:
        shorter than 3 characters skipped), plus mailto addresses (confidence 1);
     4. with ``linkedin``, link hrefs that pass the LinkedIn profile pattern
        (the record has a linkedin field that nothing else fills).
+
+    Unless a dictionary is a table, all are found in one pass over the page's row.
     """
+    if not isinstance(ctx, DataFrame) and large_dictionary(parsed.sparkSession, titles) is None:
+        return _contextual_rows(parsed, titles, fuzzy, ctx, phones_everywhere, linkedin)
     blocks = union_all(
         S.context_blocks(parsed, ctx).select("page_id", "url", "node_id", "weight", "text"),
         S.header_siblings(parsed, ctx).select("page_id", "url", "node_id", "weight", "text"))
@@ -61,6 +65,35 @@ def contextual_mentions(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx:
     return union_all(*parts)
 
 
+def _contextual_rows(parsed: DataFrame, titles, fuzzy: bool, ctx: dict | None, phones_everywhere: bool,
+                     linkedin: bool) -> DataFrame:
+    """``contextual_mentions`` with every mention of a page in one array of its row."""
+    S.prepare_jsonld(parsed)
+    direct = DIRECT_TYPES + (("phone",) if phones_everywhere else ())
+    full = lambda arr, origin, typ="m.type", value="m.value", weight="cast(NULL AS string)", conf="cast(NULL AS double)": (
+        f"transform({arr}, m -> named_struct('origin', {origin}, 'type', {typ}, 'value', {value}, 'weight', {weight}, "
+        f"'confidence', {conf}))")
+    parts = {
+        "_m_ctx": full(mentions_of_texts_sql(S.weighted_blocks_sql(ctx), CONTEXT_TYPES, titles, fuzzy, carry=("weight",)),
+                       "'context'", weight="m.weight"),
+        "_m_vcard": full(S.vcard_sql(), "'vcard'"), "_m_json": full(S.jsonld_sql(), "'jsonld'"),
+        "_m_text": full(mentions_of_texts_sql(f"filter({S.page_origins_sql()}, t -> length(t.text) >= {MIN_TEXT_LEN})",
+                                              direct, titles, fuzzy, carry=("origin",)), "m.origin"),
+        "_m_mail": full(S.mailto_sql(), "'mailto'", "'email'", "m", conf="cast(1.0 AS double)"),
+    }
+    if linkedin:
+        parts["_m_linkedin"] = full(f"filter({S.hrefs_sql()}, h -> h RLIKE {sql_quote(V_LINKEDIN)})", "'linkedin'",
+                                    "'linkedin'", "m")
+    df = parsed.withColumns({k: F.expr(v) for k, v in parts.items()})
+    return _mention_rows(df, f"concat({', '.join(parts)})", ("origin", "type", "value", "weight", "confidence"))
+
+
+def _mention_rows(df: DataFrame, arr: str, fields) -> DataFrame:
+    # outer: else the optimizer adds a filter that builds the array a second time
+    return (df.select("page_id", "url", F.explode_outer(F.expr(arr)).alias("m")).where("m IS NOT NULL")
+            .select("page_id", "url", *(f"m.{f}" for f in fields)))
+
+
 def contact_array(parsed: DataFrame, titles=None, fuzzy: bool = True, ctx: dict | None = None,
                   phones_everywhere: bool = False, linkedin: bool = True) -> DataFrame:
     """(page_id, url, mentions): the distinct mentions of ``contextual_mentions`` in an
@@ -100,7 +133,14 @@ def contact_info(pages: DataFrame, titles=None, fuzzy: bool = True, ctx: dict |
 def wrapper_mentions(parsed: DataFrame, titles=None) -> DataFrame:
     """All mention rows of profile "wrapper": each stripped text node, each
     description/keywords meta content, the text of contact elements, and mailto
-    hrefs on a/p/div/span."""
+    hrefs on a/p/div/span; without a dictionary as a table in one pass over the page's row."""
+    if large_dictionary(parsed.sparkSession, titles) is None:
+        full = lambda arr, origin, typ="m.type", value="m.value": (
+            f"transform({arr}, m -> named_struct('origin', {origin}, 'type', {typ}, 'value', {value}))")
+        df = parsed.withColumns({
+            "_m_text": F.expr(full(wrapper_mentions_of_texts_sql(S.wrapper_origins_sql(), titles, ("origin",)), "m.origin")),
+            "_m_mail": F.expr(full(S.mailto_sql(("a", "p", "div", "span")), "'mailto'", "'email'", "m"))})
+        return _mention_rows(df, "concat(_m_text, _m_mail)", ("origin", "type", "value"))
     m_nodes = wrapper_text_mentions(S.text_nodes(parsed), origin="text", titles=titles)
     m_meta = wrapper_text_mentions(S.meta_contents(parsed), "content", origin="meta", titles=titles)
     m_ce = wrapper_text_mentions(S.contact_elements(parsed), origin="contact", titles=titles)

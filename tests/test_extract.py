@@ -126,3 +126,35 @@ def test_phones_of_long_digit_runs_take_linear_time(spark):
     from sitesift.functions.text import phones_in
     assert one(spark, phones_in, "1." * 30_000 + "x") == []
     assert one(spark, phones_in, "call +1 (017) 555-0101 or 12+34 212-555-0102") == ["+1 (017) 555-0101", "+34 212-555-0102"]
+
+
+def test_fuzzy_titles_by_descending_score(spark):
+    """Equal to scoring every keyword; edit distance only where fewer than k others were found."""
+    import random
+
+    from sitesift.dictionaries import DEFAULT_TITLES
+    from sitesift.functions.fuzzy import FQL, FQP, _process_py, fuzzy_titles_sql, tiered_sql, with_fuzzy_query
+    from sitesift.functions.text import struct_array_sql
+
+    rnd = random.Random(3)
+    words = ["project", "Manager", "manger", "LEAD", "vp", "sales", "of", "ceo", "engineering", "a-b", "Dirctor", "é", "offic", "x."]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(300)] + [None, ""]
+    df = with_fuzzy_query(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"))
+    kws = [*DEFAULT_TITLES, "", "--", "of the", "a b", "Manager"]
+    entries = [{"kw": w, "ord": i, "kp": _process_py(w), "kpl": len(_process_py(w)), "many": len(_process_py(w).split()) > 1,
+                "kws": [f" {x} " for x in _process_py(w).split()] or [" "]} for i, w in enumerate(kws)]
+    for k, low in ((5, 30), (2, 10), (40, 0), (5, 56), (5, 57), (5, 60)):
+        scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', -({tiered_sql(low, qp=FQP)}), "
+                  "'ord', d.ord, 'kw', d.kw))")
+        every = f"transform(slice(array_sort(filter({scored}, x -> -x.neg > {low})), 1, {k}), x -> x.kw)"
+        got = df.select("t", F.expr(every), F.expr(fuzzy_titles_sql(kws, k, low))).collect()
+        assert [(r[0], r[1]) for r in got] == [(r[0], r[2]) for r in got]
+    # where k keywords are held, no edit distance is worked out: its place is behind the condition
+    assert fuzzy_titles_sql(kws).index("levenshtein") > fuzzy_titles_sql(kws).index("size(g) >= 5")
+
+
+def test_keywords_that_hold_others_are_left_out(spark):
+    from sitesift.functions.text import holds_any_sql, wrapper_title_of
+    assert "project" not in holds_any_sql("t", ["manager", "project manager"])
+    df = spark.createDataFrame([("A Project MANAGER",), ("project",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(wrapper_title_of("t", ["Manager", "Project Manager"])).collect()] == ["A Project MANAGER", None, None, None]

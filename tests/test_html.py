@@ -139,3 +139,42 @@ def test_hostile_pages_are_linear():
     # openings without their closing sign stay text, in scripts they stay as they are
     assert parse_or_error("a <b x='1")[0] == "a <b x='1" and parse_or_error("<p>x &amp; <!-- y")[0] == "x & <!-- y"
     assert parse_or_error("<script>if (a < b) &amp;")[1][0]["raw_text"] == "if (a < b) &amp;"
+
+
+def test_plain_tags_skip_the_tokenizers_slow_path(monkeypatch):
+    from html.parser import HTMLParser
+
+    from sitesift.operators.htmltree import parse_html
+    slow = []
+    for name in ("parse_starttag", "parse_endtag", "updatepos"):
+        real = getattr(HTMLParser, name)
+        monkeypatch.setattr(HTMLParser, name, lambda self, *a, _real=real, _name=name: slow.append(_name) or _real(self, *a))
+    text, els, _ = parse_html('<DIV Class="a &amp; b" id="x"><p>hi</P><script type="t">a<b></script></DIV>')
+    assert (text, [e["tag"] for e in els], els[0]["attrs"], els[2]["raw_text"]) == (
+        "hi", ["div", "p", "script"], [("class", "a & b"), ("id", "x")], "a<b>")
+    assert slow == ["parse_endtag"]       # only the end of the script
+    odd = parse_html("<a href=x>1</a ><a b='c>d' b=\"e\"f>2</a><br/>")
+    assert [e["attrs"] for e in odd[1]] == [[("href", "x")], [("b", "e"), ("f", "")], []] and "parse_starttag" in slow
+
+
+def test_mentions_of_a_page_are_found_in_one_parse(spark):
+    from sitesift.operators.htmltree import parse_pages
+    from sitesift.plans.contact import contextual_mentions, wrapper_mentions
+    page = ('<div class="team staff">Ana Lopez, Project Manager, a@b.example.com</div><h2>Our people</h2><p>Bo Diaz Lead</p>'
+            '<a href="mailto:x@y.example.com">Write to Ana Lopez now</a><a href="https://www.linkedin.com/in/ana">in</a>'
+            '<meta name="keywords" content="CEO Office"><p class="contact">Call Ana Lopez</p>')
+    pages = spark.createDataFrame([(1, "http://a", page), (2, "http://b", None)], "page_id long, url string, html string")
+    found = contextual_mentions(parse_pages(pages))
+    wrapped = wrapper_mentions(parse_pages(pages))
+    for df in (found, wrapped):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = [tuple(r) for r in found.collect()]
+    # one row for each keyword that tells the block, as the exploded blocks give
+    assert rows.count((1, "http://a", "context", "email", "a@b.example.com", "high", None)) == 2
+    assert (1, "http://a", "context", "name", "Bo Diaz Lead", "high", None) in rows
+    assert (1, "http://a", "meta", "title", "CEO", None, None) in rows
+    assert (1, "http://a", "link", "name", "Ana Lopez", None, None) in rows
+    assert (1, "http://a", "mailto", "email", "x@y.example.com", None, 1.0) in rows
+    assert (1, "http://a", "linkedin", "linkedin", "https://www.linkedin.com/in/ana", None, None) in rows
+    assert {r[0] for r in rows} == {1}
+    assert (1, "http://a", "contact", "name", "Call Ana Lopez") in [tuple(r) for r in wrapped.collect()]
