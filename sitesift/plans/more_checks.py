@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitesift.plans.checks import LGEN, LINKS_SCORED_SQL, ORACLE, T, query, sql_netloc
+from sitesift.session import deal
 
 # ---- link closure of deep graphs ---------------------------------------------------------
 # sites of 5,000 pages from the orders: each page leads to the next, back and home; the home
@@ -21,6 +22,12 @@ FROM orders
 """
 
 
+def deep_pages(spark, d):
+    """Rows of orders are dealt out before they become pages: the table is small in bytes."""
+    deal(T(spark, d, "orders").select("o_orderkey")).createOrReplaceTempView("orders")
+    return spark.sql(DEEP_PAGES_SQL)
+
+
 @query("pipe_link_closure_deep", f"""
 SELECT CAST(o_orderkey AS BIGINT) AS page_id,
        CAST(least(o_orderkey % {DEEP}, 1 + abs(o_orderkey % {DEEP} - 100)) AS INTEGER) AS step
@@ -31,8 +38,7 @@ WHERE (SELECT count(*) FROM orders p WHERE floor(p.o_orderkey / {DEEP}) = floor(
 def q_pipe_link_closure_deep(spark, d):
     """Steps of all pages of sites that are chains of thousands of pages."""
     from sitesift.plans.site import link_closure
-    T(spark, d, "orders").createOrReplaceTempView("orders")
-    pages = spark.sql(DEEP_PAGES_SQL)
+    pages = deep_pages(spark, d)
     seeds = pages.where(F.col("page_id") % DEEP == 0).select(F.col("url").alias("seed"))
     return link_closure(seeds, pages).select("page_id", F.col("step").cast("int").alias("step"))
 

@@ -186,3 +186,13 @@ def test_url_queue_calls_no_function_per_url(spark):
     found, q = stream_url_queue(spark, folder)
     assert sorted(r["url"] for r in found.collect()) == sorted(f"http://a.example.com/p/{i}" for i in range(300) if i != 1)
     assert not any(p["stateOperators"] for p in q.recentProgress)
+
+
+def test_deep_pages_are_dealt_out(spark):
+    from sitesift.plans.more_checks import deep_pages
+
+    folder = scratch_path(spark, "orders")
+    spark.range(20, 5020).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    pages = deep_pages(spark, folder)
+    assert pages.rdd.getNumPartitions() > 1 and pages.count() == 5000
+    assert pages.where("page_id = 4999").first()["url"] == "http://s0.example.com/p/4999"
