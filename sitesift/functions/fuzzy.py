@@ -79,8 +79,9 @@ def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: st
                      u: str = FQU) -> str:
     """``fuzzy_titles_of`` as SQL text over a query given by name, its length and its words,
     each place once, between spaces. Substrings come first, then shared words, then the edit
-    distance, each looked for only where the ones before gave fewer than ``k``. A keyword of
-    one word lies inside one word, so it and shared words are sought in ``u``, a third of ``q``."""
+    distance, each looked for only where the ones before gave fewer than ``k``. Each word of a
+    keyword lies inside one word, so its longest and shared words are sought in ``u``, a third
+    of ``q``."""
     from sitesift.functions.text import struct_array_sql
 
     k, low = max(int(k), 0), int(min_score)
@@ -89,7 +90,8 @@ def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: st
         kp = _process_py(kw)
         # a one-word keyword that is not a substring cannot be a shared word either
         words = [f" {w} " for w in kp.split()]
-        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "many": len(words) > 1, "kws": words or [" "]})
+        entries.append({"kw": kw, "ord": i, "kp": kp, "kpl": len(kp), "many": len(words) > 1, "kws": words or [" "],
+                        "long": max(kp.split(), key=len, default="")})
     none = "cast(array() AS array<string>)"
     if low < 0 and entries:     # every keyword passes, with its score
         scored = (f"transform({struct_array_sql(entries)}, d -> named_struct('neg', "
@@ -99,13 +101,13 @@ def fuzzy_titles_sql(keywords: list[str], k: int = 5, min_score: int = 30, q: st
     if not entries or not k or low >= 60:
         return none
     many = [d for d in entries if d["many"]]
-    held = f"if(d.many, contains({q}, d.kp), contains({u}, d.kp))"
+    held = f"contains({u}, d.long) AND (NOT d.many OR contains({q}, d.kp))"
     shared = f"d.many AND exists(d.kws, w -> contains({u}, w))"
     first = f"transform(filter({struct_array_sql(entries)}, d -> {held}), d -> d.kw)"
     second = (f"transform(filter({struct_array_sql(many)}, d -> NOT contains({q}, d.kp) AND {shared}), d -> d.kw)"
               if many and low < 57 else none)
     third = (f"transform(array_sort(filter(transform(filter({struct_array_sql(entries)}, d -> "
-             f"200 * least(d.kpl, {ql}) >= {2 * low + 1} * greatest(d.kpl, {ql}) AND NOT {held} AND NOT ({shared})), "
+             f"200 * least(d.kpl, {ql}) >= {2 * low + 1} * greatest(d.kpl, {ql}) AND NOT array_contains(g, d.kw)), "
              f"d -> named_struct('neg', -least(56, CAST(round(100.0 * (1.0 - levenshtein(d.kp, {q}) / "
              f"greatest(d.kpl, {ql}))) AS INT)), 'ord', d.ord, 'kw', d.kw)), x -> -x.neg > {low})), x -> x.kw)"
              if low < 56 else none)

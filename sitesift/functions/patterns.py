@@ -5,6 +5,8 @@ which is how Python's ``re`` treats str patterns; without it Java's \\s misses
 NBSP and \\b differs on accented letters.
 """
 
+from os.path import commonprefix
+
 U = "(?U)"
 
 # --- FIXED VALUES: extraction patterns (the e-mail TLD class keeps a literal '|') ---
@@ -33,6 +35,54 @@ def title_alternation(keywords: list[str]) -> str:
     """Case-insensitive whole-word alternation in dictionary order.
 
     Keywords are used as written (not escaped), so a keyword is itself a
-    pattern, e.g. ``Dr.`` matches ``Dr`` followed by any character.
+    pattern, e.g. ``Dr.`` matches ``Dr`` followed by any character. Keywords that begin
+    alike are tried through their common beginning, so a place of a text costs the
+    different beginnings, not the keywords.
     """
-    return "(?iU)\\b(" + "|".join(keywords) + ")\\b"
+    plain = all(0 < len(k) <= 200 and not set(k) & _MARKS and _closed(k) for k in keywords)
+    return "(?iU)\\b(" + (_by_beginning(list(keywords)) if plain else "|".join(keywords)) + ")\\b"
+
+
+_MARKS = set("|\\[]{}*+?^$#")      # with these a keyword's signs don't stand for themselves one by one
+
+
+def _plain(c: str) -> bool:
+    return c == " " or (c.isascii() and c.isalnum())
+
+
+def _closed(keyword: str) -> bool:
+    depth = 0
+    for c in keyword:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+def _by_beginning(rests: list[str]) -> str:
+    """The alternation of ``rests`` in their order. Where two begin with different letters or
+    digits at most one can match, so those of a letter may be gathered at its first place;
+    the order of those that match at one place stays."""
+    if len(rests) == 1:
+        return rests[0]
+    out, groups = [], {}
+
+    def put():
+        for c, g in groups.values():
+            if len(g) > 1:
+                n = len(common := commonprefix([r.lower() for r in g]))
+                while n and not all(map(_plain, common[:n])):
+                    n -= 1
+                c, g = c + g[0][:n], [r[n:] for r in g]
+            out.append(c + (g[0] if len(g) == 1 else f"(?:{_by_beginning(g)})"))
+        groups.clear()
+
+    for r in rests:
+        c = r[:1]
+        if _plain(c):
+            groups.setdefault(c.lower(), (c, []))[1].append(r[1:])
+        else:               # an end, or a sign of a pattern: what comes before it is tried before it
+            put()
+            out.append(r)
+    put()
+    return "|".join(out)

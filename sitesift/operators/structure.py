@@ -40,8 +40,10 @@ def _attr(x: str, name: str) -> str:
 
 
 def _has_class(x: str, token: str) -> str:
-    return (f"(array_contains(split({_attr(x, 'class')}, {_q(r'(?U)\s+')}), {_q(token)}) "
-            f"OR {_attr(x, 'class')} = {_q(token)})")
+    a = _attr(x, 'class')
+    # the attribute is split only where the token stands somewhere in it
+    return (f"(instr({a}, {_q(token)}) > 0 AND (array_contains(split({a}, {_q(r'(?U)\s+')}), {_q(token)}) "
+            f"OR {a} = {_q(token)}))")
 
 
 def _in(col: str, values) -> str:
@@ -122,8 +124,7 @@ def mailto(parsed: DataFrame, tags: tuple[str, ...] = ("a",)) -> DataFrame:
 # ---- H8 contact elements ------------------------------------------------------------
 
 def _contact_pred(x: str) -> str:
-    return (f"{_in(f'{x}.tag', CONTACT_TAGS)} AND (array_contains(split({_attr(x, 'class')}, "
-            f"{_q(r'(?U)\s+')}), 'contact') OR instr({_attr(x, 'id')}, 'contact') > 0)")
+    return f"({_in(f'{x}.tag', CONTACT_TAGS)} AND ({_has_class(x, 'contact')} OR instr({_attr(x, 'id')}, 'contact') > 0))"
 
 
 def contact_elements(parsed: DataFrame) -> DataFrame:

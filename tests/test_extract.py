@@ -158,3 +158,23 @@ def test_keywords_that_hold_others_are_left_out(spark):
     assert "project" not in holds_any_sql("t", ["manager", "project manager"])
     df = spark.createDataFrame([("A Project MANAGER",), ("project",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(wrapper_title_of("t", ["Manager", "Project Manager"])).collect()] == ["A Project MANAGER", None, None, None]
+
+
+def test_keywords_that_begin_alike_are_tried_together(spark):
+    import random
+
+    from sitesift.functions.patterns import title_alternation
+
+    assert title_alternation(["Project Manager", "CEO", "product lead"]).count("ro") == 1      # once, not by keyword
+    kws = ["Ab", "aB c", "A", "abc", "a.c", "b(c)d", "b c", "B", "ca", "cab c", "IT", "it is"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcAB cd.tiK") for _ in range(14)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _ in range(6):
+        some = rng.sample(kws, rng.randint(1, len(kws)))
+        plain = "(?iU)\\b(" + "|".join(some) + ")\\b"
+        got = df.select(F.regexp_extract_all("t", F.lit(title_alternation(some)), F.lit(1)).alias("a"),
+                        F.regexp_extract_all("t", F.lit(plain), F.lit(1)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+    for odd in (["a|b", "a c"], ["a+", "ab"], ["(a", "b)"], ["", "a"]):     # patterns are left as they are
+        assert title_alternation(odd) == "(?iU)\\b(" + "|".join(odd) + ")\\b"
