@@ -115,16 +115,20 @@ def _rule_tokens_sql(value: str) -> str:
     return (f"transform(filter(split({value}, ' '), t -> t <> ''), t -> named_struct('text', t, 'pos', {pos}))")
 
 
-#: V5 over a token array ``_tk``: the first span, as its text, position and length.
-_SPAN_SQL = """if(size(_tk) > 0, get(filter(transform(sequence(1, size(_tk)), j -> CASE
-    WHEN get(_tk, j).pos = 'NOUN' AND get(_tk, j - 1).pos IN ('ADJ', 'NOUN')
-    THEN named_struct('span', concat_ws(' ', get(_tk, j - 1).text, get(_tk, j).text), 'at', j, 'n', 2)
-    WHEN get(_tk, j - 1).pos = 'PROPN' AND lower(get(_tk, j).text) = 'of' AND get(_tk, j + 1).pos = 'PROPN'
-    THEN named_struct('span', concat_ws(' ', get(_tk, j - 1).text, get(_tk, j).text, get(_tk, j + 1).text), 'at', j, 'n', 3)
-    END), x -> x IS NOT NULL), 0), NULL)"""
-#: V6 (title part): the first PROPN token inside the span that is not part of the name.
-_ORG_SQL = """get(filter(slice(_tk, _sp.at, _sp.n), x -> x.pos = 'PROPN'
-    AND instr(coalesce(name, ''), x.text) = 0), 0).text"""
+def _span_org_sql(tokens: str, name: str) -> str:
+    """struct<sp: struct<span, at, n>, org> of a title's tokens: V5, the first span as its text,
+    position and length; V6 (title part), the first PROPN token inside the span that is not
+    part of the name. One-item arrays stand for names, so that each step is an array that the
+    next one reads: a column named in a step may be put in its place wherever it is read."""
+    span = """if(size(tk) > 0, get(filter(transform(sequence(1, size(tk)), j -> CASE
+        WHEN get(tk, j).pos = 'NOUN' AND get(tk, j - 1).pos IN ('ADJ', 'NOUN')
+        THEN named_struct('span', concat_ws(' ', get(tk, j - 1).text, get(tk, j).text), 'at', j, 'n', 2)
+        WHEN get(tk, j - 1).pos = 'PROPN' AND lower(get(tk, j).text) = 'of' AND get(tk, j + 1).pos = 'PROPN'
+        THEN named_struct('span', concat_ws(' ', get(tk, j - 1).text, get(tk, j).text, get(tk, j + 1).text), 'at', j, 'n', 3)
+        END), x -> x IS NOT NULL), 0), NULL)"""
+    org = f"get(filter(slice(tk, sp.at, sp.n), x -> x.pos = 'PROPN' AND instr(coalesce({name}, ''), x.text) = 0), 0).text"
+    return (f"transform(array({tokens}), tk -> transform(array({span}), "
+            f"sp -> named_struct('sp', sp, 'org', {org}))[0])[0]")
 
 
 def _key(col: str) -> Column:
@@ -150,8 +154,8 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
             r = r.withColumn(f, F.lit(None).cast("string"))
     r = r.select(*RECORD_FIELDS, "organization", "src_url")
     if tokens is None:
-        r = (r.withColumn("_tk", F.expr(_rule_tokens_sql("title"))).withColumn("name_org", F.lit(None).cast("string"))
-             .withColumn("valid_name", validate_name_rule(F.col("name"), titles)))
+        r = r.withColumn("name_org", F.lit(None).cast("string"))
+        found, valid = _rule_tokens_sql("title"), validate_name_rule(F.col("name"), titles)
     else:
         tokens = stored(tokens.select("value", "i", "text", "pos", "ent_label", "ent_id"), "tokens")
         ordered = F.array_sort(F.collect_list(F.struct("i", "text", "pos")))
@@ -166,11 +170,13 @@ def validate_records(records: DataFrame, tokens: DataFrame | None = None, titles
         r = r.withColumn("_k", _key("title")).join(of_title, "_k", "left").drop("_k")
         # ORG entities are looked up on the validated name text (what gets re-tagged)
         r = r.withColumn("_k", _key("valid_name")).join(orgs, "_k", "left").drop("_k")
-    r = (r.withColumn("name", F.col("valid_name")).withColumn("_sp", F.expr(_SPAN_SQL))
-         .withColumn("_org", F.expr(_ORG_SQL))
-         .withColumn("email", validate_email(F.col("email"))).withColumn("phone", validate_phone(F.col("phone")))
-         .withColumn("linkedin", validate_linkedin(F.col("linkedin")))
-         .withColumn("organization", F.coalesce("_org", "name_org", "organization"))
-         .withColumn("title", F.col("_sp.span")))
-    keep = F.coalesce(*[F.col(f) for f in RECORD_FIELDS]).isNotNull()
-    return r.filter(keep).select(*RECORD_FIELDS, "organization", "src_url")
+        found, valid = "_tk", F.col("valid_name")
+    r = r.withColumn("name", valid)
+    kept = F.struct(validate_email(F.col("email")).alias("email"), F.col("name"), validate_linkedin(F.col("linkedin")).alias("linkedin"),
+                    F.expr(f"if(title IS NULL, NULL, {_span_org_sql(found, 'name')})").alias("of"),
+                    validate_phone(F.col("phone")).alias("phone"), F.coalesce("name_org", "organization").alias("org"), "src_url")
+    told = " OR ".join(f"r.{f} IS NOT NULL" for f in ("email", "name", "linkedin", "of.sp.span", "phone"))
+    # a generator's output: else the optimizer puts the expressions into the filter a second time
+    r = r.select(F.array(kept).alias("_r")).select(F.explode_outer(F.expr(f"filter(_r, r -> {told})")).alias("r")).where("r IS NOT NULL")
+    return r.select("r.email", "r.name", "r.linkedin", F.col("r.of.sp.span").alias("title"), "r.phone",
+                    F.coalesce("r.of.org", "r.org").alias("organization"), "r.src_url")

@@ -19,7 +19,7 @@ from sitesift.functions.urls import (is_html_url, normalize_url, with_joined_url
 from sitesift.operators import structure as S
 from sitesift.operators.extract import explode_matches, text_mentions
 from sitesift.operators.htmltree import parse_pages, parse_problems
-from sitesift.session import deal
+from sitesift.session import deal, stored
 from sitesift.sources.readers import fetched_ok, read_table, seeds_from_lines
 
 QUERIES: dict = {}
@@ -1110,7 +1110,8 @@ FROM (SELECT DISTINCT value FROM ({CONTACT_INFO_SQL}) m WHERE type = 'name') d
 """)
 def q_v_name_entities(spark, d):
     from sitesift.operators.validate import entity_names, rule_tokens
-    vals = q_pipe_contact_info(spark, d).filter(F.col("type") == "name").select("value").distinct()
+    # written: they are read as values and as tokens, and are few beside the pages they come from
+    vals = stored(q_pipe_contact_info(spark, d).filter(F.col("type") == "name").select("value").distinct(), "names")
     return vals.join(entity_names(rule_tokens(vals, titles=DEFAULT_TITLES)), "value", "left").select("value", "valid_name")
 
 

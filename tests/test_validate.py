@@ -68,3 +68,29 @@ def test_pattern_validators_are_idempotent(spark):
             assert a == b
 
     check()
+
+
+def test_a_title_is_tokenized_once(spark):
+    recs = spark.createDataFrame(
+        [(None, "Ana Lee", "Director of Sales", "u1"), (None, "Ana Director", "Director of Sales", "u2"), (None, None, "quickly", "u3"),
+         ("a@b.co", None, "the project manager here", "u4"), (None, None, "senior engineer", "u5"), ("bad", None, None, "u6")],
+        "email string, name string, title string, src_url string")
+    v = validate_records(recs, titles=["Manager"])
+    assert {r["src_url"]: (r["email"], r["name"], r["title"], r["organization"]) for r in v.collect()} == {
+        "u1": (None, "Ana Lee", "Director of Sales", "Director"), "u2": (None, "Ana Director", "Director of Sales", "Sales"),
+        "u4": ("a@b.co", None, "project manager", None), "u5": (None, None, "senior engineer", None)}
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(title") == 1 and plan.count("sequence(") == 1
+
+
+def test_name_entities_read_their_pages_once(spark):
+    from sitesift.plans.checks import QUERIES
+    from sitesift.session import scratch_path
+
+    d = scratch_path(spark, "names")
+    spark.createDataFrame([(k, f"Customer#{k}", k % 2, "BUILDING") for k in range(1, 9)],
+                          "c_custkey long, c_name string, c_nationkey long, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(0, "PERU"), (1, "CHINA")], "n_nationkey long, n_name string").write.parquet(f"{d}/nation.parquet")
+    found = QUERIES["v_name_entities"](spark, d)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()      # the parse of the pages
+    assert ("Ana Building", "Ana Building") in {tuple(r) for r in found.collect()}
