@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sitesift.functions.fuzzy import process_fuzzy, with_fuzzy_query
 from sitesift.functions.text import clean_text
-from sitesift.session import stored
+from sitesift.session import deal, stored
 
 __all__ = ["title_table", "exact_titles", "containment", "keywords_of", "holding_any", "fuzzy_titles", "ROW"]
 
@@ -40,6 +40,7 @@ STRETCH = 1024              # places of a text that are expanded together
 BLOCK = 1 << 17             # keywords compared by edit distance at once
 SMALL = 64 << 20            # bytes of a dictionary that every executor may hold
 MATCHER = 8 << 20           # characters of a dictionary that every worker may hold as an automaton
+WORDS = 1 << 18             # words of texts that a worker remembers with the keywords they hold
 
 
 def title_table(dictionary: DataFrame) -> DataFrame:
@@ -64,12 +65,13 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     words = (title_table(dictionary).select(F.lower("keyword").alias("gram"), "ord").groupBy("gram").agg(F.min("ord").alias("ord"))
              .withColumn("t", tokens(F.col("gram"))).withColumn("m", F.size("t")).withColumn("first", F.col("t")[0]))
     words = stored(words.drop("t"), "dictionary-words")
-    firsts = stored(words.groupBy("first").agg(F.sort_array(F.collect_set("m")).alias("ms")), "dictionary-firsts")
     longest, size = words.agg(F.max("m"), F.sum(F.octet_length("gram") + 48)).first()
     longest = longest or 1
     schema = T.StructType([*(df.select(*ids).schema.fields), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])
     if (size or 0) <= SMALL:
-        return _walk(df.select(*ids, clean_text(text).alias("_text")), words, schema)
+        # texts are few bytes beside the work on them: a small table comes as one split
+        return _walk(deal(df.select(*ids, text.alias("_text"))).withColumn("_text", clean_text("_text")), words, schema)
+    firsts = stored(words.groupBy("first").agg(F.sort_array(F.collect_set("m")).alias("ms")), "dictionary-firsts")
     rows = df.select(*ids, F.monotonically_increasing_id().alias(ROW), tokens(clean_text(text)).alias("_t"))
     # a long text in pieces, each with the tokens that a match at its end needs, and one before it
     rows = rows.select(*ids, ROW, F.explode(F.expr(
@@ -134,9 +136,11 @@ def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import re
+
         import regex
 
-        token, word = regex.compile(TOKEN), regex.compile(f"[{_WORD}]")
+        token, plain, word = regex.compile(TOKEN), re.compile(r"\w+|\W", re.ASCII), regex.compile(f"[{_WORD}]")
         orders, firsts = {}, {}
         for gram, order, first, m in shared.value:
             orders[gram] = order
@@ -147,24 +151,24 @@ def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
             return c.isalnum() or word.match(c) is not None
 
         def matches(text):
-            toks = token.findall(text)
+            toks = (plain if text.isascii() else token).findall(text)
             low = [t.lower() for t in toks]
-            out, i, size = [], 0, len(toks)
-            while i < size:
+            out, free, size = [], 0, len(toks)
+            for i in [i for i, t in enumerate(low) if t in firsts]:
+                if i < free:
+                    continue
                 best = None
-                for m in firsts.get(low[i], ()):
+                for m in firsts[low[i]]:
                     if i + m > size:
                         break
-                    order = orders.get("".join(low[i:i + m]))
+                    order = orders.get(low[i] if m == 1 else "".join(low[i:i + m]))
                     if order is not None and (best is None or order < best[0]):
                         if (is_word(toks[i][0]) or (i and is_word(toks[i - 1][-1]))) and (
                                 is_word(toks[i + m - 1][-1]) or (i + m < size and is_word(toks[i + m][0]))):
                             best = (order, m)
                 if best:
-                    out.append("".join(toks[i:i + best[1]]))
-                    i += best[1]
-                else:
-                    i += 1
+                    free = i + best[1]
+                    out.append("".join(toks[i:free]))
             return out
 
         for b in batches:
@@ -315,9 +319,14 @@ def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     A dictionary of at most MATCHER characters is broadcast and each text read once by an
     automaton of all keywords, without a shuffle; a larger one is joined."""
     spark = df.sparkSession
-    words = stored(title_table(dictionary).withColumn("kp", process_fuzzy(F.col("keyword"))).where("kp <> ''"), "fuzzy-words")
+    words = title_table(dictionary).withColumn("kp", process_fuzzy(F.col("keyword"))).where("kp <> ''")
+    # keywords that are processed alike score alike: only the first k of them can be among the k best
+    alike = Window.partitionBy("kp").orderBy("ord", "keyword")
+    words = stored(words.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n"), "fuzzy-words")
     if (words.agg(F.sum(F.length("kp") + 4)).first()[0] or 0) <= MATCHER:
-        return _by_automaton(with_fuzzy_query(df, text, all_windows), words, ids, k, min_score)
+        # texts are few bytes beside the work on them: a small table comes as one split
+        texts = deal(df.select(*ids, text.alias("_text")))
+        return _by_automaton(with_fuzzy_query(texts, F.col("_text"), all_windows), words, ids, k, min_score)
     rows = with_fuzzy_query(df.withColumn(ROW, F.monotonically_increasing_id()), text, all_windows)
     rows = stored(rows.select(*ids, ROW, F.col("_fuzzy_q").alias("q")).where("q <> ''"), "fuzzy-queries")
     # 60: the keyword is a substring of the query
@@ -357,9 +366,9 @@ class Matcher:
     """All keywords of a dictionary that fits in memory, in dictionary order."""
 
     def __init__(self, block: list[tuple[int, str, str]]):
-        import ahocorasick
         import numpy as np
 
+        self.k = 0
         self.keywords, self.kps = [x[1] for x in block], [x[2] for x in block]
         self.sizes = np.array([len(w) for w in self.kps], np.int32)
         self.same: dict[str, list[int]] = {}
@@ -369,24 +378,49 @@ class Matcher:
             if " " in kp:
                 for w in set(kp.split()):
                     self.by_word.setdefault(w, []).append(i)
-        self.automaton = ahocorasick.Automaton()
-        for kp, at in self.same.items():
-            self.automaton.add_word(kp, at[0])
-        if self.kps:
-            self.automaton.make_automaton()
+        # a keyword of one word lies inside one word, and words come again in many texts: each is
+        # looked through once; only keywords of several words are sought in the query
+        self.words, self.phrases = (self._automaton([(kp, at[0]) for kp, at in self.same.items() if (" " in kp) == several])
+                                    for several in (False, True))
+        self.in_word: dict[str, list[int]] = {}
         self.reach, self.counts, self.order = int(self.sizes.max(initial=0)), None, np.arange(len(block))
 
+    @staticmethod
+    def _automaton(entries):
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for kp, i in entries:
+            out.add_word(kp, i)
+        if entries:
+            out.make_automaton()
+        return out if entries else None
+
+    def held(self, q: str, words: set[str], k: int) -> list[int]:
+        """The first of the keywords that a query holds, k at most of each word."""
+        out = {i for _, i in self.phrases.iter(q)} if self.phrases else set()
+        if self.words:
+            if len(self.in_word) > WORDS:
+                self.in_word.clear()
+            for w in words:
+                found = self.in_word.get(w)
+                if found is None:
+                    found = self.in_word[w] = heapq.nsmallest(self.k, {i for _, i in self.words.iter(w)})
+                out.update(found)
+        return heapq.nsmallest(k, out)
+
     def best(self, q: str, k: int, min_score: int) -> list[tuple[int, int]]:
         """The k best (index, score) of a query."""
         if not self.kps or not q:
             return []
-        out = []
+        out, words = [], set(q.split())
+        if k != self.k:
+            self.k, self.in_word = k, {}
         if min_score < 60:
             # of keywords that are processed alike the automaton knows the first
-            held = heapq.nsmallest(k, {i for _, i in self.automaton.iter(q)})
-            out = [(i, 60) for i in sorted(j for i in held for j in self.same[self.kps[i]][:k])[:k]]
+            out = [(i, 60) for i in sorted(j for i in self.held(q, words, k) for j in self.same[self.kps[i]][:k])[:k]]
         if len(out) < k and min_score < 57:
-            shared = {i for w in set(q.split()) for i in self.by_word.get(w, ())[:k]} - {i for i, _ in out}
+            shared = {i for w in words for i in self.by_word.get(w, ())[:k]} - {i for i, _ in out}
             out += [(i, 57) for i in sorted(shared)[:k - len(out)]]
         if len(out) < k and min_score < 56 and (2 * min_score + 1) * len(q) <= 200 * self.reach:
             if self.counts is None:
@@ -451,3 +485,15 @@ def _by_distance(spark, queries: DataFrame, words: DataFrame, k: int, min_score:
                                              names=[ROW, "ord", "keyword", "score"])
 
     return queries.select(ROW, "q", "have").mapInArrow(run, f"{ROW} long, ord long, keyword string, score int")
+
+
+def _ship_by_value():
+    """Pickle this module's code into tasks, so executors need no install of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
