@@ -17,6 +17,7 @@ from sitesift.functions.text import long_enough
 from sitesift.operators.extract import mention_array
 from sitesift.session import scratch_path
 
+BUCKETS = 1 << 13           # groups of URLs in a stream's state, the same as long as its checkpoint lives
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 __all__ = ["table_stream", "stream_contacts", "stream_visited", "stream_revisits", "stream_url_queue", "stream_rate"]
@@ -97,8 +98,10 @@ def stream_revisits(spark: SparkSession, folder: str, out: str | None = None, ta
 
     The state of a URL is the time of its last visit; event time drops it once the watermark
     is past that time and the ttl, so the state holds the URLs of the last ttl and delay, not
-    all ever seen. Visits may come out of order within a batch; of those that come in a later
-    batch, ones older than the watermark are left out."""
+    all ever seen. URLs are kept and looked at by hash in BUCKETS groups: a call into Python
+    costs some milliseconds, one for every URL is most of the time where there are many.
+    Visits may come out of order within a batch; of those that come in a later batch, ones
+    older than the watermark are left out."""
     out = out or scratch_path(spark, "stream_revisits")
     rows = table_stream(spark, folder, table, max_files_per_trigger)
     rows = (rows.select(F.col(url).alias("url"), "ts") if select is None else select(rows)).where("url IS NOT NULL AND ts IS NOT NULL")
@@ -107,23 +110,27 @@ def stream_revisits(spark: SparkSession, folder: str, out: str | None = None, ta
     def visits(key, batches, state):
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = sorted(t for pdf in batches for t in pdf["us"].tolist())
-        last = state.get[0] if state.exists else None
+        last = dict(zip(*state.get)) if state.exists else {}
         new = []
-        for t in times:
-            if last is None or t - last > ttl_seconds * 1_000_000:
-                new.append(t)
-            last = t if last is None else max(t, last)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        if not state.hasTimedOut:
+            for u, t in sorted(x for b in batches for x in zip(b["url"].tolist(), b["us"].tolist())):
+                before = last.get(u)
+                if before is None or t - before > ttl_seconds * 1_000_000:
+                    new.append((u, t))
+                last[u] = t if before is None else max(t, before)
+        now = state.getCurrentWatermarkMs()
+        ends = {u: t // 1000 + ttl_seconds * 1000 + 1 for u, t in last.items()}
+        last = {u: t for u, t in last.items() if ends[u] >= now}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp(max(min(ends[u] for u in last), now + 1))
+        else:
+            state.remove()
         if new:
-            yield pd.DataFrame({"url": [key[0]] * len(new), "us": new})
+            yield pd.DataFrame(new, columns=["url", "us"])
 
-    found = (rows.withColumn("us", F.unix_micros("ts")).groupBy("url")
-             .applyInPandasWithState(visits, "url string, us long", "last long", "append", "EventTimeTimeout"))
+    found = (rows.withColumn("us", F.unix_micros("ts")).withColumn("_bucket", F.pmod(F.xxhash64("url"), F.lit(BUCKETS))).groupBy("_bucket")
+             .applyInPandasWithState(visits, "url string, us long", "urls array<string>, lasts array<long>", "append", "EventTimeTimeout"))
     w = (found.select("url", F.timestamp_micros("us").alias("ts")).writeStream.format("parquet").option("path", f"{out}/data")
          .option("checkpointLocation", f"{out}/_checkpoint").outputMode("append"))
     q = _run(w, available_now)

@@ -196,3 +196,25 @@ def test_deep_pages_are_dealt_out(spark):
     pages = deep_pages(spark, folder)
     assert pages.rdd.getNumPartitions() > 1 and pages.count() == 5000
     assert pages.where("page_id = 4999").first()["url"] == "http://s0.example.com/p/4999"
+
+
+def test_revisits_take_one_call_for_many_urls(spark, monkeypatch):
+    from sitesift.streaming import jobs
+
+    monkeypatch.setattr(jobs, "BUCKETS", 7)
+    rng = random.Random(4)
+    folder, out = scratch_path(spark, "many-visits"), scratch_path(spark, "many-visits-out")
+    want, last, late, states = [], {}, -1, []
+    for k in range(4):
+        rows = [(f"u{rng.randrange(300)}", 3000 * k + rng.randrange(5000)) for _ in range(900)]
+        spark.createDataFrame(rows, "url string, t long").select("url", F.timestamp_seconds("t").alias("ts")) \
+            .coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        for u, t in sorted(r for r in rows if r[1] > late):
+            if u not in last or t - last[u] > 600:
+                want.append((u, t))
+            last[u] = max(t, last.get(u, t))
+        late = max(late, max(t for _, t in rows) - 1000)
+        found, q = jobs.stream_revisits(spark, folder, out, ttl_seconds=600, delay="1000 seconds")
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert sorted((r["url"], int(r["ts"].timestamp())) for r in found.collect()) == sorted(want)
+    assert max(states) <= 7
