@@ -178,3 +178,23 @@ def test_mentions_of_a_page_are_found_in_one_parse(spark):
     assert (1, "http://a", "linkedin", "linkedin", "https://www.linkedin.com/in/ana", None, None) in rows
     assert {r[0] for r in rows} == {1}
     assert (1, "http://a", "contact", "name", "Call Ana Lopez") in [tuple(r) for r in wrapped.collect()]
+
+
+def test_plain_stretches_are_read_by_one_pattern(monkeypatch):
+    """Whole stretches of plain tags and texts are one step; the tree is that of the tokenizer alone."""
+    import random
+
+    from sitesift.operators import htmltree
+    steps, builder = [], htmltree._TreeBuilder
+    monkeypatch.setattr(builder, "updatepos", lambda self, i, j: steps.append(j) or j)
+    text, els, nodes = htmltree.parse_html('<p>a &amp; b</p>' * 50 + "<br>end</p>")
+    assert (text, len(els), len(nodes)) == ("a & b" * 50 + "end", 51, 51) and len(steps) <= 4
+
+    rng = random.Random(5)
+    bits = ["<p>", "</p>", "<B Class=\"a &amp; b\" class=\"c\">", "</b>", "</B >", "<a\nhref=\"x\"\tid=\"y\">", "<a href=x>", "</a>", "<br>", "<br/>", "</br>",
+            "<script>", "</script>", "<STYLE>", "</Style>", "<pre>", "</pre>", "<title>", "</title>", "<!-- c -->", "<!--", "<![CDATA[x]]>", "<?pi>", "<!DOCTYPE html>",
+            "&amp;", "&#65;", "&lt", "&x", "a", " ", "\n", "\u00e9", "<", ">", "</", "</>", "\"", "'", "<a b=\"", "<x:y>", "<img src=\"q\"alt=\"z\">", "\r"]
+    pages = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)]
+    fast = [htmltree.parse_or_error(h) for h in pages]
+    monkeypatch.setattr(builder, "_plain", lambda self, i: i)
+    assert fast == [htmltree.parse_or_error(h) for h in pages]
