@@ -92,10 +92,11 @@ def register_views(spark: SparkSession, sf_dir: str, names) -> None:
 
 def contact_pages(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
     """Rows of a few columns are dealt out before they become pages: the tables are small in
-    bytes, read as one split, but every row is a page to parse."""
-    register_views(spark, sf_dir, ["customer", "nation"])
-    deal(spark.sql(CONTACT_BASE_SQL)).createOrReplaceTempView("contact_base")
-    df = spark.sql(CONTACT_HTML_OF + "contact_base")
+    bytes, read as one split, but every row is a page to parse. They are dealt out as they are
+    read, so that the one split's task neither joins nor makes text."""
+    register_views(spark, sf_dir, ["nation"])
+    deal(spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")).createOrReplaceTempView("customer")
+    df = spark.sql(CONTACT_HTML_SQL)
     return df if full else df.select("page_id", "url", "html")
 
 

@@ -218,3 +218,20 @@ def test_revisits_take_one_call_for_many_urls(spark, monkeypatch):
         states += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
     assert sorted((r["url"], int(r["ts"].timestamp())) for r in found.collect()) == sorted(want)
     assert max(states) <= 7
+
+
+def test_contact_rows_are_dealt_out_as_they_are_read(spark, tmp_path):
+    """The task that reads the one split makes no text: only columns of the table are shuffled."""
+    from sitesift.plans.generated import contact_pages
+
+    spark.createDataFrame([(k, f"C{k}", k % 2, "BUILDING") for k in [1, 2, 2, 3]] + [(4, "C4", None, "MACHINERY"), (None, "C5", 0, None)],
+                          "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    pages = contact_pages(spark, str(tmp_path))
+    plan = pages._jdf.queryExecution().optimizedPlan()
+    while not plan.nodeName().startswith("Repartition"):
+        plan = plan.children().apply(0)
+    assert [plan.output().apply(i).name() for i in range(plan.output().size())] == ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    rows = pages.orderBy("page_id").collect()
+    assert [r["page_id"] for r in rows] == [None, 1, 2, 2, 3]
+    assert rows[0]["html"] is None and "C1" in rows[1]["html"] and "Org N0" in rows[2]["html"]
