@@ -20,6 +20,41 @@ def parse_urls(df: DataFrame, col: str = "url") -> DataFrame:
             .withColumn("fragment", url_fragment(c)).filter(F.col("netloc") != ""))
 
 
+def _resolved(pages: DataFrame, keep: Callable[[Column], Column], only=lambda h: h) -> DataFrame:
+    """(page_id, url, pos, href, abs_url, norm_url, _ok): every link (of those that ``only``
+    leaves), and whether it passes."""
+    h = with_joined_url(only(hrefs_raw(pages)), "url", "href", "_joined")
+    h = h.withColumn("abs_url", F.when(url_netloc(F.col("href")) == "", F.col("_joined"))
+                     .otherwise(F.col("href"))).drop("_joined")
+    h = h.withColumn("norm_url", normalize_url(F.col("abs_url")))
+    return h.withColumn("_ok", F.coalesce(keep(F.col("abs_url")), F.lit(False)) & F.col("norm_url").isNotNull())
+
+
+# Plainly written URLs, whose parts are where a look at them finds them: of a page the scheme and
+# netloc; of a link a path from the root without "." and ".." (its segments begin with no dot), or all
+PLAIN_BASE = r"^(https?://[A-Za-z0-9._:-]+)(?:/[!\x22$->@-~]*)?\z"
+PLAIN_PATH = r"^(?:/[A-Za-z0-9_~%:@,+=-][A-Za-z0-9._~%:@,+=-]*)*/?\z"
+PLAIN_URL = r"^https?://[A-Za-z0-9._:-]+(?:/[A-Za-z0-9._~%:@,+=/-]*)?\z"
+
+
+def link_edges(pages: DataFrame, keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
+    """(src, dst): the links of ``unique_links`` between normalized URLs, without a shuffle.
+    Links that a page repeats are repeated, ``dst`` is null for links that fail (a filter
+    here would multiply the URL expressions, see ``unique_links``). Plainly written links
+    are put together without the expressions that take any URL apart."""
+    # once for a page: its normalized URL in place of the id, the root that its links start from
+    own = pages.select(F.struct(normalize_url(F.col("url")).alias("src"), F.coalesce(F.regexp_extract("url", PLAIN_BASE, 1), F.lit("")).alias("root"))
+                       .alias("page_id"), "url", "html")
+    href, root = F.col("href"), F.col("page_id.root")
+    plain = href.rlike(PLAIN_URL) | ((root != "") & (href != "") & href.rlike(PLAIN_PATH))
+    easy = hrefs_raw(own).where(plain)
+    whole = F.when(href.startswith("/"), F.concat(root, href)).otherwise(href)
+    norm = F.concat(F.lit("http://"), F.lower(whole.substr(F.instr(whole, "://") + 3, F.length(whole))))
+    easy = easy.select(F.col("page_id.src").alias("src"), F.when(F.coalesce(keep(whole), F.lit(False)), norm).alias("dst"))
+    odd = _resolved(own, keep, lambda h: h.where(~plain))
+    return easy.unionByName(odd.select(F.col("page_id.src").alias("src"), F.when(F.col("_ok"), F.col("norm_url")).alias("dst")))
+
+
 def unique_links(pages: DataFrame, keep: Callable[[Column], Column] = is_html_url) -> DataFrame:
     """Raw hrefs -> absolute (joined only when the href has no netloc) -> URLs that
     fail ``keep`` (a predicate on the absolute URL; by default non-HTML and mailto ones)
@@ -30,11 +65,7 @@ def unique_links(pages: DataFrame, keep: Callable[[Column], Column] = is_html_ur
     valid), not by a filter under it, so the URL resolution is planned once
     and the aggregation is still combined map-side before the shuffle.
     """
-    h = with_joined_url(hrefs_raw(pages), "url", "href", "_joined")
-    h = h.withColumn("abs_url", F.when(url_netloc(F.col("href")) == "", F.col("_joined"))
-                     .otherwise(F.col("href"))).drop("_joined")
-    h = h.withColumn("norm_url", normalize_url(F.col("abs_url")))
-    h = h.withColumn("_ok", F.coalesce(keep(F.col("abs_url")), F.lit(False)) & F.col("norm_url").isNotNull())
+    h = _resolved(pages, keep)
     # the order is null, so never smallest, for links that fail
     first = F.min_by(F.struct("pos", "href", "abs_url"), F.when(F.col("_ok"), F.col("pos")))
     g = h.groupBy("page_id", "url", "norm_url").agg(first.alias("f"), F.max("_ok").alias("keep"))

@@ -52,6 +52,48 @@ def test_closure_of_mixed_graphs(spark):
     assert rounds == 7 and got == {k: v for k, v in plain_steps(["s"], edges).items() if v <= 7}
 
 
+def test_sites_are_walked_to_their_end_in_a_round(spark, monkeypatch):
+    """Deep sites took a dozen rounds, each of which read every link and jump anew."""
+    from sitesift.plans import site as S
+
+    n, rng = 600, random.Random(5)
+    edges = []
+    for s in range(3):
+        p = f"http://s{s}.example.com/p/"
+        edges += [(f"{p}{k}", f"{p}{k + 1}") for k in range(n)] + [(f"{p}{k + 1}", f"{p}{k}") for k in range(n)] + [(f"{p}{k}", f"{p}0") for k in range(n)]
+    edges += [("http://s0.example.com/p/500", "http://s1.example.com/p/200"), ("http://s1.example.com/p/550", "http://s0.example.com/p/560"),
+              ("http://s1.example.com/p/5", "http://t.example.com"), ("plain", "http://s0.example.com/p/300")] + edges[:50]
+    monkeypatch.setattr(S, "CHUNK", 1000)
+    start = ["http://s0.example.com/p/0", "plain"]
+    got, rounds = reached(spark, start, edges)
+    assert got == plain_steps(start, edges) and rounds <= 5
+    for _ in range(2):                           # ways that go to and fro between sites
+        some = [(f"http://h{rng.randrange(6)}/{rng.randrange(25)}", f"http://h{rng.randrange(6)}/{rng.randrange(25)}") for _ in range(260)]
+        assert reached(spark, [some[0][0]], some)[0] == plain_steps([some[0][0]], some)
+    monkeypatch.setattr(S, "SITE", 1000)         # a site too large for a task: by joins
+    assert reached(spark, [some[0][0]], some)[0] == plain_steps([some[0][0]], some)
+
+
+def test_edges_are_the_unique_links(spark):
+    """Plainly written links are put together without the general expressions."""
+    from sitesift.functions.urls import normalize_url
+    from sitesift.operators.links import link_edges, unique_links
+
+    hrefs = ["/", "/a", "/A/b.html", "/a/", "/a//b", "//h.org/x", "/.", "/..", "/a/../b", "/a/.x", "/a/./", "/a;p", "/a/b;p=1", "/a?q=1", "/a#f", "/x.css", "/x.PDF",
+             "http://Other.example.com", "http://o.example.com/", "https://o.example.com:80/A/../b", "http://o.example.com/a.css", "http://o.example.com//a", "HTTP://x/y",
+             "http://", "http:///a", "http://o/a;b", "http://o/a?b", "https:/a", "mailto:a@b.c", "", " /a", "/a b", "/a\tb", "/a\n", "/é", "a", "a/b", "../a", "?q", "#f", "ftp://h/x",
+             "javascript:void(0)", "/a:b@c", "http://u@h/x", "http://h\n/x", "/%7Ea", "/..a", "/a.b/c", "/mailto:x", "http://h.org/x.json", "/https://k/l", "/a/http://k/l", "http://o.example.com/a://b"]
+    bases = ["http://a.example.com/d/e", "https://A.example.com:8080", "http://a.example.com/d?q", "http://a.example.com/#f", "a/b", "", None, "http://a\n/b", "file:///x/y",
+             "http://a.example.com/d;p/e", "HTTP://A/b", "http://u@h/x", "http://a/é", "http://a/x #y", "http://a.example.com/d/e\n", "news:x"]
+    pages = spark.createDataFrame([(i * 100 + j, b, f'<a href="{h}">x</a> <a href="{h}">') for i, b in enumerate(bases) for j, h in enumerate(hrefs)],
+                                  "page_id long, url string, html string")
+    for keep in ({}, {"keep": lambda u: F.contains(u, F.lit("example"))}):
+        want = unique_links(pages, **keep).select(normalize_url(F.col("url")).alias("src"), F.col("norm_url").alias("dst")).distinct()
+        got = link_edges(pages, **keep).where("dst IS NOT NULL").distinct()
+        rows = [sorted((tuple(r) for r in x.collect()), key=str) for x in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
 def test_failing_extractor_gives_warnings(spark):
     from sitesift.functions.text import emails_in
     from sitesift.operators.extract import ExtractorRegistry, extraction_problems
