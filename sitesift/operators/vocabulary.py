@@ -38,7 +38,8 @@ GRAM = 3
 CUT = 64                    # signs of a keyword that are compared in a join
 STRETCH = 1024              # places of a text that are expanded together
 BLOCK = 1 << 17             # keywords compared by edit distance at once
-SMALL = 64 << 20            # bytes of a dictionary that every executor may hold
+STRETCHES = 1 << 17         # signs of texts that are walked together
+SMALL = 256 << 20           # bytes of a dictionary that every worker may hold
 MATCHER = 8 << 20           # characters of a dictionary that every worker may hold as an automaton
 WORDS = 1 << 18             # words of texts that a worker remembers with the keywords they hold
 
@@ -49,6 +50,12 @@ def title_table(dictionary: DataFrame) -> DataFrame:
     return stored(d.where(F.length("keyword") > 0), "dictionary")
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """``deal`` by a number of the row: dealt out in turn, texts are sorted before, on disk where
+    they are many."""
+    return deal(texts.withColumn("_deal", F.monotonically_increasing_id()), "_deal").drop("_deal")
+
+
 # ---- whole words -----------------------------------------------------------------------
 
 def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_id", "url")) -> DataFrame:
@@ -70,7 +77,7 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     schema = T.StructType([*(df.select(*ids).schema.fields), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])
     if (size or 0) <= SMALL:
         # texts are few bytes beside the work on them: a small table comes as one split
-        return _walk(deal(df.select(*ids, text.alias("_text"))).withColumn("_text", clean_text("_text")), words, schema)
+        return _walk(_dealt(df.select(*ids, text.alias("_text"))).withColumn("_text", clean_text("_text")), words, schema)
     firsts = stored(words.groupBy("first").agg(F.sort_array(F.collect_set("m")).alias("ms")), "dictionary-firsts")
     rows = df.select(*ids, F.monotonically_increasing_id().alias(ROW), tokens(clean_text(text)).alias("_t"))
     # a long text in pieces, each with the tokens that a match at its end needs, and one before it
@@ -129,56 +136,242 @@ def exact_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     return found.repartition(ROW).sortWithinPartitions(ROW, "pos").mapInArrow(leftmost, schema)
 
 
+def _mixed(x):
+    """Bits of 64-bit numbers spread over all places."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB
+    return x ^ (x >> 31)
+
+
+def _powers(base: int, n: int):
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    import numpy as np
+
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Spans:
+    """Signs (UTF-16 units), any span of which has a hash: a difference of prefix sums."""
+    BASE = 0x9E3779B97F4A7C15
+    tables = None
+
+    def __init__(self, units):
+        import numpy as np
+
+        n = len(units)
+        if Spans.tables is None or len(Spans.tables[1]) < n:
+            size = max(n, 1 << 17)
+            Spans.tables = (_mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64)), _powers(self.BASE, size), _powers(pow(self.BASE, -1, 1 << 64), size))
+        signs, up, self.down = Spans.tables
+        self.units, self.sums = units, np.zeros(n + 1, np.uint64)
+        np.cumsum(signs[units] * up[:n], out=self.sums[1:])
+
+    def hashes(self, starts, ends):
+        return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+
+def units_of(text: str):
+    import numpy as np
+
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+
+
+def _places(starts, sizes):
+    """starts[i] .. starts[i] + sizes[i] - 1 of every i, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Strings:
+    """Different strings, found by spans of other texts: some 30 bytes a string besides its signs
+    and no Python object, so that a worker can hold millions. Strings whose hash is that of
+    the span are compared sign by sign."""
+
+    def __init__(self, strings: list[str]):
+        import numpy as np
+
+        n, parts, sizes, hashes = len(strings), [], [], []
+        for lo in range(0, n, BLOCK):
+            some = [units_of(x) for x in strings[lo:lo + BLOCK]]
+            size = np.array([len(x) for x in some], np.int64)
+            units, ends = np.concatenate(some), np.cumsum(size)
+            parts.append(units)
+            sizes.append(size)
+            # strings after each other would need long tables: a few at once
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(some)]
+            for a, b in zip(cuts, cuts[1:]):
+                at = ends[a] - size[a]
+                hashes.append(Spans(units[at:ends[b - 1]]).hashes(ends[a:b] - size[a:b] - at, ends[a:b] - at) if b > a else np.zeros(0, np.uint64))
+        self.units = np.concatenate([*parts, np.zeros(0, np.uint16)])
+        self.sizes = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+        bits = max(n, 2).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.heads = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, spans: Spans, starts, ends):
+        """The number of the string that equals each span, or -1."""
+        import numpy as np
+
+        hashes, found = spans.hashes(starts, ends), np.full(len(starts), -1, np.int32)
+        slot = hashes >> self.shift
+        at = self.heads[slot]
+        rest = np.flatnonzero(at < self.heads[slot + np.uint64(1)])
+        at, last, wanted = at[rest], self.heads[slot[rest] + np.uint64(1)], hashes[rest]
+        while len(rest):
+            hit = np.flatnonzero(self.hashes[at] == wanted)
+            k, i = self.order[at[hit]], rest[hit]
+            sizes = ends[i] - starts[i]
+            fits = (sizes == self.sizes[k]) & (sizes > 0)
+            k, i, sizes = k[fits], i[fits], sizes[fits]
+            if len(i):
+                same = spans.units[_places(starts[i], sizes)] == self.units[_places(self.starts[k], sizes)]
+                same = np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
+                found[i[same]] = k[same]
+            at = at + 1
+            more = (at < last) & (found[rest] < 0)
+            rest, at, last, wanted = rest[more], at[more], last[more], wanted[more]
+        return found
+
+
+class Walker:
+    """Whole words of a dictionary (gram, ord, first token, number of tokens) in texts."""
+    chars = None
+
+    def __init__(self, grams, orders, firsts, sizes):
+        import numpy as np
+
+        self.grams, self.orders = Strings(grams), np.array(orders, np.int64)
+        pairs = sorted(set(zip(firsts, sizes)))
+        heads = list(dict.fromkeys(f for f, _ in pairs))
+        self.firsts, self.sizes = Strings(heads), np.array([m for _, m in pairs], np.int32)
+        at = {f: i for i, f in enumerate(heads)}
+        self.counts = np.bincount([at[f] for f, _ in pairs], minlength=len(heads)).astype(np.int32)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    @classmethod
+    def tables(cls):
+        """Of signs of one UTF-16 unit whether they are word signs and their lower case; a
+        pattern of the others and of those whose lower case is another for the signs around."""
+        if cls.chars is None:
+            import numpy as np
+            import re
+
+            import regex
+
+            every = [chr(c) for c in range(1 << 16)]
+            word, lower, odd = np.zeros(1 << 16, bool), np.arange(1 << 16, dtype=np.uint16), ["\u03a3", "\ud800-\udfff", "\U00010000-\U0010ffff"]
+            word[[ord(c) for c in regex.findall(f"[{_WORD}]", "".join(every[:0xD800] + every[0xE000:]))]] = True
+            for c in every[:0xD800] + every[0xE000:]:
+                low = c.lower()
+                if low != c:
+                    if len(low) == 1 and ord(low) < 1 << 16:
+                        lower[ord(c)] = ord(low)
+                    else:
+                        odd.append(c)
+            cls.chars = word, lower, re.compile("[" + "".join(odd) + "]"), regex.compile(TOKEN)
+        return cls.chars
+
+    def walk(self, texts: list[str]):
+        """(number of the text, pos, value) of all matches as lists, text by text."""
+        odd = self.tables()[2]
+        easy = [t.isascii() or not odd.search(t) for t in texts]
+        out = [], [], []
+        for kind in (True, False):
+            some = [i for i, e in enumerate(easy) if e == kind]
+            if some:
+                rows, pos, values = self._walk([texts[i] for i in some], kind)
+                out[0].extend(some[r] for r in rows)
+                out[1].extend(pos)
+                out[2].extend(values)
+        return out
+
+    def _walk(self, texts, easy: bool):
+        """Texts behind each other, a sign between them that is a token in itself."""
+        import numpy as np
+
+        word, lower, _, token = self.tables()
+        whole = "\0".join(texts)
+        if easy:
+            units = units_of(whole)
+            inside = word[units]
+            starts = np.flatnonzero(~(inside & np.concatenate([[False], inside[:-1]])))
+            ends = np.append(starts[1:], len(units)) if len(starts) else starts
+            inside, low, marks = inside[starts], lower[units], (starts, ends)
+        else:
+            tokens = token.findall(whole)
+            lows = [t.lower() for t in tokens]
+            sizes = np.array([len(units_of(t)) for t in lows], np.int64)
+            ends, shown = np.cumsum(sizes), np.cumsum([len(t) for t in tokens])
+            starts, marks = ends - sizes, (shown - [len(t) for t in tokens], shown)
+            inside, low = np.array([not token.fullmatch(t + "a") is None for t in tokens], bool), units_of("".join(lows))
+        between = np.cumsum([len(t) + 1 for t in texts[:-1]]) - 1                # where the signs between texts are shown
+        break_ = np.isin(marks[0], between) if len(between) else np.zeros(len(starts), bool)
+        text = np.cumsum(break_)
+        spans, n = Spans(low), len(starts)
+        first = self.firsts.find(spans, starts, ends)
+        at = np.flatnonzero((first >= 0) & ~break_)
+        counts = self.counts[first[at]]
+        sizes = self.sizes[_places(self.begins[first[at]], counts)]
+        at = np.repeat(at, counts)
+        last = at + sizes - 1
+        fits = last < n
+        at, last = at[fits], last[fits]
+        # texts end at a break, which is no word; so do all
+        around = np.concatenate([[False], inside, [False]])
+        fits = (text[last] == text[at]) & (inside[at] | around[at]) & (inside[last] | around[last + 2])
+        at, last = at[fits], last[fits]
+        gram = self.grams.find(spans, starts[at], ends[last])
+        fits = gram >= 0
+        at, last, order = at[fits], last[fits], self.orders[gram[fits]]
+        if len(at) and (at[1:] == at[:-1]).any():
+            by = np.lexsort((last, order, at))
+            by = by[np.concatenate([[True], at[by][1:] != at[by][:-1]])]
+            at, last = at[by], last[by]
+        free, keep = 0, []
+        for i, (a, z) in enumerate(zip(at.tolist(), last.tolist())):
+            if a >= free:
+                keep.append(i)
+                free = z + 1
+        at, last = at[keep], last[keep]
+        rows = text[at]
+        news = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
+        pos = np.arange(len(rows)) - np.repeat(news, np.diff(np.append(news, len(rows))))
+        values = [whole[a:z] for a, z in zip(marks[0][at].tolist(), marks[1][last].tolist())]
+        return rows.tolist(), pos.tolist(), values
+
+
 def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
     """``exact_titles`` with a broadcast dictionary: (ids..., text) -> (ids..., pos, value)."""
-    shared = rows.sparkSession.sparkContext.broadcast([(r["gram"], r["ord"], r["first"], r["m"]) for r in words.toLocalIterator()])
+    held = words.where("ord IS NOT NULL").select("gram", "ord", "first", "m").toArrow()
+    walker = Walker(*(held.column(c).to_pylist() for c in ("gram", "ord", "first", "m")))
+    shared = rows.sparkSession.sparkContext.broadcast(walker)
     n = len(rows.columns) - 1
 
     def run(batches):
         import pyarrow as pa
-        import re
-
-        import regex
-
-        token, plain, word = regex.compile(TOKEN), re.compile(r"\w+|\W", re.ASCII), regex.compile(f"[{_WORD}]")
-        orders, firsts = {}, {}
-        for gram, order, first, m in shared.value:
-            orders[gram] = order
-            firsts.setdefault(first, set()).add(m)
-        firsts = {f: sorted(ms) for f, ms in firsts.items()}
-
-        def is_word(c):
-            return c.isalnum() or word.match(c) is not None
-
-        def matches(text):
-            toks = (plain if text.isascii() else token).findall(text)
-            low = [t.lower() for t in toks]
-            out, free, size = [], 0, len(toks)
-            for i in [i for i, t in enumerate(low) if t in firsts]:
-                if i < free:
-                    continue
-                best = None
-                for m in firsts[low[i]]:
-                    if i + m > size:
-                        break
-                    order = orders.get(low[i] if m == 1 else "".join(low[i:i + m]))
-                    if order is not None and (best is None or order < best[0]):
-                        if (is_word(toks[i][0]) or (i and is_word(toks[i - 1][-1]))) and (
-                                is_word(toks[i + m - 1][-1]) or (i + m < size and is_word(toks[i + m][0]))):
-                            best = (order, m)
-                if best:
-                    free = i + best[1]
-                    out.append("".join(toks[i:free]))
-            return out
 
+        walker = shared.value
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                found = [matches(t or "") for t in part.column(n).to_pylist()]
-                at = [i for i, x in enumerate(found) for _ in x]
+            texts = [t or "" for t in b.column(n).to_pylist()]
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo + 1, len(texts[lo])
+                while hi < len(texts) and size + len(texts[hi]) < STRETCHES:
+                    size, hi = size + len(texts[hi]), hi + 1
+                at, pos, value = walker.walk(texts[lo:hi])
+                part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(at, pa.int32())) for c in part.columns[:n]), pa.array([k for x in found for k in range(len(x))], pa.int32()),
-                     pa.array([v for x in found for v in x], pa.string())], names=schema.names)
+                    [*(c.take(pa.array(at, pa.int32())) for c in part.columns[:n]), pa.array(pos, pa.int32()), pa.array(value, pa.string())],
+                    names=schema.names)
+                lo = hi
 
     return rows.mapInArrow(run, schema)
 

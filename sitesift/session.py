@@ -66,20 +66,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
-def deal(df: DataFrame) -> DataFrame:
+def deal(df: DataFrame, *by: str) -> DataFrame:
     """Deal rows of a few columns out before they become pages or are scored: a table small
     in bytes comes as one split however many rows it has, and each row costs much more than
     reading it. ``sitesift.read.partitions`` tasks if that is set, else three for each core
-    and at least ``spark.sql.shuffle.partitions``, so the cluster's settings decide."""
+    and at least ``spark.sql.shuffle.partitions``, so the cluster's settings decide. Dealt in
+    turn, or by the hash of columns ``by``."""
     spark = df.sparkSession
     n = spark.conf.get("sitesift.read.partitions", None)
     if n:
-        return df.repartition(int(n))
+        return df.repartition(int(n), *by)
     try:
         cores = spark.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - sessions without a local SparkContext handle (Spark Connect)
         cores = 0
-    return df.repartition(max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -139,3 +139,52 @@ def test_substrings_meet_few_keywords_they_do_not_hold(spark):
     some = spark.range(400).selectExpr("id AS _row", "'k' || cast(1000000 + id * 4999 % 1000000 AS string) AS s")
     # equal substrings need no check: no pairs that share a gram alone are made
     assert "contains(" not in containment(some, "s", many)._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def walked_plainly(texts, words):
+    """Matches token by token: (text, pos, value)."""
+    import regex
+
+    orders, out = {}, []
+    for order, w in enumerate(words):
+        orders.setdefault(w.lower(), order)
+    tokens = lambda t: regex.findall(V.TOKEN, t)
+    longest, is_word = max(len(tokens(w)) for w in words), lambda c: bool(regex.match(rf"[{V._WORD}]", c))
+    for row, t in enumerate(texts):
+        toks, i, pos = tokens(t), 0, 0
+        low = [x.lower() for x in toks]
+        while i < len(toks):
+            fits = [(orders[g], m) for m in range(1, min(longest, len(toks) - i) + 1) if (g := "".join(low[i:i + m])) in orders
+                    and (is_word(toks[i]) or (i and is_word(toks[i - 1]))) and (is_word(toks[i + m - 1]) or (i + m < len(toks) and is_word(toks[i + m])))]
+            if fits:
+                m = min(fits)[1]
+                out.append((row, pos, "".join(toks[i:i + m])))
+                i, pos = i + m, pos + 1
+            else:
+                i += 1
+    return out
+
+
+def test_walk_of_any_signs(spark):
+    rng = random.Random(12)
+    signs = ["Σ", "σ", "ς", "Α", "İ", "i", "̇", "K", "é", "É", "ß", "x", "X", "\U0001f600", "\U00010400", "\U00010428", "-", ".", " ", "\0", "_", "9", "語"]
+    words = list(dict.fromkeys(w for n in (1, 1, 2, 3, 4) for w in ("".join(rng.choices(signs, k=n)) for _ in range(60))))
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(500)] + ["", "é x" * 90_000]
+    grams = list(dict.fromkeys(w.lower() for w in words))
+    import regex
+    tokens = [regex.findall(V.TOKEN, g) for g in grams]
+    orders = [next(k for k, w in enumerate(words) if w.lower() == g) for g in grams]
+    walker = V.Walker(grams, orders, [t[0] for t in tokens], [len(t) for t in tokens])
+    want = walked_plainly(texts, words)
+    assert sorted(zip(*walker.walk(texts))) == want and len(want) > 2_000
+    none = V.Walker([], [], [], [])
+    assert none.walk(texts) == ([], [], []) and walker.walk([""]) == ([], [], [])
+
+
+def test_dictionary_of_over_a_million_keywords_meets_texts_without_joins(spark):
+    """Over 64 MB every n-gram of every text was written for a join."""
+    words = spark.range(1_100_000).selectExpr("'No ' || CAST(id AS string) AS keyword", "id AS ord")
+    df = texts_of(spark, ["see no 7, No 1099999 and no 1100000 or NO  8", None])
+    got = V.exact_titles(df, F.col("text"), words, ids=("doc_id",))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pos, r.value) for r in got.collect()) == [(0, "no 7"), (1, "No 1099999"), (2, "NO 8")]
