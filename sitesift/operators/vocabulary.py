@@ -40,7 +40,8 @@ STRETCH = 1024              # places of a text that are expanded together
 BLOCK = 1 << 17             # keywords compared by edit distance at once
 STRETCHES = 1 << 17         # signs of texts that are walked together
 SMALL = 256 << 20           # bytes of a dictionary that every worker may hold
-MATCHER = 8 << 20           # characters of a dictionary that every worker may hold as an automaton
+MATCHER = 48 << 20          # characters of a dictionary that every worker may hold for fuzzy titles
+EARLY = 1 << 11, 1 << 14    # so many first keywords are looked for at once
 WORDS = 1 << 18             # words of texts that a worker remembers with the keywords they hold
 
 
@@ -498,7 +499,7 @@ def nearest(query: str, words: list[str], sizes, counts, order, skip: set, k: in
             break
         if i in skip or (len(best) == k and -best[-1][0] == bound[j] and order[i] > best[-1][1]):
             continue
-        s = _score(edit_distance(query, words[i]), int(longer[j]))
+        s = _score(edit_distance(query, str(words[i])), int(longer[j]))
         if s > min_score:
             best = sorted([*best, (-s, int(order[i]), i)])[:k]
     return [(-s, i) for s, _, i in best]
@@ -509,8 +510,8 @@ def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     """(ids..., rk, value, score): the ``k`` best keywords of each text by the tiered score of
     functions/fuzzy.py, ties in dictionary order; the same answers as scoring every keyword.
 
-    A dictionary of at most MATCHER characters is broadcast and each text read once by an
-    automaton of all keywords, without a shuffle; a larger one is joined."""
+    A dictionary of at most MATCHER characters is broadcast (see ``Matcher``); a larger one is
+    joined."""
     spark = df.sparkSession
     words = title_table(dictionary).withColumn("kp", process_fuzzy(F.col("keyword"))).where("kp <> ''")
     # keywords that are processed alike score alike: only the first k of them can be among the k best
@@ -518,8 +519,8 @@ def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     words = stored(words.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k).drop("n"), "fuzzy-words")
     if (words.agg(F.sum(F.length("kp") + 4)).first()[0] or 0) <= MATCHER:
         # texts are few bytes beside the work on them: a small table comes as one split
-        texts = deal(df.select(*ids, text.alias("_text")))
-        return _by_automaton(with_fuzzy_query(texts, F.col("_text"), all_windows), words, ids, k, min_score)
+        texts = _dealt(df.select(*ids, text.alias("_text"))).select(*ids, clean_text("_text").alias("_text"))
+        return _by_matcher(texts, words, ids, k, min_score, all_windows)
     rows = with_fuzzy_query(df.withColumn(ROW, F.monotonically_increasing_id()), text, all_windows)
     rows = stored(rows.select(*ids, ROW, F.col("_fuzzy_q").alias("q")).where("q <> ''"), "fuzzy-queries")
     # 60: the keyword is a substring of the query
@@ -555,101 +556,217 @@ def fuzzy_titles(df: DataFrame, text: Column, dictionary: DataFrame, ids=("page_
     return rows.select(*ids, ROW).join(top, ROW).select(*ids, "rk", F.col("keyword").alias("value"), "score")
 
 
+def fuzzy_query(clean: str | None, all_windows: bool = False) -> str:
+    """The query of ``with_fuzzy_query`` of a cleaned text."""
+    words = [w for w in (clean or "").split(" ") if w]
+    n = len(words) - (2 if all_windows else 3)
+    if n <= 0:
+        return ""
+    # every sign beyond ASCII becomes one space, as every other that is no letter or digit
+    plain = "\n".join(words).lower().encode("ascii", "replace").translate(PLAIN).decode("ascii").split("\n")
+    return " ".join([f"{x} {y} {z}" for x, y, z in zip(plain[:n], plain[1:], plain[2:])]).strip(" ")
+
+
+PLAIN = bytes(c if c == 10 or chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def _grouped(keys, values):
+    """Values by key as arrays: the values, and where those of key 0, 1 ... begin and end."""
+    import numpy as np
+
+    keys = np.array(keys, np.int64)
+    by = np.argsort(keys, kind="stable")
+    ends = np.cumsum(np.bincount(keys)) if len(keys) else np.zeros(0, np.int64)
+    return np.array(values, np.int32)[by], np.concatenate([[0], ends]).astype(np.int32)
+
+
 class Matcher:
-    """All keywords of a dictionary that fits in memory, in dictionary order."""
+    """All keywords (ord, keyword, processed keyword) of a dictionary, sorted, for queries of
+    which the k best are asked. Texts of some length hold k of the first keywords: automata
+    of the first ones, in parts, settle these; what is left meets the others by hashes of
+    spans (see ``Strings``), so that millions of keywords fit in a worker."""
 
-    def __init__(self, block: list[tuple[int, str, str]]):
+    def __init__(self, block: list[tuple[int, str, str]], k: int):
         import numpy as np
+        import pyarrow as pa
 
-        self.k = 0
-        self.keywords, self.kps = [x[1] for x in block], [x[2] for x in block]
-        self.sizes = np.array([len(w) for w in self.kps], np.int32)
-        self.same: dict[str, list[int]] = {}
-        self.by_word: dict[str, list[int]] = {}
-        for i, kp in enumerate(self.kps):
-            self.same.setdefault(kp, []).append(i)
+        self.k = k
+        self.keywords, self.kps = (pa.array([x[c] for x in block], pa.large_string()) for c in (1, 2))
+        number: dict[str, int] = {}                              # different ones in order
+        of_row = [number.setdefault(x[2], len(number)) for x in block]
+        self.same = _grouped(of_row, range(len(block)))
+        different = list(number)
+        self.first = [different[a:b] for a, b in zip((0, *EARLY), EARLY)]
+        single, several = [], []
+        for i, kp in enumerate(different[EARLY[-1]:], EARLY[-1]):
+            (several if " " in kp else single).append((kp, i))
+        self.words, self.phrases = (Strings([kp for kp, _ in x]) for x in (single, several))
+        self.word_numbers, self.phrase_numbers = (np.array([i for _, i in x], np.int64) for x in (single, several))
+        self.word_sizes = sorted({len(kp) for kp, _ in single})
+        heads: dict[str, int] = {}
+        sizes = sorted({(heads.setdefault(kp[:kp.index(" ")], len(heads)), len(kp)) for kp, _ in several})
+        self.heads, self.sizes_of = Strings(list(heads)), _grouped([h for h, _ in sizes], [n for _, n in sizes])
+        by_word: dict[str, list[int]] = {}
+        for i, (_, _, kp) in enumerate(block):
             if " " in kp:
                 for w in set(kp.split()):
-                    self.by_word.setdefault(w, []).append(i)
-        # a keyword of one word lies inside one word, and words come again in many texts: each is
-        # looked through once; only keywords of several words are sought in the query
-        self.words, self.phrases = (self._automaton([(kp, at[0]) for kp, at in self.same.items() if (" " in kp) == several])
-                                    for several in (False, True))
-        self.in_word: dict[str, list[int]] = {}
-        self.reach, self.counts, self.order = int(self.sizes.max(initial=0)), None, np.arange(len(block))
+                    rows = by_word.setdefault(w, [])
+                    if len(rows) < k:
+                        rows.append(i)
+        self.shared = Strings(list(by_word))
+        self.rows_of = _grouped([n for n, rows in enumerate(by_word.values()) for _ in rows], [i for rows in by_word.values() for i in rows])
+        self.sizes = np.array([len(x[2]) for x in block], np.int32)
+        self.reach, self.counts, self.order, self.automata, self.in_word = int(self.sizes.max(initial=0)), None, np.arange(len(block)), None, {}
+
+    def _automata(self):
+        import ahocorasick
+
+        if self.automata is None:
+            self.automata, n = [], 0
+            for kps in self.first:
+                if kps:
+                    out = ahocorasick.Automaton()
+                    for i, kp in enumerate(kps, n):
+                        out.add_word(kp, i)
+                    out.make_automaton()
+                    self.automata.append(out)
+                    n += len(kps)
+        return self.automata
+
+    def held(self, queries: list[str]) -> list[list[int]]:
+        """The first k of the different keywords that each query holds."""
+        out, left = [], []
+        for i, q in enumerate(queries):
+            found = set()
+            for a in self._automata() if q else ():
+                found.update([n for _, n in a.iter(q)])
+                if len(found) >= self.k:
+                    break
+            out.append(found)
+            if q and len(found) < self.k:
+                left.append(i)
+        if len(self.word_numbers) or len(self.phrase_numbers):
+            lo = 0
+            while lo < len(left):
+                hi, size = lo + 1, len(queries[left[lo]])
+                while hi < len(left) and size + len(queries[left[hi]]) < STRETCHES:
+                    size, hi = size + len(queries[left[hi]]), hi + 1
+                for i, found in zip(left[lo:hi], self._others([queries[i] for i in left[lo:hi]])):
+                    out[i] |= found
+                lo = hi
+        return [heapq.nsmallest(self.k, x) for x in out]
+
+    def _others(self, queries: list[str]) -> list[set[int]]:
+        """Keywords behind the first ones that queries hold (of single words the first k)."""
+        import numpy as np
+
+        spans, bounds, starts, ends, of = self._words_in(queries)
+        # phrases: the signs up to their first space end a word
+        head = self.heads.find(spans, starts, ends)
+        at = np.flatnonzero(head >= 0)
+        sizes, begins = self.sizes_of
+        counts = begins[head[at] + 1] - begins[head[at]]
+        to = np.repeat(starts[at], counts) + sizes[_places(begins[head[at]], counts)]
+        at = np.repeat(at, counts)
+        fits = to <= bounds[of[at]]
+        at, to = at[fits], to[fits]
+        n = self.phrases.find(spans, starts[at], to)
+        out: list[set[int]] = [set() for _ in queries]
+        for i, x in zip(of[at[n >= 0]].tolist(), self.phrase_numbers[n[n >= 0]].tolist()):
+            out[i].add(x)
+        if self.word_sizes:
+            words = [set(q.split()) for q in queries]
+            new = list({w for x in words for w in x}.difference(self.in_word))
+            if len(self.in_word) + len(new) > WORDS:
+                self.in_word, new = {}, list({w for x in words for w in x})
+            if new:
+                spans, bounds, starts, ends, of = self._words_in(new)
+                found: list[set[int]] = [set() for _ in new]
+                for m in self.word_sizes:
+                    at = np.flatnonzero(starts + m <= ends)
+                    if not len(at):
+                        break
+                    n = self.words.find(spans, starts[at], starts[at] + m)
+                    for i, x in zip(of[at[n >= 0]].tolist(), self.word_numbers[n[n >= 0]].tolist()):
+                        found[i].add(x)
+                self.in_word.update((w, heapq.nsmallest(self.k, x)) for w, x in zip(new, found))
+            for x, some in zip(out, words):
+                for w in some:
+                    x.update(self.in_word[w])
+        return out
 
     @staticmethod
-    def _automaton(entries):
-        import ahocorasick
+    def _words_in(lines: list[str]):
+        """Spans of lines behind each other, where each line ends, and of all places in words: the
+        place, the end of its word, its line."""
+        import numpy as np
 
-        out = ahocorasick.Automaton()
-        for kp, i in entries:
-            out.add_word(kp, i)
-        if entries:
-            out.make_automaton()
-        return out if entries else None
-
-    def held(self, q: str, words: set[str], k: int) -> list[int]:
-        """The first of the keywords that a query holds, k at most of each word."""
-        out = {i for _, i in self.phrases.iter(q)} if self.phrases else set()
-        if self.words:
-            if len(self.in_word) > WORDS:
-                self.in_word.clear()
-            for w in words:
-                found = self.in_word.get(w)
-                if found is None:
-                    found = self.in_word[w] = heapq.nsmallest(self.k, {i for _, i in self.words.iter(w)})
-                out.update(found)
-        return heapq.nsmallest(k, out)
-
-    def best(self, q: str, k: int, min_score: int) -> list[tuple[int, int]]:
-        """The k best (index, score) of a query."""
-        if not self.kps or not q:
-            return []
-        out, words = [], set(q.split())
-        if k != self.k:
-            self.k, self.in_word = k, {}
-        if min_score < 60:
-            # of keywords that are processed alike the automaton knows the first
-            out = [(i, 60) for i in sorted(j for i in self.held(q, words, k) for j in self.same[self.kps[i]][:k])[:k]]
-        if len(out) < k and min_score < 57:
-            shared = {i for w in words for i in self.by_word.get(w, ())[:k]} - {i for i, _ in out}
-            out += [(i, 57) for i in sorted(shared)[:k - len(out)]]
-        if len(out) < k and min_score < 56 and (2 * min_score + 1) * len(q) <= 200 * self.reach:
-            if self.counts is None:
-                self.counts = _letter_counts(self.kps)
-            near = nearest(q, self.kps, self.sizes, self.counts, self.order, {i for i, _ in out}, k - len(out), min_score)
-            out += [(i, s) for s, i in near]
+        units = units_of("\n".join(lines))
+        gap = np.append(units <= 32, True)
+        starts, gaps = np.flatnonzero(~gap), np.flatnonzero(gap)
+        bounds = np.cumsum([len(x) + 1 for x in lines]) - 1
+        return Spans(units), bounds, starts, gaps[np.searchsorted(gaps, starts)], np.searchsorted(bounds, starts)
+
+    def best(self, queries: list[str], min_score: int) -> list[list[tuple[int, int]]]:
+        """The k best (index, score) of each query."""
+        k = self.k
+        if not len(self.kps) or k <= 0:
+            return [[] for _ in queries]
+        held = self.held(queries) if min_score < 60 else [[]] * len(queries)
+        rows, begins = self.same
+        out = []
+        for q, numbers in zip(queries, held):
+            # of keywords that are processed alike the first k were kept
+            found = [(i, 60) for i in sorted(j for n in numbers for j in rows[begins[n]:begins[n + 1]].tolist())[:k]]
+            if q and len(found) < k and min_score < 57:
+                near = self._sharing(q) - {i for i, _ in found}
+                found += [(i, 57) for i in sorted(near)[:k - len(found)]]
+            if q and len(found) < k and min_score < 56 and (2 * min_score + 1) * len(q) <= 200 * self.reach:
+                if self.counts is None:
+                    self.counts = _letter_counts(self.kps.to_pylist())
+                near = nearest(q, self.kps, self.sizes, self.counts, self.order, {i for i, _ in found}, k - len(found), min_score)
+                found += [(i, s) for s, i in near]
+            out.append(found)
         return out
 
+    def _sharing(self, q: str) -> set[int]:
+        """The first k keywords of several words with each word of a query."""
+        import numpy as np
+
+        units = units_of(q + " ")
+        gap = units == 32
+        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        gaps = np.flatnonzero(gap)
+        n = self.shared.find(Spans(units), starts, gaps[np.searchsorted(gaps, starts)])
+        rows, begins = self.rows_of
+        return {i for x in set(n[n >= 0].tolist()) for i in rows[begins[x]:begins[x + 1]].tolist()}
 
-def _by_automaton(rows: DataFrame, words: DataFrame, ids, k: int, min_score: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(
-        sorted((r["ord"], r["keyword"], r["kp"]) for r in words.select("ord", "keyword", "kp").toLocalIterator()))
-    src = rows.select(*ids, F.col("_fuzzy_q").alias("q"))
+
+def _by_matcher(rows: DataFrame, words: DataFrame, ids, k: int, min_score: int, all_windows: bool) -> DataFrame:
+    """(ids..., cleaned text) -> (ids..., rk, value, score) with a broadcast dictionary."""
+    held = words.select("ord", "keyword", "kp").toArrow()
+    block = sorted(zip(*(held.column(c).to_pylist() for c in ("ord", "keyword", "kp"))), key=lambda x: (x[0] is not None, x))
+    shared = rows.sparkSession.sparkContext.broadcast(Matcher(block, k))
     n = len(ids)
-    schema = T.StructType([*src.select(*ids).schema.fields, T.StructField("rk", T.IntegerType()), T.StructField("value", T.StringType()),
+    schema = T.StructType([*rows.select(*ids).schema.fields, T.StructField("rk", T.IntegerType()), T.StructField("value", T.StringType()),
                            T.StructField("score", T.IntegerType())])
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        matcher = Matcher(shared.value)
+        matcher = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                at, rk, value, score = [], [], [], []
-                for row, q in enumerate(part.column(n).to_pylist()):
-                    for r, (i, s) in enumerate(matcher.best(q or "", k, min_score), 1):
-                        at.append(row)
-                        rk.append(r)
-                        value.append(matcher.keywords[i])
-                        score.append(s)
+                best = matcher.best([fuzzy_query(t, all_windows) for t in part.column(n).to_pylist()], min_score)
+                at = pa.array(np.repeat(np.arange(len(best), dtype=np.int32), [len(x) for x in best]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(at, pa.int32())) for c in part.columns[:n]), pa.array(rk, pa.int32()), pa.array(value, pa.string()),
-                     pa.array(score, pa.int32())], names=schema.names)
+                    [*(c.take(at) for c in part.columns[:n]), pa.array([r for x in best for r in range(1, len(x) + 1)], pa.int32()),
+                     matcher.keywords.take(pa.array([i for x in best for i, _ in x], pa.int64())).cast(pa.string()),
+                     pa.array([s for x in best for _, s in x], pa.int32())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _by_distance(spark, queries: DataFrame, words: DataFrame, k: int, min_score: int) -> DataFrame:

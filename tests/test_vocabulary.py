@@ -188,3 +188,36 @@ def test_dictionary_of_over_a_million_keywords_meets_texts_without_joins(spark):
     got = V.exact_titles(df, F.col("text"), words, ids=("doc_id",))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.pos, r.value) for r in got.collect()) == [(0, "no 7"), (1, "No 1099999"), (2, "NO 8")]
+
+
+def test_keywords_behind_the_first_ones(spark, monkeypatch):
+    """The same answers, however few keywords the automata hold; over 8 MB of characters every
+    place of every text went into joins."""
+    rng = random.Random(21)
+    words = [(k, w, re.sub("[^a-z0-9]", " ", w.lower()).strip()) for k, w in enumerate(words_of(rng, 300)) if w]
+    words = [x for x in words if x[2]] + [(1000, "a" * 60, "a" * 60), (1001, "R - & D", "r     d"), (1002, "of", "of"), (1003, "OF", "of"), (1004, "e", "e"), (1005, "f s", "f s")]
+    texts = [" ".join(rng.choices([*BITS, "hed", "salse", "of the", "İT"], k=rng.randrange(12))) for _ in range(200)] + ["", "x " * 5000, "r - & d - e" * 3]
+    queries = [V.fuzzy_query(clean, all_windows=True) for clean in texts]
+
+    def plainly(q, k):
+        score = lambda kp: 60 if kp in q else 57 if " " in kp and set(kp.split()) & set(q.split()) else 0
+        scored = sorted((-score(kp), i) for i, (_, _, kp) in enumerate(words))
+        return [(i, -s) for s, i in scored if q and -s > 56][:k]
+
+    for k in (1, 5, 40):
+        for early in ((1 << 11, 1 << 14), (2, 9), (0, 0)):
+            monkeypatch.setattr(V, "EARLY", early)
+            kept, seen = [], {}
+            for x in words:                              # alike ones count k times
+                seen[x[2]] = seen.get(x[2], 0) + 1
+                if seen[x[2]] <= k:
+                    kept.append(x)
+            got = V.Matcher(kept, k).best(queries, 56)
+            want = [[(words[i], s) for i, s in plainly(q, k)] for q in queries]
+            assert [[(kept[i], s) for i, s in x] for x in got] == want
+    assert sum(map(len, want)) > 500
+    many = spark.range(700_000).selectExpr("'number ' || CAST(id AS string) AS keyword", "id AS ord")
+    df = texts_of(spark, ["the number 699999 of all 5 numbers"])
+    titles = V.fuzzy_titles(df, F.col("text"), many, ids=("doc_id",))
+    assert "Join" not in titles._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in titles.orderBy("rk").collect()] == [(r, f"number {x}", 60) for r, x in enumerate((6, 69, 699, 6999, 69999), 1)]
