@@ -242,14 +242,46 @@ class Strings:
         return found
 
 
+def _as_data(x):
+    """An object of this module's classes as plain data: broadcasts are pickled by name."""
+    return (type(x).__name__, {k: _as_data(v) for k, v in vars(x).items()}) if isinstance(x, (Strings, Walker, Matcher)) else x
+
+
+def _from_data(x, classes=None):
+    classes = classes or {c.__name__: c for c in (Strings, Walker, Matcher)}
+    if not (isinstance(x, tuple) and len(x) == 2 and isinstance(x[0], str) and x[0] in classes):
+        return x
+    out = object.__new__(classes[x[0]])
+    vars(out).update({k: _from_data(v, classes) for k, v in x[1].items()})
+    return out
+
+
+def _signs():
+    """Of signs of one UTF-16 unit whether they are word signs and their lower case; a pattern
+    of the others and of those whose lower case is another for the signs around."""
+    import numpy as np
+    import regex
+
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 1 << 16))]
+    word, lower, odd = np.zeros(1 << 16, bool), np.arange(1 << 16, dtype=np.uint16), [r"\u03a3", r"\ud800-\udfff", r"\U00010000-\U0010ffff"]
+    word[[ord(c) for c in regex.findall(f"[{_WORD}]", "".join(every))]] = True
+    for c in every:
+        low = c.lower()
+        if low != c:
+            if len(low) == 1 and ord(low) < 1 << 16:
+                lower[ord(c)] = ord(low)
+            else:
+                odd.append(f"\\u{ord(c):04x}")
+    return word, lower, "[" + "".join(odd) + "]"
+
+
 class Walker:
     """Whole words of a dictionary (gram, ord, first token, number of tokens) in texts."""
-    chars = None
 
     def __init__(self, grams, orders, firsts, sizes):
         import numpy as np
 
-        self.grams, self.orders = Strings(grams), np.array(orders, np.int64)
+        self.grams, self.orders, self.signs = Strings(grams), np.array(orders, np.int64), _signs()
         pairs = sorted(set(zip(firsts, sizes)))
         heads = list(dict.fromkeys(f for f, _ in pairs))
         self.firsts, self.sizes = Strings(heads), np.array([m for _, m in pairs], np.int32)
@@ -257,32 +289,11 @@ class Walker:
         self.counts = np.bincount([at[f] for f, _ in pairs], minlength=len(heads)).astype(np.int32)
         self.begins = np.cumsum(self.counts) - self.counts
 
-    @classmethod
-    def tables(cls):
-        """Of signs of one UTF-16 unit whether they are word signs and their lower case; a
-        pattern of the others and of those whose lower case is another for the signs around."""
-        if cls.chars is None:
-            import numpy as np
-            import re
-
-            import regex
-
-            every = [chr(c) for c in range(1 << 16)]
-            word, lower, odd = np.zeros(1 << 16, bool), np.arange(1 << 16, dtype=np.uint16), ["\u03a3", "\ud800-\udfff", "\U00010000-\U0010ffff"]
-            word[[ord(c) for c in regex.findall(f"[{_WORD}]", "".join(every[:0xD800] + every[0xE000:]))]] = True
-            for c in every[:0xD800] + every[0xE000:]:
-                low = c.lower()
-                if low != c:
-                    if len(low) == 1 and ord(low) < 1 << 16:
-                        lower[ord(c)] = ord(low)
-                    else:
-                        odd.append(c)
-            cls.chars = word, lower, re.compile("[" + "".join(odd) + "]"), regex.compile(TOKEN)
-        return cls.chars
-
     def walk(self, texts: list[str]):
         """(number of the text, pos, value) of all matches as lists, text by text."""
-        odd = self.tables()[2]
+        import re
+
+        odd = re.compile(self.signs[2])
         easy = [t.isascii() or not odd.search(t) for t in texts]
         out = [], [], []
         for kind in (True, False):
@@ -298,7 +309,7 @@ class Walker:
         """Texts behind each other, a sign between them that is a token in itself."""
         import numpy as np
 
-        word, lower, _, token = self.tables()
+        word, lower, _ = self.signs
         whole = "\0".join(texts)
         if easy:
             units = units_of(whole)
@@ -307,6 +318,9 @@ class Walker:
             ends = np.append(starts[1:], len(units)) if len(starts) else starts
             inside, low, marks = inside[starts], lower[units], (starts, ends)
         else:
+            import regex
+
+            token = regex.compile(TOKEN)
             tokens = token.findall(whole)
             lows = [t.lower() for t in tokens]
             sizes = np.array([len(units_of(t)) for t in lows], np.int64)
@@ -353,13 +367,13 @@ def _walk(rows: DataFrame, words: DataFrame, schema) -> DataFrame:
     """``exact_titles`` with a broadcast dictionary: (ids..., text) -> (ids..., pos, value)."""
     held = words.where("ord IS NOT NULL").select("gram", "ord", "first", "m").toArrow()
     walker = Walker(*(held.column(c).to_pylist() for c in ("gram", "ord", "first", "m")))
-    shared = rows.sparkSession.sparkContext.broadcast(walker)
+    shared = rows.sparkSession.sparkContext.broadcast(_as_data(walker))
     n = len(rows.columns) - 1
 
     def run(batches):
         import pyarrow as pa
 
-        walker = shared.value
+        walker = _from_data(shared.value)
         for b in batches:
             texts = [t or "" for t in b.column(n).to_pylist()]
             lo = 0
@@ -746,7 +760,7 @@ def _by_matcher(rows: DataFrame, words: DataFrame, ids, k: int, min_score: int,
     """(ids..., cleaned text) -> (ids..., rk, value, score) with a broadcast dictionary."""
     held = words.select("ord", "keyword", "kp").toArrow()
     block = sorted(zip(*(held.column(c).to_pylist() for c in ("ord", "keyword", "kp"))), key=lambda x: (x[0] is not None, x))
-    shared = rows.sparkSession.sparkContext.broadcast(Matcher(block, k))
+    shared = rows.sparkSession.sparkContext.broadcast(_as_data(Matcher(block, k)))
     n = len(ids)
     schema = T.StructType([*rows.select(*ids).schema.fields, T.StructField("rk", T.IntegerType()), T.StructField("value", T.StringType()),
                            T.StructField("score", T.IntegerType())])
@@ -755,7 +769,7 @@ def _by_matcher(rows: DataFrame, words: DataFrame, ids, k: int, min_score: int,
         import numpy as np
         import pyarrow as pa
 
-        matcher = shared.value
+        matcher = _from_data(shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)

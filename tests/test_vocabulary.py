@@ -221,3 +221,15 @@ def test_keywords_behind_the_first_ones(spark, monkeypatch):
     titles = V.fuzzy_titles(df, F.col("text"), many, ids=("doc_id",))
     assert "Join" not in titles._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[1:] for r in titles.orderBy("rk").collect()] == [(r, f"number {x}", 60) for r, x in enumerate((6, 69, 699, 6999, 69999), 1)]
+
+
+def test_dictionaries_are_broadcast_as_plain_data():
+    """Executors need no install of the package: nothing in a broadcast names its classes."""
+    import pickle
+
+    walker = V.Walker(["a b", "c"], [1, 0], ["a", "c"], [3, 1])
+    matcher = V.Matcher([(0, "a b", "a b"), (1, "c", "c")], 5)
+    data = [pickle.dumps(V._as_data(x)) for x in (walker, matcher)]
+    assert not any(b"sitesift" in x for x in data)
+    assert V._from_data(pickle.loads(data[0])).walk(["c, A b"]) == ([0, 0], [0, 1], ["c", "A b"])
+    assert V._from_data(pickle.loads(data[1])).best(["a b c"], 30) == [[(0, 60), (1, 60)]]
